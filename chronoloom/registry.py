@@ -28,3 +28,11 @@ def queries() -> dict[str, Callable]:
 
 def oracles() -> dict[str, str]:
     return _ORACLES
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from chronoloom.plans import aggregate_queries, join_queries, projection_queries, sequence_queries, sink_queries, stream_queries, text_queries, window_queries  # noqa: F401
+
+
+load()
