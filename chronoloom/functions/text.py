@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Weights of hints in part names, added up over all hints that a name contains.
 NAME_HINTS = {"vocals": 8, "vocal": 8, "voice": 7, "melody": 7, "lead": 5, "solo": 3, "piano": -2, "bass": -4, "drum": -8, "accompaniment": -5}
@@ -23,7 +24,7 @@ def ascii_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(s: pd.Series) -> pd.Series:
     """NFKD, lower case, letters and digits of any script: no built-in decomposes characters."""
     fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t).lower() if x.isalnum())

@@ -362,13 +362,16 @@ def estimate_tempo(envelope: np.ndarray, step_s: float, slowest: float = 50, fas
     low, high = int(60 / fastest / step_s), int(np.ceil(60 / slowest / step_s))
     if len(envelope) < 3 * high or envelope.max(initial=0) <= 0:
         return 0.0, []
-    r = autocorrelation(envelope, 1, 3 * high)
+    # clicks off the grid still meet after smoothing
+    r = autocorrelation(np.convolve(envelope, np.array([1, 2, 3, 2, 1]) / 9, "same"), 1, 3 * high)
     at = lambda lag: r[lag - 1]
     scores = {lag: at(lag) + 0.3 * at(2 * lag) + 0.15 * at(3 * lag) for lag in range(max(1, low), high + 1)}
     lag = max(scores, key=lambda k: (scores[k], -k))
-    half = lag // 2
-    if half >= low and max(at(half), at(min(half + 1, high))) > 0.8 * at(lag):
-        lag = half
+    for k in (4, 3, 2):  # a beat's multiples correlate as well as the beat itself
+        near = [x for x in range(round(lag / k) - 1, round(lag / k) + 2) if low <= x <= high]
+        if near and max(map(at, near)) > 0.7 * at(lag):
+            lag = max(near, key=at)
+            break
     best = (-1.0, 0.0, 0.0)
     for period in np.linspace(lag - 0.75, lag + 0.75, 61):
         k = np.arange(int(len(envelope) / period))

@@ -10,6 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -85,7 +86,7 @@ def pcm16(samples: Column, rate: int = 44_100) -> Column:
     return _wave(samples, F.lit(rate))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _wave(samples, rate):
     import struct
 
