@@ -22,7 +22,7 @@ from chronoloom.llm.common import stash
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "developer": "system"}
 #: Costs in integer units: relabelling between user and assistant, to or from system, an unknown role; a merge; an empty turn.
-COSTS = {"relabel": 4, "system": 8, "unknown": 2, "merge": 3, "insert": 5}
+COSTS = {"relabel": 6, "system": 8, "unknown": 2, "merge": 3, "insert": 5}
 BLOCK_TURNS = 64
 INFINITE = 1 << 40
 
