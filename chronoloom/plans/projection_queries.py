@@ -271,3 +271,43 @@ def set04(spark, d):
     c = V.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     new = spark.range(1).select(F.lit(5).cast("long").alias("c_custkey"), F.lit("replaced").alias("c_name"), F.lit(1.5).alias("c_acctbal"))
     return c.join(new.select("c_custkey"), "c_custkey", "left_anti").unionByName(new)
+
+
+@query("prj02_strict_import", V.sql(V.NOTES) + """
+SELECT track_id, note_id, round(start_us / 1000000.0::DOUBLE, 6) AS start, midi FROM notes WHERE note_id % 10 = 0""")
+def prj02(spark, d):
+    """No row may be lost, so only notes that cannot repeat each other are imported."""
+    n = V.notes(spark, d).where("note_id % 10 = 0")
+    rows = n.select("track_id", "note_id", (F.col("start_us") / 1e6).alias("start"), (F.col("dur_us") / 1e6).alias("duration"), (F.col("midi")).cast("double").alias("midi"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("strength"))
+    return P.strict_notes(rows, 80.0, T, "note_id", least=1).select("track_id", "note_id", F.round("start", 6).alias("start"), "midi")
+
+
+@query("prj27_catalog_merge", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE c_acctbal + 5 END AS bpm FROM customer""")
+def prj27(spark, d):
+    """The catalog's melody and tempo come in, but a tempo that was edited by hand stays."""
+    c = V.table(spark, d, "customer").withColumn("edited", F.col("c_custkey") % 3 == 0)
+    catalog = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 5).alias("new"))
+    return c.join(catalog, c.c_custkey == catalog.id).select("c_custkey", F.when(F.col("edited"), F.col("c_acctbal")).otherwise(F.col("new")).alias("bpm"))
+
+
+@query("prj28_trusted", """SELECT page_id FROM pages WHERE page_id % 4 = 0 OR sha256(coalesce(url, '')) < '8'""")
+def prj28(spark, d):
+    """Local rows, and catalog rows whose digest was verified."""
+    return V.table(spark, d, "pages").where((F.col("page_id") % 4 == 0) | (F.sha2(F.coalesce("url", F.lit("")), 256) < "8")).select("page_id")
+
+
+@query("srt02_best_lane", V.sql(V.NOTES) + """
+, o AS (SELECT unnest(range(6)) AS s, unnest([40, 45, 50, 55, 59, 64]) AS m)
+SELECT note_id, arg_min(s, ((midi - m) * 13 + greatest(0, midi - m - 12) * 20, -s))::BIGINT AS string_idx FROM notes, o WHERE midi - m BETWEEN 0 AND 22 GROUP BY 1""")
+def srt02(spark, d):
+    spots = F.array(*(F.struct(((F.col("midi") - m) * 13 + F.greatest(F.lit(0), F.col("midi") - m - 12) * 20).alias("cost"), F.lit(-s).alias("up"), (F.col("midi") - m).alias("fret")) for s, m in enumerate(M.OPEN_STRINGS)))
+    best = F.array_min(F.filter(spots, lambda p: (p.fret >= 0) & (p.fret <= 22)))
+    return V.notes(spark, d).select("note_id", (-best.up).cast("long").alias("string_idx")).where("string_idx is not null")
+
+
+@query("inf05_fallback", V.sql(V.NOTES) + """
+SELECT track_id, CASE WHEN count(*) FILTER (conf_pct >= 60) >= 24 THEN 'primary' ELSE 'secondary' END AS model FROM notes GROUP BY 1""")
+def inf05(spark, d):
+    """The second model's notes are used where the first has too few."""
+    return V.notes(spark, d).groupBy("track_id").agg(F.when(F.count_if(F.col("conf_pct") >= 60) >= 24, "primary").otherwise("secondary").alias("model"))

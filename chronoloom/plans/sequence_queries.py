@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronoloom import views as V
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
-from chronoloom.plans import cli
+from chronoloom.plans import cli, refine
 from chronoloom.plans.window_queries import ENDED, ended
 from chronoloom.registry import query
 
@@ -108,16 +108,26 @@ c AS (SELECT l.track_id, l.g0, l.g1, e.ev_id, e.midi, row_number() OVER (PARTITI
   FROM l JOIN evidence e ON l.track_id = e.track_id AND e.start_us >= l.g0 AND e.end_us <= l.g1 AND e.quality_pct >= 60 AND e.midi BETWEEN least(m0, m1) - 2 AND greatest(m0, m1) + 2 WHERE l.g1 - l.g0 >= 100000)
 SELECT track_id, g0, ev_id, midi FROM c WHERE rn = 1""")
 def seq14(spark, d):
-    """Per rest between neighbours, the evidence note that fits it best and connects their pitches."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("track_id").orderBy("start_us", "note_id")
-    l = ended(spark, d).select("track_id", F.col("end_us").alias("g0"), F.lead("start_us").over(w).alias("g1"), F.col("midi").alias("m0"), F.lead("midi").over(w).alias("m1")).where("g1 - g0 >= 100000")  # noqa: E741
-    e = V.evidence(spark, d).where("quality_pct >= 60")
-    met = J.points_in_intervals(e, l, T, "start_us", F.col("g0"), F.col("g1"), 2_000_000).where("end_us <= g1 and midi between least(m0, m1) - 2 and greatest(m0, m1) + 2")
-    fit = 4 * F.col("quality_pct") - 25 * F.expr("abs(2 * midi - m0 - m1) div 2")
-    best = F.max(F.struct(fit.alias("f"), (F.col("end_us") - F.col("start_us")).alias("len"), (-F.col("ev_id")).alias("id"), "midi")).alias("b")
-    return met.groupBy("track_id", "g0", "g1").agg(best).select("track_id", "g0", (-F.col("b.id")).alias("ev_id"), "b.midi")
+    return refine.connectors(ended(spark, d), V.evidence(spark, d)).select("track_id", "g0", "ev_id", "midi")
+
+
+@query("seq16_refine")
+def seq16(spark, d):
+    """The whole refinement chain; its steps have queries and SQL of their own."""
+    return refine.refine(ended(spark, d), V.evidence(spark, d))
+
+
+@query("seq19_beats")
+def seq19(spark, d):
+    """Beat times of each track, snapped to the onsets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        env = np.zeros(7200)
+        np.add.at(env, np.clip(pdf.start_us.to_numpy() // 10_000, 0, 7199), pdf.strength_pct.to_numpy() / 100)
+        _, beats = S.estimate_tempo(env, 0.01)
+        return pd.DataFrame({"track_id": pdf.track_id.iloc[0], "beat": beats})
+
+    return V.notes(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, beat double")
 
 
 @query("seq01_chord_path")
