@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """1 less the share of ASCII digits and signs among the characters, 0.05 at least; empty: 0.05."""
-    signs = F.length(F.regexp_replace(text, r"[^!-@\[-`{-~]+", ""))
+    signs = F.regexp_count(text, F.lit(r"[!-@\[-`{-~]"))
     return F.coalesce(F.greatest(F.lit(0.05), 1 - signs / F.nullif(F.length(text), F.lit(0))), F.lit(0.05))
 
 
