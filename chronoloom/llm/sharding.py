@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import documents, fresh, small, stash
 
 SHARDS = 8
-#: Rows of a block, and of a run that is ordered within a shard, on average.
-BLOCK_ROWS = 8192
+#: Blocks, and runs that are ordered within the shards: of LEAST_ROWS rows or more on average and up to
+#: BLOCKS of them, then of MOST_ROWS rows, so that each fits in memory and their number suits many tasks.
+LEAST_ROWS, BLOCKS, MOST_ROWS = 128, 1024, 65_536
 SEED = 5
 
 
@@ -55,6 +56,10 @@ def _large(rng, good: int, bad: int, n: int) -> int:
     return int(got)
 
 
+def pieces(rows: int) -> int:
+    return max(1, min(BLOCKS, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS))
+
+
 def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: tuple[str, ...] = ("doc_id",), shard: str = "shard", slot: str = "slot") -> DataFrame:
     """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
@@ -67,9 +72,9 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key
     cols = df.columns
     hashed = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
     total = df.count()
-    blocks = max(1, -(-total // BLOCK_ROWS))
+    blocks = pieces(total)
     keyed = df.withColumn(row, hashed).withColumn(block, F.pmod(F.col(row), F.lit(blocks)).cast("int"))
-    sizes = {r[0]: r[1] for r in keyed.groupBy(block).count().collect()}  # a number for each BLOCK_ROWS rows
+    sizes = {r[0]: r[1] for r in keyed.groupBy(block).count().collect()}  # a number for each block
     spark = df.sparkSession
     ends = communication([sizes.get(p, 0) for p in range(blocks)], shards, seed).cumsum(axis=1)
     matrix = small(spark.createDataFrame([(p, e) for p, e in enumerate(ends.tolist())], f"{block} int, sh_ends array<long>"))
@@ -79,7 +84,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key
     dealt = keyed.repartition(block).withColumn(copy, F.row_number().over(copies)).withColumn(rank, F.row_number().over(local)).join(matrix, block)
     dealt = dealt.withColumn(shard, F.size(F.filter("sh_ends", lambda e: e < F.col(rank))).cast("int"))
     # the second order, by ranges of its hash: a run's rows follow all of the runs before it
-    runs = max(1, -(-total // (shards * BLOCK_ROWS)))
+    runs = -(-blocks // shards)
     second = F.xxhash64(F.lit(seed + 2), row, copy)
     dealt = dealt.withColumn(rank, second).withColumn(run, F.least(F.floor((F.col(rank) / F.lit(2.0**64) + 0.5) * runs), F.lit(runs - 1)).cast("int"))
     dealt = dealt.select(*cols, row, copy, rank, run, shard)
