@@ -51,11 +51,11 @@ def as_text(vec: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: shared chunks by the estimate of the inner product, over the larger norm; equal vectors: 1."""
+    """0 to 1: shared chunks by the estimate of the inner product, over both lengths; equal vectors: 1."""
     signed = lambda v: F.transform(F.slice(v, 5, LANES), lambda x: (F.pmod(x + 32768, F.lit(65536)) - 32768).cast("double"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     x, y = signed(a), signed(b)
-    top = F.greatest(dot(x, x), dot(y, y))
+    top = F.sqrt(dot(x, x) * dot(y, y))
     return F.when(a == b, F.lit(1.0)).when(top == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / top)))
 
 
