@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, drop_stash, small, stash
+from chronoloom.llm.common import documents, small, stash
 
 MASKS = ("11101001", "11010011", "10110101")
 SPAN = 8
 WINDOW = 13
 #: Agreeing words of a window, in percent; an item shorter than SPAN must agree in full.
 AGREE = 80
+#: Benchmark seeds (three longs each) and items (an array of words each) up to which these are broadcast.
+SEED_ROWS, ITEM_ROWS = 4_000_000, 50_000
 
 
 def word_ids(text: Column) -> Column:
@@ -59,13 +61,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_items = of_items.select("item_id", F.col("pos").alias("item_pos"), "seed")
 
     tokens = docs.select("doc_id", word_ids(F.col("text")).alias("ids"))
-    hits = _seeds(tokens, ["doc_id"], masks).join(small(of_items), "seed")
+    hits = _seeds(tokens, ["doc_id"], masks).join(small(of_items, SEED_ROWS), "seed")
     hits = stash(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
 
     asked = small(hits.select("doc_id").distinct())
     again = docs.join(asked, docs.doc_id.eqNullSafe(asked.doc_id), "left_semi").select("doc_id", word_ids(F.col("text")).alias("ids"))
     right = hits.withColumnRenamed("doc_id", "hit_id")
-    both = again.join(right, again.doc_id.eqNullSafe(right.hit_id)).join(small(items.withColumnRenamed("ids", "item")), "item_id")
+    both = again.join(right, again.doc_id.eqNullSafe(right.hit_id)).join(small(items.withColumnRenamed("ids", "item"), ITEM_ROWS), "item_id")
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("item"), F.size("ids") - F.col("shift"))
     both = both.withColumn("first", first).withColumn("len", last - first).where("len > 0")
