@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 def plain(df):
     def one(v):
-        if v is None or v != v:
+        if str(v) in ("None", "nan", "<NA>", "NaT"):
             return "~"
         if isinstance(v, (bool, str)) or not hasattr(v, "__float__"):
             return str(v)
