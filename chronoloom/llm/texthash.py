@@ -46,6 +46,12 @@ def _grow(n: int) -> None:
         _up, _down = _powers(_P, n), _powers(_PINV, n)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse, modulo 2^64."""
+    _grow(n)
+    return _up, _down
+
+
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -12,7 +12,7 @@ never spans two documents. A shard's row holds
     doc_ids, counts   per document: its id and its number of ids
 
 and first, the number of ids of the same part before it. Symbols are 16 bits: an id beyond base - 1
-cannot occur, and a shard has at most 65536 - base rules.
+cannot occur, and a shard has at most 65535 - base rules.
 """
 
 from __future__ import annotations
@@ -28,92 +28,191 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import documents, stash
+from chronoloom.llm.texthash import U, mix, powers, string_bytes
 
 END = 2
 #: Ids of a shard, beyond which it is closed at the next document's end.
 SHARD_IDS = 1 << 18
 #: A pair becomes a rule if it occurs at least so often in a shard; pairs of a round; rounds.
-LEAST, PAIRS, ROUNDS = 8, 4096, 6
-#: Word pieces whose ids a worker remembers.
-REMEMBER = 600_000
+LEAST, PAIRS, ROUNDS = 8, 4096, 3
+#: Pieces of texts whose ids a worker remembers.
+REMEMBER = 1_500_000
+#: Documents whose pieces are encoded before the tasks start, and the longest of them in bytes.
+WARM_DOCS, WARM_BYTES = 10_000, 10_000
 
-FILE_SCHEMA = "part int, first long, rules binary, lengths binary, symbols binary, ends binary, doc_ids array<long>, counts array<long>, base int"
-
-#: A "." or "," that follows no letter or digit: such texts are not cut at these signs.
-_SIGNS = re.compile(r"[.,](?<![^\W_].)")
-#: White space but the space and the line end, and the start of a special token: such texts are not cut at all.
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000<]")
+#: No pair of symbols: the last 16-bit number is never a symbol.
+NO_PAIR = np.array([0xFFFFFFFF], np.uint32)
 
+FILE_SCHEMA = "part int, first long, rules binary, lengths binary, symbols binary, ends binary, doc_ids array<long>, counts array<long>, base int"
 
-def _uneven(t: str) -> bool:
-    return "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1].isspace() or _RARE.search(t) is not None
+#: White space outside ASCII and the start of a special token: such texts are encoded in one piece.
+_RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+_SPACE, _ALNUM, _LEAD = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
+_VALUE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 256, dtype=U)
 
 
 class Encoder:
-    """Ids of texts as little-endian uint16 bytes, the same as of encoding each text whole.
+    """Ids of texts, the same as of encoding each text whole, from pieces encoded once.
 
-    Merges never cross the pre-tokenizer's splits. It splits before a space, and on both sides of a
-    line end, where no other white space is near, and between a word and a sign. Texts are cut there
-    and each piece is encoded once by the tokenizer and remembered, up to REMEMBER pieces. New
-    pieces are encoded together, a line each: the line end's id shows where each begins.
+    The pre-tokenizer always splits before white space that follows something else, on both sides
+    of a single line end, and between an ASCII letter or digit and a "." or ",". Merges never cross
+    its splits, so texts are cut there, in their bytes, and a piece's ids are looked up by a 64-bit
+    hash of its bytes. New pieces are encoded by the tokenizer together, a line each; the line end's
+    id shows where each begins. At REMEMBER pieces all are forgotten.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, base: tuple | None = None):
+        """base: what known() of another encoder of the same file gave."""
         from tokenizers import Tokenizer
 
+        self.base_known = base
         self.tokenizer = Tokenizer.from_file(path)
         self.base = max(self.tokenizer.get_vocab_size(), END + 1)
         if self.base >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {"\n": np.uint16(self.line).tobytes(), "": b""}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, names: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(names)], add_special_tokens=False)[0].ids, np.uint16)
-        ends = np.append(np.flatnonzero(ids == self.line), len(ids)) * 2
-        raw = ids.tobytes()
-        if len(ends) != len(names):
-            return self.whole(names)
-        return [raw[a:b] for a, b in zip([0, *(ends[:-1] + 2).tolist()], ends.tolist())]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, cuts, out, odd = self.known, [], [], []
-        for k, t in enumerate(texts):
-            if _uneven(t):
-                odd.append(k)
-                cuts.append(())
-                continue
-            signs = _SIGNS.search(t)
-            t = t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
-            if not signs:
-                t = t.replace(".", "\x1f.").replace(",", "\x1f,")
-            cuts.append(t.split("\x1f"))
-        found = [list(map(known.get, c)) for c in cuts]
-        holes = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        missing = list({c[i] for c, h in zip(cuts, holes) for i in h})
-        new: dict[str, bytes] = {}
-        for at in range(0, len(missing), 2048):
-            part = missing[at : at + 2048]
-            new.update(zip(part, self.pieces(part)))
-        if len(known) < REMEMBER:
-            known.update(new)
-        for c, f, h in zip(cuts, found, holes):
-            for i in h:
-                f[i] = new[c[i]]
-            out.append(b"".join(f))
-        for k, got in zip(odd, self.whole([texts[k] for k in odd])):
-            out[k] = got
+        self._forget()
+
+    def _forget(self) -> None:
+        self.bits, self.n, self.used = 18, 1, 1
+        self.keys, self.slots = np.zeros(1 << 18, U), np.full(1 << 18, -1, np.int32)
+        self.own = np.zeros(1 << 16, U)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 20, np.uint16)
+        self.pool[0], self.size[0] = END, 1  # entry 0: the end of a document
+        if self.base_known:
+            self._store(*self.base_known)
+
+    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, sizes and ids of all pieces, in the order learned."""
+        return self.own[1 : self.n], self.size[1 : self.n].astype(np.int32), self.pool[1 : self.used]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 if there is none."""
+        mask = np.int64((1 << self.bits) - 1)
+        at = (keys >> U(64 - self.bits)).astype(np.int64)
+        out = self.slots[at]
+        odd = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(odd):
+            at[odd] = (at[odd] + 1) & mask
+            got = self.slots[at[odd]]
+            out[odd] = got
+            odd = odd[(got >= 0) & (self.keys[at[odd]] != keys[odd])]
         return out
 
+    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        mask = np.int64((1 << self.bits) - 1)
+        at = (keys >> U(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.slots[at[won]] = keys[won], entries[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, entries, at = keys[rest], entries[rest], (at[rest] + 1) & mask
+
+    def _learn(self, keys: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> None:
+        """Encode the pieces raw[a:b]; plain ones can stand on a line of their own."""
+        order, flats, sizes = [], [], []
+        lines, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        for at in range(0, len(lines), 2048):
+            part = lines[at : at + 2048]
+            n = b[part] - a[part] + 1
+            ends = np.cumsum(n)
+            text = raw[np.minimum(np.repeat(a[part] - ends + n, n) + np.arange(ends[-1]), len(raw) - 1)]
+            text[ends - 1] = 10
+            ids = np.array(self.tokenizer.encode_batch_fast([text[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint16)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(part) - 1:
+                order.append(part)
+                flats.append(ids[ids != self.line])
+                sizes.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+            else:
+                rest.append(part)
+        rest = np.concatenate(rest)
+        names = [raw[x:y].tobytes().decode() for x, y in zip(a[rest].tolist(), b[rest].tolist())]
+        for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False):
+            flats.append(np.array(e.ids, np.uint16))
+            sizes.append(np.array([len(flats[-1])]))
+        self._store(keys[np.concatenate([*order, rest])], np.concatenate(sizes), np.concatenate(flats))
+
+    def _store(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        sizes = sizes.astype(np.int64)
+        total, n = len(flat), len(keys)
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.n + n > len(self.size):
+            self.own, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.start, self.size))
+        new = slice(self.n, self.n + n)
+        self.pool[self.used : self.used + total] = flat
+        self.start[new], self.size[new], self.own[new] = self.used + np.cumsum(sizes) - sizes, sizes, keys
+        entries = np.arange(self.n, self.n + n, dtype=np.int32)
+        self.used, self.n = self.used + total, self.n + n
+        if 2 * self.n > 1 << self.bits:
+            while 2 * self.n > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.slots = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
+            keys, entries = self.own[1 : self.n], np.arange(1, self.n, dtype=np.int32)
+        self._place(keys, entries)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, each text's followed by END, and their counts."""
+        raw, off = string_bytes(texts)
+        if self.n > REMEMBER or self.used > 16 * REMEMBER:
+            self._forget()
+        first = np.zeros(len(raw), bool)
+        first[off[:-1][off[:-1] < len(raw)]] = True
+        space = _SPACE[raw]
+        before = np.concatenate(([False], space[:-1])) & ~first
+        cut = space & ~before
+        line = cut & (raw == 10)
+        after = np.flatnonzero(line[:-1] & ~space[1:]) + 1
+        alnum = np.concatenate(([False], _ALNUM[raw[:-1]]))
+        cut |= alnum & ((raw == 46) | (raw == 44))
+        cut[after] = True
+        cut |= first
+        lead = np.flatnonzero(_LEAD[raw])
+        whole = np.zeros(len(raw) + 1, bool)
+        for k in np.unique(np.searchsorted(off, lead, "right") - 1).tolist():
+            if _RARE.search(raw[off[k] : off[k + 1]].tobytes().decode()):
+                cut[off[k] + 1 : off[k + 1]] = False
+                whole[off[k]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(raw)) if len(starts) else starts
+        up, down = powers(len(raw) + 1)
+        acc = np.empty(len(raw) + 1, U)
+        acc[0] = 0
+        np.cumsum(_VALUE[raw] * up[: len(raw)], out=acc[1:])
+        keys = mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(U))
+        entry = self._find(keys)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            new, where = np.unique(keys[miss], return_index=True)
+            where = miss[where]
+            a, b = starts[where], ends[where]
+            spaces = np.cumsum(space, dtype=np.int32)
+            inner = spaces[b - 1] - spaces[a]
+            self._learn(new, raw, a, b, (inner == 0) & (~space[a] | (raw[a] == 32) & (b - a > 1)) & ~whole[a])
+            entry[miss] = self._find(keys[miss])
+        # entry 0 ends each text
+        upto = np.searchsorted(starts, off[1:])
+        entry = np.insert(entry, upto, 0)
+        size = self.size[entry].astype(np.int64)
+        at = np.cumsum(size) - size
+        ids = self.pool[np.repeat(self.start[entry] - at, size) + np.arange(int(size.sum()))]
+        done = np.cumsum(size)[upto + np.arange(len(upto))]
+        return ids, np.diff(done, prepend=0)
+
 
 def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols, ends) of uint16 ids; last marks the final id of each document."""
     seq, last = ids.astype(np.uint32), last.copy()
     rules, lengths = [], []
-    room = (1 << 16) - base
+    room = (1 << 16) - 1 - base
     for _ in range(ROUNDS):
         if len(seq) < 2 or room <= 0:
             break
@@ -131,16 +230,20 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
         # the most frequent first: a round stops where pairs are so rare that the first ones' replacement may have changed them
         top = top[count[top] * 32 >= count[top[0]]]
         pairs = order[edge[top]]
-        slots = np.zeros(1 << 18, np.int32)
-        where = lambda k: (k * np.uint32(2654435761)) >> np.uint32(14)
+        slots = np.zeros(1 << 16, np.uint16)  # 0: no pair
+        where = lambda k: (k * np.uint32(2654435761)) >> np.uint32(16)
         slots[where(pairs)[::-1]] = np.arange(len(pairs), 0, -1)
-        rule = slots[where(keys)] - 1
-        hit = (rule >= 0) & (pairs[np.maximum(rule, 0)] == keys) & free
-        at = np.flatnonzero(hit)
+        rule = slots[where(keys)]
+        at = np.flatnonzero((np.concatenate((NO_PAIR, pairs))[rule] == keys) & free)
         # of overlapping occurrences every second one from the left
         start = np.concatenate(([True], np.diff(at) > 1))
-        at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))) % 2 == 0]
-        used, named = np.unique(rule[at], return_inverse=True)
+        if not start.all():
+            nth = np.arange(len(at))
+            at = at[(nth - np.maximum.accumulate(np.where(start, nth, 0))) % 2 == 0]
+        rule = rule[at]
+        present = np.bincount(rule, minlength=len(pairs) + 1) > 0
+        used = np.flatnonzero(present) - 1
+        named = (np.cumsum(present) - 1)[rule]
         fresh = base + len(rules) + np.arange(len(used))
         size = lambda s: np.where(s < base, 1, np.array([1, *lengths], np.int64)[np.maximum(s.astype(np.int64) - base + 1, 0)])
         left, right = pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)
@@ -157,18 +260,25 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """The ids of some symbols: each rule's expansion is written into its place, level by level."""
-    symbols = symbols.astype(np.int64)
+    """The ids of some symbols: the rules are expanded once, level by level, then copied into place."""
+    flat = np.arange(base, base + len(rules), dtype=np.int64)
     while True:
-        big = symbols >= base
+        big = flat >= base
         if not big.any():
-            return symbols.astype(np.uint16)
+            break
         width = 1 + big
         at = np.cumsum(width) - width
         out = np.empty(int(width.sum()), np.int64)
-        out[at] = np.where(big, rules[np.maximum(symbols - base, 0), 0] if len(rules) else 0, symbols)
-        out[at[big] + 1] = rules[symbols[big] - base, 1]
-        symbols = out
+        out[at] = flat
+        out[at[big]] = rules[flat[big] - base, 0]
+        out[at[big] + 1] = rules[flat[big] - base, 1]
+        flat = out
+    table = np.concatenate([np.arange(base, dtype=np.uint16), flat.astype(np.uint16)])
+    wide = lengths.astype(np.int64)
+    size = np.concatenate([np.ones(base, np.int64), wide])[symbols]
+    start = np.concatenate([np.arange(base), base + np.cumsum(wide) - wide])[symbols]
+    at = np.cumsum(size) - size
+    return table[np.repeat(start - at, size) + np.arange(int(size.sum()))]
 
 
 def ids_between(row: dict, doc: int, start: int, stop: int) -> np.ndarray:
@@ -188,42 +298,50 @@ def ids_between(row: dict, doc: int, start: int, stop: int) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def _write(path: str):
+def common_pieces(docs: DataFrame, path: str) -> tuple:
+    """Pieces of some documents, encoded once for all tasks to start from: a bounded table that saves work only."""
+    some = [r.text for r in docs.where(F.octet_length("text") <= WARM_BYTES).select("text").head(WARM_DOCS)]
+    coder = Encoder(path)
+    for at in range(0, len(some), 48):
+        coder.encode(pa.array(some[at : at + 48], pa.string()))
+    return coder.known()
+
+
+def _write(path: str, pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        part, first, held, ids, counts = TaskContext.get().partitionId(), 0, 0, [], []
-        end = np.uint16(END).tobytes()
-        parts: list[bytes] = []
-
-        def shard():
-            nonlocal first, held
-            flat = np.frombuffer(b"".join(parts), np.uint16)
-            last = np.zeros(len(flat), bool)
-            last[np.cumsum(counts) - 1] = True
-            rules, lengths, symbols, ends = repair(flat, last, coder.base)
-            row = [part, first, rules.tobytes(), lengths.tobytes(), symbols.tobytes(), ends.tobytes(), list(ids), list(counts), coder.base]
+        coder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, pieces.value))
+        part, first = TaskContext.get().partitionId(), 0
+        flats: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        names: list[int | None] = []
+
+        def shard(n: int):
+            """A shard of the first n documents held."""
+            nonlocal first
+            every, ids = np.concatenate(counts), np.concatenate(flats)
+            mine, cut = every[:n], int(every[:n].sum())
+            last = np.zeros(cut, bool)
+            last[np.cumsum(mine) - 1] = True
+            rules, lengths, symbols, ends = repair(ids[:cut], last, coder.base)
+            row = [part, first, rules.tobytes(), lengths.tobytes(), symbols.tobytes(), ends.tobytes(), names[:n], mine.tolist(), coder.base]
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
-            first += held
-            held = 0
-            for x in (parts, ids, counts):
-                x.clear()
+            first += cut
+            flats[:], counts[:], names[:] = [ids[cut:]], [every[n:]], names[n:]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], FILE_NAMES)
 
         for batch in batches:
-            texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
-            for at in range(0, len(names), 128):
-                for name, got in zip(names[at : at + 128], coder.encode(texts.slice(at, 128).to_pylist())):
-                    parts.append(got + end)
-                    ids.append(name)
-                    counts.append(len(got) // 2 + 1)
-                    held += counts[-1]
-                    if held >= SHARD_IDS:
-                        yield shard()
-        if held:
-            yield shard()
+            for at in range(0, batch.num_rows, 96):
+                ids, n = coder.encode(batch.column("text").slice(at, 96))
+                flats.append(ids)
+                counts.append(n)
+                names += batch.column("doc_id").slice(at, 96).to_pylist()
+                while sum(map(len, flats)) >= SHARD_IDS:
+                    yield shard(int(np.searchsorted(np.cumsum(np.concatenate(counts)), SHARD_IDS)) + 1)
+        if names:
+            yield shard(len(names))
 
     return run
 
@@ -238,8 +356,9 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     give the end id alone. path: the tokenizer file on every machine.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pieces = docs.sparkSession.sparkContext.broadcast(common_pieces(rows, path))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stash(rows.mapInArrow(_write(path), FILE_SCHEMA), "tokens")
+    return stash(rows.mapInArrow(_write(path, pieces), FILE_SCHEMA), "tokens")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
