@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_ROWS, documents, stash
+from chronoloom.llm.common import BROADCAST_ROWS, documents, slices, stash
 
 KEY = b"surrogate-key-1"
 TWEAKS = 16
@@ -272,7 +272,7 @@ class Rewriter:
 def _extract(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(k, n) for t in batch.column("text").to_pylist() if t for _, _, k, n in mentions(t)}
+            seen = {(k, n) for part in slices([batch]) for t in part.column("text").to_pylist() if t for _, _, k, n in mentions(t)}
             rows = [(k, n, surrogate(k, n, key)) for k, n in sorted(seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["kind", "name", "image"])
 
@@ -308,7 +308,7 @@ def assign(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _rewrite(rewriter: Rewriter, schema: list[str], where: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             done = [(None, 0) if t is None else rewriter.rewrite(t) for t in batch.column(where).to_pylist()]
             cols = batch.columns
             cols[where] = pa.array([d[0] for d in done], pa.string())

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, held_out
+from chronoloom.llm.common import documents, held_out, slices
 
 #: Labelled documents of each class that are learned from at most, and the longest of them in bytes.
 SAMPLE, SAMPLE_BYTES = 2000, 20_000
@@ -198,7 +198,7 @@ def _bar(rows: int) -> int:
 
 def _score(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [scorer.score(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
@@ -214,7 +214,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def _drop(scorer: Scorer, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(t or "") < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return run
