@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, drop_stash, small, stash
+from chronoloom.llm.common import documents, drop_stash, slices, small, stash
 from chronoloom.llm.texthash import U, mix, shingle_sets
 
 COORDS, MATCHES = 32, 9
@@ -30,7 +30,7 @@ PREFIX = COORDS - MATCHES + 1
 #: Lists of up to this many documents give all their pairs.
 SHORT = 24
 #: Rows of a block: documents that are left apart, and documents they are compared with.
-LEFT_BLOCK, ALL_BLOCK = 256, 2048
+LEFT_BLOCK, ALL_BLOCK = 256, 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**64, 2 * COORDS, dtype=U)
@@ -50,7 +50,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, keys, sigs, pending, held = batch.column("doc_id"), [], [], [], [], 0
 
             def flush():
@@ -80,7 +80,7 @@ def _sign(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             sets = list(shingle_sets(batch.column("text"), k))
             for at in range(0, len(sets), 256):
@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     long = posts.where(F.col("size") > SHORT)
     pairs = short.select("list", F.col("doc_id").alias("a")).join(short.select("list", F.col("doc_id").alias("b")), "list").where("a < b").select("a", "b")
     scored = long.join(central, "doc_id")
-    heads = scored.groupBy("list").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("head"))
-    members = stash(long.join(heads, "list").select("head", "doc_id").distinct(), "members")
+    heads = stash(scored.groupBy("list").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("top")).select("list", (-F.col("top.neg")).alias("head")), "heads")
+    members = stash(long.join(small(heads), "list").select("head", "doc_id").distinct(), "members")
     star = members.where("head <> doc_id").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b"))
     sig = lambda name: reps.select(F.col("doc_id").alias(name), F.col("sig").alias(f"sig_{name}"))
     matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
@@ -221,10 +221,12 @@ def _left_apart(members: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     """
     rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     heads = members.select("head").distinct().join(roots.withColumnRenamed("node", "head"), "head", "left").select("head", F.coalesce("root", "head").alias("head_root"))
-    rooted = stash(rooted.join(heads, "head").withColumn("out", (F.col("root") != F.col("head_root")) & (F.col("doc_id") != F.col("head"))), "rooted")
+    heads = stash(heads, "head_roots")
+    rooted = stash(rooted.join(small(heads), "head").withColumn("out", (F.col("root") != F.col("head_root")) & (F.col("doc_id") != F.col("head"))), "rooted")
     groups = rooted.groupBy("head").agg(F.count_if("out").alias("outs"), F.count("*").alias("all")).where("outs > 0 and all > 2")
     groups = groups.select("head", F.ceil(F.col("outs") / LEFT_BLOCK).cast("int").alias("nl"), F.ceil(F.col("all") / ALL_BLOCK).cast("int").alias("na"))
-    rooted = rooted.join(groups, "head").join(sets, "doc_id")
+    groups = stash(groups, "groups")
+    rooted = rooted.join(small(groups), "head").join(sets, "doc_id")
     spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     rest = rooted.select("head", "doc_id", "root", "hashes", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bl"), spot("na").alias("ba"), F.lit(1).alias("side"))
     left = rooted.where("out").select("head", "doc_id", "root", "hashes", spot("nl").alias("bl"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), F.lit(0).alias("side"))
