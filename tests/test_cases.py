@@ -3,11 +3,13 @@
 import math
 import random
 import struct
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom import registry
 from chronoloom.functions import arrays as A
 from chronoloom.functions import music as M
 from chronoloom.functions import text as X
@@ -137,6 +139,14 @@ def test_text(spark):
     assert [r[0] for r in d.select(X.normalised("s")).collect()] == ["emileco", None]
 
 
+def test_normalise_query_keeps_whole_texts(spark, sf_dir):
+    fold = lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t).lower() if x.isalnum())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = registry.queries()["str02_normalise"](spark, sf_dir).collect()
+    assert max(len(r.text or "") for r in docs) > 1000
+    assert sorted(((r.doc_id, r.folded) for r in got), key=str) == sorted(((r.doc_id, fold(r.text)) for r in docs), key=str)
+
+
 def test_arrays(spark):
     a = F.array(*map(F.lit, [0.0, 1.0, 3.0]))
     assert values(spark, A.with_midpoints(a), A.pair_means(a), A.rotate(a, 1), A.arg_max(a), A.nearest_rank(a, 0.9)) == [[0.0, 0.5, 1.0, 2.0, 3.0], [0.5], [3.0, 0.0, 1.0], 2, 3.0]
