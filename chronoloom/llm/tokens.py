@@ -2,8 +2,8 @@
 
 Texts are encoded by the tokenizer file and end with END. A shard is a run of whole documents in
 ascending doc_id. Its ids are compressed by Re-Pair: the most frequent pairs of neighbouring
-symbols, counted exactly, become nonterminals, round after round, until no pair is frequent. A pair
-never spans two documents. A shard's row holds
+symbols, counted exactly, become nonterminals, round after round, until no pair is frequent or the
+16-bit symbols run out. A pair never spans two documents. A shard's row holds
 
     rules      uint16 pairs; rule r stands for symbol base + r
     lengths    uint32, the number of ids that each rule expands to
@@ -33,8 +33,8 @@ from chronoloom.llm.texthash import U, mix, powers, string_bytes
 END = 2
 #: Ids of a shard, beyond which it is closed at the next document's end.
 SHARD_IDS = 1 << 18
-#: A pair becomes a rule if it occurs at least so often in a shard; pairs of a round; rounds.
-LEAST, PAIRS, ROUNDS = 8, 4096, 3
+#: A pair becomes a rule if it occurs at least so often in a shard; pairs of a round.
+LEAST, PAIRS = 8, 4096
 #: Pieces of texts whose ids a worker remembers.
 REMEMBER = 1_500_000
 #: Documents whose pieces are encoded before the tasks start, and the longest of them in bytes.
@@ -213,9 +213,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
     seq, last = ids.astype(np.uint32), last.copy()
     rules, lengths = [], []
     room = (1 << 16) - 1 - base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and room > 0:  # each round replaces its most frequent pair at least
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
         free = ~last[:-1]
         order = np.sort(keys[free])

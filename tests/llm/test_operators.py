@@ -112,6 +112,22 @@ def test_encoder_on_odd_texts():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == reference_ids(texts)
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    line = rng.integers(3, 900, 300).astype(np.uint16)
+    documents = [*[line] * 40, *(rng.integers(3, 60, 2000).astype(np.uint16) for _ in range(20)), np.full(1000, 7, np.uint16)]
+    ids = np.concatenate([np.append(x, 2).astype(np.uint16) for x in documents])
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum([len(x) + 1 for x in documents]) - 1] = True
+    rules, lengths, symbols, ends = tokens.repair(ids, last, 1000)
+    assert tokens.expand(symbols, rules, lengths, 1000).tolist() == ids.tolist()
+    assert lengths.max() >= 256 and len(rules) < (1 << 16) - 1001
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    pairs = collections.Counter(zip(symbols[:-1][inside[:-1]].tolist(), symbols[1:][inside[:-1]].tolist()))
+    assert max(pairs.values()) < tokens.LEAST
+
+
 def test_random_access(docs):
     files = tokens.write_tokens(docs, tokenizer_path())
     row = files.first().asDict()
