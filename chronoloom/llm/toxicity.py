@@ -220,7 +220,7 @@ def _drop(scorer: Scorer, threshold: float):
     return run
 
 
-def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more; the columns stay."""
     return docs.mapInArrow(_drop(scorer, threshold), docs.schema)
 

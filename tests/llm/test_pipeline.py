@@ -4,7 +4,7 @@ import collections
 import re
 
 import corpus_pipeline
-from chronoloom.llm import decontaminate, mixing
+from chronoloom.llm import decontaminate, mixing, toxicity
 
 from test_operators import brute_components
 
@@ -38,6 +38,15 @@ def test_stages(spark, sf_dir):
         before = after
 
 
+def test_toxicity_stage_drops_what_the_operator_predicts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, scorer).collect()
+    assert any(toxicity.THRESHOLD <= r.score < 0.5 for r in scored)
+    kept = collections.Counter(r.doc_id for r in corpus_pipeline.toxicity(spark, docs, sf_dir).collect())
+    assert kept == collections.Counter(r.doc_id for r in scored if not r.predicted)
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 50 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
