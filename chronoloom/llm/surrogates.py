@@ -3,7 +3,9 @@
 Detected entities are replaced by the image of a keyed permutation of their own format's domain:
 digits stay digits, letters stay letters of their alphabet and case, card numbers keep their issuer
 digit and check rule, addresses stay public or private, given names move within the list of their
-gender and script, and a known surname within its list. A permutation has no collisions inside a
+gender and script, and a known surname within its list; other names keep their length, script and
+last letter. A person is found by a known given name before a capitalised word, or after a title or
+a cue; then each mention of the name's words in the document is replaced. A permutation has no collisions inside a
 domain, and the same entity has the same image in every document, so mentions stay coreferent. A
 corpus-wide check then compares the distinct entities and their surrogates: one that equals another
 entity of the corpus, or the surrogate of one, is drawn again under the next tweak until none is
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hmac
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +63,21 @@ _HINT = re.compile(r"[@+]|\d[ .-]?\d[ .-]?\d|password=|passwd=|A[KS]IA|ghp_|gho_
 _CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ]"
 #: Two capitalised words in a row; the first is then looked up among the given names.
 _NAMES = re.compile(rf"\b({_CAPITAL}\w+)(?= ({_CAPITAL}\w*(?:-\w+)?)\b)")
-_ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+#: A word of a name; its first letter's case is looked at afterwards.
+_NAME = r"[^\W\d_]\w*(?:-\w+|['’](?=[^\W\d_]{2})\w+)*"
+_WORD, _PART = re.compile(_NAME), re.compile(r"\w+")
+_TITLES = {
+    "m": "Mr Sir Herr Herrn Monsieur Señor Signor Don г-н Г-н господин Господин κύριος Κύριος κύριο".split(),
+    "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Signora Doña г-жа Г-жа госпожа Госпожа κα κυρία Κυρία".split(),
+    "": "Dr Prof Professor Doctor доктор Доктор профессор Профессор δρ Δρ".split(),
+}
+_CUES = "[Mm]y name is|[Nn]amed|[Nn]ame:|[Dd]ear|[Pp]atient|[Ss]igned(?: by|,)|[Cc]ontact:|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i chiamo|[Мм]еня зовут|[Μμ]ε λένε"
+#: A title or a cue, and up to three words with initials between them, of any spelling.
+_CALLED = re.compile(rf"(?<!\w)(?:(?P<title>(?:(?:{'|'.join(t for k in _TITLES.values() for t in k)})\.? )+)|(?:{_CUES}) )(?=(?P<words>{_NAME}\.?(?: {_NAME}\.?){{0,2}}))")
+_EVERY_TITLE = {t for k in _TITLES.values() for t in k}
+#: Capitalised words that begin sentences or follow a cue without being names.
+_NOT_NAMES = set("A About After All Also An And Any Are As At Be Because Before But By Can Colleague Colleagues Customer Did Do Does Editor For Friend Friends From Had Has Have He Her Here His How I If In Is It Its Madam May My No Not Now Of On Or Our Please Reader Readers She Sir So Some Team That The Their Then There These They This Those To Under Was We Were What When Where Which Who Why Will With You Your Der Die Das Ein Eine Und El La Los Las Le Les Un Une И В На Он Она Это Και Ο Η Το".split()) | _EVERY_TITLE
+_ALPHABETS = ["àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "άέήίόύώ", "ΆΈΉΊΌΎΏ", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 _ALPHABET = {c: a for a in _ALPHABETS for c in a}
 
 
@@ -176,14 +193,17 @@ def surrogate(kind: str, name: str, key: bytes = KEY, tweak: int = 0) -> str:
     if kind == "token":
         cut = name.index("_") + 1 if "_" in name[:4] else name.index("-") + 1
         return name[:cut] + _cipher(name[cut:], key, label)
-    if kind == "given":
+    if kind == "given" and name in _GIVEN:
         names = GIVEN[_GIVEN[name]]
         return names[permute(len(names), names.index(name), key, f"{label}{_GIVEN[name]}")]
     if kind == "surname":
         if name in _SURNAME:
             names = SURNAMES[_SURNAME[name]]
             return names[permute(len(names), names.index(name), key, f"{label}{_SURNAME[name]}")]
-        return _walk(name, lambda t: _cipher(t, key, label), lambda t: t not in _SURNAME)
+    if kind in ("given", "surname"):
+        # the last letter stays in longer names: it often tells the gender
+        known, end = (_GIVEN, _SURNAME)[kind == "surname"], name[-1] if len(name) > 3 else ""
+        return _walk(name, lambda t: _cipher(t[: len(t) - len(end)], key, label + end) + end, lambda t: t not in known)
     if kind == "password" and re.fullmatch(r"[0-9a-f]{4,64}", name) and not name.isdigit():
         return _mixed(name, key, label, "0123456789abcdef")
     return _cipher(name, key, label)
@@ -219,7 +239,7 @@ def restore(kind: str, text: str, image: str) -> str:
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of each entity, in order, not overlapping."""
-    out = []
+    out, names_out = [], []
     if _HINT.search(text):
         for m in PATTERN.finditer(text):
             kind = m.lastgroup
@@ -229,15 +249,39 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             out.append((m.start(), m.end(), kind, digits))
-    taken = [(a, b) for a, b, *_ in out]
+    names = _names(text)
+    if names:
+        starts = [a for a, *_ in out]
+        for m in _WORD.finditer(text):
+            # a part of a compound counts where the whole is no name
+            for a, b in [m.span()] if m.group() in names else [w.span() for w in _PART.finditer(text, *m.span())]:
+                k = bisect_left(starts, b)
+                if text[a:b] in names and not (k and out[k - 1][1] > a):
+                    names_out.append((a, b, names[text[a:b]], text[a:b]))
+    return sorted(out + names_out)
+
+
+def _names(text: str) -> dict[str, str]:
+    """The words of persons' names in text, each given or surname; every mention of them counts, also a single one."""
+    names = {}
     for m in _NAMES.finditer(text):
         given, last = m.groups()
-        if given not in _GIVEN:
-            continue
-        known = last in _SURNAME or text[max(0, m.start() - 4) : m.start()].strip() in ("Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr", "Dr.")
-        if known and not any(a < m.end(2) and m.start() < b for a, b in taken):
-            out += [(m.start(1), m.end(1), "given", given), (m.start(2), m.end(2), "surname", last)]
-    return sorted(out)
+        if given in _GIVEN and last not in _NOT_NAMES and len(last) > 1 and not last.isupper():
+            names.setdefault(given, "given")
+            names.setdefault(last, "given" if last in _GIVEN else "surname")
+    for m in _CALLED.finditer(text):
+        words = []
+        for w in m["words"].split(" "):
+            if not w[0].isupper() or w.rstrip(".") in _NOT_NAMES:
+                break
+            words.append(w.rstrip("."))
+            if w[-1] == "." and len(w) > 2:
+                break
+        for k, w in enumerate(words):
+            alone = "surname" if m["title"] and w not in _GIVEN else "given"
+            if len(w) > 1:
+                names.setdefault(w, alone if len(words) == 1 else "surname" if k == len(words) - 1 else "given")
+    return names
 
 
 def _luhn_odd(digits: str) -> bool:

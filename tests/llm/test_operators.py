@@ -237,6 +237,18 @@ def test_surrogates_keep_kind_and_identity(spark):
     assert got[4] == (None, 0) and re.fullmatch(r"\+1\d{10} AKIA[A-Z0-9]{16} password=[0-9a-f]{18}", got[5][0])
 
 
+def test_surrogates_of_unlisted_names_and_single_mentions(spark):
+    rows = [(1, "Dr. Kevin Nguyen saw Alice Nguyen. Nguyen's report, Kevin-like, is short.", None, None), (2, "Mr. John Smith came. Later Smith left, and John too. The smith stayed.", None, None), (3, "My name is Priya Raghunathan. Dear Team, Priya is here. Госпожа Тамара Бероева и Бероева.", None, None), (4, "Mrs. O'Brien wrote to a@b.org about Dr. The plan. Frau Müller kam.", None, None)]
+    got = {r.doc_id: (r.text, r.n_replaced) for r in surrogates.pseudonymise(frame(spark, rows)).collect()}
+    kevin, nguyen, alice, again, last, first = re.fullmatch(r"Dr\. (\w+) (\w+) saw (\w+) (\w+)\. (\w+)'s report, (\w+)-like, is short\.", got[1][0]).groups()
+    assert nguyen == again == last != "Nguyen" and kevin == first != "Kevin" and alice in surrogates.GIVEN["latin", "f"] and got[1][1] == 6
+    john, smith, later, too = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) left, and (\w+) too\. The smith stayed\.", got[2][0]).groups()
+    assert smith == later and john == too and got[2][1] == 4
+    priya, rest, other, tamara, one, two = re.fullmatch(r"My name is (\w+) (\w+)\. Dear Team, (\w+) is here\. Госпожа (\w+) (\w+) и (\w+)\.", got[3][0]).groups()
+    assert priya == other != "Priya" and rest != "Raghunathan" and one == two != "Бероева" and re.fullmatch("[А-Я][а-я]+а", one) and re.fullmatch("[А-Я][а-я]+а", tamara)
+    assert re.fullmatch(r"Mrs\. [A-Z]'[A-Z][a-z]+ wrote to \w@\w\.org about Dr\. The plan\. Frau [A-Z]\w+r kam\.", got[4][0]) and "Brien" not in got[4][0] and "Müller" not in got[4][0]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, " ".join(f"{a}@x{i % 3}.example.com 9.9.{i % 256}.{k}" for k, a in enumerate("abcdefgh")), None, None) for i in range(300)]
     table = surrogates.assign(frame(spark, rows)).collect()
