@@ -161,6 +161,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """
     docs = docs.select("doc_id", "text")
     signed = stash(docs.mapInArrow(_sign(k), "doc_id long, n long, key long, sig array<long>"), "signed")
+    if _repeats(signed):
+        return _by_row(docs, signed, k, num, den)
     sets_of = signed.where("doc_id is not null and n > 0")
     classes = sets_of.groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     classes = stash(classes, "classes")
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(members.select("doc_id")).unionByName(members.select(F.col("head").alias("doc_id"))).distinct()
     asked = stash(asked, "asked")
     full = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, hashes array<long>")
-    sets = stash(full.dropDuplicates(["doc_id"]) if _repeats(signed) else full, "sets")
+    sets = stash(full, "sets")
 
     links = stash(_confirmed(pairs, sets, num, den), "links")
     first = stash(components(links), "components")
@@ -193,9 +195,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     of_class = classes.select("n", "key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "key", F.coalesce("root", "rep").alias("component_id"))
     named = signed.select("doc_id", "n", "key").join(of_class, ["n", "key"], "left")
-    # rows of one id may have several sets: they share what any of them reaches
-    if _repeats(signed):
-        named = _merge_repeats(named)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -206,11 +205,18 @@ def _repeats(signed: DataFrame) -> bool:
     return ids.limit(1).count() > 0
 
 
-def _merge_repeats(named: DataFrame) -> DataFrame:
-    """Join the components of all rows of one doc_id."""
-    links = named.where("doc_id is not null").select(F.col("doc_id").alias("a"), F.coalesce("component_id", "doc_id").alias("b")).distinct()
-    roots = components(links)
-    return named.withColumn("node", F.coalesce("component_id", "doc_id")).join(roots, "node", "left").select("doc_id", "n", "key", F.coalesce("root", "component_id").alias("component_id"))
+def _by_row(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """near_duplicates() where rows of one id may have several sets: each row is compared on its own
+    set, under a number of its own, and the rows of one id share what any of them reaches."""
+    rows = stash(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k, num, den)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group"))
+    named = stash(found.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_shingles", "group"), "named")
+    named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("node")), "group")
+    roots = components(named.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    named = named.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+    nameless = signed.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _left_apart(members: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -313,6 +313,17 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert got == want and 1 < len({c for c, _ in want.values()}) < 150
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(10**9)}" for _ in range(80)] for _ in range(13)]
+    near = lambda w: " ".join([*w[:-1], f"w{rng.randrange(10**9)}"])
+    rows = [(10, " ".join(w)) for w in bases[:6]] + [(20 + i, near(w)) for i, w in enumerate(bases[:6])] + [(5, " ".join(w)) for w in bases[6:12]] + [(40 + i, near(w)) for i, w in enumerate(bases[6:12])] + [(60, " ".join(bases[12]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, 4).collect())
+    want = brute_components(rows, 4)
+    assert got == sorted((i, want[i][0]) for i, _ in rows) and {c for _, c in got} == {5, 10, 60}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = collections.defaultdict(set)
     for r in neardup.near_duplicates(odd).collect():
