@@ -1,11 +1,13 @@
 """Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic dictionary
-is that one followed by what toxic text has beyond it: the word beginnings that toxic documents
-hold far more often than ordinary ones, the most telling nearest to the window. Each window is
-compressed with both; a toxic window is shorter with the toxic dictionary. A logistic curve over
-the length differences of a document's windows, fitted on labelled documents that the dictionaries
-have not seen and weighted to the labels' share, gives the score.
+Both dictionaries are trained by zstandard. The ordinary one learns from the words and the longer
+runs of ordinary documents, the toxic one from the words of toxic documents, each word once a
+document and only those that toxic documents hold RATIO times as often as ordinary ones: what both
+hold would fill the toxic dictionary and tell nothing. Each window of a text is compressed with the ordinary dictionary and with the ordinary one
+followed by the toxic one; sharing the first part leaves in the difference only what the toxic
+dictionary adds. A logistic curve over a document's length differences, fitted on labelled documents
+that no dictionary has seen and weighted to the labels' share, gives the score. Of the sizes of
+the toxic dictionary in TOXIC_BYTES the one whose curve fits best is taken.
 """
 
 from __future__ import annotations
@@ -22,15 +24,19 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import documents, held_out, slices
 
-#: Labelled documents of each class that are learned from at most, and the longest of them in bytes.
-SAMPLE, SAMPLE_BYTES = 2000, 20_000
+#: Labelled documents of each class that are learned from at most, whatever their length.
+SAMPLE = 2000
 #: Share of the sample that the dictionaries are made of; the rest fits the curve.
 DICTIONARY_SHARE = 2 / 3
-BASE_BYTES, TAIL_BYTES = 32_768, 1024
+#: Bytes of the ordinary dictionary that words and longer runs are given, and of the toxic one.
+WORD_BYTES, RUN_BYTES, TOXIC_BYTES = 65_536, 16_384, (1024, 2048)
+#: A word teaches the toxic dictionary if this many toxic documents hold it, this many times as often as ordinary ones.
+LEAST_DOCS, RATIO = 3, 8
+#: The least letters of a word that a dictionary learns, and the least characters of its runs.
+LEAST_LETTERS, RUN = 5, 160
 #: Window lengths in characters, each ending at a word's end.
 WINDOWS = (32, 56)
-#: A gram is telling if this many toxic documents hold it, this many times as often as ordinary ones.
-GRAM, LEAST_DOCS, RATIO = 5, 3, 8
+FEATURES = 8 * len(WINDOWS) + 1
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -49,68 +55,31 @@ def windows(text: str, size: int) -> list[bytes]:
     return out or [b"  "]
 
 
-def _grams(word: str) -> set[str]:
-    word = f" {word} "
-    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
-
-
-def _telling(toxic: list[str], plain: list[str]) -> set[str]:
-    counts = []
-    for texts in (toxic, plain):
-        c = Counter()
-        for t in texts:
-            c.update(set().union(*map(_grams, set(_WORDS.findall(t.lower())))))
-        counts.append(c)
-    a, b = counts
-    scale = RATIO * max(1, len(toxic)) / max(1, len(plain))
-    return {g for g, n in a.items() if n >= LEAST_DOCS and n >= scale * (b[g] + 0.5)}
-
-
-def _spans(text: str, telling: set[str]) -> set[str]:
-    """The stretches of words that telling grams cover, and their beginnings."""
-    out = set()
-    for word in set(_WORDS.findall(text.lower())):
-        word = f" {word} "
-        hit = [word[i : i + GRAM] in telling for i in range(len(word) - GRAM + 1)]
-        at = 0
-        while at < len(hit):
-            if hit[at]:
-                end = at
-                while end + 1 < len(hit) and any(hit[end + 1 : end + 1 + GRAM]):
-                    end += 1
-                while not hit[end]:
-                    end -= 1
-                out.update(word[at:j] for j in range(at + GRAM, end + GRAM + 1))
-                at = end
-            at += 1
-    return out
-
-
-def _tail(toxic: list[str], telling: set[str]) -> bytes:
-    """The toxic dictionary's own content: stretches by documents times length, the best last."""
-    counts = Counter()
-    for t in toxic:
-        counts.update(_spans(t, telling))
-    counts = {s: n for s, n in counts.items() if n >= LEAST_DOCS}
-    longer = Counter()
-    for s, n in counts.items():
-        longer[s[:-1]] = max(longer[s[:-1]], n)
-    ranked = sorted((s for s, n in counts.items() if n >= 1.3 * longer[s]), key=lambda s: (-counts[s] * (len(s) - 3), s))
-    out, size = [], 0
-    for s in ranked:
-        if not any(s in o for o in out):
-            size += len(s.encode())
-            if size > TAIL_BYTES:
-                break
-            out.append(s)
-    return "".join(reversed(out)).encode()
+def _words(texts: list[str]) -> list[bytes]:
+    """The longer words of each text, once a text."""
+    return [f" {w} ".encode() for t in texts for w in sorted(set(_WORDS.findall(t.lower()))) if len(w) >= LEAST_LETTERS]
+
+
+def _telling(bad: list[bytes], n_bad: int, good: list[bytes], n_good: int) -> list[bytes]:
+    """The toxic documents' words that ordinary ones hold rarely; all of them if there are none."""
+    a, b = Counter(bad), Counter(good)
+    return [w for w in bad if a[w] >= LEAST_DOCS and a[w] * n_good >= RATIO * b[w] * n_bad] or bad
+
+
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary of the samples; where they are too few to train on, their end as it is."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class Scorer:
     """Two dictionaries and the curve, as plain values that a task can carry."""
 
     def __init__(self, base: bytes, tail: bytes):
-        self.base, self.tail = base, tail
+        self.base, self.tail = base or b"        ", tail or b"        "
+        self.loss = 0.0
         self.mean = self.scale = self.weights = None
         self._pair = None
 
@@ -120,8 +89,7 @@ class Scorer:
     def _compressors(self):
         if self._pair is None:
             level = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
-            kind = zstandard.DICT_TYPE_FULLDICT if self.base[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-            pair = [zstandard.ZstdCompressionDict(d, dict_type=kind) for d in (self.base, self.base + self.tail)]
+            pair = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.base, self.base + self.tail)]
             for d in pair:
                 d.precompute_compress(compression_params=level)
             self._pair = [zstandard.ZstdCompressor(dict_data=d, compression_params=level).compress for d in pair]
@@ -148,7 +116,15 @@ class Scorer:
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             w += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - 0.3 * w)
-        self.weights = w
+        self.weights, p = w, 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        self.loss = float(-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).mean())
+        return self
+
+    def fixed(self, share: float) -> Scorer:
+        """The same score for every text."""
+        p = min(max(share, 1e-3), 1 - 1e-3)
+        self.mean, self.scale, self.weights = np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1)
+        self.weights[-1] = np.log(p / (1 - p))
         return self
 
     def score(self, text: str) -> float:
@@ -158,36 +134,33 @@ class Scorer:
 
 def learn(toxic: list[str], plain: list[str], share: float) -> Scorer:
     """share: of toxic among the labelled documents. Without both classes every score is the share."""
+    if not toxic or not plain:
+        return Scorer(b"", b"").fixed(share)
     cut = [max(1, int(len(x) * DICTIONARY_SHARE)) for x in (toxic, plain)]
-    samples = [w for t in plain[: cut[1]] for w in windows(t, 160)]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples[:60_000]).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: its end serves as it is
-        base = b"".join(samples)[-BASE_BYTES:] or b" the of and "
-    scorer = Scorer(base, _tail(toxic[: cut[0]], _telling(toxic[: cut[0]], plain[: cut[1]])) or b"    ")
+    bad, good = toxic[: cut[0]], plain[: cut[1]]
+    common = _words(good)
+    base = _trained(WORD_BYTES, common) + _trained(RUN_BYTES, [w for t in good for w in windows(t, RUN)])
     rest = [(t, 1) for t in toxic[cut[0] :]] + [(t, 0) for t in plain[cut[1] :]]
-    if not toxic or not plain or len({m for _, m in rest}) < 2:
-        rest = [(t, 1) for t in toxic] + [(t, 0) for t in plain]
     if len({m for _, m in rest}) < 2:
-        scorer.mean, scorer.scale, scorer.weights = np.zeros(8 * len(WINDOWS) + 1), np.ones(8 * len(WINDOWS) + 1), np.zeros(8 * len(WINDOWS) + 2)
-        p = min(max(share, 1e-3), 1 - 1e-3)
-        scorer.weights[-1] = np.log(p / (1 - p))
-        return scorer
-    return scorer.fit([t for t, _ in rest], [m for _, m in rest], share)
+        rest = [(t, 1) for t in toxic] + [(t, 0) for t in plain]
+    texts, marks, words = [t for t, _ in rest], [m for _, m in rest], _telling(_words(bad), len(bad), common, len(good))
+    fits = [Scorer(base, _trained(size, words)).fit(texts, marks, share) for size in TOXIC_BYTES]
+    return min(fits, key=lambda s: s.loss)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Learn from labelled rows outside the held-out fold: SAMPLE of each class in hash order.
 
-    Conflicting labels of one doc_id count as toxic. Rows over SAMPLE_BYTES are not learned from.
+    Conflicting labels of one doc_id count as toxic; labels without a document, null labels and null
+    texts teach nothing. With one class only, or an empty table, every score is the labels' share.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     n, ones = marks.agg(F.count("*"), F.sum("toxic")).first()
     order = F.xxhash64("doc_id")
     # about four times the sample of either class by hash of the id, before any text is read
     keep = F.pmod(order, F.lit(1 << 30)) < F.when(F.col("toxic") == 1, F.lit(_bar(ones or 0))).otherwise(F.lit(_bar((n or 0) - (ones or 0))))
-    some = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).join(F.broadcast(marks.where(keep)), "doc_id").select("doc_id", "text", "toxic")
-    picked = [[r.text for r in some.where(F.col("toxic") == k).orderBy(order, "text").limit(SAMPLE).select("text").collect()] for k in (1, 0)]
+    some = docs.where(F.col("text").isNotNull()).join(F.broadcast(marks.where(keep)), "doc_id").select("doc_id", "text", "toxic")
+    picked = [[r.text for r in some.where(F.col("toxic") == k).orderBy(order, F.xxhash64("text")).limit(SAMPLE).select("text").collect()] for k in (1, 0)]
     return learn(*picked, share=(ones or 0) / max(1, n or 0))
 
 
@@ -206,7 +179,12 @@ def _score(scorer: Scorer):
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null texts are scored as empty ones."""
+    """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
+
+    Null texts are scored as empty ones, very long texts over all their windows; equal texts score
+    alike, and rows that repeat an id are scored each. A null doc_id is held out. Other columns are
+    ignored; an empty table gives an empty result.
+    """
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     scored = rows.mapInArrow(_score(scorer), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -221,7 +199,11 @@ def _drop(scorer: Scorer, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score threshold or more; the columns stay."""
+    """docs without the rows that score threshold or more; the columns stay.
+
+    Rows are judged one by one as in score_toxicity(), null and empty texts too; an empty table stays
+    empty.
+    """
     return docs.mapInArrow(_drop(scorer, threshold), docs.schema)
 
 
