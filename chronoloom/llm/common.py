@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only while its counted rows stay below this; each such row holds a few longs.
 BROADCAST_ROWS = 1_000_000
 
+#: A key that this many rows share is hot: it is not shuffled into one task.
+HOT_ROWS = 20_000
+
 #: The white space of every word definition here.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,10 +24,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the session names none, a local master gets a folder of its own; a cluster gets an error,
+    since no folder of one machine would do.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -38,11 +48,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a table made by stash() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete the files of tables made by stash() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -50,6 +61,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
+    """left joined with right, whose column size counts the rows of left that meet each of its rows.
+
+    Rows of right that HOT_ROWS or more rows meet are broadcast (there are few of them), so that no
+    task gets a hot key; the rest is shuffled. The keys of right are unique; size does not return
+    where left has it already. how: left or inner.
+    """
+    right = right.drop(*[c for c in right.columns if c in left.columns and c not in on])
+    hot = right.where(F.col(size) >= HOT_ROWS) if size in right.columns else right.limit(0)
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    mark = fresh(left, "is_hot")
+    flag = small(hot.select(*on).withColumn(mark, F.lit(True)))
+    cold = left.join(flag, on, "left_anti").join(right.where(F.col(size) < HOT_ROWS), on, how)
+    return cold.unionByName(left.join(small(hot), on))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The held-out fold: crc32 of the id's text leaves 2 on division by 4. A null id is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

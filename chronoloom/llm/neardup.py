@@ -8,13 +8,15 @@ COORDS - MATCHES + 1 (the prefix): only these are posted. Short posting lists gi
 In a long list every member is paired with the list's most central document alone; what those
 pairs leave apart is compared in blocks of bounded size. The other coordinates of a pair are
 counted by probing the two signatures, and pairs below MATCHES are skipped. What remains is
-confirmed on the full sets, so every reported link is exact; documents of equal sets are one
-class throughout and never expanded into pairs.
+confirmed on the full sets, so every reported link is exact. Documents of equal sets are one class,
+told by a 128-bit digest of the whole sorted set, and are never expanded into pairs; everything
+between signatures and components runs on class numbers, so ids may repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -22,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, drop_stash, slices, small, stash
+from chronoloom.llm.common import documents, drop_stash, hot_join, slices, small, stash
 from chronoloom.llm.texthash import U, mix, shingle_sets
 
 COORDS, MATCHES = 32, 9
 PREFIX = COORDS - MATCHES + 1
 #: Lists of up to this many documents give all their pairs.
 SHORT = 24
-#: Rows of a block: documents that are left apart, and documents they are compared with.
-LEFT_BLOCK, ALL_BLOCK = 256, 2048
+#: Hashes of a block: of documents that are left apart, and of documents they are compared with.
+LEFT_HASHES, ALL_HASHES = 1 << 16, 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 2**64, 2 * COORDS, dtype=U)
@@ -48,32 +50,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return mix(mins[0::2] * U(0x9E3779B97F4A7C15) + mix(mins[1::2]) + _SALT[:, None]).T
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[list, list]:
+    """Two longs that tell each set; none for an empty one."""
+    both = [np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None) for s in sets]
+    return [x for x, _ in both], [y for _, y in both]
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, sizes, keys, sigs, pending, held = batch.column("doc_id"), [], [], [], [], 0
+            sizes, sigs, pending, held, k1, k2 = [], [], [], 0, [], []
 
             def flush():
-                if pending:
-                    sigs.extend(signatures(pending).view(np.int64))
-                    pending.clear()
+                if any(map(len, pending)):
+                    rows = iter(signatures([s for s in pending if len(s)]).view(np.int64))
+                    sigs.extend(next(rows) if len(s) else None for s in pending)
+                else:
+                    sigs.extend(None for _ in pending)
+                for out, got in zip((k1, k2), _digests(pending)):
+                    out += got
+                pending.clear()
 
-            rows = []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
-                if len(s):
-                    rows.append(len(sizes) - 1)
-                    keys.append(mix(s).sum(dtype=U).view(np.int64) if len(s) else 0)
-                    pending.append(s)
-                    held += len(s)
-                    if held > 60_000:
-                        flush()
-                        held = 0
+                pending.append(s)
+                held += len(s)
+                if held > 60_000:
+                    flush()
+                    held = 0
             flush()
-            key, sig = [None] * len(sizes), [None] * len(sizes)
-            for r, a, b in zip(rows, keys, sigs):
-                key[r], sig[r] = int(a), b
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(key, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sig"])
+            cols = [pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n", "k1", "k2", "sig"])
 
     return run
 
@@ -82,15 +89,18 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column("doc_id")
-            sets = list(shingle_sets(batch.column("text"), k))
-            for at in range(0, len(sets), 256):
-                part = sets[at : at + 256]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))], ["doc_id", "hashes"])
+            part, at = [], 0
+            for s in shingle_sets(batch.column("text"), k):
+                part.append(s)
+                if sum(map(len, part)) > 100_000 or at + len(part) == batch.num_rows:
+                    cols = [pa.array(x, pa.int64()) for x in _digests(part)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), *cols, pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "hashes"])
+                    at, part = at + len(part), []
 
     return run
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b), for nodes that have a link.
 
     Alternates large-star and small-star steps; each writes its edges to the shared folder. The
@@ -98,7 +108,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -113,39 +123,41 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach num / den."""
-    got = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    got = pairs.join(sets.select(F.col("c").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("c").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     return got.where(den * both >= num * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def _compare(num: int, den: int):
+    """Links of a block between documents of different components: as many as join the components."""
+
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        left = block[block.side == 0]
-        if left.empty or len(left) == len(block):
+        left, rest = block[block.side == 0], block[block.side == 1]
+        if left.empty or rest.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        rest = block[block.side == 1]
         lens = left.hashes.str.len().to_numpy()
         flat, owner = np.concatenate(left.hashes.to_numpy()), np.repeat(np.arange(len(left)), lens)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        a, b = [], []
-        roots, ids = left.root.to_numpy(), left.doc_id.to_numpy()
-        for other, root, hashes in zip(rest.doc_id.to_numpy(), rest.root.to_numpy(), rest.hashes):
+        ids, a, b = left.c.to_numpy(), [], []
+        names, code = np.unique(np.concatenate([left.root.to_numpy(), rest.root.to_numpy()]), return_inverse=True)
+        mine, theirs, group = code[: len(left)], code[len(left) :], np.arange(len(names))
+        for other, root, hashes in zip(rest.c.tolist(), theirs.tolist(), rest.hashes):
             lo, hi = np.searchsorted(flat, hashes, "left"), np.searchsorted(flat, hashes, "right")
             n = hi - lo
             where = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             both = np.bincount(owner[where], minlength=len(left))
-            hit = (den * both >= num * (lens + len(hashes) - both)) & (roots != root)
-            a += ids[hit].tolist()
-            b += [other] * int(hit.sum())
+            hit = np.flatnonzero((den * both >= num * (lens + len(hashes) - both)) & (group[mine] != group[root]))
+            met, first = np.unique(group[mine[hit]], return_index=True)
+            a += ids[hit[first]].tolist()
+            b += [other] * len(met)
+            group[np.isin(group, met)] = group[root]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
@@ -155,93 +167,90 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Links: num / den or more of the union of two sets is shared. component_id is the smallest
-    doc_id that links reach. A null or wordless text has an empty set and stays alone; a row with
-    a null doc_id gets no component and is kept; rows of one doc_id share a component.
-    Other columns of docs are ignored. An empty table gives an empty result.
+    doc_id that links reach. A null or wordless text has an empty set and links with nothing; a row
+    with a null doc_id gets no component and is kept; rows of one doc_id, each compared on its own
+    text, share what any of them reaches, and repeated rows are all returned. A very long text is one
+    set like any other. Other columns of docs are ignored. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    signed = stash(docs.mapInArrow(_sign(k), "doc_id long, n long, key long, sig array<long>"), "signed")
-    if _repeats(signed):
-        return _by_row(docs, signed, k, num, den)
-    sets_of = signed.where("doc_id is not null and n > 0")
-    classes = sets_of.groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = stash(classes, "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "sig")
-
-    posts = reps.select("doc_id", F.explode(F.slice("sig", 1, PREFIX)).alias("list"))
+    signed = stash(docs.mapInArrow(_sign(k), "doc_id long, n long, k1 long, k2 long, sig array<long>"), "signed")
+    classes = signed.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    keyed = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2")
+    rows = stash(hot_join(keyed, classes.select("k1", "k2", "c", "size"), ["k1", "k2"], "size").select("doc_id", "n", "c"), "rows")
+    drop_stash(signed)
+    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("least"), F.count("*").alias("times")).where("times > 1 and least is not null")
+    twice = stash(twice.select("doc_id", "least"), "twice")
+    repeated = twice.limit(1).count() > 0
+
+    posts = classes.select("c", F.explode(F.slice("sig", 1, PREFIX)).alias("list"))
     lists = posts.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
-    posts = stash(posts.join(lists, "list"), "posts")
-    central = posts.groupBy("doc_id").agg(F.sum("size").alias("score"))
+    posts = stash(hot_join(posts, lists, ["list"], "size", how="inner"), "posts")
+    central = posts.groupBy("c").agg(F.sum("size").alias("score"))
     short = posts.where(F.col("size") <= SHORT)
     long = posts.where(F.col("size") > SHORT)
-    pairs = short.select("list", F.col("doc_id").alias("a")).join(short.select("list", F.col("doc_id").alias("b")), "list").where("a < b").select("a", "b")
-    scored = long.join(central, "doc_id")
-    heads = stash(scored.groupBy("list").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("top")).select("list", (-F.col("top.neg")).alias("head")), "heads")
-    members = stash(long.join(small(heads), "list").select("head", "doc_id").distinct(), "members")
-    star = members.where("head <> doc_id").select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b"))
-    sig = lambda name: reps.select(F.col("doc_id").alias(name), F.col("sig").alias(f"sig_{name}"))
+    pairs = short.select("list", F.col("c").alias("a")).join(short.select("list", F.col("c").alias("b")), "list").where("a < b").select("a", "b")
+    heads = long.join(central, "c").groupBy("list").agg(F.max(F.struct("score", (-F.col("c")).alias("neg"))).alias("top"), F.first("size").alias("size"))
+    heads = stash(heads.select("list", (-F.col("top.neg")).alias("head"), "size"), "heads")
+    members = stash(hot_join(long.select("list", "c"), heads, ["list"], "size", how="inner").select("head", "c").distinct(), "members")
+    star = members.where("head <> c").select(F.least("head", "c").alias("a"), F.greatest("head", "c").alias("b"))
+    sig = lambda name: classes.select(F.col("c").alias(name), F.col("sig").alias(f"sig_{name}"))
     matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     pairs = stash(pairs.unionByName(star).distinct().join(sig("a"), "a").join(sig("b"), "b").where(matches >= MATCHES).select("a", "b"), "pairs")
-
-    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(members.select("doc_id")).unionByName(members.select(F.col("head").alias("doc_id"))).distinct()
-    asked = stash(asked, "asked")
-    full = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, hashes array<long>")
-    sets = stash(full, "sets")
-
-    links = stash(_confirmed(pairs, sets, num, den), "links")
-    first = stash(components(links), "components")
-    apart = stash(_left_apart(members, first, sets, num, den), "apart")
-    found = components(links.unionByName(apart)) if apart.limit(1).count() else first
-
-    of_class = classes.select("n", "key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "key", F.coalesce("root", "rep").alias("component_id"))
-    named = signed.select("doc_id", "n", "key").join(of_class, ["n", "key"], "left")
+    drop_stash(posts, heads)
+
+    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(members.select("c")).unionByName(members.select(F.col("head").alias("c"))).distinct()
+    asked = stash(asked.join(classes.select("c", "rep", "k1", "k2", "n"), "c"), "asked")
+    full = docs.join(small(asked.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, k1 long, k2 long, hashes array<long>")
+    full = full.join(small(asked), ["k1", "k2"]).where("doc_id = rep").select("c", "n", "hashes")
+    sets = stash(full.dropDuplicates(["c"]) if repeated else full, "sets")
+
+    links = _confirmed(pairs, sets, num, den)
+    if repeated:
+        links = links.unionByName(rows.join(small(twice), "doc_id").where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct())
+    links = stash(links, "links")
+    found = stash(components(links), "components")
+    apart = stash(_left_apart(members, found, sets, num, den), "apart")
+    drop_stash(pairs, members, asked, sets)
+    if apart.limit(1).count():
+        found = stash(components(links.unionByName(apart)), "components")
+
+    least = found.withColumnRenamed("node", "c").join(classes.select("c", "rep"), "c").groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_class = classes.select("c", "rep", "size").join(found.withColumnRenamed("node", "c"), "c", "left").join(least, "root", "left")
+    of_class = of_class.select("c", F.coalesce("component_id", "rep").alias("component_id"), "size")
+    if repeated:
+        rows = rows.join(small(twice), "doc_id", "left").withColumn("c", F.coalesce("c", "least"))
+    named = hot_join(rows.select("doc_id", "n", "c"), of_class, ["c"], "size")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(signed: DataFrame) -> bool:
-    """Whether some doc_id has several rows."""
-    ids = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return ids.limit(1).count() > 0
-
-
-def _by_row(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """near_duplicates() where rows of one id may have several sets: each row is compared on its own
-    set, under a number of its own, and the rows of one id share what any of them reaches."""
-    rows = stash(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k, num, den)
-    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group"))
-    named = stash(found.join(rows.select("row", "doc_id"), "row").select("doc_id", "n_shingles", "group"), "named")
-    named = named.join(named.groupBy("group").agg(F.min("doc_id").alias("node")), "group")
-    roots = components(named.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    named = named.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-    nameless = signed.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return named.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
 def _left_apart(members: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links inside a head's group between documents that the head's own links left apart.
 
-    Each block holds at most about LEFT_BLOCK documents outside the head's component and
-    ALL_BLOCK of the group; every outside document meets every member in exactly one block.
+    A block holds about LEFT_HASHES hashes of documents outside the head's component and ALL_HASHES
+    of the group's; every outside document meets every member in exactly one block.
     """
-    rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     heads = members.select("head").distinct().join(roots.withColumnRenamed("node", "head"), "head", "left").select("head", F.coalesce("root", "head").alias("head_root"))
     heads = stash(heads, "head_roots")
-    rooted = stash(rooted.join(small(heads), "head").withColumn("out", (F.col("root") != F.col("head_root")) & (F.col("doc_id") != F.col("head"))), "rooted")
-    groups = rooted.groupBy("head").agg(F.count_if("out").alias("outs"), F.count("*").alias("all")).where("outs > 0 and all > 2")
-    groups = groups.select("head", F.ceil(F.col("outs") / LEFT_BLOCK).cast("int").alias("nl"), F.ceil(F.col("all") / ALL_BLOCK).cast("int").alias("na"))
-    groups = stash(groups, "groups")
-    rooted = rooted.join(small(groups), "head").join(sets, "doc_id")
-    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    rest = rooted.select("head", "doc_id", "root", "hashes", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bl"), spot("na").alias("ba"), F.lit(1).alias("side"))
-    left = rooted.where("out").select("head", "doc_id", "root", "hashes", spot("nl").alias("bl"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), F.lit(0).alias("side"))
+    rooted = rooted.join(small(heads), "head").withColumn("out", (F.col("root") != F.col("head_root")) & (F.col("c") != F.col("head")))
+    rooted = stash(rooted.join(sets.select("c", "n"), "c").select("head", "c", "n", "root", "out"), "rooted")
+    groups = rooted.groupBy("head").agg(F.sum(F.when(F.col("out"), F.col("n"))).alias("outs"), F.sum("n").alias("all"), F.count("*").alias("times")).where("outs > 0 and times > 2")
+    groups = stash(groups.select("head", F.ceil(F.col("outs") / LEFT_HASHES).cast("int").alias("nl"), F.ceil(F.col("all") / ALL_HASHES).cast("int").alias("na")), "groups")
+    rooted = rooted.join(small(groups), "head").join(sets.select("c", "hashes"), "c")
+    spot = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    rest = rooted.select("head", "c", "root", "hashes", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bl"), spot("na").alias("ba"), F.lit(1).alias("side"))
+    left = rooted.where("out").select("head", "c", "root", "hashes", spot("nl").alias("bl"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), F.lit(0).alias("side"))
     found = rest.unionByName(left).groupBy("head", "bl", "ba").applyInPandas(_compare(num, den), "a long, b long")
     return found.distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose doc_id is not the smallest of its component; the columns stay."""
+    """docs without the rows whose doc_id is not the smallest of its component; the columns stay.
+
+    Rows are judged as in near_duplicates(): rows of a null doc_id, and rows without words, stay.
+    """
     dropped = stash(near_duplicates(docs, k, num, den).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(small(dropped), "doc_id", "left_anti").select(docs.columns)
 

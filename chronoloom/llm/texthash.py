@@ -9,11 +9,11 @@ U = np.uint64
 PIECE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_VALUE = _rng.integers(0, 2**64, 256, dtype=U)
-_P = U(0x9E3779B97F4A7C15 | 1)
-_PINV = U(pow(int(_P), -1, 2**64))
 _SHORT = _rng.integers(0, 2**64, 17, dtype=U)
 _LANE = _rng.integers(0, 2**64, 16, dtype=U) | U(1)
+_NEXT = U(0x9E3779B97F4A7C15)
+#: The lowest 0 to 8 bytes of a 64-bit number.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 #: Bytes after folding A-Z; 0 marks white space (0x20, 0x09-0x0D), a zero byte keeps a code of its own below.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -31,25 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def eights(raw: np.ndarray) -> np.ndarray:
+    """For each place of raw the eight bytes from there on as one number; zeros follow the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
 
 
-_up, _down = _powers(_P, PIECE + 1), _powers(_PINV, PIECE + 1)
-
-
-def _grow(n: int) -> None:
-    global _up, _down
-    if n > len(_up):
-        _up, _down = _powers(_P, n), _powers(_PINV, n)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse, modulo 2^64."""
-    _grow(n)
-    return _up, _down
+def run_hashes(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes, eight at a time, each step mixed: no sum that texts could cancel."""
+    out = mix(mix(sizes.astype(U)) ^ (view[starts] & LOW_BYTES[np.minimum(sizes, 8)]))
+    at, more = 8, np.flatnonzero(sizes > 8)
+    while len(more):
+        left = sizes[more] - at
+        out[more] = mix(out[more] * _NEXT + (view[starts[more] + at] & LOW_BYTES[np.minimum(left, 8)]))
+        at, more = at + 8, more[left > 8]
+    return out
 
 
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +81,6 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 while end < n and not _SPACE[raw[end]] and off[np.searchsorted(off, end)] != end:
                     end += 1
         part = raw[at:end]
-        _grow(len(part) + 1)
         word = ~_SPACE[part]
         inner = off[np.searchsorted(off, at) : np.searchsorted(off, end)] - at
         before = np.empty(len(part), bool)
@@ -96,10 +92,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         after[-1] = False
         after[:-1] = word[1:] & before[1:]
         ends = np.flatnonzero(word & ~after) + 1
-        acc = np.empty(len(part) + 1, U)
-        acc[0] = 0
-        np.cumsum(_VALUE[_FOLD[part]] * _up[: len(part)], out=acc[1:])
-        hashes.append(mix((acc[ends] - acc[starts]) * _down[starts] + (ends - starts).astype(U)))
+        hashes.append(run_hashes(eights(_FOLD[part]), starts, ends - starts))
         firsts.append(starts + at)
         at = end
     if not hashes:

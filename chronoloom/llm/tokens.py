@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import documents, stash
-from chronoloom.llm.texthash import U, mix, powers, string_bytes
+from chronoloom.llm.texthash import LOW_BYTES, U, eights, mix, run_hashes, string_bytes
 
 END = 2
 #: Ids of a shard, beyond which it is closed at the next document's end.
@@ -38,7 +38,7 @@ LEAST, PAIRS = 8, 4096
 #: Pieces of texts whose ids a worker remembers.
 REMEMBER = 1_500_000
 #: Documents whose pieces are encoded before the tasks start, and the longest of them in bytes.
-WARM_DOCS, WARM_BYTES = 10_000, 10_000
+WARM_DOCS, WARM_BYTES = 2000, 8000
 
 #: No pair of symbols: the last 16-bit number is never a symbol.
 NO_PAIR = np.array([0xFFFFFFFF], np.uint32)
@@ -51,46 +51,16 @@ _SPACE, _ALNUM, _LEAD = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
-_VALUE = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 256, dtype=U)
 
 
-class Encoder:
-    """Ids of texts, the same as of encoding each text whole, from pieces encoded once.
-
-    The pre-tokenizer always splits before white space that follows something else, on both sides
-    of a single line end, and between an ASCII letter or digit and a "." or ",". Merges never cross
-    its splits, so texts are cut there, in their bytes, and a piece's ids are looked up by a 64-bit
-    hash of its bytes. New pieces are encoded by the tokenizer together, a line each; the line end's
-    id shows where each begins. At REMEMBER pieces all are forgotten.
-    """
-
-    def __init__(self, path: str, base: tuple | None = None):
-        """base: what known() of another encoder of the same file gave."""
-        from tokenizers import Tokenizer
+class Table:
+    """An open hash table from 64-bit keys to entries; the keys are mixed already."""
 
-        self.base_known = base
-        self.tokenizer = Tokenizer.from_file(path)
-        self.base = max(self.tokenizer.get_vocab_size(), END + 1)
-        if self.base >= 1 << 16:
-            raise ValueError("the vocabulary needs more than 16 bits")
-        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
-        self.bits, self.n, self.used = 18, 1, 1
+    def __init__(self):
+        self.bits, self.n = 18, 0
         self.keys, self.slots = np.zeros(1 << 18, U), np.full(1 << 18, -1, np.int32)
-        self.own = np.zeros(1 << 16, U)
-        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 20, np.uint16)
-        self.pool[0], self.size[0] = END, 1  # entry 0: the end of a document
-        if self.base_known:
-            self._store(*self.base_known)
-
-    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, sizes and ids of all pieces, in the order learned."""
-        return self.own[1 : self.n], self.size[1 : self.n].astype(np.int32), self.pool[1 : self.used]
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 if there is none."""
         mask = np.int64((1 << self.bits) - 1)
         at = (keys >> U(64 - self.bits)).astype(np.int64)
@@ -103,7 +73,15 @@ class Encoder:
             odd = odd[(got >= 0) & (self.keys[at[odd]] != keys[odd])]
         return out
 
-    def _place(self, keys: np.ndarray, entries: np.ndarray) -> None:
+    def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """keys: distinct and not in the table."""
+        self.n += len(keys)
+        if 2 * self.n > 1 << self.bits:
+            held = self.slots >= 0
+            keys, entries = np.concatenate([self.keys[held], keys]), np.concatenate([self.slots[held], entries])
+            while 2 * self.n > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.slots = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
         mask = np.int64((1 << self.bits) - 1)
         at = (keys >> U(64 - self.bits)).astype(np.int64)
         while len(keys):
@@ -115,8 +93,63 @@ class Encoder:
             rest[won] = False
             keys, entries, at = keys[rest], entries[rest], (at[rest] + 1) & mask
 
-    def _learn(self, keys: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> None:
-        """Encode the pieces raw[a:b]; plain ones can stand on a line of their own."""
+
+def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """raw[s : s + n] for each start and size, one after another."""
+    at = np.cumsum(sizes) - sizes
+    return raw[np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))]
+
+
+class Encoder:
+    """Ids of texts, the same as of encoding each text whole, from pieces encoded once.
+
+    The pre-tokenizer always splits before white space that follows something else, on both sides
+    of a single line end, and between an ASCII letter or digit and a "." or ",". Merges never cross
+    its splits, so texts are cut there, in their bytes. A piece of up to seven bytes is its own key;
+    a longer one is looked up by a hash and then compared byte by byte with the piece found. New
+    pieces are encoded by the tokenizer together, a line each; the line end's id shows where each
+    begins. At REMEMBER pieces all are forgotten.
+    """
+
+    def __init__(self, path: str, base: tuple | None = None):
+        """base: what known() of another encoder of the same file gave."""
+        from tokenizers import Tokenizer
+
+        self.base_known = base
+        self.tokenizer = Tokenizer.from_file(path)
+        self.base = max(self.tokenizer.get_vocab_size(), END + 1)
+        if self.base >= 1 << 16:
+            raise ValueError("the vocabulary needs more than 16 bits")
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.short, self.long = Table(), Table()
+        self.n, self.used, self.held = 1, 1, 0
+        #: Of each entry: where its ids start and how many; where its bytes start and how many.
+        self.start, self.size, self.where, self.width = (np.zeros(1 << 16, np.int32) for _ in range(4))
+        self.pool, self.bytes = np.zeros(1 << 20, np.uint16), np.zeros(1 << 20, np.uint8)
+        self.pool[0], self.size[0] = END, 1  # entry 0: the end of a document
+        if self.base_known:
+            sizes, flat, widths, raw = self.base_known
+            entries = self._store(sizes, flat, widths, raw)
+            keys = self._keys(eights(raw), np.cumsum(widths) - widths, widths)
+            for table, mine in ((self.short, widths < 8), (self.long, widths >= 8)):
+                table.put(keys[mine], entries[mine])
+
+    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all pieces in the order learned: their numbers of ids, ids, numbers of bytes, bytes."""
+        return self.size[1 : self.n].astype(np.int64), self.pool[1 : self.used], self.width[1 : self.n].astype(np.int64), self.bytes[: self.held]
+
+    @staticmethod
+    def _keys(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        keys = mix(view[starts] & LOW_BYTES[np.minimum(sizes, 7)] | sizes.astype(U) << U(56))
+        big = np.flatnonzero(sizes >= 8)
+        keys[big] = run_hashes(view, starts[big], sizes[big])
+        return keys
+
+    def _learn(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Encode the pieces raw[a:b] and give their entries; plain ones can stand on a line of their own."""
         order, flats, sizes = [], [], []
         lines, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
         for at in range(0, len(lines), 2048):
@@ -138,26 +171,56 @@ class Encoder:
         for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False):
             flats.append(np.array(e.ids, np.uint16))
             sizes.append(np.array([len(flats[-1])]))
-        self._store(keys[np.concatenate([*order, rest])], np.concatenate(sizes), np.concatenate(flats))
+        order = np.concatenate([*order, rest])
+        out = np.empty(len(a), np.int32)
+        out[order] = self._store(np.concatenate(sizes), np.concatenate(flats), (b - a)[order], _gather(raw, a[order], (b - a)[order]))
+        return out
 
-    def _store(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        sizes = sizes.astype(np.int64)
-        total, n = len(flat), len(keys)
-        while self.used + total > len(self.pool):
+    def _store(self, sizes: np.ndarray, flat: np.ndarray, widths: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        n = len(sizes)
+        while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.held + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         while self.n + n > len(self.size):
-            self.own, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.start, self.size))
+            self.start, self.size, self.where, self.width = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.where, self.width))
         new = slice(self.n, self.n + n)
-        self.pool[self.used : self.used + total] = flat
-        self.start[new], self.size[new], self.own[new] = self.used + np.cumsum(sizes) - sizes, sizes, keys
-        entries = np.arange(self.n, self.n + n, dtype=np.int32)
-        self.used, self.n = self.used + total, self.n + n
-        if 2 * self.n > 1 << self.bits:
-            while 2 * self.n > 1 << self.bits:
-                self.bits += 1
-            self.keys, self.slots = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
-            keys, entries = self.own[1 : self.n], np.arange(1, self.n, dtype=np.int32)
-        self._place(keys, entries)
+        self.pool[self.used : self.used + len(flat)], self.bytes[self.held : self.held + len(raw)] = flat, raw
+        self.start[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.where[new], self.width[new] = self.held + np.cumsum(widths) - widths, widths
+        self.used, self.held, self.n = self.used + len(flat), self.held + len(raw), self.n + n
+        return np.arange(self.n - n, self.n, dtype=np.int32)
+
+    def _differ(self, entry: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which of the pieces are not, byte by byte, those of their entries."""
+        odd = self.width[entry] != sizes
+        same = np.flatnonzero(~odd)
+        view, mine = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,)), eights(raw)
+        # the last eight bytes first, then eights from the start: pieces have eight bytes or more
+        at, back = self.where[entry[same]].astype(np.int64), sizes[same] - 8
+        odd[same] = view[at + back] != mine[starts[same] + back]
+        done = 0
+        while len(same):
+            more = sizes[same] - 8 > done
+            same, at = same[more], at[more]
+            odd[same] |= view[at + done] != mine[starts[same] + done]
+            done += 8
+        return np.flatnonzero(odd)
+
+    def _entries(self, table: Table, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain, exact: bool) -> np.ndarray:
+        """The entries of the pieces raw[starts:ends] by their keys, learned where they are new."""
+        entry = table.find(keys)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            first = miss[first]
+            table.put(new, self._learn(raw, starts[first], ends[first], plain(starts[first], ends[first])))
+            entry[miss] = table.find(keys[miss])
+        if not exact:
+            odd = self._differ(entry, raw, starts, ends - starts)
+            if len(odd):  # another piece has the same hash: these are encoded each time they occur
+                entry[odd] = self._learn(raw, starts[odd], ends[odd], plain(starts[odd], ends[odd]))
+        return entry
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, each text's followed by END, and their counts."""
@@ -183,21 +246,16 @@ class Encoder:
                 whole[off[k]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        up, down = powers(len(raw) + 1)
-        acc = np.empty(len(raw) + 1, U)
-        acc[0] = 0
-        np.cumsum(_VALUE[raw] * up[: len(raw)], out=acc[1:])
-        keys = mix((acc[ends] - acc[starts]) * down[starts] + (ends - starts).astype(U))
-        entry = self._find(keys)
-        miss = np.flatnonzero(entry < 0)
-        if len(miss):
-            new, where = np.unique(keys[miss], return_index=True)
-            where = miss[where]
-            a, b = starts[where], ends[where]
-            spaces = np.cumsum(space, dtype=np.int32)
-            inner = spaces[b - 1] - spaces[a]
-            self._learn(new, raw, a, b, (inner == 0) & (~space[a] | (raw[a] == 32) & (b - a > 1)) & ~whole[a])
-            entry[miss] = self._find(keys[miss])
+        sizes = ends - starts
+        keys = self._keys(eights(raw), starts, sizes)
+        spaces = np.cumsum(space, dtype=np.int32)
+
+        def plain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (spaces[b - 1] - spaces[a] == 0) & (~space[a] | (raw[a] == 32) & (b - a > 1)) & ~whole[a]
+
+        entry = np.empty(len(keys), np.int32)
+        for table, mine, exact in ((self.short, np.flatnonzero(sizes < 8), True), (self.long, np.flatnonzero(sizes >= 8), False)):
+            entry[mine] = self._entries(table, keys[mine], raw, starts[mine], ends[mine], plain, exact)
         # entry 0 ends each text
         upto = np.searchsorted(starts, off[1:])
         entry = np.insert(entry, upto, 0)
@@ -350,12 +408,16 @@ FILE_NAMES = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
 def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     """The token files of docs (doc_id, text) in the shared folder, as the table read back from them.
 
-    Parts hold ascending ranges of doc_id, null ids first, ties by text; null texts are empty and
-    give the end id alone. path: the tokenizer file on every machine.
+    Parts hold ascending ranges of doc_id, null ids first, ties by a hash of the text and the text,
+    so that rows of one id spread over parts too; null texts are empty and give the end id alone, and
+    rows that repeat are all written. A long text is one document of its shard, however long. An empty
+    table gives no file row. Other columns are ignored. path: the tokenizer file on the driver; what
+    tasks need of it they read from the same path.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pieces = docs.sparkSession.sparkContext.broadcast(common_pieces(rows, path))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return stash(rows.mapInArrow(_write(path, pieces), FILE_SCHEMA), "tokens")
 
 

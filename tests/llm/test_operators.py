@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import chat, decontaminate, fingerprint, langid, mixing, neardup, queries, sharding, surrogates, texthash, tokens, toxicity
+from chronoloom.llm import chat, common, decontaminate, fingerprint, langid, mixing, neardup, queries, sharding, surrogates, texthash, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, run string, row double, size string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,9 +85,10 @@ def reference_ids(texts):
 
 
 def check_tokens(df):
-    rows = sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows = sorted(((r.doc_id, r.h, r.text or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
     start, want = 0, []
-    for (i, _), ids in zip(rows, reference_ids([t for _, t in rows])):
+    for (i, *_), ids in zip(rows, reference_ids([t for *_, t in rows])):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     got = tokens.digest(tokens.write_tokens(df, tokenizer_path())).collect()
@@ -99,6 +100,35 @@ def test_tokens_round_trip(docs, odd):
     check_tokens(odd)
 
 
+def thue_morse(n):
+    """Two texts whose polynomial hashes modulo 2^64 are equal from 1024 characters on."""
+    text = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_tokens_of_texts_with_equal_polynomial_hashes(spark):
+    check_tokens(frame(spark, [(2 * k + j, t, None, None) for k, n in enumerate((1024, 2048, 8192)) for j, t in enumerate(thue_morse(n))]))
+
+
+def test_pieces_of_equal_keys_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "run_hashes", lambda view, starts, sizes: np.full(len(starts), 5, np.uint64))
+    texts = ["internationally acknowledged", "a misunderstanding internationally", "acknowledged misunderstandings", "internationalla"]
+    ids, counts = tokens.Encoder(tokenizer_path()).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == reference_ids(texts)
+
+
+def test_tokens_of_one_id_spread_over_parts(spark):
+    rows = frame(spark, [(None, f"text number {k}", None, None) for k in range(3000)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokens.write_tokens(rows, tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 1
+    check_tokens(rows)
+
+
 def test_tokens_empty(none):
     assert tokens.digest(tokens.write_tokens(none, tokenizer_path())).count() == 0
 
@@ -297,8 +327,9 @@ def test_near_duplicates_brute_force(spark, docs):
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Copies around one text, many of them closer to it than to each other, in blocks of a few rows."""
     monkeypatch.setattr(neardup, "SHORT", 4)
-    monkeypatch.setattr(neardup, "LEFT_BLOCK", 8)
-    monkeypatch.setattr(neardup, "ALL_BLOCK", 16)
+    monkeypatch.setattr(neardup, "LEFT_HASHES", 900)
+    monkeypatch.setattr(neardup, "ALL_HASHES", 1800)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     rng = random.Random(6)
     base = gibberish(rng, 120).split()
     rows = []
@@ -324,6 +355,30 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert got == sorted((i, want[i][0]) for i, _ in rows) and {c for _, c in got} == {5, 10, 60}
 
 
+def test_near_duplicates_link_through_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (5, b), (5, a + " more"), (7, b + " more"), (7, ""), (9, ""), (9, "alone here")]
+    for order in (rows, [rows[0], rows[2], rows[1], *rows[3:]]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df, 4).collect())
+        assert got == {(1, 1): 1, (5, 1): 2, (7, 1): 2, (9, 9): 2}
+
+
+def test_near_duplicates_of_texts_with_equal_polynomial_hashes(spark):
+    rows = [(2 * k + j, t) for k, n in enumerate((1024, 2048, 8192)) for j, t in enumerate(thue_morse(n))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(6)}
+
+
+def test_near_duplicates_of_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = random.Random(2)
+    rows = [(i, "one text with many copies of it" if i % 3 else gibberish(rng, 12)) for i in range(300)]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4)
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = collections.defaultdict(set)
     for r in neardup.near_duplicates(odd).collect():
