@@ -4,7 +4,9 @@ Texts become lower-case words of letters and digits. A mask such as 11101001 rea
 window at its ones and ignores the rest, so a substituted word at an ignored place does not break
 the hit. Test hashes are joined with training hashes; each hit fixes an alignment, along which the
 item's words are compared one by one. The document is contaminated if some WINDOW of the item's
-words (the whole item if it is shorter) agrees in four fifths of its places or more.
+words (the whole item if it is shorter) agrees in four fifths of its places or more. Each such
+agreement of an item of SPAN words or more holds a seed: MASKS see to that where WINDOW words are
+compared, SHORT_MASK with them where fewer are; tests try every substitution.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from chronoloom.llm.common import documents, small, stash
 MASKS = ("11101001", "11010011", "10110101")
 SPAN = 8
 WINDOW = 13
+#: A further mask of items under WINDOW words: MASKS alone miss a substituted first or last word of eight.
+SHORT_MASK = "10111"
 #: Agreeing words of a window, in percent; an item shorter than SPAN must agree in full.
 AGREE = 80
-#: Benchmark seeds (three longs each) and items (an array of words each) up to which these are broadcast.
-SEED_ROWS, ITEM_ROWS = 4_000_000, 50_000
+#: Benchmark seeds (two longs and an int each) and words of items (a long each) up to which these are broadcast.
+SEED_ROWS, ITEM_WORDS = 1_000_000, 8_000_000
 
 
 def word_ids(text: Column) -> Column:
@@ -29,45 +33,53 @@ def word_ids(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """keep, pos, seed: one row for each mask and each window of df.ids that the mask fits in."""
-    span = max(map(len, masks))
+def _seeds(df: DataFrame, keep: list[str], masks: list[tuple[str, Column]]) -> DataFrame:
+    """keep, pos, seed: one row for each mask and each window of df.ids that the mask fits in.
+
+    masks: each with the condition on df under which it is used.
+    """
+    span = max(len(m) for m, _ in masks)
     n = F.greatest(F.size("ids"), F.lit(1))
     shifted = [F.col("ids") if j == 0 else F.slice("ids", j + 1, n) for j in range(span)]
     zipped = F.arrays_zip(*(x.alias(f"w{j}") for j, x in enumerate(shifted)))
-    rows = df.where(F.size("ids") > 0).select(*keep, F.posexplode(zipped).alias("pos", "w"))
+    uses = F.array(*(use for _, use in masks))
+    rows = df.where(F.size("ids") > 0).select(*keep, uses.alias("uses"), F.posexplode(zipped).alias("pos", "w"))
     keys = []
-    for k, mask in enumerate(masks):
+    for k, (mask, _) in enumerate(masks):
         at = [F.col(f"w.w{j}") for j, bit in enumerate(mask) if bit == "1"]
-        keys.append(F.when(F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(k), *at)))
+        keys.append(F.when(F.col("uses")[k] & F.col(f"w.w{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(k), *at)))
     return rows.select(*keep, "pos", F.explode(F.array(*keys)).alias("seed")).where("seed is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, pos, agreed, compared, overlap) for each contaminated document and item.
+def masks_for(sizes: list[int]) -> list[tuple[str, Column]]:
+    """The masks that items of these numbers of words need, each with the items that use it."""
+    n = F.size("ids")
+    out = [(m, n >= SPAN) for m in MASKS]
+    if any(SPAN <= k < WINDOW for k in sizes):
+        out.append((SHORT_MASK, (n >= SPAN) & (n < WINDOW)))
+    return out + [("1" * k, n == k) for k in sorted(sizes) if k < SPAN]
 
-    pos: where the item would begin, in words; agreed of the compared places of the best window;
-    overlap: share of all the item's words that agree there. Nulls and empty texts hit nothing.
-    Rows that repeat a doc_id are judged each by its own text, and reported once.
-    """
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """leaks() for each row by its doc_id and the hash of its text, th."""
     items = benchmark.where("text is not null").select("item_id", word_ids(F.col("text")).alias("ids")).where(F.size("ids") > 0)
     items = stash(items.groupBy("ids").agg(F.min("item_id").alias("item_id")), "items")
-    short = [r[0] for r in items.where(F.size("ids") < SPAN).select(F.size("ids")).distinct().collect()]  # SPAN - 1 values at most
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    long = lambda df: df.where(F.size("ids") >= SPAN)
-    of_items = _seeds(long(items), ["item_id"], list(MASKS))
-    for n in sorted(short):
-        of_items = of_items.unionByName(_seeds(items.where(F.size("ids") == n), ["item_id"], [*("1" * SPAN for _ in masks[: masks.index("1" * n)]), "1" * n]))
-    of_items = of_items.select("item_id", F.col("pos").alias("item_pos"), "seed")
-
-    tokens = docs.select("doc_id", word_ids(F.col("text")).alias("ids"))
-    hits = _seeds(tokens, ["doc_id"], masks).join(small(of_items, SEED_ROWS), "seed")
-    hits = stash(hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
-
-    asked = small(hits.select("doc_id").distinct())
-    again = docs.join(asked, docs.doc_id.eqNullSafe(asked.doc_id), "left_semi").select("doc_id", word_ids(F.col("text")).alias("ids"))
-    right = hits.withColumnRenamed("doc_id", "hit_id")
-    both = again.join(right, again.doc_id.eqNullSafe(right.hit_id)).join(small(items.withColumnRenamed("ids", "item"), ITEM_ROWS), "item_id")
+    sizes = [r[0] for r in items.where(F.size("ids") < WINDOW).select(F.size("ids")).distinct().collect()]  # WINDOW - 1 values at most
+    words = items.agg(F.sum(F.size("ids"))).first()[0] or 0
+    masks = masks_for(sizes)
+    of_items = _seeds(items, ["item_id"], masks).select("item_id", F.col("pos").alias("item_pos"), "seed")
+
+    named = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    tokens = named.select("doc_id", "th", word_ids(F.col("text")).alias("ids"))
+    hits = _seeds(tokens, ["doc_id", "th"], [(m, F.lit(True)) for m, _ in masks]).join(small(of_items, SEED_ROWS), "seed")
+    hits = stash(hits.select("doc_id", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "hits")
+
+    asked = small(hits.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).distinct())
+    meets = lambda a, b: a.doc_id.eqNullSafe(b.hit_id) & (a.th == b.hit_th)
+    again = named.join(asked, meets(named, asked), "left_semi").select("doc_id", "th", word_ids(F.col("text")).alias("ids"))
+    right = hits.withColumnsRenamed({"doc_id": "hit_id", "th": "hit_th"})
+    item = items.withColumnRenamed("ids", "item")
+    both = again.join(right, meets(again, right)).join(F.broadcast(item) if words <= ITEM_WORDS else item, "item_id")
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("item"), F.size("ids") - F.col("shift"))
     both = both.withColumn("first", first).withColumn("len", last - first).where("len > 0")
@@ -77,8 +89,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = both.withColumn("agreed", F.array_max(F.transform(F.sequence(F.lit(0), F.col("len") - F.col("compared")), run)))
     need = F.when(F.size("item") < SPAN, F.col("compared")).otherwise(F.ceil(F.col("compared") * AGREE / 100))
     overlap = F.aggregate("same", F.lit(0), lambda x, y: x + y) / F.size("item")
-    found = both.where(F.col("agreed") >= need).select("doc_id", "item_id", F.struct(overlap.alias("overlap"), "agreed", (-F.col("shift")).alias("back"), "compared").alias("best"))
-    found = found.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    found = both.where(F.col("agreed") >= need).select("doc_id", "th", "item_id", F.struct(overlap.alias("overlap"), "agreed", (-F.col("shift")).alias("back"), "compared").alias("best"))
+    return found.groupBy("doc_id", "th", "item_id").agg(F.max("best").alias("best"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, pos, agreed, compared, overlap) for each contaminated document and item.
+
+    pos: where the item would begin, in words; agreed of the compared places of the best window;
+    overlap: share of all the item's words that agree there. Ties of overlap go to the window that
+    agrees more, then to the later place. Nulls and empty texts, in documents and items, hit nothing,
+    and an empty table on either side gives an empty result; whole texts are compared, however long.
+    Items of equal words count as the one of the smallest item_id. Rows that repeat a doc_id are
+    judged each by its own text, and reported once. Other columns are ignored.
+    """
+    found = _leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return found.select("doc_id", "item_id", (-F.col("best.back")).alias("pos"), "best.agreed", "best.compared", "best.overlap")
 
 
@@ -90,10 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; rows of a null doc_id go if any of their texts is contaminated."""
-    bad = stash(contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    ids = small(bad)
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_anti").select(docs.columns)
+    """docs without the contaminated rows; each row is judged by its own text, as in leaks(). The columns stay."""
+    bad = stash(_leaks(docs, benchmark).select("doc_id", "th").distinct().withColumnsRenamed({"doc_id": "bad_id", "th": "bad_th"}), "contaminated")
+    bad = small(bad)
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_th), "left_anti").select(docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +130,15 @@ _SQL_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^
 OP10_SQL = f"""
 WITH items AS (
   SELECT min(item_id) AS item_id, ids FROM (SELECT item_id, {_SQL_TOKENS} AS ids FROM benchmark WHERE text IS NOT NULL)
-  WHERE len(ids) >= {SPAN} GROUP BY ids),
+  WHERE len(ids) > 0 GROUP BY ids),
 docs AS (SELECT doc_id, {_SQL_TOKENS} AS ids FROM documents),
-masks AS (SELECT * FROM (VALUES {", ".join(f"({k}, {[j + 1 for j, b in enumerate(m) if b == '1']})" for k, m in enumerate(MASKS))}) AS t(mask, places)),
+masks AS (SELECT * FROM (VALUES {", ".join(f"({k}, {len(m)}, {SPAN}, {WINDOW - 1 if m == SHORT_MASK else 1 << 30}, {[j + 1 for j, b in enumerate(m) if b == '1']})" for k, m in enumerate((*MASKS, SHORT_MASK)))}) AS t(mask, span, least, most, places)
+  UNION ALL SELECT 100 + n, n, n, n, range(1, n + 1) FROM range(1, {SPAN}) AS r(n)),
+wanted AS (SELECT * FROM masks WHERE EXISTS (SELECT 1 FROM items WHERE len(ids) BETWEEN least AND most)),
 item_seeds AS (SELECT item_id, pos, mask, list_transform(places, lambda p: ids[pos + p]) AS seed
-  FROM (SELECT item_id, ids, unnest(range(0, len(ids) - {SPAN} + 1)) AS pos FROM items), masks),
+  FROM (SELECT item_id, ids, mask, places, unnest(range(0, len(ids) - span + 1)) AS pos FROM items JOIN wanted ON len(ids) BETWEEN least AND most)),
 doc_seeds AS (SELECT doc_id, pos, mask, list_transform(places, lambda p: ids[pos + p]) AS seed
-  FROM (SELECT doc_id, ids, unnest(range(0, len(ids) - {SPAN} + 1)) AS pos FROM docs WHERE len(ids) >= {SPAN}), masks),
+  FROM (SELECT doc_id, ids, mask, places, unnest(range(0, len(ids) - span + 1)) AS pos FROM docs JOIN wanted ON len(ids) >= span)),
 hits AS (SELECT DISTINCT d.doc_id, i.item_id, d.pos - i.pos AS shift FROM doc_seeds d JOIN item_seeds i ON d.mask = i.mask AND d.seed = i.seed),
 places AS (SELECT h.doc_id, h.item_id, h.shift, len(i.ids) AS n, least({WINDOW}, len(i.ids)) AS compared, p.pos AS p,
     (d.ids[p.pos + h.shift + 1] = i.ids[p.pos + 1])::INT AS same
@@ -120,6 +147,7 @@ places AS (SELECT h.doc_id, h.item_id, h.shift, len(i.ids) AS n, least({WINDOW},
 runs AS (SELECT *, sum(same) OVER w AS agreed, count(*) OVER w AS wide, sum(same) OVER (PARTITION BY doc_id, item_id, shift) AS total
   FROM places WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW)),
 sized AS (SELECT *, CASE WHEN compared = {WINDOW} THEN agreed ELSE total END AS got FROM runs WHERE wide = compared),
-found AS (SELECT doc_id, item_id, max(total / n) AS overlap FROM sized WHERE got >= ceil(compared * {AGREE} / 100.0) GROUP BY 1, 2)
+found AS (SELECT doc_id, item_id, max(total / n) AS overlap FROM sized
+  WHERE got >= CASE WHEN n < {SPAN} THEN compared ELSE ceil(compared * {AGREE} / 100.0) END GROUP BY 1, 2)
 SELECT doc_id, count(*) AS n_items, arg_max(item_id, (overlap, -item_id)) AS item_id, max(overlap) AS overlap FROM found GROUP BY 1
 """

@@ -519,6 +519,54 @@ def test_shards_are_even_and_gapless(spark, odd, none, monkeypatch):
     assert sharding.shuffle_to_shards(none).count() == 0
 
 
+def test_large_draws(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(3))
+    want = rng.hypergeometric(300, 500, 120, 40_000)
+    got = [sharding._large(rng, 300, 500, 120) for _ in range(40_000)]
+    assert abs(np.mean(got) - np.mean(want)) < 0.1 and abs(np.std(got) - np.std(want)) < 0.1
+    assert np.abs(np.quantile(got, [0.01, 0.1, 0.5, 0.9, 0.99]) - np.quantile(want, [0.01, 0.1, 0.5, 0.9, 0.99])).max() <= 1
+    m = sharding.matrix([1], [10**10, 3 * 10**10, 5], [2 * 10**10, 2 * 10**10, 5])
+    assert m.sum(axis=1).tolist() == [10**10, 3 * 10**10, 5] and m.sum(axis=0).tolist() == [2 * 10**10, 2 * 10**10, 5]
+    assert abs(m[0, 0] - 5 * 10**9) < 10**6 and [sharding._large(rng, *a) for a in ((5, 0, 3), (0, 5, 3), (4, 4, 8))] == [3, 0, 4]
+
+
+def test_matrix_in_tasks(spark):
+    sizes = {p: (p * 37) % 11 for p in range(0, 60, 2)}
+    got = {r.block: r.ends for r in sharding.draw_matrix(spark.createDataFrame(list(sizes.items()), "block long, size long"), 60, 4, 1).collect()}
+    rows = {p: np.diff([0, *e]) for p, e in got.items()}
+    total = sum(sizes.values())
+    assert {p: int(r.sum()) for p, r in rows.items()} == sizes
+    assert sum(rows.values()).tolist() == [total // 4 + (s < total % 4) for s in range(4)]
+
+
+def test_many_copies_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 30)
+    monkeypatch.setattr(sharding, "LEAST_ROWS", 20)
+    rows = spark.createDataFrame([(None, "same") for _ in range(400)] + [(i, f"text {i}") for i in range(200)], "doc_id long, text string").repartition(5)
+    got = sharding.shuffle_to_shards(rows, key=("doc_id", "text")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == 600 and all(sorted(s) == list(range(75)) for s in by.values()) and len(by) == 8
+    same = collections.Counter(r.shard for r in got if r.doc_id is None)
+    assert max(same.values()) - min(same.values()) < 30
+    again = sharding.shuffle_to_shards(rows.repartition(2), key=("doc_id", "text")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_sharding_query(spark, docs, sf_dir):
+    got = queries.QUERIES["op8_sharding"](spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts) and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    by = collections.defaultdict(list)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        by[r.shard].append(r.slot)
+    assert sorted(by) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 # ---- 9: chat -------------------------------------------------------------------------------------
 
 
@@ -597,3 +645,61 @@ def test_leaks_odd_rows(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.decontaminate(odd, bench).count() == odd.count() - 3
+    assert decontaminate.decontaminate(none, bench).count() == 0
+
+
+@pytest.mark.parametrize("n", range(8, 15))
+def test_masks_find_every_accepted_substitution(n):
+    """Every way to substitute words that the rule accepts leaves a seed whole."""
+    masks = [*decontaminate.MASKS, *([decontaminate.SHORT_MASK] if n < decontaminate.WINDOW else [])]
+    window = min(n, decontaminate.WINDOW)
+    most = window - -(-window * decontaminate.AGREE // 100)
+    seeds = [{p + j for j, bit in enumerate(m) if bit == "1"} for m in masks for p in range(window - len(m) + 1)]
+    assert all(any(not s & set(gone) for s in seeds) for k in range(most + 1) for gone in itertools.combinations(range(window), k))
+
+
+def aligned(items, docs):
+    """The contaminated documents by trying every alignment of every item, without seeds."""
+    words = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    out = collections.defaultdict(set)
+    for i, item in items:
+        a = words(item)
+        w = min(len(a), 13)
+        need = w if len(a) < 8 else -(-w * 80 // 100)
+        for d, text in docs:
+            b = words(text)
+            for shift in range(-len(a) + 1, len(b)):
+                same = [a[p] == b[p + shift] for p in range(max(0, -shift), min(len(a), len(b) - shift))]
+                if w and any(sum(same[k : k + w]) >= need for k in range(len(same) - w + 1)):
+                    out[d].add(i)
+    return out
+
+
+def test_leaks_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefghijklmnop") * 3 + rng.choice("xyz")
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 5, 7, 8, 8, 9, 10, 10, 11, 12, 13, 14, 20, 30])]
+    docs = []
+    for d in range(300):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = word()
+        docs.append((d, " ".join([*(word() for _ in range(rng.randrange(8))), *w, *(word() for _ in range(rng.randrange(8)))])))
+    got = collections.defaultdict(set)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminate.leaks(*frames).collect():
+        got[r.doc_id].add(r.item_id)
+    assert got == aligned(items, docs) and len(got) > 100
+    con = duckdb.connect()
+    for name, rows, cols in (("documents", docs, "doc_id BIGINT, text VARCHAR"), ("benchmark", items, "item_id BIGINT, text VARCHAR")):
+        con.execute(f"CREATE TABLE {name} ({cols})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    sql = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, n_items FROM ({decontaminate.OP10_SQL})").fetchall()}
+    assert sql == {d: len(i) for d, i in got.items()}
+
+
+def test_leaks_of_rows_without_ids(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    docs = frame(spark, [(None, f"one two three four five six {k}" if k % 3 == 0 else f"clean {k}", None, None) for k in range(60)])
+    kept = decontaminate.decontaminate(docs, bench).collect()
+    assert len(kept) == 40 and all(r.text.startswith("clean") for r in kept)
