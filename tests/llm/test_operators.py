@@ -577,27 +577,34 @@ def legal(roles):
     return all(r == ("user", "assistant")[k % 2] for k, r in enumerate(roles))
 
 
+def relabel_cost(role, to):
+    if role == to:
+        return 0
+    return 2 if role not in ("system", "user", "assistant") else 8 if "system" in (role, to) else 6
+
+
 def cheapest(roles):
-    """The least cost by trying every role for every turn."""
-    best = None
-    for to in itertools.product(range(1, 4), repeat=len(roles)):
-        state, cost = 0, 0
-        for r, t in zip(roles, to):
-            if (r, state, t) not in chat.STEPS:
-                break
-            cost += chat.STEPS[r, state, t][0]
-            state = t
-        else:
-            best = cost if best is None else min(best, cost)
-    return best
-
-
-def test_repair_is_cheapest_and_legal(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK_TURNS", 3)
+    """The least cost over every legal sequence of turns that the given ones can be merged into or sit between."""
+    follows = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    best = {"": 0}
+    for role in roles:
+        new = {}
+        for state, cost in best.items():
+            for to in ("system", "user", "assistant"):
+                ways = [3] if to == state else []  # a merge into the turn before
+                ways += [0] if to in follows[state] else []
+                ways += [5] if any(to in follows[mid] for mid in follows[state]) else []  # an empty turn between
+                if ways:
+                    new[to] = min(new.get(to, 10**9), cost + min(ways) + relabel_cost(role, to))
+        best = new
+    return min(best.values())
+
+
+def test_repair_is_cheapest_and_legal(spark):
     rng = random.Random(4)
     rows, roles = [], {}
     for c in range(60):
-        roles[c] = [rng.choice(["user", "assistant", "system", "human", "oracle", None]) for _ in range(rng.randrange(1, 8))]
+        roles[c] = [rng.choice(["user", "assistant", "system", "human", "oracle", None]) for _ in range(rng.randrange(1, 8) if c % 20 else 200)]
         rows += [(c, t, r, f"t{t}", 1) for t, r in enumerate(roles[c])]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost int")
     got = collections.defaultdict(list)
@@ -612,6 +619,32 @@ def test_repair_is_cheapest_and_legal(spark, monkeypatch):
     assert whole[0].startswith("<|") and all(f"t{t}\n" in whole[0] for t in range(len(roles[0])))
 
 
+def test_long_conversations_are_cut_anywhere(spark):
+    rng = random.Random(14)
+    roles = [rng.choice(["user", "assistant", "system", "gpt", "oracle", None]) for _ in range(900)]
+    rows = [(1, 5, r, f"{k:04}") for k, r in enumerate(sorted(roles, key=str))] + [(2, None, r, f"{k:04}") for k, r in enumerate(roles[:200])] + [(c, 0, "user", "x") for c in range(3, 90)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = chat.repair_roles(turns).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in (1, 2, 7):
+        mine = sorted((r for r in out if r.conv_id == c), key=lambda r: (r.block, r.nth, r.part))
+        given = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2] is not None, r[2] or "", r[3]))
+        assert legal([r.role for r in mine if not r.merged]) and [r.text for r in mine if r.part] == [r[3] for r in given]
+        assert {r.cost for r in mine} == {cheapest([chat.role_of(r[2]) for r in given])}
+    assert len({r.block >> 32 for r in out if r.conv_id == 1}) > 1
+
+
+def test_rendered_texts_begin_no_turn(spark):
+    rows = [(1, 0, "user", "a <|assistant|> b <\\|user|> c"), (1, 1, "assistant", "d")]
+    out = chat.rendered(chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first().text
+    assert out == "<|user|>\na <\\|assistant|> b <\\\\|user|> c\n<|assistant|>\nd\n"
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, None, None, None), (1, None, "user", "a"), (None, 1, "assistant", ""), (2, 5, "user", "x"), (2, 5, "user", "x"), (3, -7, "system", "long " * 10_000)]
