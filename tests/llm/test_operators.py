@@ -218,16 +218,31 @@ def phrases_by_hand(text, ref):
     return n
 
 
-def test_parse_matches_substrings():
+@pytest.mark.parametrize("block", [1, 5, 512])
+def test_parse_matches_substrings(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(8)
-    refs = {"a": "".join(rng.choice("xyz ") for _ in range(200)), "b": "".join(rng.choice("xyw ") for _ in range(200))}
+    refs = {"a": "".join(rng.choice("xyz ") for _ in range(200)), "b": "".join(rng.choice("xyw ") for _ in range(200)), "c": "xyxyxyxyxy \U0001d51c" * 5, "d": ""}
     p = langid.Parser(refs)
-    texts = ["".join(rng.choice("xyzw ") for _ in range(rng.randrange(1, 60))) for _ in range(50)]
+    texts = ["", "q", "xy" * 40, *("".join(rng.choice("xyzw \U0001d51c日") for _ in range(rng.randrange(1, 90))) for _ in range(60)), "".join(rng.choice("xyz ") for _ in range(3000))]
     got = p.phrases([p.encode(t) for t in texts])
-    # the walk takes an unknown letter with the phrase it ends
     for t, row in zip(texts, got):
-        for lang, n in zip(p.langs, row):
-            assert abs(n - phrases_by_hand(t, refs[lang])) <= sum(c not in refs[lang] for c in t) + 1
+        assert row.tolist() == [phrases_by_hand(t, refs[lang]) for lang in p.langs]
+
+
+def test_walk_has_the_automatons_transitions():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    trans, codes = langid.automaton(text), {c: k + 1 for k, c in enumerate("abcdefgh")}
+    walk = langid.Walk(trans, codes)
+    for c, k in codes.items():
+        state, fail = walk.step(np.arange(len(trans)), np.full(len(trans), k))
+        assert [q if not f else None for q, f in zip(state.tolist(), fail.tolist())] == [t.get(c) for t in trans]
+
+
+def test_language_ties(spark):
+    docs = frame(spark, [(i, "common words", lang, None) for i, lang in enumerate(["b", "a", "b", "a", "a", "b", "b", "a", "b", "a"])])
+    assert {r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()} == {"a"}
 
 
 def test_language_held_out(docs):
