@@ -429,6 +429,45 @@ def test_fingerprint_pairs(docs):
     assert all(0 <= x <= 1 for p in near for x in p) and np.mean([a > b for a, b in near]) > 0.95
 
 
+@pytest.mark.parametrize("total", [1, 40])
+def test_fingerprint_of_clustered_and_repeated_ids(spark, monkeypatch, total):
+    monkeypatch.setattr(fingerprint, "RUN_DOCS", total)
+    monkeypatch.setattr(fingerprint, "COARSE", 8)
+    rng = random.Random(1)
+    ids = [None] * 90 + [7] * 120 + [10**12 + k for k in range(60)] + [rng.randrange(10**15) for _ in range(60)]
+    rows = [(i, f"text {k} of many\nline {k % 7}" if k % 5 else "copies") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tied = df.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()
+    order = sorted(tied, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie), reverse=True)
+    want = collections.Counter()
+    for k, r in enumerate(order):
+        t, nxt = r.text, order[(k + 1) % len(order)].text
+        want[r.doc_id, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_pairs(df).collect()) == want
+
+
+def test_likeness_estimates_shared_chunks(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        a = [[f"w{rng.randrange(10**6)}" for _ in range(3)] for _ in range(120)]
+        share = k % 6 / 5
+        b = [x if rng.random() < share else [f"v{rng.randrange(10**6)}" for _ in range(3)] for x in a]
+        rows.append((k, "\n".join(map(" ".join, a)), "\n".join(map(" ".join, b)), sum(x == y for x, y in zip(a, b)) / 120))
+    df = spark.createDataFrame(rows, "k long, a string, b string, share double")
+    v = fingerprint.vectors(df, ["k"], "a").join(fingerprint.vectors(df, ["k"], "b").withColumnRenamed("vec", "other"), "k").join(df, "k")
+    off = [r.l - r.share for r in v.select("share", fingerprint.likeness(F.col("vec"), F.col("other")).alias("l")).collect()]
+    assert abs(np.mean(off)) < 0.05 and np.std(off) < 0.15
+
+
+def test_fingerprint_counts_more_chunks_than_a_sum_holds(spark):
+    lines = 1500
+    rows = spark.createDataFrame([("many", "\n".join(["a b c d e f"] * lines)), ("one", "a b c d e f"), ("wide", " ".join(["x"] * 9000))], "k string, t string")
+    vec = {r.k: r.vec for r in fingerprint.vectors(rows, ["k"], "t").collect()}
+    assert vec["many"] == [x * lines % (2**32 if i < 4 else 2**16) for i, x in enumerate(vec["one"])]
+    assert set(vec["wide"][4:]) == {3000, 2**16 - 3000}
+
+
 def test_fingerprint_is_homomorphic(spark):
     rows = spark.createDataFrame([("ab", "one two three four\nfive six seven"), ("ba", "five six seven\none two three four"), ("a", "one two three four"), ("b", "five six seven"), ("no", "")], "k string, t string")
     vec = {r.k: r.vec for r in fingerprint.vectors(rows, ["k"], "t").collect()}
