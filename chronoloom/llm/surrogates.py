@@ -1,15 +1,19 @@
 """Keyed surrogates for personal data that keep type, format, script and gender.
 
-Detected entities are replaced by the image of a keyed permutation of their own format's domain:
-digits stay digits, letters stay letters of their alphabet and case, card numbers keep their issuer
-digit and check rule, addresses stay public or private, given names move within the list of their
+Detected entities are replaced within their own format's domain: digits stay digits, letters stay
+letters of their alphabet and case, card numbers keep their issuer digit and check rule and IBANs
+theirs, addresses stay in their private block or public, given names move within the list of their
 gender and script, and a known surname within its list; other names keep their length, script and
-last letter. A person is found by a known given name before a capitalised word, or after a title or
-a cue; then each mention of the name's words in the document is replaced. A permutation has no collisions inside a
-domain, and the same entity has the same image in every document, so mentions stay coreferent. A
-corpus-wide check then compares the distinct entities and their surrogates: one that equals another
-entity of the corpus, or the surrogate of one, is drawn again under the next tweak until none is
-left. Only those few exceptions are carried to the rewriting pass.
+last letter. In each domain a keyed permutation puts all values on one cycle, and each is replaced
+by the next: no two share a surrogate and none keeps its own, and the same entity has the same one
+in every document, so mentions stay coreferent. A person is found by a known given name before a
+capitalised word, a known surname after one, a title or a cue, or an e-mail address of the same
+words; then each mention of the name's words in the document is replaced.
+
+A corpus-wide check then looks for surrogates that are entities of the corpus themselves. Those are
+drawn again under other keys, TWEAKS times, and take a draw that nobody has; in a domain so full that
+no draw is free they keep their first, which is nobody else's either. These exceptions are a table;
+the rewriting pass gets them by broadcast where they are counted to be few, else by a join.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hmac
 import math
 import re
+import secrets
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import BROADCAST_ROWS, documents, slices, stash
+from chronoloom.llm.common import documents, fresh, slices, stash
 
-KEY = b"surrogate-key-1"
-TWEAKS = 16
+#: Where the query finds its key, as text; without one it draws a key for this call.
+KEY_SETTING = "spark.chronoloom.surrogate.key"
+TWEAKS = 8
+#: Exceptions up to which they are broadcast.
+EXCEPTIONS = 100_000
 
 #: Given names by script and gender, surnames by script and form.
 GIVEN = {
@@ -78,45 +86,59 @@ _EVERY_TITLE = {t for k in _TITLES.values() for t in k}
 #: Capitalised words that begin sentences or follow a cue without being names.
 _NOT_NAMES = set("A About After All Also An And Any Are As At Be Because Before But By Can Colleague Colleagues Customer Did Do Does Editor For Friend Friends From Had Has Have He Her Here His How I If In Is It Its Madam May My No Not Now Of On Or Our Please Reader Readers She Sir So Some Team That The Their Then There These They This Those To Under Was We Were What When Where Which Who Why Will With You Your Der Die Das Ein Eine Und El La Los Las Le Les Un Une И В На Он Она Это Και Ο Η Το".split()) | _EVERY_TITLE
 _ALPHABETS = ["àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "άέήίόύώ", "ΆΈΉΊΌΎΏ", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+_SIGNS = "!#$%&()*+-./:<=>?@[]^_{|}~"
 _ALPHABET = {c: a for a in _ALPHABETS for c in a}
 
 
-def permute(n: int, x: int, key: bytes, label: str) -> int:
-    """A keyed permutation of 0 to n - 1 at x: an unbalanced Feistel network, walked until it stays inside."""
-    if n <= 1:
-        return x
+def _mixed_up(n: int, x: int, key: bytes, label: str, back: bool) -> int:
+    """A keyed permutation of 0 to n - 1 at x or its inverse: an unbalanced Feistel network, walked until it stays inside."""
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
     while True:
         left, right = divmod(x, a)
-        for r in range(8):
+        for r in reversed(range(8)) if back else range(8):
+            sign = -1 if back else 1
             if r % 2:
-                right = (right + _prf(key, label, r, n, left)) % a
+                right = (right + sign * _prf(key, label, r, n, left)) % a
             else:
-                left = (left + _prf(key, label, r, n, right)) % b
+                left = (left + sign * _prf(key, label, r, n, right)) % b
         x = left * a + right
         if x < n:
             return x
 
 
+def permute(n: int, x: int, key: bytes, label: str) -> int:
+    """The next of x on a keyed cycle through all of 0 to n - 1: x itself only where there is no other."""
+    if n <= 1:
+        return x
+    return _mixed_up(n, (_mixed_up(n, x, key, label, False) + 1) % n, key, label, True)
+
+
 def _prf(key: bytes, label: str, *parts: int) -> int:
     return int.from_bytes(hmac.digest(key, "/".join([label, *map(str, parts)]).encode(), "sha256")[:16], "big")
 
 
-def _cipher(text: str, key: bytes, label: str) -> str:
-    """Letters and digits by a permutation of all texts of the same pattern; other characters stay."""
-    sets = [_ALPHABET.get(c) for c in text]
+def _alphabet(c: str) -> str | None:
+    """The letters that c may become: a listed alphabet, or the letters of its case in its block of 64 code points."""
+    if c in _ALPHABET or not c.isalpha():
+        return _ALPHABET.get(c)
+    block = ord(c) & ~63
+    got = "".join(d for d in map(chr, range(block, block + 64)) if d.isalpha() and d not in _ALPHABET and (d.isupper(), d.islower()) == (c.isupper(), c.islower()))
+    return _ALPHABET.setdefault(c, got)
+
+
+def _cipher(text: str, key: bytes, label: str, sets: list[str | None] | None = None) -> str:
+    """The next text of the same pattern; characters without an alphabet stay. sets: each place's alphabet."""
+    sets = sets if sets is not None else [_alphabet(c) for c in text]
     if len([s for s in sets if s]) > 24:  # long texts in halves that depend on each other
         cut = len(text) // 2
-        head = _cipher(text[:cut], key, label)
-        tail = _cipher(text[cut:], key, f"{label}|{head}")
-        return head + tail
-    n = x = 0
-    size = 1
+        head = _cipher(text[:cut], key, label, sets[:cut])
+        return head + _cipher(text[cut:], key, f"{label}|{head}", sets[cut:])
+    x, size = 0, 1
     for c, s in zip(text, sets):
         if s:
             x, size = x * len(s) + s.index(c), size * len(s)
-    n = permute(size, x, key, f"{label}:{len(text)}:{''.join(str(len(s)) + ',' if s else c for c, s in zip(text, sets))}")
+    n = permute(size, x, key, f"{label}:{len(text)}:{''.join(s[0] + str(len(s)) + ',' if s else c for c, s in zip(text, sets))}")
     out = []
     for c, s in zip(reversed(text), reversed(sets)):
         if s:
@@ -142,9 +164,26 @@ def _fill(pattern: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in pattern)
 
 
-def _private(octets: list[int]) -> bool:
-    a, b = octets[:2]
-    return a in (0, 10, 127) or a >= 224 or (a, b) in ((192, 168), (169, 254)) or (a == 172 and 16 <= b < 32)
+#: First address and size of each block that is not public, fixed by the address registries.
+_BLOCKS = [(0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (169 << 24 | 254 << 16, 1 << 16), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16), (224 << 24, 1 << 29)]
+
+
+def _address(x: int, key: bytes, label: str) -> int:
+    """Another address of the same block, or another public one."""
+    below = 0
+    for first, size in _BLOCKS:
+        if first <= x < first + size:
+            return first + permute(size, x - first, key, f"{label}/{first}")
+        below += size if first < x else 0
+    x = permute((1 << 32) - sum(size for _, size in _BLOCKS), x - below, key, label)
+    for first, size in _BLOCKS:
+        x += size if x >= first else 0
+    return x
+
+
+def _check_digits(country: str, rest: str) -> int:
+    """The two check digits of an IBAN as a number."""
+    return 98 - int("".join(str(int(c, 36)) for c in rest + country) + "00") % 97
 
 
 def norm(kind: str, text: str) -> str:
@@ -152,22 +191,24 @@ def norm(kind: str, text: str) -> str:
     if kind == "email":
         return text.lower()
     if kind in ("card", "phone", "ssn"):
-        return "".join(c for c in text if c.isdigit())
+        digits = "".join(c for c in text if c.isdigit())
+        # a number of the North American plan is the same with its country code and without
+        return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
     if kind == "iban":
         return text.replace(" ", "")
     return text
 
 
-def surrogate(kind: str, name: str, key: bytes = KEY, tweak: int = 0) -> str:
+def surrogate(kind: str, name: str, key: bytes, tweak: int = 0) -> str:
     """The normal form's image; name is a normal form."""
     label = f"{kind}#{tweak}"
     if kind == "email":
         local, _, domain = name.partition("@")
         host, _, top = domain.rpartition(".")
-        if not host.endswith("example") and host != "example":
-            domain = f"{_cipher(host, key, label + 'd')}.{top}"
+        sub = host.removesuffix("example")
+        if sub == host:
+            domain = _walk(host, lambda t: _cipher(t, key, label + "d"), lambda t: not t.endswith("example")) + f".{top}"
         else:
-            sub = host.removesuffix("example")
             domain = f"{_cipher(sub, key, label + 'd')}example.{top}"
         return f"{_cipher(local, key, label)}@{domain}"
     if kind == "card":
@@ -177,17 +218,15 @@ def surrogate(kind: str, name: str, key: bytes = KEY, tweak: int = 0) -> str:
     if kind == "phone":
         keep = max(1, len(name) - 10) if len(name) > 10 else 0
         head, rest = name[:keep], name[keep:]
-        return head + _walk(rest, lambda t: _cipher(t, key, label + head), lambda t: t[0] not in "01" or rest[0] in "01")
+        sets = ["23456789" if rest[0] in "23456789" else "01", *["0123456789"] * (len(rest) - 1)]
+        return head + _cipher(rest, key, label + head, sets)
     if kind == "ip":
-        octets = [int(o) for o in name.split(".")]
-        want, x = _private(octets), int.from_bytes(bytes(octets), "big")
-        while True:
-            x = permute(1 << 32, x, key, label)
-            got = list(x.to_bytes(4, "big"))
-            if _private(got) == want and (not want or got[0] == octets[0]):
-                return ".".join(map(str, got))
+        x = int.from_bytes(bytes(int(o) for o in name.split(".")), "big")
+        return ".".join(map(str, _address(x, key, label).to_bytes(4, "big")))
     if kind == "iban":
-        return name[:2] + _cipher(name[2:], key, label + name[:2])
+        country, off, rest = name[:2], int(name[2:4]) - _check_digits(name[:2], name[4:]), name[4:]
+        rest = _cipher(rest, key, label + country)
+        return f"{country}{(_check_digits(country, rest) + off) % 100:02}{rest}"
     if kind == "access_key":
         return name[:4] + _mixed(name[4:], key, label + name[:4])
     if kind == "token":
@@ -205,7 +244,9 @@ def surrogate(kind: str, name: str, key: bytes = KEY, tweak: int = 0) -> str:
         known, end = (_GIVEN, _SURNAME)[kind == "surname"], name[-1] if len(name) > 3 else ""
         return _walk(name, lambda t: _cipher(t[: len(t) - len(end)], key, label + end) + end, lambda t: t not in known)
     if kind == "password" and re.fullmatch(r"[0-9a-f]{4,64}", name) and not name.isdigit():
-        return _mixed(name, key, label, "0123456789abcdef")
+        return _walk(name, lambda t: _mixed(t, key, label, "0123456789abcdef"), lambda t: not t.isdigit())
+    if kind == "password":
+        return _cipher(name, key, label, [_SIGNS if c in _SIGNS else _alphabet(c) for c in name])
     return _cipher(name, key, label)
 
 
@@ -225,7 +266,8 @@ def _mixed(text: str, key: bytes, label: str, abc: str = "ABCDEFGHIJKLMNOPQRSTUV
 def restore(kind: str, text: str, image: str) -> str:
     """image in the format of the mention text."""
     if kind in ("card", "phone", "ssn"):
-        return _fill(text, image)
+        digits = "".join(c for c in text if c.isdigit())
+        return _fill(text, digits[: len(digits) - len(image)] + image)
     if kind == "iban":
         it = iter(image)
         return "".join(c if c == " " else next(it) for c in text)
@@ -237,8 +279,8 @@ def restore(kind: str, text: str, image: str) -> str:
     return image
 
 
-def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of each entity, in order, not overlapping."""
+def mentions(text: str, given: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, normal form) of each entity, in order, not overlapping. given: further given names."""
     out, names_out = [], []
     if _HINT.search(text):
         for m in PATTERN.finditer(text):
@@ -249,7 +291,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             out.append((m.start(), m.end(), kind, digits))
-    names = _names(text)
+    names = _names(text, given, [n for *_, k, n in out if k == "email"])
     if names:
         starts = [a for a, *_ in out]
         for m in _WORD.finditer(text):
@@ -261,14 +303,20 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out + names_out)
 
 
-def _names(text: str) -> dict[str, str]:
+def _names(text: str, known: frozenset[str], emails: list[str]) -> dict[str, str]:
     """The words of persons' names in text, each given or surname; every mention of them counts, also a single one."""
     names = {}
     for m in _NAMES.finditer(text):
         given, last = m.groups()
-        if given in _GIVEN and last not in _NOT_NAMES and len(last) > 1 and not last.isupper():
+        if last in _NOT_NAMES or len(last) < 2 or last.isupper():
+            continue
+        if given in _GIVEN or given in known:
+            names.setdefault(given, "given")
+            names.setdefault(last, "given" if last in _GIVEN or last in known else "surname")
+        # a known surname: the word before it is a name too, unless the text has it in lower case
+        elif last in _SURNAME and given not in _NOT_NAMES and not given.isupper() and not re.search(rf"\b{given.lower()}\b", text):
             names.setdefault(given, "given")
-            names.setdefault(last, "given" if last in _GIVEN else "surname")
+            names.setdefault(last, "surname")
     for m in _CALLED.finditer(text):
         words = []
         for w in m["words"].split(" "):
@@ -278,9 +326,14 @@ def _names(text: str) -> dict[str, str]:
             if w[-1] == "." and len(w) > 2:
                 break
         for k, w in enumerate(words):
-            alone = "surname" if m["title"] and w not in _GIVEN else "given"
+            alone = "surname" if m["title"] and w not in _GIVEN and w not in known else "given"
             if len(w) > 1:
                 names.setdefault(w, alone if len(words) == 1 else "surname" if k == len(words) - 1 else "given")
+    for mail in emails:  # john.doe@... names John Doe where the text has these words together
+        parts = [p.capitalize() for p in re.split(r"[^a-z]+", mail.partition("@")[0]) if len(p) > 2]
+        if len(parts) == 2 and re.search(rf"\b{parts[0]} {parts[1]}\b", text):
+            names.setdefault(parts[0], "given")
+            names.setdefault(parts[1], "surname")
     return names
 
 
@@ -290,94 +343,132 @@ def _luhn_odd(digits: str) -> bool:
 
 
 class Rewriter:
-    def __init__(self, key: bytes, exceptions: dict[tuple[str, str], int] | None = None):
-        self.key, self.exceptions = key, exceptions or {}
-        self.known: dict[tuple[str, str], str] = {}
+    def __init__(self, key: bytes, given: frozenset[str]):
+        self.key, self.given = key, given
+        self.known: dict[tuple[str, str, int], str] = {}
 
-    def image(self, kind: str, name: str) -> str:
-        got = self.known.get((kind, name))
+    def image(self, kind: str, name: str, tweak: int) -> str:
+        got = self.known.get((kind, name, tweak))
         if got is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            got = self.known[kind, name] = surrogate(kind, name, self.key, self.exceptions.get((kind, name), 0))
+            got = self.known[kind, name, tweak] = surrogate(kind, name, self.key, tweak)
         return got
 
-    def rewrite(self, text: str) -> tuple[str, int]:
-        found = mentions(text)
+    def rewrite(self, text: str, exceptions: dict[tuple[str, str], int]) -> tuple[str, int]:
+        found = mentions(text, self.given)
         if not found:
             return text, 0
         parts, at = [], 0
         for a, b, kind, name in found:
-            parts += [text[at:a], restore(kind, text[a:b], self.image(kind, name))]
+            parts += [text[at:a], restore(kind, text[a:b], self.image(kind, name, exceptions.get((kind, name), 0)))]
             at = b
         return "".join([*parts, text[at:]]), len(found)
 
 
-def _extract(key: bytes):
+def _strings(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(len(names))], names)
+
+
+def _extract(key: bytes, given: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(k, n) for part in slices([batch]) for t in part.column("text").to_pylist() if t for _, _, k, n in mentions(t)}
-            rows = [(k, n, surrogate(k, n, key)) for k, n in sorted(seen)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], ["kind", "name", "image"])
+            seen = {(k, n) for part in slices([batch]) for t in part.column("text").to_pylist() if t for _, _, k, n in mentions(t, given)}
+            yield _strings([(k, n, surrogate(k, n, key)) for k, n in sorted(seen)], ["kind", "name", "image"])
+
+    return run
+
+
+def _mentioned(given: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = sorted({(h, k, n) for h, t in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()) if t for _, _, k, n in mentions(t, given)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *_strings([r[1:] for r in rows], ["kind", "name"]).columns], ["th", "kind", "name"])
 
     return run
 
 
-def _again(key: bytes):
+def _again(key: bytes, tweak: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, name, tweak = (batch.column(c).to_pylist() for c in ("kind", "name", "tweak"))
-            image = [surrogate(k, n, key, t) for k, n, t in zip(kind, name, tweak)]
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(name, pa.string()), pa.array(tweak, pa.int32()), pa.array(image, pa.string())], ["kind", "name", "tweak", "image"])
+            rows = list(zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist()))
+            yield _strings([(k, n, surrogate(k, n, key, tweak)) for k, n in rows], ["kind", "name", "image"])
 
     return run
 
 
-def assign(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, name, tweak, image) of each distinct entity, after the collision checks."""
-    table = docs.select("text").mapInArrow(_extract(key), "kind string, name string, image string").distinct()
-    table = stash(table.select("kind", "name", F.lit(0).alias("tweak"), "image"), "entities")
-    for tweak in range(1, TWEAKS):
-        images = table.groupBy("kind", "image").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1")
-        twice = table.join(images, ["kind", "image"]).where("name <> first").select("kind", "name")
-        others = table.select("kind", F.col("name").alias("image"))
-        used = table.where(~F.col("kind").isin("given", "surname")).join(others, ["kind", "image"], "left_semi").select("kind", "name")
-        bad = stash(twice.unionByName(used).distinct(), "collisions")
-        if not bad.limit(1).count():
-            return table
-        new = bad.select("kind", "name", F.lit(tweak).alias("tweak")).mapInArrow(_again(key), "kind string, name string, tweak int, image string")
-        table = stash(table.join(bad, ["kind", "name"], "left_anti").unionByName(new), "entities")
-    raise RuntimeError("surrogates still collide")
-
-
-def _rewrite(rewriter: Rewriter, schema: list[str], where: int):
+def assign(docs: DataFrame, key: bytes, given: frozenset[str] = frozenset()) -> DataFrame:
+    """(kind, name, tweak, image) of each distinct entity of docs (text): images differ from each
+    other and from their names, and from all names as far as the domains have room; persons' names
+    come from lists, so there another person's name is no collision."""
+    table = docs.select("text").mapInArrow(_extract(key, given), "kind string, name string, image string").distinct()
+    table = stash(table, "entities")
+    names = table.select("kind", F.col("name").alias("image"))
+    held = table.select("kind", "image").unionByName(names)
+    left = table.where(~F.col("kind").isin("given", "surname")).join(names, ["kind", "image"], "left_semi").select("kind", "name")
+    left = stash(left, "collisions")
+    found = []
+    for tweak in range(1, TWEAKS + 1):
+        if not left.limit(1).count():
+            break
+        drawn = left.mapInArrow(_again(key, tweak), "kind string, name string, image string")
+        free = drawn.join(held, ["kind", "image"], "left_anti").groupBy("kind", "image").agg(F.min("name").alias("name"))
+        free = stash(free.select("kind", "name", F.lit(tweak).alias("tweak"), F.col("image").alias("drawn")), "drawn")
+        found.append(free)
+        held = held.unionByName(free.select("kind", F.col("drawn").alias("image")))
+        left = stash(left.join(free, ["kind", "name"], "left_anti"), "collisions")
+    if not found:
+        return table.select("kind", "name", F.lit(0).alias("tweak"), "image")
+    moved = found[0]
+    for more in found[1:]:
+        moved = moved.unionByName(more)
+    return table.join(moved, ["kind", "name"], "left").select("kind", "name", F.coalesce("tweak", F.lit(0)).alias("tweak"), F.coalesce("drawn", "image").alias("image"))
+
+
+def _rewrite(rewriter: Rewriter, schema: list[str], where: int, shared, own: str):
+    """shared: the exceptions of all texts; without them each row brings its own in a column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            done = [(None, 0) if t is None else rewriter.rewrite(t) for t in batch.column(where).to_pylist()]
-            cols = batch.columns
+            texts = batch.column(where).to_pylist()
+            if shared is not None:
+                mine = [shared.value] * len(texts)
+            else:
+                mine = [{(x["kind"], x["name"]): x["tweak"] for x in row or ()} for row in batch.column(own).to_pylist()]
+            done = [(None, 0) if t is None else rewriter.rewrite(t, x) for t, x in zip(texts, mine)]
+            cols = batch.columns[: len(schema) - 1]
             cols[where] = pa.array([d[0] for d in done], pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int32())], schema)
 
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str = "n_replaced") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, count: str = "n_replaced", given: frozenset[str] = frozenset()) -> DataFrame:
     """docs with every detected entity in text replaced, and the number of replacements.
 
-    Null texts stay null with a count of 0; texts without an entity come back as they were. The
-    exceptions that the rewriting pass carries are entities that collided; they are checked to be
-    few before they leave the cluster.
+    key: whoever has it can undo the surrogates. given: given names to know besides the lists, of any
+    script. Null texts stay null with a count of 0; empty texts and texts without an entity come back
+    as they were; texts are read whole, however long. Equal texts get equal surrogates, and rows that
+    repeat are each rewritten. Other columns stay, a column named like count is replaced. An empty
+    table stays empty.
     """
     docs = docs.drop(count)
-    odd = assign(docs, key).where("tweak > 0").select("kind", "name", "tweak")
-    rows = odd.limit(BROADCAST_ROWS // 10 + 1).collect()
-    if len(rows) > BROADCAST_ROWS // 10:
-        raise RuntimeError("too many colliding entities for one rewriting pass: use another key")
-    rewriter = Rewriter(key, {(r.kind, r.name): r.tweak for r in rows})
+    odd = stash(assign(docs, key, given).where("tweak > 0").select("kind", "name", "tweak"), "exceptions")
+    spark, names = docs.sparkSession, [*docs.columns, count]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{count}` int"
-    return docs.mapInArrow(_rewrite(rewriter, [*docs.columns, count], docs.columns.index("text")), schema)
+    rewriter, where, own = Rewriter(key, given), docs.columns.index("text"), fresh(docs, "su_own")
+    if odd.limit(EXCEPTIONS + 1).count() <= EXCEPTIONS:
+        shared = spark.sparkContext.broadcast({(r.kind, r.name): r.tweak for r in odd.collect()})
+        return docs.mapInArrow(_rewrite(rewriter, names, where, shared, own), schema)
+    th = fresh(docs, "su_text")
+    found = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("th"), "text").mapInArrow(_mentioned(given), "th long, kind string, name string").distinct()
+    lists = found.join(odd, ["kind", "name"]).groupBy("th").agg(F.collect_list(F.struct("kind", "name", "tweak")).alias(own)).withColumnRenamed("th", th)
+    met = docs.withColumn(th, F.xxhash64("text")).join(lists, th, "left").select(*docs.columns, own)
+    return met.mapInArrow(_rewrite(rewriter, names, where, None, own), schema)
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, n_replaced) of each document."""
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    """(doc_id, text, n_replaced) of each document. The key is the session's KEY_SETTING; where that is
+    unset, one is drawn for this call, and another call gives other surrogates."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key.encode() if key else secrets.token_bytes(32))
