@@ -71,6 +71,8 @@ _HINT = re.compile(r"[@+]|\d[ .-]?\d[ .-]?\d|password=|passwd=|A[KS]IA|ghp_|gho_
 _CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ]"
 #: Two capitalised words in a row; the first is then looked up among the given names.
 _NAMES = re.compile(rf"\b({_CAPITAL}\w+)(?= ({_CAPITAL}\w*(?:-\w+)?)\b)")
+#: What stands before a word inside a sentence.
+_INSIDE = re.compile(r"[\w,;)] $")
 #: A word of a name; its first letter's case is looked at afterwards.
 _NAME = r"[^\W\d_]\w*(?:-\w+|['’](?=[^\W\d_]{2})\w+)*"
 _WORD, _PART = re.compile(_NAME), re.compile(r"\w+")
@@ -313,8 +315,8 @@ def _names(text: str, known: frozenset[str], emails: list[str]) -> dict[str, str
         if given in _GIVEN or given in known:
             names.setdefault(given, "given")
             names.setdefault(last, "given" if last in _GIVEN or last in known else "surname")
-        # a known surname: the word before it is a name too, unless the text has it in lower case
-        elif last in _SURNAME and given not in _NOT_NAMES and not given.isupper() and not re.search(rf"\b{given.lower()}\b", text):
+        # a known surname: the word before it is a name too, unless it begins a sentence or the text has it in lower case
+        elif last in _SURNAME and given not in _NOT_NAMES and not given.isupper() and _INSIDE.search(text, max(0, m.start() - 3), m.start()) and not re.search(rf"\b{given.lower()}\b", text):
             names.setdefault(given, "given")
             names.setdefault(last, "surname")
     for m in _CALLED.finditer(text):
