@@ -74,9 +74,14 @@ def strict_number(c: Column, low, high, label: str) -> Column:
     return F.when(ok, x).otherwise(F.raise_error(F.lit(f"{label}: not a number from {low} to {high}")).cast("double"))
 
 
-def strong_attack(broad_peak: Column, harmonic_peak: Column, broad_ratio: Column, harmonic_ratio: Column, rise_db: Column, strict: bool = False) -> Column:
-    """Whether onset metrics show an attack: both bands clearly, or one of them and a rise in level."""
-    bar, ratio, rise = (0.5, 2.5, 4.0) if strict else (0.35, 1.8, 2.5)
-    both = (broad_peak >= bar) & (harmonic_peak >= bar) & (broad_ratio >= ratio) & (harmonic_ratio >= ratio)
-    one = (F.greatest(broad_peak, harmonic_peak) >= 1.5 * bar) & (F.greatest(broad_ratio, harmonic_ratio) >= 1.5 * ratio) & (rise_db >= rise)
-    return F.coalesce(both | one, F.lit(False))
+def strong_attack(broad_peak: Column, harmonic_peak: Column, broad_ratio: Column, harmonic_ratio: Column, rise_db: Column, reset_db: Column, strict: bool = False) -> Column:
+    """Whether onset metrics show an attack: a peak in one band with a rise or a reset of the level, or, unless
+    strict, a clear peak in both bands. Missing metrics show none."""
+    if strict:
+        peak = ((broad_peak >= 0.75) & (broad_ratio >= 2.7)) | ((harmonic_peak >= 0.60) & (harmonic_ratio >= 2.7))
+        found = peak & ((rise_db >= 3.5) | (reset_db >= 6.0))
+    else:
+        peak = ((broad_peak >= 0.45) & (broad_ratio >= 2.1)) | ((harmonic_peak >= 0.38) & (harmonic_ratio >= 2.05))
+        both = (broad_peak >= 0.65) & (harmonic_peak >= 0.45) & (broad_ratio >= 3.4) & (harmonic_ratio >= 2.5)
+        found = peak & ((rise_db >= 2.0) | (reset_db >= 3.9) | both)
+    return F.coalesce(found, F.lit(False))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Weights of hints in part names, added up over all hints that a name contains.
-NAME_HINTS = {"vocals": 8, "vocal": 8, "voice": 7, "melody": 7, "lead": 5, "solo": 3, "piano": -2, "bass": -4, "drum": -8, "accompaniment": -5}
+NAME_HINTS = {
+    "vocal": 8, "vocals": 8, "voice": 7, "melody": 7, "lead": 5, "singer": 5, "solo": 2, "right hand": 1.5, "rh": 1,
+    "drum": -12, "percussion": -12, "bass": -5, "left hand": -4, "lh": -2, "accompan": -4, "harmony": -3, "chord": -3,
+}
 
 
 def clean_text(c: Column, limit: int = 300) -> Column:
@@ -87,8 +90,8 @@ def clock(seconds: Column) -> Column:
     return F.when(good, F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))).otherwise("0:00")
 
 
-def name_score(name: Column, hints: dict[str, int] = NAME_HINTS) -> Column:
-    total = F.lit(0)
+def name_score(name: Column, hints: dict[str, float] = NAME_HINTS) -> Column:
+    total = F.lit(0.0)
     for hint, weight in hints.items():
         total = total + F.when(F.lower(name).contains(hint), weight).otherwise(0)
     return F.coalesce(total, F.lit(0))

@@ -1,117 +1,171 @@
 """Ordered folds: operators whose every step reads the result of the step before.
 
-Simple carries are `aggregate` folds over a group's sorted array. Decoding, alignment and signal
-work run in Python, one group at a time, over Arrow batches; a group is one track.
+Carries are one Arrow pass over partitions sorted by group and time: a step keeps what it carries and
+nothing else, so time is linear and memory does not grow with a group. Decoding, alignment and signal
+work run one group at a time; a group is one track.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+# ---- folds over sorted partitions ---------------------------------------------------------------
 
-# ---- folds in the JVM -------------------------------------------------------------------------
-
+#: Rows of a batch that a fold gives back.
+BATCH = 8192
 
-def sorted_events(df: DataFrame, by: list[str], *fields: str) -> DataFrame:
-    """One row for each group: its events as an array of structs, ordered by the fields."""
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("events"))
 
+def fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], step: Callable[[Iterator[tuple]], Iterable[tuple]], out: str) -> DataFrame:
+    """by and the columns of out: what step yields for each group's rows of fields, sorted by order."""
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    names, n = [*by, *fields], len(by)
+    schema = f"{kinds}, {out}"
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
-def anchors(events: Column, window: int, start: str) -> Column:
-    """The start of each event's group: a new group where it lies more than `window` after the group's first start."""
-    first = F.array().cast("array<long>")
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    def step(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.concat(acc, F.array(F.when(e[start] - last <= window, last).otherwise(e[start])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(len(names)))))
+        held: list[tuple] = []
+        for key, group in groupby(rows, key=lambda r: r[:n]):
+            for got in step(r[n:] for r in group):
+                held.append(key + got)
+                if len(held) == BATCH:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
 
-    return F.aggregate(events, first, step)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).select(*names).mapInArrow(run, schema)
 
 
 def anchored_groups(df: DataFrame, by: list[str], window: int, start: str = "start_us", tie: str = "note_id") -> DataFrame:
     """by, start, tie, anchor: events grouped around the first of each group, not chained."""
-    rows = sorted_events(df, by, start, tie).withColumn("anchor", anchors(F.col("events"), window, start))
-    return rows.select(*by, F.explode(F.arrays_zip("events", "anchor")).alias("p")).select(*by, f"p.events.{start}", f"p.events.{tie}", F.col("p.anchor").alias("anchor"))
+
+    def step(rows):
+        anchor = None
+        for at, name in rows:
+            if anchor is None or at - anchor > window:
+                anchor = at
+            yield at, name, anchor
+
+    return fold(df, by, [start, tie], [start, tie], step, f"{start} long, {tie} long, anchor long")
 
 
 def suppress_onsets(df: DataFrame, by: list[str], gap: int, start: str = "start_us", strength: str = "strength_pct", tie: str = "note_id") -> DataFrame:
     """Of onsets closer than `gap` to the last kept one the stronger stays, and the anchor moves to it."""
-    rows = sorted_events(df, by, start, tie, strength)
-    empty = F.slice(F.col("events"), 1, 0)
 
-    def step(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        near = (F.size(acc) > 0) & (e[start] - last[start] < gap)
-        swap = F.when(e[strength] > last[strength], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(e))).otherwise(acc)
-        return F.when(near, swap).otherwise(F.concat(acc, F.array(e)))
+    def step(rows):
+        last = None
+        for row in rows:
+            if last is None or row[0] - last[0] >= gap:
+                if last:
+                    yield last
+                last = row
+            elif row[2] > last[2]:
+                last = row
+        if last:
+            yield last
 
-    return rows.select(*by, F.explode(F.aggregate("events", empty, step)).alias("e")).select(*by, f"e.{start}", f"e.{tie}", f"e.{strength}")
+    return fold(df, by, [start, tie], [start, tie, strength], step, f"{start} long, {tie} long, {strength} long")
 
 
 def monophonic(df: DataFrame, by: list[str], near: int, shortest: int, start: str = "start_us", dur: str = "dur_us", conf: str = "conf_pct", tie: str = "note_id") -> DataFrame:
     """One voice: onsets within `near` of the last kept collapse to the surer, then longer one; a note ends
     where the next starts; one left shorter than `shortest` goes, possibly one kept before."""
-    rows = df.select(*by, F.struct(F.col(start).alias("s"), (-F.col(conf)).alias("c"), F.col(tie).alias("i"), F.col(dur).alias("d")).alias("e")).groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("events"))
-    empty = F.slice(F.col("events"), 1, 0)
 
-    def collapse(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        close = (F.size(acc) > 0) & (e.s - last.s < near)
-        better = (e.c < last.c) | ((e.c == last.c) & (e.d > last.d))
-        kept = F.when(better, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(e))).otherwise(acc)
-        return F.when(close, kept).otherwise(F.concat(acc, F.array(e)))
+    def collapsed(rows):
+        last = None
+        for row in rows:  # at, conf, tie, dur
+            if last is None or row[0] - last[0] >= near:
+                if last:
+                    yield last
+                last = row
+            elif (row[1], row[3]) > (last[1], last[3]):
+                last = row
+        if last:
+            yield last
+
+    def step(rows):
+        held = None
+        for at, _, name, length in collapsed(rows):
+            if length < shortest:
+                continue
+            if held:
+                cut = min(held[2], at - held[0])
+                if cut >= shortest:
+                    yield held[0], held[1], cut
+            held = (at, name, length)
+        if held:
+            yield held
 
-    def trim(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        cut = F.least(last.d, e.s - last.s)
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        fitted = F.when(cut >= shortest, F.concat(head, F.array(F.struct(last.s.alias("s"), last.c.alias("c"), last.i.alias("i"), cut.alias("d"))))).otherwise(head)
-        before = F.when(F.size(acc) > 0, fitted).otherwise(acc)
-        return F.when(e.d < shortest, acc).otherwise(F.concat(before, F.array(e)))
+    rows = df.withColumn("sure", -F.col(conf))
+    return fold(rows, by, [start, "sure", tie], [start, conf, tie, dur], step, f"{start} long, {tie} long, {dur} long")
 
-    kept = F.aggregate(F.aggregate("events", empty, collapse), empty, trim)
-    return rows.select(*by, F.explode(kept).alias("e")).select(*by, F.col("e.s").alias(start), F.col("e.i").alias(tie), F.col("e.d").alias(dur))
 
+#: The open strings and the highest fret of the instrument, and its costs in thousandths: a fret, a fret
+#: past the 12th, and moves by strings and by frets.
+OPEN_STRINGS, HIGHEST_FRET = (40, 45, 50, 55, 59, 64), 22
+FRET, FAR_FRET, STRING_MOVE, FRET_MOVE = 130, 200, 160, 25
 
-def lanes(df: DataFrame, by: list[str], start: str = "start_us", tie: str = "note_id", midi: str = "midi", frets: int = 22, opened: tuple[int, ...] = (40, 45, 50, 55, 59, 64)) -> DataFrame:
-    """String and fret of each note: cheap frets, short moves from the place chosen before; ties to the higher string.
 
-    Costs are in hundredths: 13 a fret, 20 a fret past the 12th, moves as 35 a string and 22 a fret.
-    """
-    rows = sorted_events(df, by, start, tie, midi)
-    start_acc = F.array().cast("array<struct<string:int,fret:int>>")
+def lane_of(midi: int, last: tuple[int, int] | None) -> tuple[int, int]:
+    """String and fret of a pitch, folded into the instrument's range by octaves, after the place before it."""
+    low, high = OPEN_STRINGS[0], OPEN_STRINGS[-1] + HIGHEST_FRET
+    if midi < low:
+        midi += 12 * (-(-(low - midi) // 12))
+    if midi > high:
+        midi -= 12 * (-(-(midi - high) // 12))
+    spots = [(midi - o, -s) for s, o in enumerate(OPEN_STRINGS) if 0 <= midi - o <= HIGHEST_FRET]
+
+    def cost(spot):
+        fret, string = spot[0], -spot[1]
+        move = STRING_MOVE * abs(string - last[0]) + FRET_MOVE * abs(fret - last[1]) if last else 0
+        return FRET * fret + FAR_FRET * max(0, fret - 12) + move, -string
 
-    def step(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        spots = F.array(*(F.struct(F.lit(s).alias("string"), (e[midi] - o).cast("int").alias("fret")) for s, o in enumerate(opened)))
-        good = F.filter(spots, lambda p: (p.fret >= 0) & (p.fret <= frets))
+    fret, string = min(spots, key=cost)
+    return -string, fret
 
-        def cost(p):
-            move = F.when(F.size(acc) > 0, F.abs(p.string - last.string) * 35 + F.abs(p.fret - last.fret) * 22).otherwise(0)
-            return F.struct((p.fret * 13 + F.greatest(F.lit(0), p.fret - 12) * 20 + move).alias("cost"), (-p.string).alias("up"), p.alias("p"))
 
-        return F.when(F.size(good) > 0, F.concat(acc, F.array(F.array_min(F.transform(good, cost)).getField("p")))).otherwise(F.concat(acc, F.array(F.struct(F.lit(None).cast("int").alias("string"), F.lit(None).cast("int").alias("fret")))))
+def lanes(df: DataFrame, by: list[str], start: str = "start_us", tie: str = "note_id", midi: str = "midi") -> DataFrame:
+    """String and fret of each note: cheap frets, short moves from the place before; ties to the higher string."""
 
-    placed = rows.withColumn("spots", F.aggregate("events", start_acc, step))
-    return placed.select(*by, F.explode(F.arrays_zip("events", "spots")).alias("p")).select(*by, f"p.events.{tie}", "p.spots.string", "p.spots.fret")
+    def step(rows):
+        last = None
+        for name, pitch in rows:
+            last = lane_of(pitch, last)
+            yield name, *last
+
+    return fold(df, by, [start, tie], [tie, midi], step, f"{tie} long, string int, fret int")
 
 
 def merge_same_pitch(df: DataFrame, by: list[str], gap: int, start: str = "start_us", stop: str = "end_us", tie: str = "note_id", value: str = "conf_pct", attack: str = "attack") -> DataFrame:
     """Events of a group (a pitch) join the merged one before if the rest is at most `gap` and they have no attack of their own."""
-    rows = df.select(*by, F.struct(F.col(start).alias("s"), F.col(tie).alias("i"), F.col(stop).alias("t"), F.col(value).alias("v"), F.col(attack).alias("a")).alias("e")).groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("events"))
-    empty = F.slice(F.col("events"), 1, 0)
 
-    def step(acc, e):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (e.s - last.t <= gap) & ~e.a
-        one = F.struct(last.s.alias("s"), last.i.alias("i"), F.greatest(last.t, e.t).alias("t"), F.greatest(last.v, e.v).alias("v"), last.a.alias("a"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(acc, F.array(e)))
+    def step(rows):
+        last = None
+        for at, name, end, worth, attacked in rows:
+            if last and at - last[2] <= gap and not attacked:
+                last = (last[0], last[1], max(last[2], end), max(last[3], worth))
+            else:
+                if last:
+                    yield last
+                last = (at, name, end, worth)
+        if last:
+            yield last
 
-    return rows.select(*by, F.explode(F.aggregate("events", empty, step)).alias("e")).select(*by, F.col("e.s").alias(start), F.col("e.i").alias(tie), F.col("e.t").alias(stop), F.col("e.v").alias(value))
+    return fold(df, by, [start, tie], [start, tie, stop, value, attack], step, f"{start} long, {tie} long, {stop} long, {value} long")
 
 
 def separate_onsets(df: DataFrame, by: list[str], near: int, start: str = "start_us", rank: str = "rank", tie: str = "note_id") -> DataFrame:
@@ -165,42 +219,63 @@ def viterbi(emission: np.ndarray, switch: np.ndarray) -> np.ndarray:
     return path
 
 
-def triad_templates() -> np.ndarray:
-    out = np.zeros((24, 12))
-    for k in range(12):
-        for row, third in ((k, 4), (k + 12, 3)):
-            out[row, [k, (k + third) % 12, (k + 7) % 12]] = 1
-    return out
-
-
-def chord_emissions(chroma: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Scores of 24 triads and no chord for each frame: cosine and coverage of the template."""
-    t = triad_templates()
-    norm = np.linalg.norm(chroma, axis=1, keepdims=True)
-    cosine = chroma @ t.T / np.maximum(norm * np.sqrt(3), 1e-12)
-    coverage = chroma @ t.T / np.maximum(chroma.sum(axis=1, keepdims=True), 1e-12)
-    triads = 0.8 * cosine + 0.2 * coverage
-    quiet = (level <= 0) | (norm[:, 0] <= 1e-12)
-    flat = cosine.max(axis=1) < 0.6
-    none = np.where(quiet, 1.3, np.where(flat, 0.78, 0.42))
-    return np.c_[triads, none]
+#: Fixed values of the chord model: weights of root, third and fifth; share of the cosine, of the coverage and the penalty
+#: of a triad that lacks a note; scores of no chord in a quiet, an ambiguous and a clear frame.
+TRIAD_WEIGHTS = np.array([1, 0.9, 0.75])
+COSINE, COVERAGE, LACKING, LEAST_NOTE = 0.8, 0.2, 0.15, 0.025
+NO_CHORD_QUIET, NO_CHORD_AMBIGUOUS, NO_CHORD_CLEAR, QUIETENED = 1.3, 0.78, 0.42, 0.25
+CHANGE, CHANGE_NONE = 0.95, 0.80
+_TRIADS = np.array([[k % 12, (k + (4 if k < 12 else 3)) % 12, (k + 7) % 12] for k in range(24)])
+
+
+def chord_emissions(chroma: np.ndarray, rms: np.ndarray, flatness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of 24 triads and no chord for each frame, and each frame's confidence."""
+    n = len(chroma)
+    padded = np.pad(chroma, ((2, 2), (0, 0)))
+    wide = sum(w * padded[k : k + n] for k, w in enumerate((1, 2, 3, 2, 1)))
+    total = wide.sum(axis=1)
+    wide = wide / np.where(total, total, 1)[:, None]
+    parts = wide[:, _TRIADS]  # frames, triads, notes of a triad
+    coverage, support = parts.sum(axis=2), parts.min(axis=2)
+    norm = np.sqrt((wide**2).sum(axis=1))
+    cosine = parts @ TRIAD_WEIGHTS / (norm * np.sqrt((TRIAD_WEIGHTS**2).sum()) + 1e-12)[:, None]
+    triads = COSINE * cosine + COVERAGE * coverage - np.where(support < LEAST_NOTE, LACKING, 0)
+    rows, best = np.arange(n), triads.argmax(axis=1)
+    high = np.maximum(triads[rows, best], 0)
+    second = np.maximum(np.partition(triads, -2, axis=1)[:, -2], 0)
+    found = triads[rows, best] > 0
+    of_best, least = np.where(found, coverage[rows, best], 0), np.where(found, support[rows, best], 0)
+    silence = max(1e-5, np.sort(rms)[int(n * 0.9)] * 0.022)
+    mute = (rms < silence) | (total < 1e-12) | (flatness > 0.42)
+    ambiguous = (least < LEAST_NOTE) | ((high - second < 0.02) & (of_best < 0.65))
+    none = np.where(mute, NO_CHORD_QUIET, np.where(ambiguous, NO_CHORD_AMBIGUOUS, NO_CHORD_CLEAR))
+    sure = np.clip(of_best * (1 - flatness) * (0.42 + 0.48 * np.clip((high - second) / 0.2, 0, 1)), 0, 0.9)
+    return np.c_[np.where(mute[:, None], QUIETENED * triads, triads), none], np.where(mute, 0, sure)
+
+
+def chord_runs(time: np.ndarray, rms: np.ndarray, flatness: np.ndarray, chroma: np.ndarray, duration: float) -> list[tuple[float, float, str, float]]:
+    """(start, end, chord, confidence) of the best chord path; borders lie half a step before a run's first frame."""
+    switch = np.full((25, 25), CHANGE)
+    switch[24, :] = switch[:, 24] = CHANGE_NONE
+    np.fill_diagonal(switch, 0)
+    scores, sure = chord_emissions(chroma, rms, flatness)
+    path = viterbi(scores, switch)
+    first = np.r_[0, np.flatnonzero(np.diff(path)) + 1]
+    half = (time[1] - time[0] if len(time) > 1 else duration) / 2
+    border = np.r_[0.0, np.clip(time[first[1:]] - half, 0, duration), duration]
+    means = np.add.reduceat(sure, first) / np.diff(np.r_[first, len(path)])
+    names = [*PITCHES, NO_CHORD]
+    return [(float(border[k]), float(border[k + 1]), names[path[f]], float(means[k]) if path[f] < 24 else 0.0) for k, f in enumerate(first)]
 
 
 def decode_chords(frames: DataFrame, by: list[str], hop_s: float) -> DataFrame:
-    """by, start, end, chord, confidence: runs of the best chord path over frames (frame, rms, chroma)."""
-    switch = np.full((25, 25), 0.95)
-    switch[24, :] = switch[:, 24] = 0.80
-    np.fill_diagonal(switch, 0)
+    """by, start, end, chord, confidence: runs of the best chord path over frames (time, rms, flatness, chroma) of a hop each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        em = chord_emissions(np.stack(pdf.chroma.map(np.asarray).to_list()).astype(float), pdf.rms.to_numpy(float))
-        path = viterbi(em, switch)
-        cut = np.flatnonzero(np.diff(path)) + 1
-        starts, ends = np.r_[0, cut], np.r_[cut, len(path)]
-        names = [*PITCHES, NO_CHORD]
-        conf = [float(np.clip(em[a:b, path[a]].mean(), 0, 1)) if path[a] < 24 else 0.0 for a, b in zip(starts, ends)]
-        out = pd.DataFrame({"start": starts * hop_s, "end": ends * hop_s, "chord": [names[path[a]] for a in starts], "confidence": conf})
+        pdf = pdf.sort_values("time")
+        time, chroma = pdf.time.to_numpy(float), np.stack(pdf.chroma.map(np.asarray).to_list()).astype(float)
+        got = chord_runs(time, pdf.rms.to_numpy(float), pdf.flatness.to_numpy(float), chroma, float(time[-1]) + hop_s)
+        out = pd.DataFrame(got, columns=["start", "end", "chord", "confidence"])
         for c in reversed(by):
             out.insert(0, c, pdf[c].iloc[0])
         return out
@@ -209,114 +284,214 @@ def decode_chords(frames: DataFrame, by: list[str], hop_s: float) -> DataFrame:
     return frames.groupBy(*by).applyInPandas(run, f"{schema}, start double, end double, chord string, confidence double")
 
 
+#: Fixed values of the melody model: pitches, frames of a note, of a flicker and between attacks; thresholds of
+#: attacks and of activity; the model's frame grid in samples.
 LOWEST, HIGHEST = 40, 96
+NOTE_FRAMES, FLICKER_FRAMES, ATTACK_FRAMES = 4, 10, 6
+STRONG_ATTACK, WEAK_ATTACK, ACTIVE = 0.6, 0.5, 0.31
+FRAME_HOP, FRAME_RATE, WINDOW_FRAMES, WINDOW_SAMPLES = 256, 22_050, 172, 43_844
+_WINDOW_SHIFT = FRAME_HOP / FRAME_RATE * (WINDOW_FRAMES - WINDOW_SAMPLES / FRAME_HOP) + 0.0018
+SILENT = HIGHEST - LOWEST + 1
+
+
+def frame_time(frame: int) -> float:
+    """The time of a frame of the activation matrix; the model's windows overlap by a little."""
+    return max(0.0, frame * FRAME_HOP / FRAME_RATE - _WINDOW_SHIFT * (frame // WINDOW_FRAMES))
+
+
+def _melody_steps() -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a step between states, and the weight of the next pitch's onset in it."""
+    gap = np.abs(np.subtract.outer(np.arange(SILENT + 1), np.arange(SILENT + 1))).astype(float)
+    pick = [gap <= 2, gap <= 7, gap <= 12]
+    base = np.select(pick, [-0.025 * gap, -0.09 - 0.045 * gap, -0.48 - 0.07 * (gap - 7)], -1.15 - 0.055 * (gap - 12))
+    gain = np.select(pick, [0.36, 0.42, 0.48], 0.5)
+    base[SILENT, :], gain[SILENT, :] = -0.12, 0.54
+    base[:, SILENT], gain[:, SILENT] = -0.16, 0
+    np.fill_diagonal(base, 0.11)
+    np.fill_diagonal(gain, 0)
+    return base, gain
+
+
+def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
+    """The best state of each frame: a pitch from LOWEST on, or SILENT."""
+    base, gain = _melody_steps()
+    pitch = np.arange(LOWEST, HIGHEST + 1)
+    top = np.where(act >= 0.27, pitch, LOWEST).max(axis=1)
+    voiced = (act - 0.27) * 3.8 + onset * 0.72 - 0.06 * np.maximum(0, top[:, None] - pitch) - 0.045 * np.maximum(0, 52 - pitch)
+    loud = act.max(axis=1)
+    scores = np.c_[voiced, np.where(loud < 0.22, 0.34, np.where(loud < 0.31, 0.08, -0.52))]
+    attacks = np.c_[onset, np.zeros(len(onset))]
+    state = np.full(SILENT + 1, -6.0)
+    state[SILENT] = 0
+    back = np.empty(scores.shape, np.int16)
+    for t in range(len(scores)):
+        every = state[:, None] + (base + gain * attacks[t])
+        back[t] = every.argmax(axis=0)
+        state = every.max(axis=0) + scores[t]
+        state -= state.max()
+    path = np.empty(len(scores), np.int16)
+    now = int(state.argmax())
+    for t in range(len(scores) - 1, -1, -1):
+        path[t] = now
+        now = back[t, now]
+    return path
 
 
-def decode_melody(activity: np.ndarray, onset: np.ndarray, hop_s: float, first_midi: int = 21) -> list[tuple[float, float, int, float]]:
-    """(start, duration, midi, confidence): one voice through a pitch activation matrix (frames x pitches).
-
-    Best path over the pitches LOWEST to HIGHEST and silence, dearer for wide leaps, cheaper at an
-    onset; runs split at new onsets six frames apart or more; two silent frames are bridged, runs of
-    fewer than four frames dropped.
-    """
-    clean = np.nan_to_num(np.clip(activity, 0, 1))[:, LOWEST - first_midi : HIGHEST - first_midi + 1]
-    attack = np.nan_to_num(np.clip(onset, 0, 1))[:, LOWEST - first_midi : HIGHEST - first_midi + 1]
-    n = clean.shape[1]
-    em = np.c_[clean + 0.35 * attack + np.linspace(0, 0.06, n), np.full(len(clean), 0.3)]
-    gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
-    switch = np.zeros((n + 1, n + 1))
-    switch[:n, :n] = np.where(gap == 0, 0, 0.35 + 0.02 * np.minimum(gap, 24))
-    switch[n, :n] = switch[:n, n] = 0.25
-    path = viterbi(em, switch)
-    silent = path == n
-    edges = np.flatnonzero(np.diff(np.r_[False, silent, False].astype(int)))
-    for a, b in zip(edges[::2], edges[1::2]):
-        if b - a <= 2 and 0 < a and b < len(path) and path[a - 1] == path[b]:
-            path[a:b] = path[b]
-    out = []
+def _runs_of(path: np.ndarray) -> list[list[int]]:
+    """[state, first frame, end] of each run of equal states."""
     cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
-    for a, b in zip(cut[:-1], cut[1:]):
-        p = path[a]
-        if p == n or b - a < 4:
-            continue
+    return [[int(path[a]), int(a), int(b)] for a, b in zip(cut[:-1], cut[1:])]
+
+
+class _Roll:
+    """An activation matrix with the questions that clean-up asks of it."""
+
+    def __init__(self, act: np.ndarray, onset: np.ndarray):
+        self.act, self.onset = act, onset
+        before, after = np.pad(onset, ((1, 0), (0, 0)))[:-1], np.pad(onset, ((0, 1), (0, 0)))[1:]
+        self.peak = (onset >= before) & (onset > after)
+
+    def short_attack(self, state: int, a: int, b: int, neighbours: set[int]) -> bool:
+        """Whether a run too short for a note is one: strongly attacked, active, and no neighbour sounds on under it."""
+        if b - a >= NOTE_FRAMES or self.onset[a:b, state].max() < STRONG_ATTACK or self.act[a:b, state].mean() < ACTIVE:
+            return False
+        return all(s == SILENT or self.act[a:b, s].max() < ACTIVE for s in neighbours - {state})
+
+    def smooth(self, path: np.ndarray) -> np.ndarray:
+        """Short rests inside a pitch are bridged and weak, short changes of pitch go, in up to four passes."""
+        for _ in range(4):
+            runs, changed = _runs_of(path), False
+            for k, (state, a, b) in enumerate(runs):
+                left = runs[k - 1][0] if k else SILENT
+                right = runs[k + 1][0] if k + 1 < len(runs) else SILENT
+                new = state
+                if state == SILENT:
+                    if b - a <= 2 and left == right != SILENT:
+                        again = b < len(path) and self.peak[b, left] and self.onset[b, left] >= WEAK_ATTACK and self.act[b, left] >= ACTIVE
+                        new = state if again else left
+                elif b - a < FLICKER_FRAMES:
+                    around = {s for s, there in ((left, k > 0), (right, k + 1 < len(runs))) if there}
+                    weak = self.onset[a:b, state].max() < STRONG_ATTACK
+                    if weak or (b - a < NOTE_FRAMES and not self.short_attack(state, a, b, around)):
+                        heard = {left, right} - {SILENT}
+                        new = left if left == right else heard.pop() if len(heard) == 1 else SILENT
+                if new != state:
+                    runs[k][0], changed = new, True
+            path = np.concatenate([np.full(b - a, s, np.int16) for s, a, b in runs])
+            if not changed:
+                break
+        return path
+
+    def attacks(self, state: int, a: int, b: int) -> list[int]:
+        """The frames at which a run is attacked: its first, and later ones that are strong or follow a valley."""
         marks = [a]
-        for t in range(a + 6, b - 3):
-            x = attack[t, p]
-            valley = clean[max(a, t - 3) : t, p].min(initial=1.0) < 0.31
-            peak = x >= attack[t - 1, p] and (t + 1 >= len(attack) or x > attack[t + 1, p])
-            if peak and t - marks[-1] >= 6 and (x >= 0.6 or (x >= 0.5 and valley)):
+        for t in range(a + ATTACK_FRAMES, b - 1):
+            x = self.onset[t, state]
+            valley = (self.act[max(0, t - 3) : t, state] < ACTIVE).any()
+            if self.peak[t, state] and (x >= STRONG_ATTACK or (x >= WEAK_ATTACK and valley)) and t - marks[-1] >= ATTACK_FRAMES:
                 marks.append(t)
-        for s, e in zip(marks, [*marks[1:], b]):
-            out.append((s * hop_s, (e - s) * hop_s, int(p) + LOWEST, float(clean[s:e, p].mean())))
+        return marks
+
+
+def decode_melody(activity: np.ndarray, onset: np.ndarray, first_midi: int = 21) -> list[tuple[float, float, int, float, float]]:
+    """(start, duration, midi, confidence, strength): one voice through a pitch activation matrix (frames x pitches)."""
+    if not len(activity):
+        return []
+    keep = slice(LOWEST - first_midi, HIGHEST - first_midi + 1)
+    clean = lambda x: np.clip(np.nan_to_num(x[:, keep], nan=0, posinf=0, neginf=0), 0, 1)
+    roll = _Roll(clean(activity), clean(onset))
+    runs, out = _runs_of(roll.smooth(melody_path(roll.act, roll.onset))), []
+    for k, (state, a, b) in enumerate(runs):
+        if state == SILENT:
+            continue
+        marks = [*roll.attacks(state, a, b), b]
+        around = {runs[j][0] for j in (k - 1, k + 1) if 0 <= j < len(runs)}
+        for s, e in zip(marks, marks[1:]):
+            if e - s < NOTE_FRAMES and not ((s, e) == (a, b) and roll.short_attack(state, a, b, around)):
+                continue
+            begin = frame_time(s)
+            out.append((round(begin, 3), round(max(0.045, frame_time(e) - begin), 3), state + LOWEST, round(float(roll.act[s:e, state].mean()), 3), round(float(roll.onset[s:e, state].max()), 3)))
     return out
 
 
-def skyline(notes: list[tuple], window: float = 0.025) -> list[int]:
-    """Indices of the upper voice of (start, duration, midi, velocity): the loudest of the highest per onset group,
-    near the last chosen pitch; a lower onset under a note still sounding is left out."""
-    order = sorted(range(len(notes)), key=lambda i: (notes[i][0], -notes[i][2], i))
-    groups: list[list[int]] = []
-    for i in order:
-        if groups and notes[i][0] - notes[groups[-1][0]][0] <= window:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
+def skyline(notes: list[tuple], window: float = 0.025, low: int = 36, high: int = 96, shortest: float = 0.035) -> list[int]:
+    """Indices of the upper voice of (start, duration, midi, velocity): of each onset group the note that is high in
+    the group, near the last chosen pitch and loud; a lower group under a note that still sounds is left out."""
+    usable = [i for i, (_, d, m, _) in enumerate(notes) if low <= m <= high and d >= shortest]
     chosen: list[int] = []
-    for g in groups:
-        top = max(notes[i][2] for i in g)
+    group: list[int] = []
+
+    def close():
         last = notes[chosen[-1]] if chosen else None
+        top = max(group, key=lambda i: (notes[i][2], notes[i][3], notes[i][1]))
+        if last is None:
+            return top
+        over = last[0] + last[1] - notes[group[0]][0]
+        if notes[top][2] < last[2] and over > max(window, min(0.1, 0.2 * last[1])):
+            return None
+        bottom, span = min(notes[i][2] for i in group), max(1, notes[top][2] - min(notes[i][2] for i in group))
 
         def worth(i):
-            s, d, m, v = notes[i]
-            near = -abs(m - last[2]) * 0.05 if last else 0
-            return (2.0 * (m == top) + near + v / 127, m, -i)
-
-        best = max(g, key=worth)
-        if last is not None:
-            grace = max(window, min(0.1, 0.2 * last[1]))
-            if notes[best][2] < last[2] and notes[best][0] < last[0] + last[1] - grace:
-                continue
-            if notes[best][0] - last[0] < 0.005:
-                continue
-        chosen.append(best)
-    return chosen
+            _, d, m, v = notes[i]
+            leap = abs(m - last[2])
+            return 1.2 * (m - bottom) / span + -0.045 * leap - (0.5 if leap > 12 else 0.0) + v / 254, m, d
+
+        return max(group, key=worth)
+
+    for i in [*sorted(usable, key=lambda i: (notes[i][0], notes[i][2])), None]:
+        if group and (i is None or notes[i][0] - notes[group[0]][0] > window):
+            best = close()
+            chosen += [best] if best is not None else []
+            group = []
+        if i is not None:
+            group.append(i)
+    out: list[int] = []
+    for i in chosen:  # one of two equal pitches at one time, the longer
+        if out and abs(notes[out[-1]][0] - notes[i][0]) < 0.005 and notes[out[-1]][2] == notes[i][2]:
+            out[-1] = i if notes[i][1] > notes[out[-1]][1] else out[-1]
+        else:
+            out.append(i)
+    return out
 
 
-def align_monotone(ref: list[float], cand: list[float], tolerance: float, prefer=None) -> list[tuple[int, int]]:
-    """One-to-one pairs in order within tolerance: most pairs, then least total distance, then preference.
+def align_monotone(ref: list[float], cand: list[float], tolerance: float) -> list[tuple[int, int]]:
+    """One-to-one pairs in order within tolerance: most pairs, then least total distance; of equal ways
+    one that pairs here, else one that leaves out the earlier onset, the reference's at a tie.
 
-    Only cells within tolerance can match and matches are monotone, so the table is swept row by row.
+    Only the band within tolerance is kept: where a reference onset is too early for a candidate it
+    pairs with no later one either, so that cell equals the next row's, and likewise the other way.
     """
+    slack = tolerance + 1e-9
+    low = [bisect.bisect_left(cand, r - slack) for r in ref]
+    high = [bisect.bisect_right(cand, r + slack) for r in ref]
     n, m = len(ref), len(cand)
-    prev = [(0, 0.0, 0.0)] * (m + 1)
-    choice = np.zeros((n + 1, m + 1), np.int8)
-    choice[0, 1:] = 2
-    for i in range(1, n + 1):
-        cur = [(0, 0.0, 0.0)] * (m + 1)
-        choice[i, 0] = 1
-        for j in range(1, m + 1):
-            best, how = prev[j], 1
-            if cur[j - 1] > best:
-                best, how = cur[j - 1], 2
-            d = abs(ref[i - 1] - cand[j - 1])
+    low.append(m), high.append(m)
+    below: list[tuple[int, float]] = [(0, 0.0)]  # a row: cells low to high, the last one equal to the next row's
+    actions: list[bytearray] = [bytearray()] * n
+    for i in range(n - 1, -1, -1):
+        a, b, first = low[i], high[i], low[i + 1]
+        row: list[tuple[int, float]] = [(0, 0.0)] * (b - a + 1)
+        row[b - a] = below[max(b, first) - first]
+        how = actions[i] = bytearray(b - a)
+        for j in range(b - 1, a - 1, -1):
+            skip_ref, skip_cand = below[max(j, first) - first], row[j + 1 - a]
+            early = ref[i] <= cand[j]
+            best, act = (skip_ref, 1) if skip_ref > skip_cand or (skip_ref == skip_cand and early) else (skip_cand, 2)
+            d = abs(ref[i] - cand[j])
             if d <= tolerance:
-                c, s, p = prev[j - 1]
-                got = (c + 1, s - d, p + (prefer(i - 1, j - 1) if prefer else 0.0))
-                if got >= best:
-                    best, how = got, 3
-            cur[j], choice[i, j] = best, how
-        prev = cur
-    pairs, i, j = [], n, m
-    while i and j:
-        how = choice[i, j]
-        if how == 3:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif how == 2:
-            j -= 1
-        else:
-            i -= 1
-    return pairs[::-1]
+                c, s = below[max(j + 1, first) - first]
+                if (c + 1, s - d) >= best:
+                    best, act = (c + 1, s - d), 3
+            row[j - a], how[j - a] = best, act
+        below = row
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        j = max(j, low[i])
+        act = actions[i][j - low[i]] if j < high[i] else 1
+        if act == 3:
+            pairs.append((i, j))
+        i, j = i + (act != 2), j + (act != 1)
+    return pairs
 
 
 def dtw(a: np.ndarray, b: np.ndarray, subsequence: bool = False) -> list[tuple[int, int]]:

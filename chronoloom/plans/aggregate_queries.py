@@ -233,7 +233,17 @@ def agg05(spark, d):
     return lev.select("track_id", "hop", F.round(F.log1p("level") + 0.5 * F.log1p(jump), 9).alias("env"))
 
 
-@query("agg_name_score", """
-SELECT p_partkey, (CASE WHEN contains(lower(p_name), 'lead') THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_name), 'solo') THEN 3 ELSE 0 END + CASE WHEN contains(lower(p_name), 'p') THEN 2 ELSE 0 END)::BIGINT AS score FROM part""")
+#: Names of parts as scores have them; each row of `part` gets two of them.
+PART_NAMES = ["Lead Vocals", "Voice", "Melody RH", "Solo Singer", "Piano right hand", "LH", "Left Hand", "Drum Kit", "Percussion", "Bass", "Accompaniment", "Harmony", "Chords", "Flute"]
+_NAMES_SQL = ", ".join(f"'{n}'" for n in PART_NAMES)
+
+
+@query("agg_name_score", f"""
+WITH named AS (SELECT p_partkey, lower([{_NAMES_SQL}][p_partkey % {len(PART_NAMES)} + 1] || ' ' || [{_NAMES_SQL}][p_size % {len(PART_NAMES)} + 1]) AS name FROM part),
+hints AS (SELECT * FROM (VALUES ('vocal', 8.0), ('vocals', 8.0), ('voice', 7.0), ('melody', 7.0), ('lead', 5.0), ('singer', 5.0), ('solo', 2.0), ('right hand', 1.5), ('rh', 1.0),
+  ('drum', -12.0), ('percussion', -12.0), ('bass', -5.0), ('left hand', -4.0), ('lh', -2.0), ('accompan', -4.0), ('harmony', -3.0), ('chord', -3.0)) AS t(hint, weight))
+SELECT p_partkey, name, sum(CASE WHEN contains(name, hint) THEN weight ELSE 0 END)::DOUBLE AS score FROM named, hints GROUP BY 1, 2""")
 def agg_name(spark, d):
-    return V.table(spark, d, "part").select("p_partkey", name_score(F.col("p_name"), {"lead": 5, "solo": 3, "p": 2}).cast("long").alias("score"))
+    pick = lambda c: F.element_at(F.array(*map(F.lit, PART_NAMES)), (F.col(c) % len(PART_NAMES) + 1).cast("int"))
+    named = V.table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", pick("p_partkey"), pick("p_size"))).alias("name"))
+    return named.select("p_partkey", "name", name_score(F.col("name")).alias("score"))

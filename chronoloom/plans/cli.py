@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.music import fold_octave
@@ -21,27 +22,37 @@ def selects(selectors: list[str], index: Column, ident: Column, name: Column) ->
     return out
 
 
-def inspect(notes: DataFrame) -> DataFrame:
-    """Streams of a score, the likeliest melody first: names, monophony, pitch and density speak for it."""
-    by = ["part_index", "voice", "staff"]
-    s = G.summarise_streams(notes, by, "start", "duration", "midi")
-    names = notes.groupBy(*by).agg(F.min("part_name").alias("part_name"), F.max("is_drum").alias("is_drum"))
+PVS = ["part_index", "voice", "staff"]
+
+
+def ranked_streams(notes: DataFrame, by: list[str]) -> DataFrame:
+    """Streams of each score (by) with their score as the melody: name, lone onsets, register, density, coverage of
+    the whole score, number of notes and upper staff speak for a stream, drums against it."""
+    s = G.summarise_streams(notes, [*by, *PVS], "start", "duration", "midi")
+    names = notes.groupBy(*by, *PVS).agg(F.min("part_name").alias("part_name"), F.max("is_drum").alias("is_drum"))
+    s = s.join(names, [*by, *PVS])
+    whole = F.greatest(F.lit(0.001), F.max("last").over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0))))
     span = F.greatest(F.lit(0.001), F.col("last") - F.col("first"))
-    score = name_score(F.col("part_name")) + 4 * F.col("lone") / F.col("onsets") + F.greatest(F.lit(0.0), 3 - F.abs(F.col("median_midi") - 69) / 8) + F.least(F.lit(2.0), F.col("notes") / span) - F.when(F.col("is_drum"), 100).otherwise(0)
-    return s.join(names, by).withColumn("score", score).orderBy(F.col("score").desc(), *by)
+    register = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("median_midi") - 45) / 35))
+    staff = F.when(F.col("staff") == 1, 0.7).when(F.col("staff") > 1, -0.7).otherwise(0.0)
+    size = F.least(F.lit(2.0), F.log2(F.col("notes") + F.lit(1.0)) / 2)
+    score = name_score(F.col("part_name")) + 1.5 * F.col("lone") / F.col("onsets") + 1.4 * register + 0.8 * F.least(F.lit(1.0), F.col("notes") / span) + 0.8 * F.least(F.lit(1.0), span / whole) + size + staff - F.when(F.col("is_drum"), 12.0).otherwise(0.0)
+    return s.withColumn("score", score)
+
+
+def inspect(notes: DataFrame) -> DataFrame:
+    """Streams of a score, the likeliest melody first."""
+    return ranked_streams(notes, []).orderBy(F.col("score").desc(), *PVS)
 
 
 def melody_of(notes: DataFrame, selectors: list[str] | None = None) -> DataFrame:
-    """The chosen stream's upper voice; without selectors the best-ranked stream of each score (path)."""
-    by = ["path", "part_index", "voice", "staff"]
+    """The chosen streams' upper voice; without selectors the best-ranked stream of each score (path). Drums never count."""
+    notes = notes.where(~F.coalesce("is_drum", F.lit(False)))
     if selectors:
         picked = notes.where(selects(selectors, F.col("part_index"), F.col("part_id"), F.col("part_name")))
     else:
-        s = G.summarise_streams(notes, by, "start", "duration", "midi").join(notes.groupBy(*by).agg(F.min("part_name").alias("part_name"), F.max("is_drum").alias("is_drum")), by)
-        rank = name_score(F.col("part_name")) + 4 * F.col("lone") / F.col("onsets") - F.when(F.col("is_drum"), 100).otherwise(0)
-        best = s.groupBy("path").agg(F.max(F.struct(rank.alias("r"), (-F.col("part_index")).alias("p"), (-F.col("voice")).alias("v"), (-F.col("staff")).alias("s"))).alias("b"))
-        best = best.select("path", (-F.col("b.p")).alias("part_index"), (-F.col("b.v")).alias("voice"), (-F.col("b.s")).alias("staff"))
-        picked = notes.join(best, by, "left_semi")
+        best = F.max_by(F.struct(*PVS), F.struct("score", *((-F.col(c)).alias(c) for c in PVS))).alias("b")
+        picked = notes.join(ranked_streams(notes, ["path"]).groupBy("path").agg(best).select("path", "b.*"), ["path", *PVS], "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
@@ -64,8 +75,7 @@ def compare(ref: DataFrame, cand: DataFrame, by: list[str], tolerance: float = 0
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(["start", "midi"]), b.sort_values(["start", "midi"])
         am, bm = a.midi.to_list(), b.midi.to_list()
-        worth = lambda i, j: 1.0 if am[i] == bm[j] else 0.5 if (am[i] - bm[j]) % 12 == 0 else 0.0
-        pairs = S.align_monotone(a.start.to_list(), b.start.to_list(), tolerance, worth)
+        pairs = S.align_monotone(a.start.to_list(), b.start.to_list(), tolerance)
         out = pd.DataFrame({"diff": [b.start.iloc[j] - a.start.iloc[i] for i, j in pairs], "pitch_diff": [int(bm[j] - am[i]) for i, j in pairs]})
         for c in reversed(by):
             out.insert(0, c, (a if len(a) else b)[c].iloc[0] if len(pairs) else None)

@@ -74,14 +74,15 @@ def jn05(spark, d):
     return J.points_in_intervals(free, windows, T, "time_us", F.col("at_us") - 400_000, F.col("at_us") + 2_200_000, 2_000_000).select("track_id", "gesture_id", "cue_id")
 
 
-#: Overlap share, closeness and quality in integers: 0.55, 0.30 and 0.15 of a million each.
-_SUPPORT = "(550000 * greatest(0, least(n.end_us, e.end_us) - greatest(n.start_us, e.start_us)) // greatest(1, greatest(n.end_us, e.end_us) - least(n.start_us, e.start_us)) + 300000 * greatest(0, 65000 - abs(n.start_us - e.start_us)) // 65000 + 1500 * e.quality_pct)"
+#: Overlap over the shorter of the two (60 ms at least), closeness of the starts and quality: 0.55, 0.30 and 0.15 of a million each.
+_SUPPORT = """(floor(550000 * least(1.0, greatest(0, least(n.end_us, e.end_us) - greatest(n.start_us, e.start_us))::DOUBLE / greatest(60000, least(n.end_us - n.start_us, e.end_us - e.start_us))))
+  + floor(300000 * exp(-abs(n.start_us - e.start_us) / 65000.0::DOUBLE)) + 1500 * e.quality_pct)::BIGINT"""
 
 
 def support(n0, n1, e0, e1, q):
     inter = F.greatest(F.lit(0), F.least(n1, e1) - F.greatest(n0, e0))
-    union = F.greatest(F.lit(1), F.greatest(n1, e1) - F.least(n0, e0))
-    return F.floor(550_000 * inter / union) + F.floor(300_000 * F.greatest(F.lit(0), 65_000 - F.abs(n0 - e0)) / 65_000) + 1500 * q
+    shorter = F.greatest(F.lit(60_000), F.least(n1 - n0, e1 - e0))
+    return F.floor(550_000 * F.least(F.lit(1.0), inter / shorter)) + F.floor(300_000 * F.exp(-F.abs(n0 - e0) / F.lit(65_000.0))) + 1500 * q
 
 
 def supported(spark, d, offsets=(0,)):

@@ -149,10 +149,10 @@ def prj21(spark, d):
 
 
 @query("prj22_decimate", V.sql(V.NOTES, BEATS) + """
-SELECT track_id, unnest([beats[k + 1] FOR k IN range(0, len(beats), greatest(1, len(beats) // 20))][1:20]) AS beat FROM beats""")
+SELECT track_id, unnest([beats[k + 1] FOR k IN range(0, len(beats), greatest(1, ceil(len(beats) / 240.0)::BIGINT))]) AS beat FROM beats""")
 def prj22(spark, d):
-    step = F.greatest(F.lit(1), F.floor(F.size("beats") / 20).cast("int"))
-    return beats(spark, d).withColumn("k", step).select("track_id", F.explode(F.slice(F.filter("beats", lambda x, i: i % F.col("k") == 0), 1, 20)).alias("beat"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("beats") / 240).cast("int"))
+    return beats(spark, d).withColumn("k", step).select("track_id", F.explode(F.filter("beats", lambda x, i: i % F.col("k") == 0)).alias("beat"))
 
 
 @query("prj23_pair_means", V.sql(V.CHROMA) + """
@@ -274,12 +274,16 @@ def set04(spark, d):
 
 
 @query("prj02_strict_import", V.sql(V.NOTES) + """
-SELECT track_id, note_id, round(start_us / 1000000.0::DOUBLE, 6) AS start, midi FROM notes WHERE note_id % 10 = 0""")
+, n AS (SELECT track_id, note_id, midi, row_number() OVER (PARTITION BY track_id, midi ORDER BY start_us, note_id) AS rn FROM notes),
+sized AS (SELECT track_id FROM notes GROUP BY 1 HAVING count(*) BETWEEN 8 AND 20000)
+SELECT n.track_id, note_id, round((rn * 50 + midi) / 1000.0::DOUBLE, 6) AS start, midi FROM n JOIN sized USING (track_id)""")
 def prj02(spark, d):
-    """No row may be lost, so only notes that cannot repeat each other are imported."""
-    n = V.notes(spark, d).where("note_id % 10 = 0")
-    rows = n.select("track_id", "note_id", (F.col("start_us") / 1e6).alias("start"), (F.col("dur_us") / 1e6).alias("duration"), (F.col("midi")).cast("double").alias("midi"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("strength"))
-    return P.strict_notes(rows, 80.0, T, "note_id", least=1).select("track_id", "note_id", F.round("start", 6).alias("start"), "midi")
+    """All notes of the tracks that the import accepts, at times that repeat no pitch: no row may be lost."""
+    w = W.partitionBy("track_id", "midi").orderBy("start_us", "note_id")
+    n = V.notes(spark, d).withColumn("at", (F.row_number().over(w) * 50 + F.col("midi")) / 1000)
+    n = n.withColumn("size", F.count("*").over(W.partitionBy("track_id"))).where("size between 8 and 20000")
+    rows = n.select("track_id", "note_id", F.col("at").alias("start"), (F.col("dur_us") / 1e6).alias("duration"), F.col("midi").cast("double").alias("midi"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("strength"))
+    return P.strict_notes(rows, 2000.0, T, "note_id").select("track_id", "note_id", F.round("start", 6).alias("start"), "midi")
 
 
 @query("prj27_catalog_merge", """
@@ -306,8 +310,14 @@ def srt02(spark, d):
     return V.notes(spark, d).select("note_id", (-best.up).cast("long").alias("string_idx")).where("string_idx is not null")
 
 
-@query("inf05_fallback", V.sql(V.NOTES) + """
-SELECT track_id, CASE WHEN count(*) FILTER (conf_pct >= 60) >= 24 THEN 'primary' ELSE 'secondary' END AS model FROM notes GROUP BY 1""")
+@query("inf05_fallback", V.sql(V.NOTES, V.EVIDENCE) + """
+, good AS (SELECT track_id, count(*) FILTER (conf_pct >= 60) >= 8 AS enough FROM notes GROUP BY 1)
+SELECT 'primary' AS model, n.track_id, note_id AS id, midi FROM notes n JOIN good g ON n.track_id = g.track_id AND enough WHERE conf_pct >= 60
+UNION ALL SELECT 'secondary', e.track_id, ev_id, midi FROM evidence e JOIN good g ON e.track_id = g.track_id AND NOT enough""")
 def inf05(spark, d):
-    """The second model's notes are used where the first has too few."""
-    return V.notes(spark, d).groupBy("track_id").agg(F.when(F.count_if(F.col("conf_pct") >= 60) >= 24, "primary").otherwise("secondary").alias("model"))
+    """The second model's notes are used where the first has under eight."""
+    n, e = V.notes(spark, d), V.evidence(spark, d)
+    good = n.groupBy("track_id").agg((F.count_if(F.col("conf_pct") >= 60) >= 8).alias("enough"))
+    first = n.where("conf_pct >= 60").join(good.where("enough"), "track_id").select(F.lit("primary").alias("model"), "track_id", F.col("note_id").alias("id"), "midi")
+    second = e.join(good.where("not enough"), "track_id").select(F.lit("secondary").alias("model"), "track_id", F.col("ev_id").alias("id"), "midi")
+    return first.unionByName(second)

@@ -44,18 +44,39 @@ def seq11(spark, d):
     return S.separate_onsets(rows, T, 60_000).select("track_id", "note_id")
 
 
-@query("prj03_monophonic")
+def _one_voice(by: str, near: int) -> str:
+    """SQL of S.monophonic: the last kept onset is carried; once it is settled it stands in the columns p_."""
+    join = " AND ".join(f"n.{c} = c.{c}" for c in by.split(", "))
+    keys = ", ".join(f"n.{c}" for c in by.split(", "))
+    new, better = f"n.start_us - c.start_us >= {near}", "(n.conf_pct > c.conf_pct OR n.conf_pct = c.conf_pct AND n.dur_us > c.dur_us)"
+    carry = ", ".join(f"CASE WHEN {new} OR {better} THEN n.{c} ELSE c.{c} END" for c in ("note_id", "start_us", "conf_pct", "dur_us"))
+    done = ", ".join(f"CASE WHEN {new} THEN c.{c} END" for c in ("note_id", "start_us", "dur_us"))
+    return V.sql(V.NOTES, f"nth AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY start_us, conf_pct DESC, note_id) AS rn FROM notes)", recursive=True) + f"""
+, c AS (SELECT {by}, rn, note_id, start_us, conf_pct, dur_us, NULL::BIGINT AS p_id, NULL::BIGINT AS p_start, NULL::BIGINT AS p_dur FROM nth WHERE rn = 1
+  UNION ALL SELECT {keys}, n.rn, {carry}, {done} FROM c JOIN nth n ON {join} AND n.rn = c.rn + 1),
+kept AS (SELECT {by}, p_id AS note_id, p_start AS start_us, p_dur AS dur_us FROM c WHERE p_id IS NOT NULL
+  UNION ALL SELECT {by}, arg_max(note_id, rn), arg_max(start_us, rn), arg_max(dur_us, rn) FROM c GROUP BY {by}),
+room AS (SELECT *, lead(start_us) OVER (PARTITION BY {by} ORDER BY start_us, note_id) - start_us AS room FROM kept WHERE dur_us >= 45000)
+SELECT {by}, start_us, note_id, least(dur_us, coalesce(room, dur_us)) AS dur_us FROM room WHERE room IS NULL OR least(dur_us, room) >= 45000"""
+
+
+@query("prj03_monophonic", _one_voice("track_id", 5_000))
 def prj03(spark, d):
-    """One voice per track; the steps pop earlier output, which SQL cannot say: tests compare with a loop."""
     return S.monophonic(V.notes(spark, d), T, 5_000, 45_000)
 
 
-@query("seq06_dedup_trim")
+@query("seq06_dedup_trim", _one_voice("track_id, midi", 50_000))
 def seq06(spark, d):
     return S.monophonic(V.notes(spark, d), ["track_id", "midi"], 50_000, 45_000)
 
 
-@query("seq05_lanes")
+@query("seq05_lanes", V.sql(V.NOTES, NTH, recursive=True) + """
+, f AS (SELECT track_id, rn, note_id, CASE WHEN midi > 86 THEN midi - 12 * ((midi - 86 + 11) // 12) ELSE midi END AS m FROM nth),
+spots AS (SELECT track_id, rn, note_id, s, m - o AS fret FROM f, (SELECT unnest(range(6)) AS s, unnest([40, 45, 50, 55, 59, 64]) AS o) WHERE m - o BETWEEN 0 AND 22),
+listed AS (SELECT track_id, rn, note_id, list({'s': s, 'f': fret}) AS spots FROM spots GROUP BY ALL),
+a AS (SELECT track_id, rn, note_id, list_min([{'c': 130 * p.f + 200 * greatest(0, p.f - 12), 'u': -p.s, 'f': p.f} FOR p IN spots]) AS best FROM listed WHERE rn = 1
+  UNION ALL SELECT n.track_id, n.rn, n.note_id, list_min([{'c': 130 * p.f + 200 * greatest(0, p.f - 12) + 160 * abs(p.s + a.best.u) + 25 * abs(p.f - a.best.f), 'u': -p.s, 'f': p.f} FOR p IN n.spots]) FROM a JOIN listed n ON n.track_id = a.track_id AND n.rn = a.rn + 1)
+SELECT track_id, note_id, (-best.u)::INT AS string, best.f::INT AS fret FROM a""")
 def seq05(spark, d):
     return S.lanes(V.notes(spark, d), T)
 
@@ -71,7 +92,13 @@ def seq10(spark, d):
     return S.merge_same_pitch(rows, ["track_id", "midi"], 55_000).select("track_id", "midi", "note_id", "end_us", "conf_pct")
 
 
-@query("seq17_upper_voice")
+@query("seq17_upper_voice", V.sql(V.NOTES, ENDED, "nth AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS rn FROM ended)", recursive=True) + """
+, a AS (SELECT track_id, rn, note_id, start_us, end_us, midi, start_us AS anchor FROM nth WHERE rn = 1
+  UNION ALL SELECT n.track_id, n.rn, n.note_id, n.start_us, n.end_us, n.midi, CASE WHEN n.start_us - a.anchor <= 65000 THEN a.anchor ELSE n.start_us END FROM a JOIN nth n ON n.track_id = a.track_id AND n.rn = a.rn + 1),
+top AS (SELECT track_id, unnest(arg_max({'start_us': start_us, 'end_us': end_us, 'midi': midi, 'note_id': note_id}, (midi, end_us, -note_id))) FROM a GROUP BY track_id, anchor),
+o AS (SELECT *, CASE WHEN lag(midi) OVER w = midi AND start_us - lag(end_us) OVER w <= 60000 THEN 0 ELSE 1 END AS opens FROM top WINDOW w AS (PARTITION BY track_id ORDER BY start_us, note_id)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS run FROM o)
+SELECT track_id, min(start_us) AS start_us, max(end_us) AS end_us, any_value(midi) AS midi FROM r GROUP BY track_id, run""")
 def seq17(spark, d):
     return S.upper_voice(ended(spark, d), T, 65_000, 60_000)
 
@@ -130,28 +157,45 @@ def seq19(spark, d):
     return V.notes(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, beat double")
 
 
+#: Vectors of a recording: a key whose values grow with the table.
+RECORDING = 64
+
+
+def recordings(spark, d):
+    """chroma with the recording and the place in it of each vector."""
+    return V.chroma(spark, d).select(F.floor(F.col("vec_id") / RECORDING).alias("recording"), (F.col("vec_id") % RECORDING).alias("at"), "label", "chroma")
+
+
 @query("seq01_chord_path")
 def seq01(spark, d):
-    c = V.chroma(spark, d)
-    frames = c.select("label", F.col("vec_id").alias("frame"), F.transform("chroma", lambda x: x.cast("double")).alias("chroma"), (F.aggregate("chroma", F.lit(0).cast("long"), lambda s, x: s + x) / 1000.0).alias("rms"))
-    return S.decode_chords(frames, ["label"], 0.1)
+    """Chords of each recording; literal frames in tests hold the scores, borders and confidences."""
+    total = F.aggregate("chroma", F.lit(0).cast("long"), lambda s, x: s + x)
+    frames = recordings(spark, d).select("recording", (F.col("at") * 0.1).alias("time"), (total / 1000.0).alias("rms"), F.lit(0.1).alias("flatness"), F.transform("chroma", lambda x: x.cast("double")).alias("chroma"))
+    return S.decode_chords(frames, ["recording"], 0.1)
+
+
+def piano_roll(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Activity and onsets of a track's notes on the melody model's frames, as far as the last note goes."""
+    first = (pdf.start_us.to_numpy() * S.FRAME_RATE) // (1_000_000 * S.FRAME_HOP)
+    last = (pdf.end_us.to_numpy() * S.FRAME_RATE) // (1_000_000 * S.FRAME_HOP)
+    pitch, sure, strong = pdf.midi.to_numpy() - 21, pdf.conf_pct.to_numpy() / 100, pdf.strength_pct.to_numpy() / 100
+    act, onset = np.zeros((int(last.max()) + 1, 88)), np.zeros((int(last.max()) + 1, 88))
+    size = last - first + 1
+    rows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    np.maximum.at(act, (rows, np.repeat(pitch, size)), np.repeat(sure, size))
+    np.maximum.at(onset, (first, pitch), strong)
+    return act, onset
 
 
 @query("seq02_melody_path")
 def seq02(spark, d):
-    """SEQ-02 to SEQ-04 on a piano roll of the notes, 20 frames a second."""
-    n = ended(spark, d).where("start_us < 60000000")
+    """SEQ-02 to SEQ-04 on a piano roll of all notes; literal activations in tests hold the rules."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        act, on = np.zeros((1280, 88)), np.zeros((1280, 88))
-        for r in pdf.sort_values(["start_us", "note_id"]).itertuples():
-            a, b = r.start_us // 50_000, min(1279, r.end_us // 50_000)
-            act[a : b + 1, r.midi - 21] = np.maximum(act[a : b + 1, r.midi - 21], r.conf_pct / 100)
-            on[a, r.midi - 21] = max(on[a, r.midi - 21], r.strength_pct / 100)
-        got = S.decode_melody(act, on, 0.05)
-        return pd.DataFrame([(pdf.track_id.iloc[0], *g) for g in got], columns=["track_id", "start", "duration", "midi", "confidence"])
+        got = S.decode_melody(*piano_roll(pdf))
+        return pd.DataFrame([(pdf.track_id.iloc[0], *g) for g in got], columns=["track_id", "start", "duration", "midi", "confidence", "strength"])
 
-    return n.groupBy("track_id").applyInPandas(run, "track_id long, start double, duration double, midi int, confidence double")
+    return ended(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, start double, duration double, midi int, confidence double, strength double")
 
 
 @query("seq09_skyline")
@@ -188,34 +232,33 @@ def seq18(spark, d):
 
 @query("seq20_spectrum")
 def seq20(spark, d):
-    """SEQ-20, WIN-01 and AGG-04: spectrum frames of the embeddings read as samples."""
-    e = V.table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    """SEQ-20, WIN-01 and AGG-04: spectrum frames of each recording, the embeddings read as samples."""
+    e = V.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / RECORDING).alias("recording"), "vec_id", "embedding")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate(pdf.sort_values("vec_id").embedding.to_list()).astype(float)
         out = S.spectrum_frames(x, 11_025)
-        out.insert(0, "label", pdf.label.iloc[0])
+        out.insert(0, "recording", pdf.recording.iloc[0])
         return out
 
-    return e.groupBy("label").applyInPandas(run, "label int, frame int, time double, rms double, flatness double, chroma array<double>")
+    return e.groupBy("recording").applyInPandas(run, "recording long, frame int, time double, rms double, flatness double, chroma array<double>")
 
 
 @query("seq21_warp")
 def seq21(spark, d):
-    """SEQ-21 and AGG-21: each label's chroma sequence warped onto that of label 0."""
-    c = V.chroma(spark, d)
-    left = c.where("label > 0").select("label", "vec_id", "chroma")
-    labels = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long")))
-    right = c.where("label = 0").select(labels.alias("to"), F.col("vec_id").alias("at"), F.col("chroma").alias("c"))
+    """SEQ-21 and AGG-21: each recording's chroma sequence warped onto that of the next one."""
+    r = recordings(spark, d)
+    left = r.select("recording", "at", "chroma")
+    right = r.select((F.col("recording") - 1).alias("to"), F.col("at").alias("b_at"), F.col("chroma").alias("c"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"label": [], "a": [], "b": []}).astype("int64")
+            return pd.DataFrame({"recording": [], "a": [], "b": []}).astype("int64")
         mat = lambda p, order, col: np.stack(p.sort_values(order)[col].to_list()).T.astype(float)
-        return pd.DataFrame([(a.label.iloc[0], i, j) for i, j in S.dtw(mat(a, "vec_id", "chroma"), mat(b, "at", "c"), subsequence=True)], columns=["label", "a", "b"])
+        return pd.DataFrame([(a.recording.iloc[0], i, j) for i, j in S.dtw(mat(a, "at", "chroma"), mat(b, "b_at", "c"), subsequence=True)], columns=["recording", "a", "b"])
 
-    path = left.groupBy("label").cogroup(right.groupBy("to")).applyInPandas(run, "label long, a long, b long")
-    return S.collapse_path(path, ["label"])
+    path = left.groupBy("recording").cogroup(right.groupBy("to")).applyInPandas(run, "recording long, a long, b long")
+    return S.collapse_path(path, ["recording"])
 
 
 @query("win17_gaussian")

@@ -24,13 +24,13 @@ def str06(spark, d):
 
 @query("str07_throttle", V.sql(V.NOTES, V.GESTURES, "n AS (SELECT *, row_number() OVER (PARTITION BY track_id, string_idx ORDER BY at_us, gesture_id) AS rn FROM gestures)", recursive=True) + """
 , a AS (SELECT track_id, string_idx, rn, gesture_id, at_us AS last, true AS kept FROM n WHERE rn = 1
-  UNION ALL SELECT n.track_id, n.string_idx, n.rn, n.gesture_id, CASE WHEN n.at_us - a.last >= 3800000 THEN n.at_us ELSE a.last END, n.at_us - a.last >= 3800000 FROM a JOIN n ON n.track_id = a.track_id AND n.string_idx = a.string_idx AND n.rn = a.rn + 1)
+  UNION ALL SELECT n.track_id, n.string_idx, n.rn, n.gesture_id, CASE WHEN n.at_us - a.last >= 38000 THEN n.at_us ELSE a.last END, n.at_us - a.last >= 38000 FROM a JOIN n ON n.track_id = a.track_id AND n.string_idx = a.string_idx AND n.rn = a.rn + 1)
 SELECT track_id, gesture_id FROM a WHERE kept""")
 def str07(spark, d):
     from chronoloom.operators.sequences import anchored_groups
 
     g = V.gestures(spark, d)
-    groups = anchored_groups(g, ["track_id", "string_idx"], 3_799_999, "at_us", "gesture_id")
+    groups = anchored_groups(g, ["track_id", "string_idx"], 37_999, "at_us", "gesture_id")
     return groups.groupBy("track_id", "string_idx", "anchor").agg(F.min_by("gesture_id", F.struct("at_us", "gesture_id")).alias("gesture_id")).select("track_id", "gesture_id")
 
 

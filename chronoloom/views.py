@@ -48,23 +48,23 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     w = W.partitionBy("track_id").orderBy("start_us", "note_id")
-    picked = notes(spark, sf_dir).where("note_id % 5 = 0")
+    picked = notes(spark, sf_dir)
     ends = picked.withColumn("end_us", F.coalesce(F.lead("start_us").over(w), F.lit(TRACK_US)))
     return ends.select("track_id", (F.row_number().over(w) - 1).cast("long").alias("seg_idx"), "start_us", "end_us", (F.col("midi") % 12).alias("label"), "conf_pct")
 
 
 SEGMENTS = f"""segments AS (
   SELECT track_id, row_number() OVER w - 1 AS seg_idx, start_us, coalesce(lead(start_us) OVER w, {TRACK_US}) AS end_us, midi % 12 AS label, conf_pct
-  FROM notes WHERE note_id % 5 = 0 WINDOW w AS (PARTITION BY track_id ORDER BY start_us, note_id))"""
+  FROM notes WINDOW w AS (PARTITION BY track_id ORDER BY start_us, note_id))"""
 
 
 def gestures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player gestures: about a third of the notes, early or late by up to 200 ms."""
-    return notes(spark, sf_dir).where("note_id % 3 = 1").select("track_id", F.col("note_id").alias("gesture_id"), (F.col("start_us") + (F.col("note_id") % 401 - 200) * 1000).alias("at_us"), (F.col("midi") % 6).alias("string_idx"))
+    """Player gestures: one for each note, early or late by up to 200 ms."""
+    return notes(spark, sf_dir).select("track_id", F.col("note_id").alias("gesture_id"), (F.col("start_us") + (F.col("note_id") % 401 - 200) * 1000).alias("at_us"), (F.col("midi") % 6).alias("string_idx"))
 
 
 GESTURES = """gestures AS (
-  SELECT track_id, note_id AS gesture_id, start_us + (note_id % 401 - 200) * 1000 AS at_us, midi % 6 AS string_idx FROM notes WHERE note_id % 3 = 1)"""
+  SELECT track_id, note_id AS gesture_id, start_us + (note_id % 401 - 200) * 1000 AS at_us, midi % 6 AS string_idx FROM notes)"""
 
 
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +80,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     jitter = (F.col("note_id") * 37) % 181 - 90
     off = F.when(F.col("note_id") % 10 == 0, 12).when(F.col("note_id") % 10 == 1, 1).when(F.col("note_id") % 10 == 2, -1).otherwise(0)
     start = F.greatest(F.lit(0), F.col("start_us") + jitter * 1000)
-    return notes(spark, sf_dir).where("note_id % 7 <> 3").select("track_id", F.col("note_id").alias("ev_id"), start.alias("start_us"), (start + F.col("dur_us")).alias("end_us"), (F.col("midi") + off).alias("midi"), ((F.col("note_id") * 17) % 101).alias("quality_pct"))
+    return notes(spark, sf_dir).select("track_id", F.col("note_id").alias("ev_id"), start.alias("start_us"), (start + F.col("dur_us")).alias("end_us"), (F.col("midi") + off).alias("midi"), ((F.col("note_id") * 17) % 101).alias("quality_pct"))
 
 
 EVIDENCE = """evidence AS (
   SELECT track_id, note_id AS ev_id, greatest(0, start_us + ((note_id * 37) % 181 - 90) * 1000) AS start_us,
     greatest(0, start_us + ((note_id * 37) % 181 - 90) * 1000) + dur_us AS end_us,
     midi + CASE note_id % 10 WHEN 0 THEN 12 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS midi, (note_id * 17) % 101 AS quality_pct
-  FROM notes WHERE note_id % 7 <> 3)"""
+  FROM notes)"""
 
 
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,8 +155,11 @@ def test_arrays(spark):
 
 
 def test_lanes(spark):
-    rows = spark.createDataFrame([(1, 0, 0, 58), (1, 1, 1, 60), (1, 2, 2, 65)], "track_id int, note_id long, start_us long, midi int")
-    assert all(r.fret >= 0 and (40, 45, 50, 55, 59, 64)[r.string] + r.fret == m for r, m in zip(S.lanes(rows, ["track_id"]).orderBy("note_id").collect(), [58, 60, 65]))
+    rows = spark.createDataFrame([(1, 0, 0, 58), (1, 1, 1, 60), (1, 2, 2, 65), (2, 3, 0, 28), (2, 4, 1, 108)], "track_id int, note_id long, start_us long, midi int")
+    got = {r.note_id: (r.string, r.fret) for r in S.lanes(rows, ["track_id"]).collect()}
+    assert [got[k] for k in range(3)] == [(3, 3), (4, 1), (5, 1)]
+    opened = (40, 45, 50, 55, 59, 64)
+    assert opened[got[3][0]] + got[3][1] == 40 and opened[got[4][0]] + got[4][1] == 84
 
 
 def test_alignment_is_best():
@@ -181,8 +184,21 @@ def test_alignment_is_best():
     assert S.align_monotone([0, 0.2], [0.19, 0.21], 0.25) == [(0, 0), (1, 1)]
 
 
+def test_alignment_ties():
+    # two ways of one pair at one distance: the earlier onset is left out
+    assert S.align_monotone([0.0], [-0.125, 0.125], 0.25) == [(0, 0)]
+    assert S.align_monotone([0.0, 0.2], [0.1], 0.25) == [(0, 0)]
+    rng = random.Random(3)
+    a, b = (sorted(rng.randrange(60_000) / 100 for _ in range(3000)) for _ in range(2))
+    pairs = S.align_monotone(a, b, 0.25)
+    assert len(pairs) > 1500 and all(abs(a[i] - b[j]) <= 0.25 for i, j in pairs)
+
+
 def test_skyline():
     assert S.skyline([(0, 1, 72, 90), (0.5, 0.25, 60, 90), (1, 0.5, 74, 90)]) == [0, 2]
+    # out of range, too short, a short overlap before a lower note, one of two equal notes
+    assert S.skyline([(0, 1, 30, 90), (0, 0.01, 70, 90), (0, 1, 60, 90), (0.95, 1, 55, 90)]) == [2, 3]
+    assert S.skyline([(0, 0.5, 60, 90), (0.001, 0.8, 60, 80)], window=0.0) == [1]
 
 
 def test_tempo_of_clicks():
@@ -194,17 +210,117 @@ def test_tempo_of_clicks():
 
 
 def test_chords_of_triads(spark):
-    t = S.triad_templates()
-    rows = [(1, k, 1.0, t[c].tolist()) for k, c in enumerate([0] * 15 + [21] * 15 + [5] * 15 + [7] * 15)]
-    got = S.decode_chords(spark.createDataFrame(rows, "t int, frame int, rms double, chroma array<double>"), ["t"], 0.2).orderBy("start").collect()
+    rows = []
+    for k, c in enumerate([0] * 15 + [21] * 15 + [5] * 15 + [7] * 15):
+        chroma = np.zeros(12)
+        chroma[S._TRIADS[c]] = 1
+        rows.append((1, 0.2 * k, 1.0, 0.0, chroma.tolist()))
+    got = S.decode_chords(spark.createDataFrame(rows, "t int, time double, rms double, flatness double, chroma array<double>"), ["t"], 0.2).orderBy("start").collect()
     assert [r.chord for r in got] == ["C", "Am", "F", "G"]
-
-
-def test_melody_of_activations():
-    act, on = np.zeros((60, 88)), np.zeros((60, 88))
-    act[5:25, 60 - 21] = act[30:50, 64 - 21] = 0.9
-    on[5, 60 - 21] = on[30, 64 - 21] = on[15, 60 - 21] = 0.8
-    assert [(round(s * 100), m) for s, _, m, _ in S.decode_melody(act, on, 0.01)] == [(5, 60), (15, 60), (30, 64)]
+    # borders lie half a step before the first frame of a chord; the ends are the track's
+    assert [round(r.start, 6) for r in got] == [0, 2.9, 5.9, 8.9] and round(got[-1].end, 6) == 12.0
+    assert all(0.4 < r.confidence <= 0.9 for r in got)
+
+
+def test_chord_scores_of_one_frame():
+    chroma = np.zeros((1, 12))
+    chroma[0, [0, 4, 7]] = 0.5, 0.3, 0.2
+    scores, sure = S.chord_emissions(chroma, np.ones(1), np.full(1, 0.1))
+    norm = math.sqrt(0.25 + 0.09 + 0.04)
+    c = 0.8 * (0.5 + 0.9 * 0.3 + 0.75 * 0.2) / (norm * math.sqrt(2.3725)) + 0.2
+    assert abs(scores[0, 0] - c) < 1e-9 and scores[0].argmax() == 0 and scores[0, 24] == 0.42
+    assert abs(scores[0, 12] - (0.8 * (0.5 + 0.75 * 0.2) / (norm * math.sqrt(2.3725)) + 0.2 * 0.7 - 0.15)) < 1e-9
+    second = np.sort(scores[0, :24])[-2]
+    assert abs(sure[0] - min(0.9, 0.9 * (0.42 + 0.48 * min(1, (c - second) / 0.2)))) < 1e-9
+    scores, sure = S.chord_emissions(np.zeros((4, 12)), np.zeros(4), np.zeros(4))
+    assert (scores[:, 24] == 1.3).all() and (sure == 0).all()
+    flat, sure = S.chord_emissions(chroma, np.ones(1), np.full(1, 0.5))
+    assert flat[0, 24] == 1.3 and abs(flat[0, 0] - c / 4) < 1e-9 and sure[0] == 0
+
+
+#: Activations as (pitch, first frame, end, value) and onsets as (pitch, frame, value) on some frames, and the pitches heard.
+ROLLS = {
+    "lowest": (28, [(40, 4, 24, 0.94)], [(40, 4, 0.9)], [40]),
+    "highest": (28, [(96, 4, 24, 0.94)], [(96, 4, 0.9)], [96]),
+    "low register": (58, [(43, 4, 18, 0.92), (45, 21, 35, 0.92), (47, 38, 52, 0.92)], [(43, 4, 0.8), (45, 21, 0.8), (47, 38, 0.8)], [43, 45, 47]),
+    "over a bass": (52, [(48, 0, 52, 0.72), (64, 0, 26, 0.65), (67, 26, 52, 0.66)], [(64, 0, 0.9), (67, 26, 0.9)], [64, 67]),
+    "far over a louder bass": (40, [(50, 0, 40, 0.75), (78, 0, 20, 0.6), (76, 20, 40, 0.62)], [(50, 0, 0.92), (78, 0, 0.86), (76, 20, 0.88)], [78, 76]),
+    "weak flicker": (32, [(64, 0, 32, 0.66), (67, 12, 18, 0.85)], [(64, 0, 0.9)], [64]),
+    "short attacked note": (31, [(64, 0, 12, 0.7), (67, 12, 19, 0.72), (69, 19, 31, 0.69)], [(64, 0, 0.9), (67, 12, 0.91), (69, 19, 0.89)], [64, 67, 69]),
+    "three frames alone": (35, [(64, 0, 16, 0.75), (67, 16, 19, 0.95), (69, 19, 35, 0.75)], [(64, 0, 0.9), (67, 16, 0.9), (69, 19, 0.9)], [64, 67, 69]),
+    "three frames over a voice": (35, [(64, 0, 35, 0.75), (67, 16, 19, 0.95)], [(64, 0, 0.9), (67, 16, 0.9)], [64]),
+    "repeated attacks": (27, [(62, 0, 27, 0.72)], [(62, 0, 0.88), (62, 9, 0.81), (62, 18, 0.86)], [62, 62, 62]),
+    "attack after six frames": (24, [(62, 0, 24, 0.72)], [(62, 0, 0.88), (62, 6, 0.81)], [62, 62]),
+    "weak attack after a valley": (36, [(64, 4, 32, 0.92), (64, 14, 16, 0.12)], [(64, 4, 0.8), (64, 16, 0.57)], [64, 64]),
+    "secondary peak": (24, [(62, 0, 24, 0.72)], [(62, 0, 0.88), (62, 5, 0.82)], [62]),
+    "weak peaks": (36, [(64, 4, 32, 0.92)], [(64, 4, 0.8), (64, 12, 0.57), (64, 20, 0.52)], [64]),
+    "background": (30, [(60, 0, 30, 0.08)], [(60, 0, 0.2)], []),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ROLLS))
+def test_melody_of_activations(name):
+    n, active, attacks, want = ROLLS[name]
+    act, onset = np.zeros((n, 88)), np.zeros((n, 88))
+    for midi, a, b, v in active:
+        act[a:b, midi - 21] = v
+    for midi, t, v in attacks:
+        onset[t, midi - 21] = v
+    got = S.decode_melody(act, onset)
+    assert [m for _, _, m, *_ in got] == want and [s for s, *_ in got] == sorted(s for s, *_ in got)
+    if name == "three frames alone":
+        assert got[1][1] == 0.045
+    if name == "short attacked note":
+        assert 0.07 <= got[1][1] < 0.1
+    assert S.decode_melody(np.zeros((0, 88)), np.zeros((0, 88))) == []
+
+
+def test_part_names(spark):
+    names = spark.createDataFrame([("Lead Vocals", 21.0), ("Left Hand", -4.0), ("Piano RH", 1.0), ("DRUMS", -12.0), ("Accompaniment", -4.0), ("Flute", 0.0), (None, 0.0)], "name string, want double")
+    assert all(r.got == r.want for r in names.select("want", X.name_score(F.col("name")).alias("got")).collect())
+
+
+def test_streams_are_ranked(spark):
+    rows = [(0, 0, 1, float(k), 0.5, 55 + k % 3, "Piano accompaniment", False) for k in range(20)] + [(1, 0, 1, float(k), 0.5, 69 + k % 5, "Vocal Melody", False) for k in range(20)] + [(2, 0, 0, float(k), 0.1, 90, "Voice of drums", True) for k in range(20)]
+    notes = spark.createDataFrame(rows, "part_index int, voice int, staff int, start double, duration double, midi int, part_name string, is_drum boolean")
+    got = cli.inspect(notes).collect()
+    assert [r.part_index for r in got] == [1, 0, 2]
+    whole = 19.5
+    want = 15.0 + 1.5 + 1.4 * (71 - 45) / 35 + 0.8 * 1.0 + 0.8 + 2.0 + 0.7
+    assert abs(got[0].score - want) < 1e-9 and whole > 0
+
+
+def test_strong_attacks(spark):
+    rows = [(0.5, 0.0, 2.2, 0.0, 2.1, 0.0, True, False), (0.5, 0.0, 2.2, 0.0, 0.0, 0.0, False, False), (0.7, 0.5, 3.5, 2.6, 0.0, 0.0, True, False), (0.8, 0.0, 2.8, 0.0, 0.0, 6.1, True, True), (None, None, None, None, None, None, False, False)]
+    df = spark.createDataFrame(rows, "bp double, hp double, br double, hr double, rise double, reset double, plain boolean, strict boolean")
+    cols = [F.col(c) for c in ("bp", "hp", "br", "hr", "rise", "reset")]
+    got = df.select("plain", "strict", M.strong_attack(*cols).alias("p"), M.strong_attack(*cols, strict=True).alias("s")).collect()
+    assert all((r.p, r.s) == (r.plain, r.strict) for r in got)
+
+
+def test_strict_numbers_refuse(spark):
+    for bad in ("x", "NaN", "11", None):
+        with pytest.raises(Exception, match="not a number"):
+            spark.createDataFrame([(bad,)], "v string").select(M.strict_number(F.col("v"), 0, 10, "v")).collect()
+
+
+def test_strict_import_refuses(spark):
+    note = lambda k, at: (1, k, at, 0.2, 60.0, 0.5, 0.5)
+    schema = "track_id int, note_id long, start double, duration double, midi double, confidence double, strength double"
+    good = [note(k, k / 2) for k in range(8)]
+    assert P.strict_notes(spark.createDataFrame(good, schema), 80.0, ["track_id"], "note_id").count() == 8
+    for bad in (good[:7], [*good, note(9, 0.001)]):
+        with pytest.raises(Exception, match="rows would be lost"):
+            P.strict_notes(spark.createDataFrame(bad, schema), 80.0, ["track_id"], "note_id").collect()
+
+
+def test_folds_are_linear(spark):
+    """A track of many notes in one group, and groups that span batches."""
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("track_id"), F.col("id").alias("note_id"), (F.col("id") * 10_000).alias("start_us"), F.lit(50_000).cast("long").alias("dur_us"), (F.col("id") % 101).alias("conf_pct"))
+    assert S.monophonic(rows, ["track_id"], 5_000, 1_000).count() == n
+    got = S.anchored_groups(rows, ["track_id"], 45_000).groupBy("anchor").count()
+    assert got.count() == n // 5
 
 
 def test_warp():
