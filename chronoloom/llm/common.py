@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its counted rows stay below this; each such row holds a few longs.
@@ -78,6 +79,26 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], size: str, how: s
     return cold.unionByName(left.join(small(hot), on))
 
 
+def numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """rows with out: 1, 2, ... within equal keys, nulls being values.
+
+    The rows are written, numbered in the parts they lie in, and the parts of a group follow one
+    another, so that no task holds a whole group.
+    """
+    at, part, before = (fresh(rows, f"nu_{x}") for x in ("at", "part", "before"))
+    held = stash(rows.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    held = held.withColumn(part, F.shiftright(at, 33))
+    other = {k: f"{k}_of_part" for k in [*keys, part]}
+    parts = held.groupBy(*keys, part).count()
+    parts = parts.withColumn(before, F.sum("count").over(W.partitionBy(*keys).orderBy(part)) - F.col("count"))
+    parts = small(stash(parts.drop("count").withColumnsRenamed(other), "parts"))
+    same = F.lit(True)
+    for k, o in other.items():
+        same = same & held[k].eqNullSafe(parts[o])
+    nth = F.row_number().over(W.partitionBy(*keys, part).orderBy(at)) + F.col(before)
+    return held.join(parts, same).withColumn(out, nth).select(*rows.columns, out)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The held-out fold: crc32 of the id's text leaves 2 on division by 4. A null id is held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD, documents, fresh, small, stash
+from chronoloom.llm.common import WORD, documents, fresh, numbered, small, stash
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -62,15 +62,18 @@ def _same(a: DataFrame, b: DataFrame, left: str = "source", right: str = "source
     return a[left].eqNullSafe(b[right])
 
 
-def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, taken) for each row of docs.
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, weight: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, tie, source_size, target, taken) for each row of docs.
 
-    Sources of no words get 0 everywhere. Ties of a key fall to the smaller doc_id, then the row.
-    A null doc_id is drawn as the text "null". Past the first document that does not fit, the next
+    weight: a column of positive quality weights; without one quality() of the text is taken. Sources
+    of no words get 0 everywhere, null texts have none, and a null source is a source of its own. Texts
+    of any length count whole. Ties of a key fall to the smaller doc_id, then to tie, a hash of the
+    text, so that reruns agree however the rows lie in files; rows that repeat are each drawn. A null
+    doc_id is drawn as the text "null". Other columns are ignored; an empty table gives an empty result. Past the first document that does not fit, the next
     LOOK documents in key order are still tried, each taken if it fits what is left; at the end the
     one of them whose size comes closest to what is left is taken too, if that brings the target nearer.
     """
-    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), exponential_key(F.col("doc_id"), quality(F.col("text")), seed).alias("key"))
+    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), exponential_key(F.col("doc_id"), F.col(weight) if weight else quality(F.col("text")), seed).alias("key"))
     base = stash(base.withColumn("row", F.monotonically_increasing_id()).withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")), "mix")
     bins = stash(base.groupBy("source", "bin").agg(F.sum("size").alias("size")), "bins")
     plan = targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -89,14 +92,14 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: s
     small_edge = small(edge)
     joined = base.join(small_edge, _same(base, edge))
     inside = joined.where("bin = edge_bin")
-    order = W.partitionBy("source_r").orderBy("key", F.col("doc_id").asc_nulls_last(), "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source_r").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(order))
     fits = stash(inside.where("upto <= need").select("row", "source_r", "upto"), "fits")
     got = fits.groupBy("source_r").agg(F.max("upto").alias("upto"))
     gap = edge.join(got.withColumnRenamed("source_r", "s"), F.col("source_r").eqNullSafe(F.col("s")), "left").where("edge_bin < %d" % BINS)
     gap = stash(gap.select("source_r", "edge_bin", (F.col("need") - F.coalesce("upto", "before")).alias("gap")).where("gap > 0"), "gap")
     free = base.join(small(gap), _same(base, gap)).where("bin >= edge_bin and size > 0").join(fits.select("row"), "row", "left_anti")
-    nth = W.partitionBy("source_r").orderBy("key", F.col("doc_id").asc_nulls_last(), "row")
+    nth = W.partitionBy("source_r").orderBy("key", F.col("doc_id").asc_nulls_last(), "tie", "row")
     tried = free.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= LOOK)
     tried = tried.groupBy("source_r", "gap").agg(F.sort_array(F.collect_list(F.struct("nth", "row", "size"))).alias("docs"))
     start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<long>").alias("rows"))
@@ -112,22 +115,31 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: s
     out = joined.join(small(chosen), "row", "left")
     more = (F.col("bin") < F.col("edge_bin")) | F.col("chosen").isNotNull()
     taken = F.col("size") * F.col("epochs") + F.when(more & (F.col("need") > 0), F.col("size")).otherwise(0)
-    return out.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it; a text without words is never taken."""
-    cols, row, n = docs.columns, fresh(docs, "mix_row"), fresh(docs, "mix_n")
-    plan = mixture(docs, weights, most, seed).where("taken > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias(n))
-    keyed = docs.withColumn(row, words(F.col("text")))
-    # rows that agree in id, source and size share one count of copies, dealt out in a fixed order
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(n), False).alias(n))
-    plan = plan.select(F.col("doc_id").alias("doc_r"), F.col("source").alias("source_r"), F.col("size").alias("size_r"), n)
-    met = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.doc_r) & keyed.source.eqNullSafe(plan.source_r) & (F.col(row) == F.col("size_r")))
-    single = met.where(F.size(n) == 1).withColumn(n, F.element_at(n, 1))
-    place = W.partitionBy("doc_id", "source", row).orderBy(F.xxhash64("text"))
-    several = met.where(F.size(n) > 1).withColumn(row, F.row_number().over(place)).where(F.col(row) <= F.size(n)).withColumn(n, F.element_at(F.col(n), F.col(row)))
-    return single.select(*cols, n).unionByName(several.select(*cols, n)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(cols)
+    return out.select("row", "doc_id", "source", "size", "tie", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, weight: str | None = None) -> DataFrame:
+    """The rows of docs, each as often as mixture() takes it; a text without words is never taken.
+
+    Rows that agree in id, source, size and text share their numbers of copies, at most one more
+    than epochs there are, and are dealt these by a running number. The columns stay.
+    """
+    cols, size, n, tie, nth = docs.columns, fresh(docs, "mix_size"), fresh(docs, "mix_n"), fresh(docs, "mix_tie"), fresh(docs, "mix_nth")
+    plan = mixture(docs, weights, most, seed, weight).where("size > 0")
+    plan = plan.groupBy("doc_id", "source", "size", "tie", (F.col("taken") / F.col("size")).cast("int").alias("n")).agg(F.count("*").alias("rows"))
+    plan = plan.groupBy("doc_id", "source", "size", "tie").agg(F.sort_array(F.collect_list(F.struct("n", "rows")), False).alias(n))
+    plan = plan.where(F.element_at(n, 1)["n"] > 0).select(F.col("doc_id").alias("doc_r"), F.col("source").alias("source_r"), F.col("size").alias("size_r"), F.col("tie").alias("tie_r"), n)
+    keyed = docs.withColumn(size, words(F.col("text"))).withColumn(tie, F.xxhash64("text"))
+    met = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.doc_r) & keyed.source.eqNullSafe(plan.source_r) & (F.col(size) == F.col("size_r")) & (F.col(tie) == F.col("tie_r")))
+    out = met.where(F.size(n) == 1).withColumn(n, F.element_at(n, 1)["n"]).select(*cols, n)
+    several = met.where(F.size(n) > 1).select(*cols, size, tie, n)
+    if several.limit(1).count():
+        dealt = numbered(several, ["doc_id", "source", size, tie], nth)
+        # the first row of parts whose rows, added up, reach the number
+        upto = lambda k: F.aggregate(F.slice(n, 1, k), F.lit(0).cast("long"), lambda s, x: s + x["rows"])
+        at = F.size(F.filter(F.transform(n, lambda x, i: upto(i + 1)), lambda total: total < F.col(nth))) + 1
+        out = out.unionByName(dealt.withColumn(n, F.element_at(F.col(n), at)["n"]).where(F.col(n) > 0).select(*cols, n))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(cols)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

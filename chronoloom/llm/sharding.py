@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, fresh, small, stash
+from chronoloom.llm.common import documents, fresh, numbered, small, stash
 
 SHARDS = 8
 #: Blocks, and runs that are ordered within the shards: of LEAST_ROWS rows or more on average and up to
@@ -103,20 +103,15 @@ def draw_matrix(sizes: DataFrame, blocks: int, shards: int, seed: int) -> DataFr
 def _number_copies(keyed: DataFrame, row: str) -> DataFrame:
     """keyed where rows of one hash in row, if there are over COPIES of them, get hashes of their own.
 
-    The copies are numbered without gaps in parts of a written table, so no task holds them all, and
-    the numbers' hashes are the same whichever copy has which.
+    The copies are numbered without gaps, and the numbers' hashes are the same whichever copy has which.
     """
     hot = stash(keyed.groupBy(row).agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select(row), "hot")
     if not hot.limit(1).count():
         return keyed
-    at, part, before = (fresh(keyed, f"sh_{x}") for x in ("at", "part", "before"))
-    held = stash(keyed.join(small(hot), row, "left_semi").withColumn(at, F.monotonically_increasing_id()), "copies")
-    held = held.withColumn(part, F.shiftright(at, 33))
-    parts = held.groupBy(row, part).count()
-    parts = stash(parts.select(row, part, (F.sum("count").over(W.partitionBy(row).orderBy(part)) - F.col("count")).alias(before)), "parts")
-    nth = F.row_number().over(W.partitionBy(row, part).orderBy(at)) + F.col(before)
-    numbered = held.join(small(parts), [row, part]).withColumn(row, F.xxhash64(row, nth)).select(keyed.columns)
-    return keyed.join(small(hot), row, "left_anti").select(keyed.columns).unionByName(numbered)
+    nth = fresh(keyed, "sh_nth")
+    copies = numbered(keyed.join(small(hot), row, "left_semi"), [row], nth)
+    copies = copies.withColumn(row, F.xxhash64(row, nth)).select(keyed.columns)
+    return keyed.join(small(hot), row, "left_anti").select(keyed.columns).unionByName(copies)
 
 
 def pieces(rows: int) -> int:

@@ -642,6 +642,24 @@ def test_mixture_near_targets(spark):
     assert all(times[r.doc_id] == r.taken // r["size"] for r in got)
 
 
+def test_mixture_of_repeated_rows_and_weights(spark):
+    rng = random.Random(6)
+    rows = [(None, "the same four words", None, "a")] * 300 + [(i, gibberish(rng, rng.randrange(1, 40)), None, rng.choice("abc")) for i in range(300)]
+    docs = frame(spark, rows)
+    want = collections.Counter()
+    for r in mixing.mixture(docs).collect():
+        want[r.doc_id, r["size"]] += r.taken // max(1, r["size"])
+    got = collections.Counter((r.doc_id, len(WORDS.findall(r.text))) for r in mixing.mixed(docs).collect())
+    assert got == +want
+    again = mixing.mixture(docs.repartition(7)).collect()
+    assert sorted((str(r.doc_id), r.taken) for r in again) == sorted((str(r.doc_id), r.taken) for r in mixing.mixture(docs).collect())
+    heavy = docs.withColumn("w", F.when(F.col("doc_id") % 2 == 0, 50.0).otherwise(1.0))
+    taken = collections.Counter()
+    for r in mixing.mixture(heavy, weight="w").where("doc_id is not null and source = 'c'").collect():
+        taken[r.doc_id % 2] += r.taken % (r["size"] or 1) == 0 and r.taken > 0
+    assert taken[0] > taken[1]
+
+
 def test_mixture_odd_rows(odd, none):
     got = mixing.mixture(odd).collect()
     assert len(got) == odd.count() and all(r.taken <= 3 * r["size"] for r in got) and {r["size"] for r in got if r.doc_id == 1} == {0}
