@@ -198,6 +198,32 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and 400 < kept.count() < 500
 
 
+def test_toxicity_held_out_on_labels(spark):
+    """Ranking, recall and clean documents kept on the held-out labels of the larger tables, whose labels are noisy."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    bad, good = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.7
+    assert np.mean([s >= toxicity.THRESHOLD for s in bad]) > 0.3 and np.mean([s < toxicity.THRESHOLD for s in good]) > 0.93
+
+
+def test_toxicity_features_by_hand():
+    """Window lengths under both dictionaries, one compressor at a time."""
+    import zstandard
+
+    rng = random.Random(5)
+    plain = [gibberish(rng, 60) for _ in range(40)]
+    bad = [gibberish(rng, 30) + " grobble snarfing " + gibberish(rng, 30) + " klutzo grobble" for _ in range(40)]
+    scorer = toxicity.learn(bad, plain, 0.5)
+    level = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = lambda d, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=level).compress(w))
+    gains = [size(scorer.base, w) - size(scorer.base + scorer.tail, w) for w in toxicity.windows(bad[0], toxicity.WINDOWS[0])]
+    got = scorer.features(bad[0])
+    assert got[0] == max(gains) and abs(got[2] - np.mean(gains)) < 1e-9 and max(gains) > 0
+    assert b"grobble" in scorer.tail and scorer.score(bad[1]) > 0.5 > scorer.score(plain[1])
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     for df in (odd, none):
@@ -441,6 +467,33 @@ def test_near_duplicates_brute_force(spark, docs):
     assert got == brute_components(rows, 4)
 
 
+def test_near_duplicates_brute_force_on_larger_tables(spark):
+    """All pairs that share a shingle, counted, on the tables of the correctness check."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, holders, shared = {}, collections.defaultdict(list), collections.Counter()
+    for r in docs.collect():
+        w = WORDS.findall((r.text or "").translate(fold))
+        sets[r.doc_id] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        for x in sets[r.doc_id]:
+            holders[x].append(r.doc_id)
+    for ids in holders.values():
+        shared.update(itertools.combinations(sorted(ids), 2))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(docs, 4).collect()}
+    assert got == {i: (find(i), len(s)) for i, s in sets.items()}
+
+
 def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """Copies around one text, many of them closer to it than to each other, in blocks of a few rows."""
     monkeypatch.setattr(neardup, "SHORT", 4)

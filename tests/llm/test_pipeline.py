@@ -50,3 +50,31 @@ def test_toxicity_stage_drops_what_the_operator_predicts(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 50 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string, th long, key double"
+
+
+def odd_rows():
+    long = " ".join(f"word{k % 977} other{k % 389}" for k in range(40_000))
+    texts = [(1, None, None), (2, "", "a"), (3, " \n ", "a"), (4, "one word", "b"), (4, "another text of the same id", "b"), (None, "no id here", None), (None, "no id here", None), (None, None, None), (5, long, "c"), (6, long, "c"), (7, "tie tie tie", "a"), (8, "tie tie tie", "a")]
+    return [(i, t, None, s, None, 3, "mine", 9, 0.5) for i, t, s in texts]
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        if k < 4:
+            assert out.columns == docs.columns and all(r.th == 9 and r.key == 0.5 for r in rows)
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "2", "3", "4", "4", "None", "None", "None", "5", "7"])
+        if name == "sharding":
+            assert len(rows) == len(odd_rows()) and sorted({r.shard for r in rows}) == list(range(8)) and all(r.key == 0.5 for r in rows)
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
