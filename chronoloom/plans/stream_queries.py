@@ -13,8 +13,18 @@ from chronoloom.streaming import scoring as S
 
 @query("str02_scoring")
 def str02(spark, d):
-    """Hits and misses of each take (STR-01 to STR-05, STR-07, STR-08)."""
-    return S.replay(S.timeline(V.cues(spark, d), V.gestures(spark, d), V.TRACK_US + 1_000_000))
+    """Hits and misses of each take (STR-02, STR-03, STR-05, STR-07, STR-08); a tenth of the gestures play another chord."""
+    cues = V.cues(spark, d).withColumn("chord", (F.col("lane") % 2).cast("string"))
+    played = F.when(F.col("gesture_id") % 10 == 0, F.lit("other")).otherwise((F.col("string_idx") % 2).cast("string"))
+    return S.replay(S.timeline(cues, V.gestures(spark, d).withColumn("chord", played), V.TRACK_US + 1_000_000))
+
+
+@query("str04_takes", V.sql(V.NOTES, V.GESTURES) + """
+, b AS (SELECT *, CASE WHEN at_us < lag(at_us) OVER w - 80000 THEN 1 ELSE 0 END AS back FROM gestures WINDOW w AS (PARTITION BY track_id ORDER BY gesture_id))
+SELECT track_id, gesture_id, sum(back) OVER (PARTITION BY track_id ORDER BY gesture_id)::BIGINT AS take FROM b""")
+def str04(spark, d):
+    """Gestures in the order of their ids, whose jitter moves the clock back now and then."""
+    return S.with_takes(V.gestures(spark, d), "gesture_id").select("track_id", "gesture_id", "take")
 
 
 @query("str06_dedup", V.sql(V.NOTES, V.GESTURES) + "SELECT track_id, string_idx, at_us // 100000 AS cell, min(gesture_id) AS gesture_id FROM gestures GROUP BY 1, 2, 3")

@@ -1,105 +1,142 @@
 """Online scoring of gestures against cues, as a keyed stateful stream and as its batch replay.
 
-Both run the same step over the events of a take in time order: cues arrive as events when they
-come into reach, gestures are matched with the nearest open cue of their string, and cues that
-nobody played in time are missed. A rewind starts a new take, which is part of the key.
+Both run the same step over a track's events in order: cues arrive as events when they come into
+reach, gestures are matched with the nearest open cue of their string, and cues that nobody played in
+time are missed, in the stream by an event-time timer if no event comes. A clock that moves back begins
+a new take.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.operators.sequences import fold
+
 PERFECT_US, GOOD_US, MISS_US = 80_000, 180_000, 220_000
-THROTTLE_US = 38_000
+#: Gestures of a string closer than this to the last are one; and gestures on a cue after it was played.
+THROTTLE_US, COALESCE_US = 38_000, 100_000
+#: A clock that moves back by more than this begins a new take.
+REWIND_US = 80_000
+#: Hits that are remembered.
 RECENT = 64
 #: Cues are announced so long before they are due.
 AHEAD_US = 400_000
+#: Where a track's time 0 lies in event time, so that no event is older than a new stream's watermark.
+ORIGIN_US = 946_684_800_000_000
 
-OUT = "track_id long, take long, cue_id long, gesture_id long, at_us long, grade string, combo int, best int"
+FIELDS = ["kind", "at_us", "id", "lane", "chord"]
+EVENTS = "track_id long, take long, kind string, at_us long, id long, lane long, chord string"
+OUT = "track_id long, take long, cue_id long, gesture_id long, at_us long, shown_us long, grade string, combo int, best int"
 
 
 def fresh() -> dict:
-    return {"open": [], "last": {}, "combo": 0, "best": 0, "recent": []}
+    """open: for each string its open cues as [due, cue, chord] in order; recent: the last hits as [string, cue, due, at]."""
+    return {"open": {}, "last": {}, "combo": 0, "best": 0, "recent": []}
+
+
+def expire(state: dict, now: int) -> list[tuple]:
+    """Misses of the cues whose time is over before now."""
+    late = []
+    for cues in state["open"].values():
+        n = 0
+        while n < len(cues) and cues[n][0] + MISS_US < now:
+            n += 1
+        late += cues[:n]
+        del cues[:n]
+    if late:
+        state["combo"] = 0
+    return [(cue, None, due + MISS_US, due + MISS_US, "miss", 0, state["best"]) for due, cue, _ in sorted(late, key=lambda c: c[:2])]
 
 
-def step(state: dict, kind: str, at: int, ident: int, lane: int) -> list[tuple]:
-    """Apply one event to the state; (cue, gesture, at, grade, combo, best) of what it settles."""
-    out = []
-    late = [c for c in state["open"] if c[1] + MISS_US < at]
-    for cue, due, _ in sorted(late, key=lambda c: (c[1], c[0])):
-        state["combo"] = 0
-        out.append((cue, None, due + MISS_US, "miss", 0, state["best"]))
-    if late:
-        state["open"] = [c for c in state["open"] if c[1] + MISS_US >= at]
+def step(state: dict, kind: str, at: int, ident: int, lane: int, chord: str | None) -> list[tuple]:
+    """Apply one event to the state; (cue, gesture, at, shown, grade, combo, best) of what it settles.
+
+    A hit before its cue is due is shown when that is due. A hit with another chord than its cue asks
+    for ends the run of hits and leaves the cue open.
+    """
+    out, key = expire(state, at), str(lane)
     if kind == "cue":
-        state["open"].append([ident, at + AHEAD_US, lane])
+        state["open"].setdefault(key, []).append([at + AHEAD_US, ident, chord])
         return out
-    if kind == "end":
+    if kind != "hit" or at - state["last"].get(key, -(10**18)) < THROTTLE_US:
         return out
-    before = state["last"].get(str(lane))
-    if before is not None and at - before < THROTTLE_US:
+    state["last"][key] = at
+    cues = [(abs(at - due), due, cue, asked) for due, cue, asked in state["open"].get(key, ()) if abs(at - due) <= GOOD_US]
+    near = min(cues, key=lambda c: c[:3], default=None)
+    again = [abs(at - due) for lane_, _, due, hit in state["recent"] if lane_ == key and at - hit < COALESCE_US]
+    if near is None or (again and min(again) <= near[0]):
         return out
-    state["last"][str(lane)] = at
-    near = [c for c in state["open"] if c[2] == lane and abs(at - c[1]) <= GOOD_US]
-    if not near:
+    off, due, cue, asked = near
+    if asked is not None and asked != chord:
+        state["combo"] = 0
         return out
-    cue = min(near, key=lambda c: (abs(at - c[1]), c[1], c[0]))
-    state["open"].remove(cue)
+    state["open"][key].remove([due, cue, asked])
     state["combo"] += 1
     state["best"] = max(state["best"], state["combo"])
-    state["recent"] = [*state["recent"], cue[0]][-RECENT:]
-    out.append((cue[0], ident, at, "perfect" if abs(at - cue[1]) <= PERFECT_US else "good", state["combo"], state["best"]))
+    state["recent"] = [*state["recent"], [key, cue, due, at]][-RECENT:]
+    out.append((cue, ident, at, max(at, due), "perfect" if off <= PERFECT_US else "good", state["combo"], state["best"]))
     return out
 
 
-def play(state: dict, events: pd.DataFrame) -> list[tuple]:
-    out = []
-    for e in events.sort_values(["at_us", "kind", "id"]).itertuples():
-        out += step(state, e.kind, int(e.at_us), int(e.id), int(e.lane))
-    return out
+def play(state: dict, events: Iterable[tuple]) -> Iterator[tuple]:
+    for event in events:
+        yield from step(state, *event)
 
 
 def timeline(cues: DataFrame, gestures: DataFrame, end_us: int | None = None) -> DataFrame:
-    """track_id, take, kind, at_us, id, lane: both sides as one stream of events, and an end for each track."""
-    a = cues.select("track_id", F.lit(0).cast("long").alias("take"), F.lit("cue").alias("kind"), (F.col("time_us") - AHEAD_US).alias("at_us"), F.col("cue_id").alias("id"), F.col("lane").cast("long").alias("lane"))
-    b = gestures.select("track_id", F.lit(0).cast("long").alias("take"), F.lit("hit").alias("kind"), "at_us", F.col("gesture_id").alias("id"), F.col("string_idx").cast("long").alias("lane"))
-    both = a.unionByName(b)
+    """EVENTS of both sides, and an end for each track. cues and gestures may have a column chord."""
+    chord = lambda df: F.col("chord") if "chord" in df.columns else F.lit(None).cast("string")
+    side = lambda df, kind, at, ident, lane: df.select("track_id", F.lit(0).cast("long").alias("take"), F.lit(kind).alias("kind"), at.alias("at_us"), F.col(ident).alias("id"), F.col(lane).cast("long").alias("lane"), chord(df).alias("chord"))
+    both = side(cues, "cue", F.col("time_us") - AHEAD_US, "cue_id", "lane").unionByName(side(gestures, "hit", F.col("at_us"), "gesture_id", "string_idx"))
     if end_us is None:
         return both
-    ends = both.select("track_id", "take").distinct().select("track_id", "take", F.lit("end").alias("kind"), F.lit(end_us).cast("long").alias("at_us"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("lane"))
+    zero = F.lit(0).cast("long")
+    ends = both.select("track_id", "take").distinct().select("track_id", "take", F.lit("end").alias("kind"), F.lit(end_us).cast("long").alias("at_us"), zero.alias("id"), zero.alias("lane"), F.lit(None).cast("string").alias("chord"))
     return both.unionByName(ends)
 
 
-def _frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in OUT.split(", ")]
-    out = pd.DataFrame([(*key, *r) for r in rows], columns=names)
-    return out.astype({"cue_id": "Int64", "gesture_id": "Int64"})
+def with_takes(events: DataFrame, order: str) -> DataFrame:
+    """events with take: a new one where a track's time, in the order they came, moves back by more than REWIND_US."""
+    w = W.partitionBy("track_id").orderBy(order)
+    back = F.coalesce(F.col("at_us") < F.lag("at_us").over(w) - REWIND_US, F.lit(False)).cast("long")
+    return events.withColumn("back", back).withColumn("take", F.sum("back").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("back")
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The scores of whole takes in one batch."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key, play(fresh(), pdf))
+    """The scores of whole takes in one batch: one pass over partitions sorted by take and time."""
+    out = OUT.split(", ", 2)[2]
+    return fold(events, ["track_id", "take"], ["at_us", "kind", "id"], FIELDS, lambda rows: play(fresh(), rows), out)
 
-    return events.groupBy("track_id", "take").applyInPandas(run, OUT)
 
+def score_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The same scores from a stream of EVENTS; each micro-batch must not be older than the ones before by more than delay."""
 
-def score_stream(events: DataFrame) -> DataFrame:
-    """The same scores from a stream of events; each micro-batch must not be older than the ones before."""
+    def frame(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, *r) for r in rows], columns=[c.split()[0] for c in OUT.split(", ")])
+        return out.astype({"cue_id": "Int64", "gesture_id": "Int64"})
 
     def run(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = json.loads(state.get[0]) if state.exists else fresh()
-        rows = play(now, pd.concat(list(pdfs)))
+        if state.hasTimedOut:
+            rows = expire(now, state.getCurrentWatermarkMs() * 1000 - ORIGIN_US)
+        else:
+            batch = pd.concat(list(pdfs)).sort_values(["at_us", "kind", "id"])
+            chords = [c if isinstance(c, str) else None for c in batch.chord]
+            rows = list(play(now, zip(batch.kind, map(int, batch.at_us), map(int, batch.id), map(int, batch.lane), chords)))
         state.update((json.dumps(now),))
-        yield _frame(key, rows)
+        due = min((cues[0][0] for cues in now["open"].values() if cues), default=None)
+        if due is not None:
+            state.setTimeoutTimestamp(max((due + MISS_US + ORIGIN_US) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield frame(key, rows)
 
-    return events.groupBy("track_id", "take").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+    timed = events.withColumn("event_time", F.timestamp_micros(F.col("at_us") + ORIGIN_US)).withWatermark("event_time", delay)
+    return timed.groupBy("track_id", "take").applyInPandasWithState(run, OUT, "state string", "append", "EventTimeTimeout")
 
 
 def distinct_events(events: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:

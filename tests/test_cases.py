@@ -399,20 +399,56 @@ def test_tags():
     assert R.parse_tags(b"ID3\x03\x00\x00" + bytes([0, 0, 0, len(frame)]) + frame) == {"title": "Title"}
 
 
+def test_scoring_rules():
+    state, ms = scoring.fresh(), 1000
+    cue = lambda due, ident, lane=0, chord=None: scoring.step(state, "cue", due - scoring.AHEAD_US, ident, lane, chord)
+    hit = lambda at, ident, lane=0, chord=None: scoring.step(state, "hit", at, ident, lane, chord)
+    cue(1000 * ms, 1), cue(1300 * ms, 2)
+    # early: graded now, shown when due; the next gesture of the string within 38 ms counts for nothing
+    assert hit(940 * ms, 10) == [(1, 10, 940 * ms, 1000 * ms, "perfect", 1, 1)]
+    assert hit(970 * ms, 11) == []
+    # soon after a hit and nearer to its cue than to an open one: the same pluck again
+    assert hit(1030 * ms, 12) == [] and hit(1200 * ms, 13) == [(2, 13, 1200 * ms, 1300 * ms, "good", 2, 2)]
+    # another chord ends the run and leaves the cue open, which is then missed
+    cue(2000 * ms, 3, chord="C")
+    assert hit(2000 * ms, 14, chord="G") == [] and state["combo"] == 0
+    assert scoring.step(state, "end", 2221 * ms, 0, 0, None) == [(3, None, 2220 * ms, 2220 * ms, "miss", 0, 2)]
+    for k in range(100):
+        cue((3000 + 500 * k) * ms, 100 + k), hit((3000 + 500 * k) * ms, 200 + k)
+    assert len(state["recent"]) == scoring.RECENT and state["best"] == 100
+
+
+def test_takes(spark):
+    rows = [(1, k, at) for k, at in enumerate([0, 100_000, 30_000, 200_000, 0, 10_000])]
+    got = scoring.with_takes(spark.createDataFrame(rows, "track_id long, seq long, at_us long"), "seq").orderBy("seq").collect()
+    assert [r.take for r in got] == [0, 0, 0, 0, 1, 1]
+
+
 def test_stream_equals_replay(spark, tmp_path):
     rng = random.Random(2)
-    events = [(t, 0, "cue", (due := rng.randrange(5_000_000)) - scoring.AHEAD_US, 100 * t + k, rng.randrange(3)) for t in range(3) for k in range(25)]
-    events += [(t, 0, "hit", rng.randrange(5_000_000), 5000 + 100 * t + k, rng.randrange(3)) for t in range(3) for k in range(40)]
-    events += [(t, 0, "end", 9_000_000, 0, 0) for t in range(3)]
-    schema = "track_id long, take long, kind string, at_us long, id long, lane long"
-    whole = spark.createDataFrame(events, schema)
+    chord = lambda: rng.choice([None, "C", "G"])
+    events = [(t, 0, "cue", rng.randrange(5_000_000) - scoring.AHEAD_US, 100 * t + k, rng.randrange(3), chord()) for t in range(3) for k in range(25)]
+    events += [(t, 0, "hit", rng.randrange(5_000_000), 5000 + 100 * t + k, rng.randrange(3), chord()) for t in range(3) for k in range(40)]
+    events += [(t, 0, "end", 9_000_000, 0, 0, None) for t in range(3)]
+    whole = spark.createDataFrame(events, scoring.EVENTS)
     want = sorted(map(str, scoring.replay(whole).collect()))
     src = tmp_path / "in"
     for k, (lo, hi) in enumerate([(-(10**9), 2_000_000), (2_000_000, 10**9)]):
         whole.where(f"at_us >= {lo} and at_us < {hi}").coalesce(1).write.mode("append").parquet(f"{src}/{k}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{src}/*")
+    stream = spark.readStream.schema(scoring.EVENTS).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{src}/*")
+    scoring.run_available(scoring.score_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(map(str, spark.read.schema(scoring.OUT).parquet(str(tmp_path / "out")).collect())) == want and len(want) > 60
+
+
+def test_misses_come_by_timer(spark, tmp_path):
+    """A track that falls silent has its cues missed once other tracks' events move the watermark on."""
+    silent, other = [(1, 0, "cue", 600_000, 7, 0, None)], [(2, 0, "hit", 9_000_000, 8, 0, None)]
+    for k, rows in enumerate([silent, other, [(2, 0, "hit", 9_500_000, 9, 0, None)]]):
+        spark.createDataFrame(rows, scoring.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(scoring.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     scoring.run_available(scoring.score_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(map(str, spark.read.schema(scoring.OUT).parquet(str(tmp_path / "out")).collect())) == want
+    got = spark.read.schema(scoring.OUT).parquet(str(tmp_path / "out")).collect()
+    assert [(r.cue_id, r.gesture_id, r.grade, r.at_us) for r in got] == [(7, None, "miss", 1_220_000)]
 
 
 def test_stream_dedup_and_windows(spark, tmp_path):
