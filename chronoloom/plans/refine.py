@@ -1,21 +1,49 @@
 """Refinement of a transcribed voice by a second reading of the same audio.
 
 primary: track_id, note_id, start_us, end_us, midi, conf_pct, strength_pct.
-evidence: track_id, ev_id, start_us, end_us, midi, quality_pct. Times in microseconds.
+evidence: track_id, ev_id, start_us, end_us, midi, quality_pct.
+acoustic: track_id, at_us and the metrics of strong_attack(); estimates: track_id, at_us, median_midi, mad_midi.
+Times in microseconds. Steps that compare two tables are joins; steps that look at the note before are folds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.functions.music import strong_attack
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
 from chronoloom.operators import windows as O
-from chronoloom.plans.join_queries import support
 
 T = ["track_id"]
+#: Fixed values, in microseconds: reach of evidence, shortest note, least distance of onsets and of attacks, rest before an
+#: attack, rest over which one pitch is one note, reach of an attack and of a measurement.
+REACH, SHORTEST, ONSET_GAP, ATTACK_GAP, BREATH, JOIN_GAP, ATTACK_REACH, MEASURED = 100_000, 60_000, 60_000, 90_000, 12_000, 55_000, 55_000, 15_000
+METRICS = ["broad_peak", "harmonic_peak", "broad_ratio", "harmonic_ratio", "rise_db", "reset_db"]
+NOTE = "note_id long, start_us long, end_us long, midi long, conf double, strength double, support double"
+
+
+def support_score(n0: Column, n1: Column, e0: Column, e1: Column, quality: Column) -> Column:
+    """0 to 1: overlap over the shorter of the two, closeness of the starts, quality of the evidence."""
+    inter = F.greatest(F.lit(0), F.least(n1, e1) - F.greatest(n0, e0))
+    shorter = F.greatest(F.lit(SHORTEST), F.least(n1 - n0, e1 - e0))
+    return 0.55 * F.least(F.lit(1.0), inter / shorter) + 0.30 * F.exp(-F.abs(n0 - e0) / F.lit(65_000.0)) + 0.15 * quality
+
+
+def best_support(notes: DataFrame, evidence: DataFrame, shifts: tuple[int, ...] = (0,)) -> DataFrame:
+    """track_id, note_id, shift, score, ev0, ev1, quality: the best evidence of each note at each shift of its pitch."""
+    pitches = F.explode(F.array(*(F.lit(s) for s in shifts)))
+    n = notes.select(*T, "note_id", F.col("start_us").alias("n0"), F.col("end_us").alias("n1"), "midi", pitches.alias("shift"))
+    n = n.withColumn("pitch", F.col("midi") + F.col("shift")).withColumn("lo", F.col("n0") - REACH).withColumn("hi", F.col("n1") + REACH)
+    e = evidence.select(*T, F.col("midi").alias("pitch"), "ev_id", F.col("start_us").alias("e0"), F.col("end_us").alias("e1"), (F.col("quality_pct") / 100).alias("quality"))
+    met = J.overlapping(n, e, [*T, "pitch"], "lo", "hi", "e0", "e1", 2_000_000)
+    score = support_score(F.col("n0"), F.col("n1"), F.col("e0"), F.col("e1"), F.col("quality"))
+    best = F.max(F.struct(score.alias("score"), (-F.col("e0")).alias("e"), (-F.col("ev_id")).alias("i"), "e1", "quality")).alias("b")
+    return met.groupBy(*T, "note_id", "shift").agg(best).select(*T, "note_id", "shift", "b.score", (-F.col("b.e")).alias("ev0"), F.col("b.e1").alias("ev1"), "b.quality")
 
 
 def coalesced(evidence: DataFrame, reach: int = 24_000) -> DataFrame:
@@ -24,48 +52,171 @@ def coalesced(evidence: DataFrame, reach: int = 24_000) -> DataFrame:
     return rows.groupBy("track_id", "midi", "island").agg(F.min("ev_id").alias("ev_id"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("quality_pct").alias("quality_pct")).drop("island")
 
 
-def supported(primary: DataFrame, evidence: DataFrame) -> DataFrame:
-    """primary with the best evidence of its pitch: score, ev0, ev1; null without any."""
-    n = primary.select("track_id", "note_id", F.col("start_us").alias("n0"), F.col("end_us").alias("n1"), "midi").withColumn("lo", F.col("n0") - 99_999).withColumn("hi", F.col("n1") + 100_000)
-    e = evidence.select("track_id", "midi", "ev_id", F.col("start_us").alias("e0"), F.col("end_us").alias("e1"), "quality_pct")
-    met = J.overlapping(n, e, ["track_id", "midi"], "lo", "hi", "e0", "e1", 2_000_000)
-    met = met.withColumn("score", support(F.col("n0"), F.col("n1"), F.col("e0"), F.col("e1"), F.col("quality_pct")))
-    best = met.groupBy("note_id").agg(F.max(F.struct("score", (-F.col("e0")).alias("e"), (-F.col("ev_id")).alias("i"), "e1")).alias("b"))
-    return primary.join(best.select("note_id", "b.score", (-F.col("b.e")).alias("ev0"), F.col("b.e1").alias("ev1")), "note_id", "left")
-
-
-def corrected(primary: DataFrame, evidence: DataFrame) -> DataFrame:
-    """A semitone's correction where clearly better evidence starts with the note; raw evidence decides."""
-    e = evidence.select("track_id", F.col("start_us").alias("e0"), F.col("midi").alias("em"), "quality_pct")
-    met = J.points_in_intervals(primary, e, T, "start_us", F.col("e0") - 60_000, F.col("e0") + 60_000, 1_000_000).withColumn("shift", F.col("em") - F.col("midi")).where("abs(shift) <= 1")
-    own = F.max(F.when(F.col("shift") == 0, F.col("quality_pct")))
-    other = F.max(F.when(F.col("shift") != 0, F.struct("quality_pct", "shift")))
-    votes = met.groupBy("note_id").agg(own.alias("own"), other.alias("o"))
-    better = (F.col("o.quality_pct") >= 75) & (F.col("o.quality_pct") > F.coalesce("own", F.lit(0)) + 20)
-    return primary.join(votes, "note_id", "left").withColumn("corrected", F.coalesce(better, F.lit(False))).withColumn("midi", F.when(F.col("corrected"), F.col("midi") + F.col("o.shift")).otherwise(F.col("midi"))).drop("own", "o")
-
-
-def refine(primary: DataFrame, evidence: DataFrame, low: int = 48, high: int = 84) -> DataFrame:
-    """Filter, correct, anchor, merge, separate, split nothing that has no attack, connect, one voice."""
-    inside = primary.where(F.col("midi").between(low, high))
-    notes = supported(corrected(inside, evidence), coalesced(evidence))
-    support_pct = F.coalesce(F.col("score") / 10_000, F.lit(0.0))
-    clear = (F.col("conf_pct") >= 72) | ((F.col("end_us") - F.col("start_us") >= 200_000) & (F.col("conf_pct") >= 60) & (F.col("strength_pct") >= 42))
-    notes = notes.where((support_pct >= 25) | clear)
-    anchored = support_pct >= 55
-    notes = notes.withColumn("start_us", F.when(anchored, F.col("ev0")).otherwise(F.col("start_us"))).withColumn("end_us", F.when(anchored, F.greatest(F.col("ev1"), F.col("ev0") + 60_000)).otherwise(F.col("end_us")))
-    notes = notes.withColumn("rank", (2 * support_pct + F.col("conf_pct") + F.col("strength_pct")).cast("long"))
-    # an attack of its own: evidence of its pitch starts with it
-    attack = evidence.where("quality_pct >= 55").select("track_id", "midi", F.col("start_us").alias("a0"))
-    hit = J.points_in_intervals(notes.select("track_id", "midi", "note_id", "start_us"), attack, ["track_id", "midi"], "start_us", F.col("a0") - 55_000, F.col("a0") + 55_000, 1_000_000).select("note_id").distinct().withColumn("attack", F.lit(True))
-    notes = notes.join(hit, "note_id", "left").withColumn("attack", F.coalesce("attack", F.lit(False)))
-    merged = S.merge_same_pitch(notes, ["track_id", "midi"], 55_000, value="rank").select("track_id", "midi", "start_us", "note_id", "end_us", "rank")
-    apart = S.separate_onsets(merged, T, 60_000).select("track_id", "note_id")
-    kept = merged.join(apart, ["track_id", "note_id"], "left_semi")
-    found = connectors(kept, evidence).select("track_id", (-F.col("ev_id") - 1).alias("note_id"), "midi", "start_us", "end_us", F.lit(0).cast("long").alias("rank"))
-    every = kept.unionByName(found).select("track_id", "note_id", "midi", "start_us", (F.col("end_us") - F.col("start_us")).alias("dur_us"), F.col("rank").alias("conf_pct"))
-    voice = S.monophonic(every, T, 5_000, 60_000).join(every.select("track_id", "note_id", "midi"), ["track_id", "note_id"])
-    return voice.select("track_id", "note_id", "start_us", (F.col("start_us") + F.col("dur_us")).alias("end_us"), "midi", (F.col("note_id") < 0).alias("inserted"))
+def corrected(primary: DataFrame, evidence: DataFrame, estimates: DataFrame | None) -> DataFrame:
+    """primary with difference (the shift that evidence proposes) and corrected: a semitone or an octave is
+    taken where clearly better evidence and a steady pitch estimate at the onset agree."""
+    scores = best_support(primary, evidence, (-12, -1, 0, 1, 12))
+    rank = F.element_at(F.create_map(*(F.lit(x) for pair in ((-12, 3), (-1, 2), (1, 1), (12, 0)) for x in pair)), F.col("shift"))
+    other = F.max(F.when(F.col("shift") != 0, F.struct("score", rank.alias("rank"), "shift", "quality"))).alias("o")
+    votes = scores.groupBy(*T, "note_id").agg(F.coalesce(F.max(F.when(F.col("shift") == 0, F.col("score"))), F.lit(0.0)).alias("same"), other)
+    rows = primary.join(votes, [*T, "note_id"], "left").withColumn("difference", F.when(F.col("o.score") > F.col("same") + 0.05, F.col("o.shift")))
+    if estimates is None:
+        return rows.withColumn("corrected", F.lit(False)).drop("same", "o")
+    at = J.nearest(primary.select(*T, "note_id", "start_us"), estimates, T, "start_us", "at_us", ["median_midi", "mad_midi"], "median_midi")
+    rows = rows.join(at.where(F.abs("diff") <= MEASURED).select(*T, "note_id", "median_midi", "mad_midi"), [*T, "note_id"], "left")
+    off = F.abs(F.col("median_midi") - (F.col("midi") + F.col("difference")))
+    octave = (F.col("o.score") >= 0.55) & (F.col("o.quality") >= 0.75) & (F.col("mad_midi") <= 0.35) & (off <= 0.65)
+    long = F.col("end_us") - F.col("start_us") >= 140_000
+    semitone = (F.col("o.score") >= 0.40) & (F.col("same") <= 0.15) & (F.col("o.quality") >= 0.80) & long & (F.col("mad_midi") <= 0.25) & (off <= 0.20)
+    good = F.coalesce(F.when(F.abs("difference") == 12, octave).otherwise(semitone), F.lit(False)) & F.col("difference").isNotNull()
+    rows = rows.withColumn("corrected", good)
+    return rows.withColumn("midi", F.when(F.col("corrected"), F.col("midi") + F.col("difference")).otherwise(F.col("midi"))).drop("same", "o", "median_midi", "mad_midi")
+
+
+def anchored(notes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Notes that are supported or clear in themselves; near borders of their evidence are taken over."""
+    best = best_support(notes, coalesced(evidence)).drop("shift")
+    rows = notes.join(best, [*T, "note_id"], "left").withColumn("support", F.coalesce("score", F.lit(0.0)))
+    length = F.col("end_us") - F.col("start_us")
+    clear = (F.col("support") >= 0.25) | (F.col("conf") >= 0.72) | ((length >= 200_000) & (F.col("conf") >= 0.60) & (F.col("strength") >= 0.42))
+    near = lambda border, found, reach: F.coalesce(F.abs(F.col(found) - F.col(border)) <= reach, F.lit(False))
+    take = lambda border, found, reach: F.when(near(border, found, reach), F.col(found)).otherwise(F.col(border))
+    found = F.col("score").isNotNull()
+    rows = rows.where(clear).withColumn("anchored_start", near("start_us", "ev0", 90_000)).withColumn("anchored_end", near("end_us", "ev1", 120_000))
+    rows = rows.withColumn("start_us", take("start_us", "ev0", 90_000)).withColumn("end_us", take("end_us", "ev1", 120_000))
+    rows = rows.withColumn("conf", F.when(found, F.greatest("conf", F.least(F.lit(0.99), 0.46 + 0.50 * F.col("support")))).otherwise(F.col("conf")))
+    return rows.withColumn("strength", F.when(found, F.least(F.lit(1.0), 0.78 * F.col("strength") + 0.22 * F.col("quality"))).otherwise(F.col("strength"))).drop("score", "ev0", "ev1", "quality")
+
+
+def one_line(notes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Neighbours of one pitch without an attack of their own are one; of colliding onsets the better supported stays."""
+    attack = evidence.where("quality_pct >= 55").select(*T, "midi", F.col("start_us").alias("a0"))
+    hit = J.points_in_intervals(notes.select(*T, "midi", "note_id", "start_us"), attack, [*T, "midi"], "start_us", F.col("a0") - ATTACK_REACH, F.col("a0") + ATTACK_REACH, 1_000_000)
+    notes = notes.join(hit.select(*T, "note_id").distinct().withColumn("attacked", F.lit(True)), [*T, "note_id"], "left")
+
+    def merged(rows):
+        last = None
+        for name, start, end, midi, conf, strength, support, attacked in rows:
+            if last and midi == last[3] and start - last[2] <= JOIN_GAP and not attacked:
+                last = (*last[:2], max(last[2], end), midi, max(last[4], conf), max(last[5], strength), max(last[6], support))
+            else:
+                if last:
+                    yield last
+                last = (name, start, end, midi, conf, strength, support)
+        if last:
+            yield last
+
+    def step(rows):
+        last = None
+        rank = lambda r: 2 * r[6] + r[4] + r[5]
+        for row in merged(rows):
+            if last and row[1] - last[1] < ONSET_GAP:
+                last = row if rank(row) > rank(last) else last
+            else:
+                if last:
+                    yield last
+                last = row
+        if last:
+            yield last
+
+    fields = [c.split()[0] for c in NOTE.split(", ")]
+    return S.fold(notes.withColumn("weak", -F.col("strength")), T, ["start_us", "weak", "note_id"], [*fields, "attacked"], step, NOTE)
+
+
+def attacks(points: DataFrame, acoustic: DataFrame, strict: bool) -> DataFrame:
+    """points (track_id, start_us, ...) with strong: whether the nearest measurement, if near, shows an attack."""
+    met = J.nearest(points, acoustic, T, "start_us", "at_us", METRICS, "broad_peak")
+    strong = strong_attack(*(F.col(c) for c in METRICS), strict=strict) & F.coalesce(F.abs("diff") <= MEASURED, F.lit(False))
+    return met.withColumn("strong", strong).select(*points.columns, "strong")
+
+
+def split_attacks(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame) -> DataFrame:
+    """Each note cut where evidence of its pitch starts anew and the audio shows an attack there."""
+    good = evidence.where(f"quality_pct >= 65 and end_us - start_us >= {ATTACK_GAP}").select(*T, "midi", "start_us", (F.col("quality_pct") / 100).alias("quality"))
+    inside = notes.select(*T, "midi", "note_id", F.col("start_us").alias("n0"), F.col("end_us").alias("n1"))
+    cands = J.points_in_intervals(good, inside, [*T, "midi"], "start_us", F.col("n0") + ATTACK_GAP, F.col("n1") - SHORTEST, 1_000_000).select(*T, "note_id", "start_us", "quality")
+    starts = notes.select(*T, F.col("start_us").alias("s0"), F.col("note_id").alias("near_id"))
+    free = J.nearest(cands, starts, T, "start_us", "s0", ["near_id"], "near_id").where(F.abs("diff") >= ATTACK_GAP).select(*cands.columns)
+
+    def step(rows):
+        last = None
+        for at, quality, strong in rows:
+            if strong and (last is None or at - last >= ATTACK_GAP):
+                yield at, quality
+                last = at
+
+    cuts = S.fold(attacks(free, acoustic, False), [*T, "note_id"], ["start_us", "quality"], ["start_us", "quality", "strong"], step, "at long, quality double")
+    begins = notes.select(*T, "note_id", F.col("start_us").alias("at"), F.lit(None).cast("double").alias("quality")).unionByName(cuts)
+    after = F.lead("at").over(W.partitionBy(*T, "note_id").orderBy("at"))
+    pieces = begins.withColumn("after", after).join(notes, [*T, "note_id"])
+    end = F.when(F.col("after").isNull(), F.col("end_us")).otherwise(F.greatest(F.col("at") + SHORTEST, F.col("after") - BREATH))
+    last = F.col("after").isNull() & F.col("quality").isNotNull()
+    conf = F.when(last, F.greatest("conf", F.least(F.lit(0.99), 0.50 + 0.45 * F.col("quality")))).otherwise(F.col("conf"))
+    strength = F.when(last, F.greatest("strength", "quality")).otherwise(F.col("strength"))
+    return pieces.select(*T, "note_id", F.col("at").alias("start_us"), end.alias("end_us"), "midi", conf.alias("conf"), strength.alias("strength"), "support")
+
+
+def insert_connecting(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame, low: int, high: int) -> DataFrame:
+    """notes and, in their rests, evidence that is strongly attacked, fits both neighbours and reaches the next."""
+    good = evidence.where(f"midi between {low} and {high} and quality_pct >= 75 and end_us - start_us >= 120000")
+    groups = S.anchored_groups(good, T, 65_000, "start_us", "ev_id").select(*T, "ev_id", "anchor")
+    cands = attacks(good.select(*T, "ev_id", "start_us", "end_us", "midi", (F.col("quality_pct") / 100).alias("quality")), acoustic, True).join(groups, [*T, "ev_id"])
+    w = W.partitionBy(*T).orderBy("start_us")
+    around = notes.select(*T, F.col("start_us").alias("p0"), F.col("end_us").alias("p1"), F.col("midi").alias("pm"), F.lead("start_us").over(w).alias("f0"), F.lead("midi").over(w).alias("fm"))
+    rows = J.as_of(cands, around.withColumn("at", F.col("p0")), T, "anchor", "at", ["p0", "p1", "pm", "f0", "fm"], "p0").where("p0 is not null and f0 is not null")
+
+    def step(rows):
+        put = None
+        for anchor, group in groupby(rows, key=lambda r: r[0]):
+            group = list(group)
+            p0, p1, pm, f0, fm = group[0][7:]
+            near = [p0, f0] + ([put[1]] if put else [])
+            if put and put[1] > p0:
+                p1, pm = put[2], put[3]
+            if min(abs(anchor - x) for x in near) < ATTACK_GAP or not p1 - 30_000 <= anchor <= p1 + 80_000:
+                continue
+            viable = [c for c in group if c[6] and f0 - 100_000 <= c[3] <= f0 + 75_000 and max(abs(c[4] - pm), abs(c[4] - fm)) <= 7]
+            if not viable:
+                continue
+            _, name, start, end, midi, quality, *_ = max(viable, key=lambda c: (4 * c[5] - 0.25 * (abs(c[4] - pm) + abs(c[4] - fm)), c[3] - c[2]))
+            end = min(end, f0 - BREATH)
+            if end - start >= SHORTEST:
+                put = (-name - 1, start, end, midi, min(0.99, 0.55 + 0.42 * quality), quality, quality)
+                yield put
+
+    fields = ["anchor", "ev_id", "start_us", "end_us", "midi", "quality", "strong", "p0", "p1", "pm", "f0", "fm"]
+    found = S.fold(rows, T, ["anchor", "start_us", "midi", "ev_id"], fields, step, NOTE)
+    return notes.unionByName(found)
+
+
+def trimmed(notes: DataFrame) -> DataFrame:
+    """One voice: a note ends before the next, and sounds on to it over a short rest if the pitch changes."""
+    w = W.partitionBy(*T).orderBy("start_us", "note_id")
+    after, pitch = F.lead("start_us").over(w), F.lead("midi").over(w)
+    rows = notes.withColumn("after", after).withColumn("pitch", pitch).withColumn("cut", F.least("end_us", F.col("after") - BREATH))
+    on = (F.col("midi") != F.col("pitch")) & (F.col("after") - F.col("cut")).between(1, 120_000)
+    end = F.when(F.col("after").isNull(), F.col("end_us")).when(on, F.col("after") - BREATH).otherwise(F.col("cut"))
+    return rows.withColumn("end_us", F.greatest(end, F.col("start_us") + SHORTEST)).drop("after", "pitch", "cut")
+
+
+def refine(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> DataFrame:
+    """track_id, note_id, start_us, end_us, midi, conf, strength, support, inserted: correct, filter, anchor, merge,
+    separate, split, connect, one voice. Without acoustic nothing is split or inserted, without estimates nothing corrected."""
+    notes = primary.where(F.col("midi").between(low, high)).select(*T, "note_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
+    notes = one_line(anchored(corrected(notes, evidence, estimates), evidence), evidence)
+    if acoustic is not None:
+        notes = insert_connecting(split_attacks(notes, evidence, acoustic), evidence, acoustic, low, high)
+    return trimmed(notes).withColumn("inserted", F.col("note_id") < 0)
+
+
+def counts(primary: DataFrame, evidence: DataFrame, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> DataFrame:
+    """For each track: primary notes, dropped ones, proposed and accepted corrections by kind, anchored borders."""
+    inside = primary.where(F.col("midi").between(low, high)).select(*T, "note_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
+    kept = anchored(corrected(inside, evidence, estimates), evidence)
+    of = lambda size, more=F.lit(True): F.count_if((F.abs("difference") == size) & more)
+    got = kept.groupBy(*T).agg(F.count("*").alias("n"), of(1).alias("semitone_candidates"), of(12).alias("octave_candidates"), of(1, F.col("corrected")).alias("semitones"), of(12, F.col("corrected")).alias("octaves"), F.count_if("anchored_start").alias("anchored_starts"), F.count_if("anchored_end").alias("anchored_ends"))
+    every = primary.groupBy(*T).agg(F.count("*").alias("primary"))
+    return every.join(got, T, "left").withColumn("dropped", F.col("primary") - F.coalesce("n", F.lit(0))).drop("n")
 
 
 def connectors(notes: DataFrame, evidence: DataFrame, rest: int = 100_000) -> DataFrame:

@@ -90,6 +90,19 @@ EVIDENCE = """evidence AS (
   FROM notes)"""
 
 
+def acoustic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attack metrics at the starts of the evidence."""
+    k = F.col("ev_id")
+    metric = lambda step, span: ((k * step) % 101 / 100 * span)
+    return evidence(spark, sf_dir).select("track_id", F.col("start_us").alias("at_us"), metric(13, 1.2).alias("broad_peak"), metric(29, 1.0).alias("harmonic_peak"), metric(31, 5.0).alias("broad_ratio"), metric(43, 4.0).alias("harmonic_ratio"), metric(53, 6.0).alias("rise_db"), metric(61, 9.0).alias("reset_db"))
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitch estimates at the starts of the notes, some of them a semitone or an octave away."""
+    off = F.when(F.col("note_id") % 4 == 0, 12).when(F.col("note_id") % 4 == 1, 1).otherwise(0)
+    return notes(spark, sf_dir).select("track_id", F.col("start_us").alias("at_us"), (F.col("midi") + off + (F.col("note_id") % 5) / 50).alias("median_midi"), ((F.col("note_id") % 7) / 20).alias("mad_midi"))
+
+
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score notes of parts, voices and staves, from lineitem."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))

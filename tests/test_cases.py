@@ -17,7 +17,7 @@ from chronoloom.operators import joins as J
 from chronoloom.operators import projections as P
 from chronoloom.operators import sequences as S
 from chronoloom.operators import windows as O
-from chronoloom.plans import cli
+from chronoloom.plans import cli, refine
 from chronoloom.sources import readers as R
 from chronoloom.sources import sinks as K
 from chronoloom.streaming import scoring
@@ -399,6 +399,38 @@ def test_tags():
     assert R.parse_tags(b"ID3\x03\x00\x00" + bytes([0, 0, 0, len(frame)]) + frame) == {"title": "Title"}
 
 
+def refined(spark, notes, evidence, attacks=(), estimates=()):
+    """(start, end, midi) of the refined notes, in seconds as given."""
+    us = lambda x: round(x * 1_000_000)
+    p = spark.createDataFrame([(1, k, us(a), us(b), m, *(rest or (90, 80))) for k, (a, b, m, *rest) in enumerate(notes)], "track_id long, note_id long, start_us long, end_us long, midi long, conf_pct long, strength_pct long")
+    e = spark.createDataFrame([(1, k, us(a), us(b), m, *(rest or (90,))) for k, (a, b, m, *rest) in enumerate(evidence)], "track_id long, ev_id long, start_us long, end_us long, midi long, quality_pct long")
+    ac = spark.createDataFrame([(1, us(at), peak, peak, ratio, ratio, rise, reset) for at, peak, ratio, rise, reset in attacks], "track_id long, at_us long, broad_peak double, harmonic_peak double, broad_ratio double, harmonic_ratio double, rise_db double, reset_db double") if attacks else None
+    es = spark.createDataFrame([(1, us(at), m, mad) for at, m, mad in estimates], "track_id long, at_us long, median_midi double, mad_midi double") if estimates else None
+    rows = refine.refine(p, e, ac, es).orderBy("start_us").collect()
+    return [(r.start_us / 1e6, r.end_us / 1e6, r.midi) for r in rows]
+
+
+PLAIN, STRONG = (0.9, 3.2, 3.0, 7.0), (1.2, 3.8, 5.0, 9.0)
+REFINED = {
+    "borders of the evidence": (dict(notes=[(1.04, 1.47, 64)], evidence=[(1.0, 1.5, 64)]), [(1.0, 1.5, 64)]),
+    "weak noise": (dict(notes=[(1.0, 1.1, 60, 50, 20), (1.3, 1.39, 62, 90, 70)], evidence=[(9.0, 9.5, 50)]), [(1.3, 1.39, 62)]),
+    "repetition": (dict(notes=[(1.0, 1.2, 60), (1.23, 1.5, 60), (2.0, 2.2, 62), (2.24, 2.5, 62)], evidence=[(1.0, 1.5, 60), (2.0, 2.2, 62), (2.24, 2.5, 62)]), [(1.0, 1.5, 60), (2.0, 2.2, 62), (2.24, 2.5, 62)]),
+    "split": (dict(notes=[(1.0, 1.8, 60)], evidence=[(1.0, 1.3, 60), (1.3, 1.8, 60)], attacks=[(1.3, *PLAIN)]), [(1.0, 1.288, 60), (1.3, 1.8, 60)]),
+    "no reset": (dict(notes=[(1.0, 1.8, 60)], evidence=[(1.0, 1.3, 60), (1.3, 1.8, 60)], attacks=[(1.3, 0.9, 2.2, -1.0, 2.0)]), [(1.0, 1.8, 60)]),
+    "three attacks": (dict(notes=[(1.0, 2.0, 60)], evidence=[(1.0, 1.25, 60), (1.25, 1.5, 60), (1.5, 1.75, 60), (1.75, 2.0, 60)], attacks=[(t, *PLAIN) for t in (1.25, 1.5, 1.75)]), [(1.0, 1.238, 60), (1.25, 1.488, 60), (1.5, 1.738, 60), (1.75, 2.0, 60)]),
+    "connecting note": (dict(notes=[(1.0, 1.25, 60), (1.65, 2.0, 64)], evidence=[(1.0, 1.25, 60), (1.3, 1.56, 62, 86), (1.31, 1.56, 74, 97), (1.65, 2.0, 64)], attacks=[(1.3, *STRONG)]), [(1.0, 1.288, 60), (1.3, 1.638, 62), (1.65, 2.0, 64)]),
+    "harmonic at an onset": (dict(notes=[(1.0, 1.4, 60), (1.7, 2.0, 62)], evidence=[(1.0, 1.4, 60), (1.01, 1.3, 72), (1.7, 2.0, 62)], attacks=[(1.01, 1.2, 4.0, 5.0, 10.0)]), [(1.0, 1.4, 60), (1.7, 2.0, 62)]),
+    "confirmed semitone": (dict(notes=[(1.0, 1.4, 60), (2.0, 2.4, 60)], evidence=[(1.0, 1.4, 61, 95), (2.0, 2.4, 72, 95)], estimates=[(1.0, 61.05, 0.05), (2.0, 60.02, 0.05)]), [(1.0, 1.4, 61), (2.0, 2.4, 60)]),
+    "confirmed octave": (dict(notes=[(1.0, 1.4, 56, 55, 80)], evidence=[(1.0, 1.4, 68)], estimates=[(1.0, 67.7, 0.1)]), [(1.0, 1.4, 68)]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(REFINED))
+def test_refinement(spark, name):
+    given, want = REFINED[name]
+    assert refined(spark, **given) == want
+
+
 def test_scoring_rules():
     state, ms = scoring.fresh(), 1000
     cue = lambda due, ident, lane=0, chord=None: scoring.step(state, "cue", due - scoring.AHEAD_US, ident, lane, chord)
