@@ -314,7 +314,7 @@ def _melody_steps() -> tuple[np.ndarray, np.ndarray]:
 
 def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
     """The best state of each frame: a pitch from LOWEST on, or SILENT."""
-    base, gain = _melody_steps()
+    base, gain = (np.ascontiguousarray(x.T) for x in _melody_steps())  # by next state, then by the one before
     pitch = np.arange(LOWEST, HIGHEST + 1)
     top = np.where(act >= 0.27, pitch, LOWEST).max(axis=1)
     voiced = (act - 0.27) * 3.8 + onset * 0.72 - 0.06 * np.maximum(0, top[:, None] - pitch) - 0.045 * np.maximum(0, 52 - pitch)
@@ -324,10 +324,13 @@ def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
     state = np.full(SILENT + 1, -6.0)
     state[SILENT] = 0
     back = np.empty(scores.shape, np.int16)
+    rows, attacked = np.arange(SILENT + 1), attacks.any(axis=1)
     for t in range(len(scores)):
-        every = state[:, None] + (base + gain * attacks[t])
-        back[t] = every.argmax(axis=0)
-        state = every.max(axis=0) + scores[t]
+        every = base + state
+        if attacked[t]:
+            every += gain * attacks[t][:, None]
+        back[t] = best = every.argmax(axis=1)
+        state = every[rows, best] + scores[t]
         state -= state.max()
     path = np.empty(len(scores), np.int16)
     now = int(state.argmax())

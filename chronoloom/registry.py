@@ -23,16 +23,15 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    load()
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    load()
     return _ORACLES
 
 
 def load() -> None:
-    """Import the modules that register queries."""
+    """Import the modules that register queries; not when this module is imported, since tasks import them one by one."""
     from chronoloom.plans import aggregate_queries, join_queries, projection_queries, sequence_queries, sink_queries, stream_queries, text_queries, window_queries  # noqa: F401
-
-
-load()

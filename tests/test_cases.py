@@ -1,8 +1,11 @@
 """Literal cases of single operators."""
 
 import math
+import os
 import random
 import struct
+import subprocess
+import sys
 import unicodedata
 
 import numpy as np
@@ -492,3 +495,9 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     counted = scoring.windowed_counts(stream(), "at", "0 seconds", "1 second", "id")
     scoring.run_available(counted.select(F.col("window.start").alias("w"), "id", "count"), f"{tmp_path}/o2", f"{tmp_path}/c2")
     assert spark.read.parquet(f"{tmp_path}/o2").count() >= 2
+
+
+@pytest.mark.parametrize("module", ["sequence_queries", "window_queries", "refine", "stream_queries", "cli"])
+def test_modules_can_be_imported_first(module):
+    """A task imports only the module whose function it runs."""
+    subprocess.run([sys.executable, "-c", f"import chronoloom.plans.{module}"], check=True, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))})
