@@ -6,8 +6,12 @@ that runs on the executors, one file a row. A bad file fails the query unless a
 
 from __future__ import annotations
 
+import io
+import re
 import struct
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import numpy as np
@@ -169,17 +173,82 @@ def parse_midi(data: bytes) -> list[tuple]:
     return sorted(rows, key=lambda r: (r[0], r[2]))
 
 
-def parse_musicxml(data: bytes, default_bpm: float = 120.0) -> list[tuple]:
-    """(start, duration, midi, velocity, part, id, name, voice, staff) of partwise MusicXML; ties are joined."""
+def unzipped(data: bytes) -> bytes:
+    """The score of a compressed MusicXML file, by its container's first root file; other bytes as they are."""
+    if data[:2] != b"PK":
+        return data
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        container = ElementTree.fromstring(z.read("META-INF/container.xml"))
+        name = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
+        if z.getinfo(name).file_size > MOST_BYTES:
+            raise ValueError("the score is too large")
+        return z.read(name)
+
+
+def play_order(measures: list) -> list[int]:
+    """Places of measures as they sound: repeats taken, endings by their numbers; leaps such as D.C. are not.
+
+    A section ends at its last ending or its closing bar. One whose only ending is the first is played twice.
+    """
+    opens, closes, ends, now = set(), {}, [], frozenset()
+    for k, m in enumerate(measures):
+        stop = False
+        for bar in m.findall("barline"):
+            ending, repeat = bar.find("ending"), bar.find("repeat")
+            if ending is not None:
+                if ending.get("type") == "start":
+                    now = frozenset(int(n) for n in re.findall(r"\d+", ending.get("number") or ""))
+                else:
+                    stop = True
+            if repeat is not None and repeat.get("direction") == "forward":
+                opens.add(k)
+            elif repeat is not None:
+                closes[k] = int(repeat.get("times") or 2)
+        ends.append(now)
+        now = frozenset() if stop else now
+    group: dict[int, int] = {}
+    for k, e in enumerate(ends):
+        if e:
+            group[k] = group[k - 1] if k - 1 in group and min(e) >= min(ends[k - 1]) else k
+    turns = {g: max(2, *(n for k in group if group[k] == g for n in ends[k])) for g in set(group.values())}
+    order, k, first, turn = [], 0, 0, 1
+    while k < len(measures):
+        if k in opens and k != first:
+            first, turn = k, 1
+        plays = not ends[k] or turn in ends[k]
+        if plays:
+            order.append(k)
+            if k in closes and turn < turns.get(group.get(k), closes[k]):
+                turn, k = turn + 1, first
+                continue
+        left = k in group and group.get(k + 1) != group[k]
+        if left or plays and k in closes:
+            first, turn = k + 1, 1
+        k += 1
+    return order
+
+
+def parse_musicxml(data: bytes, default_bpm: float = 120.0, unfold: bool = True) -> list[tuple]:
+    """(start, duration, midi, velocity, part, id, name, voice, staff) of partwise MusicXML, plain or zipped.
+
+    Ties are joined; repeats are played where unfold is set, else the written order is kept.
+    """
     steps = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
-    root = ElementTree.fromstring(data)
+    root = ElementTree.fromstring(unzipped(data))
     names = {p.get("id"): p.findtext("part-name") or "" for p in root.iter("score-part")}
     tempos, notes = [], []
     for k, part in enumerate(root.iter("part")):
-        at, divisions, last = 0.0, 1, 0.0
+        at, last = 0.0, 0.0
         open_ties: dict[tuple, int] = {}
-        for measure in part.iter("measure"):
-            for e in measure:
+        measures = part.findall("measure")
+        units, per = [], 1
+        for m in measures:
+            units.append(per)
+            per = int(m.findtext("attributes/divisions") or per)
+        for place in play_order(measures) if unfold else range(len(measures)):
+            divisions, furthest = units[place], at
+            for e in measures[place]:
+                furthest = max(furthest, at)
                 if e.tag == "attributes" and e.findtext("divisions"):
                     divisions = int(e.findtext("divisions"))
                 elif e.tag in ("sound", "direction"):
@@ -207,6 +276,7 @@ def parse_musicxml(data: bytes, default_bpm: float = 120.0) -> list[tuple]:
                         open_ties[key] = len(notes) - 1
                     if "start" not in ties:
                         open_ties.pop(key, None)
+            at = max(furthest, at)
     changes = dict(sorted(tempos)) or {0.0: default_bpm}
     if min(changes) > 0:
         changes[0.0] = default_bpm
@@ -228,13 +298,13 @@ def _midi_rows(path: str, data: bytes):
         yield path, s, du, m, v, p, str(p), name, 0, 0, drum
 
 
-def _xml_rows(path: str, data: bytes):
-    for s, du, m, v, p, pid, name, voice, staff in parse_musicxml(data):
+def _xml_rows(path: str, data: bytes, default_bpm: float = 120.0, unfold: bool = True):
+    for s, du, m, v, p, pid, name, voice, staff in parse_musicxml(data, default_bpm, unfold):
         yield path, s, du, m, v, p, pid, name, voice, staff, False
 
 
 #: Parsers by extension; register_score_format adds more.
-SCORE_FORMATS: dict[str, Callable] = {".mid": _midi_rows, ".midi": _midi_rows, ".musicxml": _xml_rows, ".xml": _xml_rows}
+SCORE_FORMATS: dict[str, Callable] = {".mid": _midi_rows, ".midi": _midi_rows, ".musicxml": _xml_rows, ".xml": _xml_rows, ".mxl": _xml_rows}
 
 
 def register_score_format(extension: str, rows: Callable) -> None:
@@ -242,9 +312,12 @@ def register_score_format(extension: str, rows: Callable) -> None:
     SCORE_FORMATS[extension.lower()] = rows
 
 
-def score_files(spark: SparkSession, path: str) -> DataFrame:
-    """Notes of score files by their extension; an unknown one or a note out of range raises."""
-    formats = dict(SCORE_FORMATS)
+def score_files(spark: SparkSession, path: str, default_bpm: float = 120.0, unfold: bool = True) -> DataFrame:
+    """Notes of score files by their extension; an unknown one or a note out of range raises.
+
+    Notated scores take default_bpm before their first tempo, and play their repeats unless unfold is unset.
+    """
+    formats = {k: partial(v, default_bpm=default_bpm, unfold=unfold) if v is _xml_rows else v for k, v in SCORE_FORMATS.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCORE_NOTE.split(", ")]
@@ -263,9 +336,39 @@ def score_files(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).mapInPandas(run, SCORE_NOTE)
 
 
+def _atoms(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, begin, end) of the boxes of an MP4 file between two places."""
+    while at + 8 <= end:
+        size, head = int.from_bytes(data[at : at + 4], "big"), 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        size = end - at if size == 0 else size
+        if size < head or at + size > end:
+            return
+        yield data[at + 4 : at + 8], at + head, at + size
+        at += size
+
+
+def _mp4_tags(data: bytes) -> dict[str, str]:
+    spans = [(0, len(data))]
+    for name in (b"moov", b"udta", b"meta", b"ilst"):
+        skip = 4 if name == b"meta" else 0
+        spans = [(a + skip, b) for lo, hi in spans for n, a, b in _atoms(data, lo, hi) if n == name]
+    out: dict[str, str] = {}
+    for lo, hi in spans:
+        for name, a, b in _atoms(data, lo, hi):
+            field = {b"\xa9nam": "title", b"\xa9ART": "artist"}.get(name)
+            for kind, x, y in _atoms(data, a, b):
+                if field and kind == b"data" and field not in out:
+                    out[field] = data[x + 8 : y].decode("utf-8", "replace").strip("\0 ")
+    return out
+
+
 def parse_tags(data: bytes) -> dict[str, str]:
-    """title and artist of an ID3v2 header, if there is one."""
+    """title and artist of an ID3v2 header or of an MP4 file's item list, if there is one."""
     out: dict[str, str] = {}
+    if data[4:8] == b"ftyp":
+        return _mp4_tags(data)
     if data[:3] != b"ID3":
         return out
     big = data[3] >= 4
@@ -295,6 +398,16 @@ def tagged_files(spark: SparkSession, path: str) -> DataFrame:
     return named.select("path", F.coalesce(clean_text(F.col("t")), clean_text(F.col("m.title"))).alias("title"), F.coalesce(clean_text(F.col("a")), clean_text(F.col("m.artist"))).alias("artist"))
 
 
+CATALOG = "id string, title string, artist string, fileName string, url string, melodyUrl string, backingUrl string, bpm double, sourceUrl string, sourceLabel string, preview boolean, version string, audioBytes long, audioSha256 string"
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of catalog files, JSON arrays of tracks; a malformed file or a track without an id, title or version raises."""
+    raw = spark.read.schema(CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    ok = F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("version").isNotNull()
+    return raw.withColumn("id", F.when(ok, F.col("id")).otherwise(F.raise_error(F.lit("a track lacks an id, title or version"))))
+
+
 def with_fallback(songs: DataFrame, stems: DataFrame, generated: Column) -> DataFrame:
     """songs with track and kind: the separated stem if it is there and not empty, else the generated one."""
     met = songs.join(stems.select("id", "stem"), "id", "left")

@@ -35,6 +35,22 @@ def update_if(table: DataFrame, changes: DataFrame, key: str, expected: Mapping[
     return met.select(*(F.when(ok, F.col(f"v_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns))
 
 
+def update_with(table: DataFrame, requests: DataFrame, key: str, expected: Mapping[str, str], values: Mapping[str, Column], where: Column | None = None) -> DataFrame:
+    """table with `values`, expressions over its columns, where a request still holds and `where` is true.
+
+    A row whose key an expression would change, or that where declines, stays as it is. Repeated
+    requests for a key count once.
+    """
+    asked = requests.select(F.col(key).alias("k_"), *(F.col(e).alias(f"e_{c}") for c, e in expected.items())).distinct().withColumn("hit_", F.lit(True))
+    held = F.col(key) == F.col("k_")
+    for c in expected:
+        held = held & F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    ok = F.coalesce(F.col("hit_"), F.lit(False))
+    ok = ok & where if where is not None else ok
+    ok = ok & (values[key] == F.col(key)) if key in values else ok
+    return table.join(asked, held, "left").select(*(F.when(ok, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns))
+
+
 def fill_if(table: DataFrame, changes: DataFrame, key: str, expected: Mapping[str, str], column: str, replace: bool = False) -> DataFrame:
     """One column filled under the same conditions, kept where it has a value unless replace is set."""
     kept = table.withColumn("old_", F.col(column))

@@ -7,6 +7,7 @@ import struct
 import subprocess
 import sys
 import unicodedata
+import zipfile
 
 import numpy as np
 import pytest
@@ -379,6 +380,67 @@ def test_score_readers(spark, tmp_path):
     assert cli.inspect(notes.where("part_name = 'Vocal Melody'")).first().part_name == "Vocal Melody"
 
 
+def bars(*specs):
+    """A part of whole-note measures C, D, E ...: '|:' opens, ':|' closes, '[1' begins an ending, ']' ends one."""
+    out = []
+    for k, spec in enumerate(specs):
+        left = '<repeat direction="forward"/>' if "|:" in spec else ""
+        number = spec[spec.index("[") + 1 :].split(" ")[0] if "[" in spec else ""
+        left += f'<ending number="{number}" type="start"/>' if number else ""
+        right = '<ending number="1" type="stop"/>' if "]" in spec else ""
+        right += '<repeat direction="backward"/>' if ":|" in spec else ""
+        note = f'<note><pitch><step>{"CDEFGAB"[k]}</step><octave>4</octave></pitch><duration>4</duration></note>'
+        out.append(f'<measure>{f"<barline>{left}</barline>" if left else ""}{note}{f"<barline>{right}</barline>" if right else ""}</measure>')
+    return ('<score-partwise><part-list/><part id="P1">' + "".join(out) + "</part></score-partwise>").encode()
+
+
+@pytest.mark.parametrize(
+    ("specs", "played"),
+    [
+        (("", "", ""), "CDE"),
+        (("", ":|", ""), "CDCDE"),
+        (("", "|:", ":|", ""), "CDEDEF"),
+        (("|:", "[1 ] :|", "[2 ]", ""), "CDCEF"),
+        (("", "[1 ] :|", "", ""), "CDCEF"),
+        (("|:", "[1,2 ] :|", "[3 ]"), "CDCDCE"),
+        (("|:", "[1 ] :|", "[2 ] :|", ""), "CDCEF"),
+        (("|:", "[1", "] :|", "[2 ]", ":|"), "CDECFGG"),
+        (("|:", "[1 ] :|", "[2 ]", "|:", "[1 ] :|", "[2 ]"), "CDCEFGFA"),
+    ],
+)
+def test_repeats_are_played(specs, played):
+    names = {60: "C", 62: "D", 64: "E", 65: "F", 67: "G", 69: "A", 71: "B"}
+    notes = R.parse_musicxml(bars(*specs))
+    assert "".join(names[n[2]] for n in notes) == played
+    assert [n[0] for n in notes] == [2.0 * k for k in range(len(played))]
+    assert "".join(names[n[2]] for n in R.parse_musicxml(bars(*specs), unfold=False)) == "CDEFGAB"[: len(specs)]
+
+
+def test_zipped_scores(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.mxl", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="s/a.xml"/></rootfiles></container>')
+        z.writestr("s/a.xml", bars("", ":|"))
+    assert [r.midi for r in R.score_files(spark, str(tmp_path)).orderBy("start").collect()] == [60, 62, 60, 62]
+    assert [(r.start, r.midi) for r in R.score_files(spark, str(tmp_path), default_bpm=60.0, unfold=False).orderBy("start").collect()] == [(0.0, 60), (4.0, 62)]
+
+
+def test_catalog(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"id":"a","title":"A","version":"v1","bpm":80,"audioBytes":9239467},{"id":"b","title":"B","version":"v2","bpm":92.5,"more":1}]')
+    assert [(r.id, r.bpm, r.audioBytes) for r in R.catalog(spark, f"{tmp_path}/c.json").orderBy("id").collect()] == [("a", 80.0, 9239467), ("b", 92.5, None)]
+    (tmp_path / "d.json").write_text('[{"id":"a","title":"A"}]')
+    with pytest.raises(Exception, match="lacks an id"):
+        R.catalog(spark, f"{tmp_path}/d.json").collect()
+
+
+def test_update_with_an_expression(spark):
+    t = spark.createDataFrame([(1, "a", None), (2, "b", 2), (3, "c", 3)], "id int, name string, v int")
+    ask = spark.createDataFrame([(1, None), (1, None), (2, 9), (3, 3), (4, None)], "k int, seen int").withColumnRenamed("k", "id")
+    run = lambda values, where=None: sorted(tuple(r) for r in K.update_with(t, ask, "id", {"v": "seen"}, values, where).collect())
+    assert run({"name": F.upper("name")}) == [(1, "A", None), (2, "b", 2), (3, "C", 3)]
+    assert run({"name": F.upper("name"), "id": F.lit(3)}) == [(1, "a", None), (2, "b", 2), (3, "C", 3)]
+    assert run({"name": F.upper("name")}, F.col("v") > 2) == [(1, "a", None), (2, "b", 2), (3, "C", 3)]
+
+
 def test_compare_report(spark):
     ref = spark.createDataFrame([(1, 0.0, 60), (1, 1.0, 62), (1, 2.0, 64), (1, 3.0, 65)], "t int, start double, midi int")
     cand = spark.createDataFrame([(1, 0.05, 60), (1, 1.1, 74), (1, 2.0, 65), (1, 3.6, 65)], "t int, start double, midi int")
@@ -402,6 +464,15 @@ def test_tags():
     assert R.parse_tags(b"ID3\x03\x00\x00" + bytes([0, 0, 0, len(frame)]) + frame) == {"title": "Title"}
 
 
+def test_mp4_tags():
+    box = lambda name, body: (8 + len(body)).to_bytes(4, "big") + name + body
+    item = lambda name, text: box(name, box(b"data", bytes([0, 0, 0, 1, 0, 0, 0, 0]) + text.encode()))
+    items = box(b"ilst", item(b"\xa9nam", "Título") + item(b"\xa9alb", "Album") + item(b"\xa9ART", "Singer"))
+    file = box(b"ftyp", b"M4A \0\0\0\0") + box(b"moov", box(b"udta", box(b"meta", bytes(4) + items)))
+    assert R.parse_tags(file) == {"title": "Título", "artist": "Singer"}
+    assert R.parse_tags(file[:-20]) == {} and R.parse_tags(box(b"ftyp", b"M4A ")) == {}
+
+
 def refined(spark, notes, evidence, attacks=(), estimates=()):
     """(start, end, midi) of the refined notes, in seconds as given."""
     us = lambda x: round(x * 1_000_000)
