@@ -20,6 +20,15 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def frame_time(frame: Column, hop: int = 256, rate: int = 22_050, window: int = 172, samples: int = 43_844, lag: float = 0.0018) -> Column:
+    """Seconds of a frame of a model that sees windows of `window` frames but only `samples` samples, and lags by `lag`.
+
+    Each window before the frame takes the excess off; no time is negative.
+    """
+    excess = hop / rate * (window - samples / hop) + lag
+    return F.greatest(F.lit(0.0), frame * F.lit(float(hop)) / rate - F.lit(excess) * F.floor(frame / window))
+
+
 def to_frequency(midi: Column) -> Column:
     return 440 * F.pow(F.lit(2.0), (midi - 69) / 12)
 

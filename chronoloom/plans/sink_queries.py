@@ -41,6 +41,13 @@ def snk03(spark, d):
     return K.update_if(c, ch, "c_custkey", {"doc": "seen"}, ["c_name"]).drop("doc")
 
 
+@query("udf1_update_by_expression", """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_acctbal > 0 THEN upper(c_name) ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_acctbal > 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer""")
+def udf1(spark, d):
+    values = {"c_name": F.upper("c_name"), "c_acctbal": F.col("c_acctbal") * 2}
+    return K.update_with(customers(spark, d), changes(spark, d), "c_custkey", {"c_nationkey": "seen"}, values, F.col("c_acctbal") > 0)
+
+
 @query("snk04_delete", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 6 <> 1")
 def snk04(spark, d):
     c = customers(spark, d)

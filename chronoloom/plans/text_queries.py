@@ -9,6 +9,7 @@ from chronoloom.functions import arrays as A
 from chronoloom.functions import music as M
 from chronoloom.functions import text as X
 from chronoloom.registry import query
+from chronoloom.sources import readers as R
 
 
 @query("str01_clean_text", r"""SELECT doc_id, nullif(substr(trim(regexp_replace(text, '[\x00-\x20\x7f]+', ' ', 'g')), 1, 300), '') AS clean FROM documents""")
@@ -136,6 +137,12 @@ def mth11(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.octet_length(t).cast("long").alias("n"))
 
 
+@query("mth12_frame_time", """
+SELECT event_id, round(greatest(0.0::DOUBLE, event_id * 256.0::DOUBLE / 22050 - (256.0::DOUBLE / 22050 * (172 - 43844.0::DOUBLE / 256) + 0.0018::DOUBLE) * (event_id // 172)), 6) AS seconds FROM events""")
+def mth12(spark, d):
+    return V.table(spark, d, "events").select("event_id", F.round(M.frame_time(F.col("event_id")), 6).alias("seconds"))
+
+
 @query("mth14_strict_numbers", "SELECT event_id, value AS x FROM events")
 def mth14(spark, d):
     return V.table(spark, d, "events").select("event_id", M.strict_number(F.col("value").cast("string"), -1e12, 1e12, "value").alias("x"))
@@ -169,6 +176,18 @@ def map01(spark, d):
     return lists.select("track_id", "midi", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first"))
 
 
+@query("src05_melody_texts", V.sql(V.NOTES) + """
+SELECT note_id, start_us / 1e6 AS start, dur_us / 1e6 AS duration, midi::DOUBLE AS midi, conf_pct / 1e2 AS confidence, CASE WHEN note_id % 2 = 0 THEN strength_pct / 1e2 END AS strength FROM notes""")
+def src05(spark, d):
+    """Notes read from JSON texts of the three forms, some without a strength."""
+    n = V.notes(spark, d)
+    note = F.struct((F.col("start_us") / 1e6).alias("start"), (F.col("dur_us") / 1e6).alias("duration"), "midi", (F.col("conf_pct") / 1e2).alias("confidence"), F.when(F.col("note_id") % 2 == 0, F.col("strength_pct") / 1e2).alias("strength"))
+    bare = F.to_json(F.array(note))
+    form = F.col("note_id") % 3
+    text = F.when(form == 0, bare).when(form == 1, F.concat(F.lit('{"melody":'), bare, F.lit("}"))).otherwise(F.concat(F.lit('{"analysis":{"melody":'), bare, F.lit("}}")))
+    return n.select("note_id", F.inline(R.melody_json(text)))
+
+
 @query("src17_known_ids", """SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1""")
 def src17(spark, d):
     e = V.table(spark, d, "events").groupBy("user_id").agg(A.id_list(F.collect_list("event_type")).alias("j"))
