@@ -441,6 +441,12 @@ def test_update_with_an_expression(spark):
     assert run({"name": F.upper("name")}, F.col("v") > 2) == [(1, "a", None), (2, "b", 2), (3, "C", 3)]
 
 
+def test_frame_times(spark):
+    frames = [0, 1, 171, 172, 173, 5000]
+    got = spark.createDataFrame([(f,) for f in frames], "f int").select(M.frame_time(F.col("f")).alias("t")).collect()
+    assert [r.t for r in got] == pytest.approx([S.frame_time(f) for f in frames], abs=1e-9)
+
+
 def test_compare_report(spark):
     ref = spark.createDataFrame([(1, 0.0, 60), (1, 1.0, 62), (1, 2.0, 64), (1, 3.0, 65)], "t int, start double, midi int")
     cand = spark.createDataFrame([(1, 0.05, 60), (1, 1.1, 74), (1, 2.0, 65), (1, 3.6, 65)], "t int, start double, midi int")
