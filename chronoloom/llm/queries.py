@@ -8,6 +8,7 @@ from chronoloom.llm.fingerprint import op6_fingerprint
 from chronoloom.llm.langid import op3_language
 from chronoloom.llm.mixing import OP7_SQL, op7_mixing
 from chronoloom.llm.neardup import op5_near_duplicates
+from chronoloom.llm.pieces import op13_pieces
 from chronoloom.llm.sharding import op8_sharding
 from chronoloom.llm.surrogates import op4_surrogates
 from chronoloom.llm.tokens import op1_tokens
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLES = {"op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
