@@ -143,7 +143,7 @@ class PieceEncoder:
         self.normaliser = Normaliser(model.normalizer_spec, model.trainer_spec.treat_whitespace_as_suffix)
         self.library = SentencePieceProcessor(model_proto=proto)
         self.end, self.unknown = self.library.eos_id(), self.library.unk_id()
-        kinds = [p.type for p in model.pieces]
+        self.kinds = kinds = [p.type for p in model.pieces]
         cuttable = model.trainer_spec.model_type == BPE and USER not in kinds
         self.together = together_in(p.piece for p in model.pieces if p.type in (NORMAL, UNUSED)) if cuttable else None
         self.texts = [p.piece for p in model.pieces]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chronoloom.llm.alignment import op11_alignment
 from chronoloom.llm.chat import op9_chat
 from chronoloom.llm.decontaminate import OP10_SQL, op10_decontamination
 from chronoloom.llm.fingerprint import op6_fingerprint
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
     "op13_pieces": op13_pieces,
 }
 

@@ -1,12 +1,14 @@
 """Operators 11 to 13 against the libraries and brute-force versions, and on odd rows."""
 
+import collections
 import hashlib
 import random
+from itertools import accumulate
 
 import pyarrow as pa
 import pytest
 
-from chronoloom.llm import pieces, queries
+from chronoloom.llm import alignment, common, lexicon, pieces, queries
 
 SCHEMA = "doc_id long, text string, ids string, part int, n_tokens string, text_ string"
 ODD = ["<0x41>", "▁", "", None, " ", "  a  b ", "x" * 9000, "\n\n", "é" * 40, "a b  c", "a  b", "<|endoftext|> x", "a ▁b"]
@@ -101,3 +103,117 @@ def test_op13_odd_rows(spark):
     assert got.count() == len(rows)
     assert [tuple(r)[1:] for r in got.where("doc_id = 3").collect()] == [(1, [2], [0], [0], "")] * 3
     assert pieces.encode_pieces(frame(spark, []), piece_path()).count() == 0
+
+
+# ---- 11: alignment of two tokenizers -------------------------------------------------------------
+
+
+def byte_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def both():
+    return alignment.Aligner(byte_path(), piece_path())
+
+
+def plain_alignment(both, texts):
+    """Each text's (a ids, b ids, groups) by byte offsets, from whole encodings; None where a side spells another text."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    left, right = Tokenizer.from_file(byte_path()), SentencePieceProcessor(model_file=piece_path())
+    left.encode_special_tokens = True
+    chars = alignment.byte_level()
+    out = []
+    for text in texts:
+        raw = (" " + text).encode() if text else b""
+        a = left.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = right.encode(text or "")
+        spelled_a = [bytes(chars[c] for c in left.id_to_token(i)) for i in a]
+        spelled_b = [bytes([int(right.id_to_piece(i)[1:-1], 16)]) if right.is_byte(i) else right.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+        if not text or b"".join(spelled_a) != raw or b"".join(spelled_b) != raw:
+            out.append(None)
+            continue
+        ends = [[sum(map(len, s[: k + 1])) for k in range(len(s))] for s in (spelled_a, spelled_b)] if len(raw) < 300 else [list(accumulate(map(len, s))) for s in (spelled_a, spelled_b)]
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            p, q = ends[0].index(cut, i) + 1, ends[1].index(cut, j) + 1
+            groups.append((a[i:p], b[j:q]))
+            i, j = p, q
+        out.append((a, b, groups))
+    return out
+
+
+def plain_rows(plain):
+    """The contract's columns without doc_id, from plain_alignment()."""
+    docs = [collections.Counter((x, y) for a, b in (p[2] if p else ()) for x in a for y in b) for p in plain]
+    count = collections.Counter(pair for d in docs for pair in d)
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    rows = []
+    for p, d in zip(plain, docs):
+        said = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in p[2]) if p else None
+        rows.append((len(p[0]) if p else 0, len(p[1]) if p else 0, len(p[2]) if p else 0, sum(d.values()), sum(m for (x, y), m in d.items() if count[x, y] == best[x]), sum(m * count[k] for k, m in d.items()), sha(said) if p else ""))
+    return rows
+
+
+COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_transducer_closes_groups():
+    t = alignment.Transducer([b"", b"ab", b"c", b"abcd", b"d"], [b"", b"a", b"bc", b"bcd", b"x", b"d"])
+    assert t.groups([1, 2, 4], [1, 2, 5]) == [(2, 2), (1, 1)]
+    assert t.groups([3], [1, 3]) == [(1, 2)] and t.groups([], []) == []
+    assert t.groups([1, 2], [1, 3]) is None and t.groups([1], [4]) is None and t.groups([1], []) is None and t.groups([], [1]) is None
+    assert t.groups([1, 2, 4], [1, 2, 5]) == [(2, 2), (1, 1)]
+
+
+@pytest.mark.parametrize("window", [1 << 21, 50])
+def test_alignment_by_offsets(both, window, monkeypatch):
+    monkeypatch.setattr(lexicon.segments, "__defaults__", (window,))
+    texts = scrambled(600) + scrambled(15, 2000, 2) + ODD
+    found = both.align(pa.array(texts, pa.string()), True)
+    at = dict.fromkeys(("pairs", "times", "a_ids", "b_ids", "a_sizes", "b_sizes"), 0)
+    for k, p in enumerate(plain_alignment(both, texts)):
+        mine = {}
+        for name in at:
+            n = int(found[name][0][k])
+            mine[name] = found[name][1][at[name] : at[name] + n].tolist()
+            at[name] += n
+        a, b, groups = p or ([], [], [])
+        assert (mine["a_ids"], mine["b_ids"]) == (a, b), texts[k]
+        assert (mine["a_sizes"], mine["b_sizes"]) == ([len(x) for x, _ in groups], [len(y) for _, y in groups])
+        links = collections.Counter(x * both.n_right + y for x1, y1 in groups for x in x1 for y in y1)
+        assert dict(zip(mine["pairs"], mine["times"])) == links and len(mine["pairs"]) == len(links)
+
+
+def test_long_group_costs_its_ids(both):
+    t = alignment.Transducer([b"aa"], [b"aaa"])
+    assert t.groups([0] * 30_000, [0] * 20_000) == [(3, 2)] * 10_000
+    found = both.align(pa.array(["q" * 50_000]), False)
+    assert found["n_links"][0] > 0
+
+
+def test_op11_query(spark, sf_dir, both):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = plain_rows(plain_alignment(both, [r.text for r in docs]))
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in queries.QUERIES["op11_alignment"](spark, sf_dir).collect()}
+    assert len(got) == len(docs) and got == {r.doc_id: w for r, w in zip(docs, want)}
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_op11_odd_rows(spark, both, bound, monkeypatch):
+    monkeypatch.setattr(alignment, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    texts = [*ODD, "the the cat", "the cat", "the cat", None]
+    rows = [*zip([None, *range(1, len(texts) - 1), 1], texts)]
+    want = plain_rows(plain_alignment(both, texts))
+    found = alignment.align_tokens(frame(spark, rows), byte_path(), piece_path())
+    got = alignment.scored(found, both.n_right)
+    key = lambda i, t: (i is None, i or 0, t)
+    assert sorted((key(r.doc_id, tuple(r[c] for c in COLUMNS)) for r in got.collect())) == sorted(key(i, w) for (i, _), w in zip(rows, want))
+    assert alignment.scored(alignment.align_tokens(frame(spark, []), byte_path(), piece_path(), groups=False), both.n_right).count() == 0
