@@ -11,6 +11,7 @@ from chronoloom.llm.mixing import OP7_SQL, op7_mixing
 from chronoloom.llm.neardup import op5_near_duplicates
 from chronoloom.llm.pieces import op13_pieces
 from chronoloom.llm.sharding import op8_sharding
+from chronoloom.llm.structure import op12_structure
 from chronoloom.llm.surrogates import op4_surrogates
 from chronoloom.llm.tokens import op1_tokens
 from chronoloom.llm.toxicity import op2_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
     "op11_alignment": op11_alignment,
+    "op12_structure": op12_structure,
     "op13_pieces": op13_pieces,
 }
 

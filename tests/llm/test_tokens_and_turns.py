@@ -3,12 +3,16 @@
 import collections
 import hashlib
 import random
+import re
+import zlib
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from chronoloom.llm import alignment, common, lexicon, pieces, queries
+from chronoloom.llm import alignment, common, lexicon, pieces, queries, structure
 
 SCHEMA = "doc_id long, text string, ids string, part int, n_tokens string, text_ string"
 ODD = ["<0x41>", "▁", "", None, " ", "  a  b ", "x" * 9000, "\n\n", "é" * 40, "a b  c", "a  b", "<|endoftext|> x", "a ▁b"]
@@ -217,3 +221,165 @@ def test_op11_odd_rows(spark, both, bound, monkeypatch):
     key = lambda i, t: (i is None, i or 0, t)
     assert sorted((key(r.doc_id, tuple(r[c] for c in COLUMNS)) for r in got.collect())) == sorted(key(i, w) for (i, _), w in zip(rows, want))
     assert alignment.scored(alignment.align_tokens(frame(spark, []), byte_path(), piece_path(), groups=False), both.n_right).count() == 0
+
+
+# ---- 12: structure of conversations --------------------------------------------------------------
+
+INK = re.compile("[^\x20\x09-\x0d]")
+NEXT = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+
+
+def cheapest(rows):
+    """(cost, audit, repaired rows) of rows of (role, text, fault), by trying every edit from every state, backwards."""
+    best = {s: (0, "", ()) if s in ("", "a") else None for s in NEXT}
+    for at in range(len(rows), -1, -1):
+        after = dict(best) if at < len(rows) else None
+        if after is not None:
+            role, text, fault = rows[at]
+            new = {}
+            for s in NEXT:
+                ways = [(2 + after[s][0], "D" + after[s][1], after[s][2])] if after[s] else []
+                extra = 5 if fault == "truncated" else 0
+                if fault not in ("blank", "duplicate"):
+                    kept = NEXT[s].get(role[:1])
+                    for letter, price, name, to in (("K", extra, role, kept), *(("R", extra + 1, n, NEXT[s].get(n[0])) for n in ("user", "assistant"))):
+                        if to and after[to]:
+                            ways.append((price + after[to][0], letter + after[to][1], ((name, text), *after[to][2])))
+                new[s] = min(ways) if ways else None
+            best = new
+        for _ in range(3):
+            for s in NEXT:
+                for n in ("user", "assistant"):
+                    to = NEXT[s].get(n[0])
+                    if to and best[to]:
+                        way = (5 + best[to][0], "I" + best[to][1], ((n, ""), *best[to][2]))
+                        best[s] = min(best[s], way) if best[s] else way
+    return best[""]
+
+
+def plain_report(turns):
+    """The contract's rows from (conv_id, turn, role, text, gone) by conversation."""
+    out = {}
+    by = collections.defaultdict(list)
+    for c, t, r, x, gone in turns:
+        by[c].append((t, r if r is not None else " ", x if x is not None else " ", gone))
+    for c, rows in by.items():
+        rows = sorted((r for r in rows if not r[3]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        seen, found, count, broken = set(), [], collections.Counter(), 0
+        for k, (_, role, text, _) in enumerate(rows):
+            ink = INK.findall(text)
+            fault = "blank" if not ink else "duplicate" if (role, text) in seen else "truncated" if ink[-1] not in ".!?" else ""
+            seen.add((role, text))
+            count[fault] += 1
+            found.append((role, text, fault))
+            broken += k > 0 and rows[k - 1][1][:1] + role[:1] not in ("su", "ua", "au")
+        numbers = {r[0] for r in rows if r[0] is not None}
+        cost, audit, fixed = cheapest(found)
+        out[c] = (max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0, count["blank"], count["duplicate"], count["truncated"], broken, cost, audit, sha("\n".join(f"{r}:{x}" for r, x in fixed)))
+    return out
+
+
+FIELDS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+TURNS = "conv_id long, turn long, role string, text string, gone boolean, part string, fault int, n long"
+
+
+def turn_frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 9, 9) for r in rows], TURNS)
+
+
+def reported(df):
+    return {r.conv_id: tuple(r[c] for c in FIELDS) for r in df.collect()}
+
+
+def random_turns(rng, conv, n, step=1):
+    """Turns of one conversation without two different rows of one number and role."""
+    roles = ["user", "assistant", "system", "tool", None, "unknown", "user", "assistant"]
+    texts = ["Yes.", "no", "", " \n", "What?", None, *(f"text {k}." for k in range(6)), *(f"cut {k}" for k in range(3))]
+    out = []
+    for k in range(n):
+        row = (conv, k * step if rng.random() < 0.9 else k * step + 1, rng.choice(roles), rng.choice(texts), rng.random() < 0.05)
+        out += [row] * rng.choice([1, 1, 1, 1, 2])
+    return out
+
+
+def one_order(rows):
+    """rows without those that differ from an earlier one of the same number and role: their order is not defined by the contract."""
+    seen = {}
+    return [r for r in rows if seen.setdefault((r[0], r[1], r[2] or " "), (r[3], r[4])) == (r[3], r[4])]
+
+
+def test_layers_equal_every_edit():
+    rng = random.Random(3)
+    name = {0: "system", 1: "user", 2: "assistant", 3: "tool"}
+    fault = {0: "", 1: "truncated", 2: "blank"}
+    codes = [[rng.choice([0, 1, 1, 2, 2, 3]) + 4 * rng.choice([0, 0, 0, 1, 2]) for _ in range(rng.randrange(0, 12))] for _ in range(800)]
+    sizes = np.array([len(c) for c in codes])
+    costs, row, letter, turn, _ = structure.whole_rows(np.array([x for c in codes for x in c]), sizes)
+    for k, c in enumerate(codes):
+        want = cheapest([(name[x % 4], "t", fault[x // 4]) for x in c])
+        got = structure.LETTERS[letter[row == k]].tobytes().decode()
+        assert (int(costs[k]), got) == want[:2], c
+
+
+def test_chunks_equal_every_edit(monkeypatch):
+    monkeypatch.setattr(structure, "BLOCK", 3)
+    rng = random.Random(4)
+    name, fault = {0: "system", 1: "user", 2: "assistant", 3: "tool"}, {0: "", 1: "truncated", 2: "duplicate"}
+    end = np.array([0, 10, 5, 0])
+    for _ in range(60):
+        codes = [rng.choice([0, 1, 1, 2, 2, 3]) + 4 * rng.choice([0, 0, 0, 1, 2]) for _ in range(rng.randrange(1, 20))]
+        cut = rng.randrange(len(codes) + 1)
+        parts = [np.array(p, np.int64) for p in (codes[:cut], codes[cut:])]
+        ahead = np.minimum((structure.fold(parts[1]) + end[None]).min(axis=1), structure.INFINITE)
+        ends, steps = structure.chunk_steps(parts[0], ahead)
+        first = steps[0][0]
+        second = structure.chunk_steps(parts[1], end)[1][ends[0]][0]
+        want = cheapest([(name[x % 4], "t", fault[x // 4]) for x in codes])
+        assert structure.LETTERS[np.concatenate([first, second])].tobytes().decode() == want[1], (codes, cut)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_structure_by_brute_force(spark, small, monkeypatch):
+    if small:
+        monkeypatch.setattr(structure, "REPEATED_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(5)
+    rows = [r for c in [None, *range(1, 150)] for r in random_turns(rng, c, rng.randrange(0, 9), rng.choice([1, 1, 2]))]
+    rows += random_turns(rng, 500, 700) + random_turns(rng, 501, 70) + [(502, 1, "user", "Gone.", True), (503, None, "user", "Hi.", False), (503, None, "assistant", "Yes.", False)]
+    rows = one_order(rows)
+    rng.shuffle(rows)
+    got = structure.repair_structure(turn_frame(spark, rows).repartition(3), gone="gone")
+    assert got.columns == structure.PIECES
+    assert reported(structure.report(got)) == plain_report(rows)
+    assert got.groupBy("conv_id").agg(F.sum("cost")).count() == len({r[0] for r in rows})
+
+
+def test_one_hot_conversation(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = one_order(random_turns(rng, 7, 9000) + [(7, 4, "user", "Same.", False)] * 3000 + random_turns(rng, 8, 5))
+    got = structure.repair_structure(turn_frame(spark, rows), gone="gone")
+    assert got.where("conv_id = 7").count() > 2
+    assert reported(structure.report(got)) == plain_report(rows)
+
+
+def test_structure_of_nothing(spark):
+    empty = turn_frame(spark, [])
+    assert structure.report(structure.repair_structure(empty)).count() == 0
+    assert structure.report(structure.repair_structure(structure.damaged(empty), gone="gone")).count() == 0
+
+
+def test_long_texts_make_chunks(spark, monkeypatch):
+    rows = [(1, k, ("user", "assistant")[k % 2], "y" * 3_000_000 + f"{k}.", False) for k in range(6)]
+    got = reported(structure.report(structure.repair_structure(turn_frame(spark, rows))))
+    assert got == plain_report(rows)
+
+
+def test_op12_query(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    rows = []
+    for c, t, role, text in turns:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        rows += [(c, t, "user" if kind == 4 else role, text, kind == 0)] * (2 if kind == 3 else 1)
+    got = reported(queries.QUERIES["op12_structure"](spark, sf_dir))
+    assert got == plain_report(rows) and set(got) == {t.conv_id for t in turns}
