@@ -24,9 +24,9 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str
     both = left.select(*by, F.col(at).alias("t_"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema["r"].dataType).alias("r")).unionByName(
         right.select(*by, F.col(time).alias("t_"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("l"), "r")
     )
-    w = W.partitionBy(*by).orderBy("t_")
-    back = F.last("r", True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    ahead = F.first("r", True).over(w.rangeBetween(0, W.unboundedFollowing))
+    # both look back along an order, once up and once down: a frame that ends at the last row is summed anew for each row
+    back = F.last("r", True).over(W.partitionBy(*by).orderBy("t_").rangeBetween(W.unboundedPreceding, W.currentRow))
+    ahead = F.last("r", True).over(W.partitionBy(*by).orderBy(F.desc("t_")).rangeBetween(W.unboundedPreceding, W.currentRow))
     both = both.withColumn("b_", back).withColumn("a_", ahead).where("l is not null")
     to_back, to_ahead = F.col("t_") - F.col("b_.t"), F.col("a_.t") - F.col("t_")
     use_back = F.col("a_").isNull() | (to_back < to_ahead) | ((to_back == to_ahead) & F.lit(not tie_later))
