@@ -88,10 +88,11 @@ def numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     at, part, before = (fresh(rows, f"nu_{x}") for x in ("at", "part", "before"))
     held = stash(rows.withColumn(at, F.monotonically_increasing_id()), "numbered")
     held = held.withColumn(part, F.shiftright(at, 33))
-    other = {k: f"{k}_of_part" for k in [*keys, part]}
-    parts = held.groupBy(*keys, part).count()
-    parts = parts.withColumn(before, F.sum("count").over(W.partitionBy(*keys).orderBy(part)) - F.col("count"))
-    parts = small(stash(parts.drop("count").withColumnsRenamed(other), "parts"))
+    other = {k: fresh(held, f"{k}_of_part") for k in [*keys, part]}
+    size = fresh(held, "nu_size")
+    parts = held.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(size))
+    parts = parts.withColumn(before, F.sum(size).over(W.partitionBy(*keys).orderBy(part)) - F.col(size))
+    parts = small(stash(parts.drop(size).withColumnsRenamed(other), "parts"))
     same = F.lit(True)
     for k, o in other.items():
         same = same & held[k].eqNullSafe(parts[o])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import documents, small, stash
+from chronoloom.llm.common import documents, fresh, small, stash
 
 MASKS = ("11101001", "11010011", "10110101")
 SPAN = 8
@@ -116,9 +116,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; each row is judged by its own text, as in leaks(). The columns stay."""
-    bad = stash(_leaks(docs, benchmark).select("doc_id", "th").distinct().withColumnsRenamed({"doc_id": "bad_id", "th": "bad_th"}), "contaminated")
-    bad = small(bad)
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id) & (F.xxhash64(docs.text) == bad.bad_th), "left_anti").select(docs.columns)
+    names = {c: fresh(docs, f"bad_{c}") for c in ("doc_id", "th")}
+    bad = small(stash(_leaks(docs, benchmark).select("doc_id", "th").distinct().withColumnsRenamed(names), "contaminated"))
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad[names["doc_id"]]) & (F.xxhash64(docs.text) == bad[names["th"]]), "left_anti").select(docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

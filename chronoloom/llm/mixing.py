@@ -128,9 +128,11 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str
     plan = mixture(docs, weights, most, seed, weight).where("size > 0")
     plan = plan.groupBy("doc_id", "source", "size", "tie", (F.col("taken") / F.col("size")).cast("int").alias("n")).agg(F.count("*").alias("rows"))
     plan = plan.groupBy("doc_id", "source", "size", "tie").agg(F.sort_array(F.collect_list(F.struct("n", "rows")), False).alias(n))
-    plan = plan.where(F.element_at(n, 1)["n"] > 0).select(F.col("doc_id").alias("doc_r"), F.col("source").alias("source_r"), F.col("size").alias("size_r"), F.col("tie").alias("tie_r"), n)
+    names = {c: fresh(docs, f"mix_{c}_of_plan") for c in ("doc_id", "source", "size", "tie")}
+    plan = plan.where(F.element_at(n, 1)["n"] > 0).select(*(F.col(c).alias(other) for c, other in names.items()), n)
     keyed = docs.withColumn(size, words(F.col("text"))).withColumn(tie, F.xxhash64("text"))
-    met = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.doc_r) & keyed.source.eqNullSafe(plan.source_r) & (F.col(size) == F.col("size_r")) & (F.col(tie) == F.col("tie_r")))
+    same = keyed.doc_id.eqNullSafe(plan[names["doc_id"]]) & keyed.source.eqNullSafe(plan[names["source"]])
+    met = keyed.join(plan, same & (F.col(size) == F.col(names["size"])) & (F.col(tie) == F.col(names["tie"])))
     out = met.where(F.size(n) == 1).withColumn(n, F.element_at(n, 1)["n"]).select(*cols, n)
     several = met.where(F.size(n) > 1).select(*cols, size, tie, n)
     if several.limit(1).count():

@@ -127,7 +127,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key
     hashed. Columns named shard or slot before are replaced; an empty table stays empty.
     """
     df = df.drop(shard, slot)
-    row, block, copy, rank, run = (fresh(df, f"sh_{x}") for x in ("row", "block", "copy", "rank", "run"))
+    row, block, copy, rank, run, ends, start = (fresh(df, f"sh_{x}") for x in ("row", "block", "copy", "rank", "run", "ends", "start"))
     cols = df.columns
     hashed = F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in key))
     total = df.count()
@@ -135,12 +135,12 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key
     keyed = _number_copies(df.withColumn(row, hashed), row).withColumn(block, F.pmod(F.col(row), F.lit(blocks)).cast("long"))
     sizes = stash(keyed.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("size")), "sizes")
     drawn = stash(draw_matrix(sizes, blocks, shards, seed), "matrix")
-    matrix = small(drawn.select(F.col("block").alias(block), F.col("ends").alias("sh_ends")))
+    matrix = small(drawn.select(F.col("block").alias(block), F.col("ends").alias(ends)))
 
     copies = W.partitionBy(block, row).orderBy(*(F.xxhash64(c) for c in cols[:1]))
     local = W.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), row, copy), row, copy)
     dealt = keyed.repartition(block).withColumn(copy, F.row_number().over(copies)).withColumn(rank, F.row_number().over(local)).join(matrix, block)
-    dealt = dealt.withColumn(shard, F.size(F.filter("sh_ends", lambda e: e < F.col(rank))).cast("int"))
+    dealt = dealt.withColumn(shard, F.size(F.filter(ends, lambda e: e < F.col(rank))).cast("int"))
     # the second order, by ranges of its hash: a run's rows follow all of the runs before it
     runs = -(-blocks // shards)
     second = F.xxhash64(F.lit(seed + 2), row, copy)
@@ -151,10 +151,10 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key
         within = W.partitionBy(shard).orderBy(rank, row, copy)
         return dealt.withColumn(slot, (F.row_number().over(within) - 1).cast("long")).select(*cols, shard, slot)
     before = W.partitionBy(shard).orderBy(run).rowsBetween(W.unboundedPreceding, -1)
-    starts = first.select(shard, run, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("sh_start"))
+    starts = first.select(shard, run, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(start))
     within = W.partitionBy(shard, run).orderBy(rank, row, copy)
     numbered = dealt.withColumn(slot, F.row_number().over(within)).join(small(starts), [shard, run])
-    return numbered.withColumn(slot, (F.col(slot) - 1 + F.col("sh_start")).cast("long")).select(*cols, shard, slot)
+    return numbered.withColumn(slot, (F.col(slot) - 1 + F.col(start)).cast("long")).select(*cols, shard, slot)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     order = F.xxhash64("doc_id")
     # about four times the sample of either class by hash of the id, before any text is read
     keep = F.pmod(order, F.lit(1 << 30)) < F.when(F.col("toxic") == 1, F.lit(_bar(ones or 0))).otherwise(F.lit(_bar((n or 0) - (ones or 0))))
-    some = docs.where(F.col("text").isNotNull()).join(F.broadcast(marks.where(keep)), "doc_id").select("doc_id", "text", "toxic")
+    some = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(marks.where(keep)), "doc_id").select("doc_id", "text", "toxic")
     picked = [[r.text for r in some.where(F.col("toxic") == k).orderBy(order, F.xxhash64("text")).limit(SAMPLE).select("text").collect()] for k in (1, 0)]
     return learn(*picked, share=(ones or 0) / max(1, n or 0))
 

@@ -2,8 +2,10 @@
 
 import collections
 import re
+from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from chronoloom.llm import decontaminate, mixing, toxicity
 
 from test_operators import brute_components
@@ -78,3 +80,20 @@ def test_stages_on_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_stages_with_columns_of_every_helper_name(spark, sf_dir):
+    """Whatever name a stage gives a column of its own may be a column of the input."""
+    home = Path(corpus_pipeline.__file__).parent / "chronoloom" / "llm"
+    names = set()
+    for module in ("common", "toxicity", "neardup", "decontaminate", "mixing", "sharding"):
+        text = (home / f"{module}.py").read_text()
+        names |= set(re.findall(r'(?:alias|withColumn|withColumnRenamed|fresh)\((?:\w+, )?f?"(\w+)"', text)) | set(re.findall(r'"((?:mix|sh|nu)_\w+|\w+_r|\w+_of_part)"', text))
+    names |= {"doc_r", "source_r", "size_r", "tie_r", "sh_ends", "sh_start", "doc_id_of_part", "count", "mix_doc_id_of_plan"}
+    names -= {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"}
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(9).alias(n) for n in sorted(names)))
+    docs = docs.unionByName(docs.where("doc_id = 4"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert rows and set(docs.columns) <= set(out.columns) and all(r[n] == 9 for r in rows for n in names), name
