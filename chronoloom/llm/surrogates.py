@@ -67,10 +67,17 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
 )
+#: A name that says secret and what is assigned to it, quoted or not, or a bearer's credential.
+_ASSIGNED = re.compile(
+    r"(?i)(?<![\w-])[\"']?(?:[\w-]*(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?)[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?P<quote>[\"'])?|bearer\s{1,3})(?P<value>(?(quote)[^\s\"']+|[^\s\"',;<>(){}]+))"
+)
+#: An assigned value that is no word: its length, and either a password's context or bits of entropy a character.
+_SECRET_LENGTH, _SECRET_BITS = 8, 2.5
 _HINT = re.compile(r"[@+]|\d[ .-]?\d[ .-]?\d|password=|passwd=|A[KS]IA|ghp_|gho_|sk-|xoxb-|\d{1,3}\.\d{1,3}\.")
 _CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ]"
 #: Two capitalised words in a row; the first is then looked up among the given names.
 _NAMES = re.compile(rf"\b({_CAPITAL}\w+)(?= ({_CAPITAL}\w*(?:-\w+)?)\b)")
+_COUPLES = re.compile(rf"\b(?=({_CAPITAL}\w+ {_CAPITAL}\w+)\b)")
 #: What stands before a word inside a sentence.
 _INSIDE = re.compile(r"[\w,;)] $")
 #: A word of a name; its first letter's case is looked at afterwards.
@@ -293,6 +300,7 @@ def mentions(text: str, given: frozenset[str] = frozenset()) -> list[tuple[int,
             if kind == "phone" and not 7 <= len(digits) <= 15:
                 continue
             out.append((m.start(), m.end(), kind, digits))
+    out = _with_secrets(text, out)
     names = _names(text, given, [n for *_, k, n in out if k == "email"])
     if names:
         starts = [a for a, *_ in out]
@@ -305,9 +313,33 @@ def mentions(text: str, given: frozenset[str] = frozenset()) -> list[tuple[int,
     return sorted(out + names_out)
 
 
+def _is_secret(value: str) -> bool:
+    """Whether an assigned value looks drawn rather than written: long enough, of mixed kinds or hexadecimal, and its characters spread out."""
+    if len(value) < _SECRET_LENGTH or value.isalpha() and (value.islower() or value.istitle()):
+        return False
+    n = len(value)
+    bits = -sum(k / n * math.log2(k / n) for k in (value.count(c) for c in set(value)))
+    return bits >= _SECRET_BITS and (any(c.isdigit() for c in value) or any(c.isupper() for c in value) and any(c.islower() for c in value))
+
+
+def _with_secrets(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found and the values assigned to names of secrets, where no other entity lies."""
+    more, k = [], 0
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span("value")
+        while b > a and text[b - 1] in ".,;:!?":
+            b -= 1
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        if _is_secret(text[a:b]) and not (k < len(found) and found[k][0] < b):
+            more.append((a, b, "password", text[a:b]))
+    return sorted(found + more) if more else found
+
+
 def _names(text: str, known: frozenset[str], emails: list[str]) -> dict[str, str]:
     """The words of persons' names in text, each given or surname; every mention of them counts, also a single one."""
     names = {}
+    lower, couples = None, None  # the text's words, its pairs of capitalised words: collected once, and only if asked for
     for m in _NAMES.finditer(text):
         given, last = m.groups()
         if last in _NOT_NAMES or len(last) < 2 or last.isupper():
@@ -316,9 +348,11 @@ def _names(text: str, known: frozenset[str], emails: list[str]) -> dict[str, str
             names.setdefault(given, "given")
             names.setdefault(last, "given" if last in _GIVEN or last in known else "surname")
         # a known surname: the word before it is a name too, unless it begins a sentence or the text has it in lower case
-        elif last in _SURNAME and given not in _NOT_NAMES and not given.isupper() and _INSIDE.search(text, max(0, m.start() - 3), m.start()) and not re.search(rf"\b{given.lower()}\b", text):
-            names.setdefault(given, "given")
-            names.setdefault(last, "surname")
+        elif last in _SURNAME and given not in _NOT_NAMES and not given.isupper() and _INSIDE.search(text, max(0, m.start() - 3), m.start()):
+            lower = set(_PART.findall(text)) if lower is None else lower
+            if given.lower() not in lower:
+                names.setdefault(given, "given")
+                names.setdefault(last, "surname")
     for m in _CALLED.finditer(text):
         words = []
         for w in m["words"].split(" "):
@@ -333,7 +367,10 @@ def _names(text: str, known: frozenset[str], emails: list[str]) -> dict[str, str
                 names.setdefault(w, alone if len(words) == 1 else "surname" if k == len(words) - 1 else "given")
     for mail in emails:  # john.doe@... names John Doe where the text has these words together
         parts = [p.capitalize() for p in re.split(r"[^a-z]+", mail.partition("@")[0]) if len(p) > 2]
-        if len(parts) == 2 and re.search(rf"\b{parts[0]} {parts[1]}\b", text):
+        if len(parts) != 2:
+            continue
+        couples = set(_COUPLES.findall(text)) if couples is None else couples
+        if " ".join(parts) in couples:
             names.setdefault(parts[0], "given")
             names.setdefault(parts[1], "surname")
     return names
