@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,11 @@ from chronoloom.llm.pieces import BYTE, PieceEncoder
 from chronoloom.llm.texthash import string_bytes
 
 #: Transitions that a worker remembers.
-TRANSITIONS = 1_000_000
+TRANSITIONS = 250_000
+#: A group of more links than this is linked by its different ids and their numbers.
+MOST_LINKS = 1024
+#: Bits of a pair of ids beside the number of its word or document.
+PAIR_BITS = 40
 LEFT, RIGHT = 0, 1
 
 
@@ -59,33 +63,34 @@ class Transducer:
             self.rest.append(after[1])
         return self.states[after]
 
-    def groups(self, left: list[int], right: list[int]) -> list[tuple[int, int]] | None:
-        """How many ids of each side every group takes; None where the sides spell different bytes."""
+    def groups(self, left: list[int], right: list[int]) -> list[int] | None:
+        """How many ids of the left and of the right side every group takes, in turn; None where the sides spell different bytes."""
         if len(self.memo) > TRANSITIONS:
             self._forget()
         memo, lead = self.memo, self.lead
         i = j = i0 = j0 = state = 0
+        n, m = len(left), len(right)
         out = []
-        while i < len(left) or j < len(right):
-            if lead[state] == RIGHT:
-                if i == len(left):
+        while i < n or j < m:
+            if lead[state]:
+                if i == n:
                     return None
                 token = left[i]
                 i += 1
             else:
-                if j == len(right):
+                if j == m:
                     return None
                 token = right[j]
                 j += 1
             after = memo.get((state, token))
             if after is None:
                 after = memo[state, token] = self._step(state, token)
-            if after < 0:
-                return None
-            state = after
-            if not state:
-                out.append((i - i0, j - j0))
+            if after <= 0:
+                if after < 0:
+                    return None
+                out += i - i0, j - j0
                 i0, j0 = i, j
+            state = after
         return None if state else out
 
 
@@ -117,56 +122,77 @@ class Aligner:
         spec = json.loads(self.left.to_str())
         split = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True) and not spec["normalizer"]
         self.together = self.right.together if split else None
+        if self.n_left * self.n_right >= 1 << PAIR_BITS:
+            raise ValueError("the vocabularies are too large")
+        most = max(self.n_left, self.n_right)
+        wide = len(str(most))
+        #: The decimal digits of each id, with room for a sign after them.
+        self.digits = np.array([str(k).ljust(wide + 1).encode() for k in range(most)]).view(np.uint8).reshape(most, wide + 1)
+        self.digit_count = np.array([len(str(k)) for k in range(most)])
         self._forget()
 
     def _forget(self) -> None:
         self.lexicon = Lexicon(self._learn)
-        self.ids, self.pieces, self.sizes, self.links = Pool(np.int32), Pool(np.int32), Pool(np.int32, np.int32), Pool(np.int32, np.int64)
-        self.totals = Pool(np.int64)
+        self.ids, self.pieces, self.sizes, self.links, self.totals = Pool(np.int32), Pool(np.int32), Pool(np.int32, np.int32), Pool(np.int64, np.int64), Pool(np.int64)
         self.spelled: list[bytes | None] = []
-        self.pair_numbers: dict[int, int] = {}
-        self.pairs: list[int] = []
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
         lefts = [e.ids for e in self.left.encode_batch_fast(texts, add_special_tokens=False)]
         rights = self.right.bare.encode([t.replace(" ", "▁") for t in texts], num_threads=1)
-        spell = self.transducer.bytes
-        numbers, pairs, n_right = self.pair_numbers, self.pairs, self.n_right
-        sizes, links, totals = [], [], []
-        for word, a, b in zip(words, lefts, rights):
-            found = self.transducer.groups(a, b)
+        spell, groups = self.transducer.bytes[LEFT], self.transducer.groups
+        found = [groups(a, b) for a, b in zip(lefts, rights)]
+        bad = []
+        for k, word in enumerate(words):
             # equal sides may still spell another text: a written space mark
-            if found is None or b"".join(map(spell[LEFT].__getitem__, a)) != word:
-                found = None
-            sizes.append(found or [])
-            said, every, i, j, n = [], Counter(), 0, 0, 0
-            for p, q in found or ():
-                x, y = a[i : i + p], b[j : j + q]
-                i, j, n = i + p, j + q, n + p * q
-                said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                if p == q == 1:
-                    every[x[0] * n_right + y[0]] += 1
-                    continue
-                many = Counter(y)
-                for u, k in Counter(x).items():
-                    for v, m in many.items():
-                        every[u * n_right + v] += k * m
-            self.spelled.append(";".join(said).encode() if found is not None else None)
-            row = []
-            for pair, m in every.items():
-                if pair not in numbers:
-                    numbers[pair] = len(pairs)
-                    pairs.append(pair)
-                row.append((numbers[pair], m))
-            links.append(row)
-            totals.append((len(a), len(b), len(found or ()), n))
-        put = lambda pool, rows: pool.put(np.array([len(r) for r in rows], np.int64), *(np.array([v for r in rows for v in r], np.int64).reshape(-1, 2).T))
-        for pool, rows in ((self.ids, lefts), (self.pieces, rights)):
-            pool.put(np.array([len(r) for r in rows], np.int64), np.array([v for r in rows for v in r], np.int64))
-        put(self.sizes, sizes)
-        put(self.links, links)
-        self.totals.put(np.full(len(words), 4), np.array(totals, np.int64).ravel())
+            if found[k] is None or b"".join(map(spell.__getitem__, lefts[k])) != word:
+                found[k], lefts[k], rights[k] = [], [], []
+                bad.append(k)
+        flat = lambda rows, kind: np.fromiter(chain.from_iterable(rows), kind)
+        size = lambda rows: np.fromiter(map(len, rows), np.int64, len(rows))
+        n_a, n_b, n_g = size(lefts), size(rights), size(found) // 2
+        a, b, sizes = flat(lefts, np.int64), flat(rights, np.int64), flat(found, np.int64).reshape(-1, 2)
+        word = np.repeat(np.arange(len(words)), n_g)
+        self.ids.put(n_a, a)
+        self.pieces.put(n_b, b)
+        self.sizes.put(n_g, *sizes.T)
+        p, q = sizes.T
+        at_a, at_b = np.cumsum(p) - p, np.cumsum(q) - q
+        self._link(len(words), word, a, b, p, q, at_a, at_b)
+        n_links = np.bincount(word, p * q, len(words)).astype(np.int64)
+        self.totals.put(np.full(len(words), 4), np.stack([n_a, n_b, n_g, n_links], axis=1).ravel())
+        self._spell(n_a + n_b, a, b, p, q, at_a, at_b)
+        for k in bad:
+            self.spelled[k - len(words)] = None
+
+    def _link(self, words: int, word: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> None:
+        """Store each word's different links and how often it has them."""
+        few = np.flatnonzero(p * q <= MOST_LINKS)
+        group = np.repeat(few, (p * q)[few])
+        nth = np.arange(len(group)) - np.repeat(np.cumsum((p * q)[few]) - (p * q)[few], (p * q)[few])
+        keys = [word[group] << PAIR_BITS | a[at_a[group] + nth // q[group]] * self.n_right + b[at_b[group] + nth % q[group]]]
+        times = [np.ones(len(group), np.int64)]
+        for g in np.flatnonzero(p * q > MOST_LINKS).tolist():
+            (x, nx), (y, ny) = (np.unique(v, return_counts=True) for v in (a[at_a[g] : at_a[g] + p[g]], b[at_b[g] : at_b[g] + q[g]]))
+            keys.append((word[g] << PAIR_BITS) | (x[:, None] * self.n_right + y[None]).ravel())
+            times.append((nx[:, None] * ny[None]).ravel())
+        key, m = self._summed(np.concatenate(keys), np.concatenate(times))
+        self.links.put(np.bincount(key >> PAIR_BITS, minlength=words), key & ((1 << PAIR_BITS) - 1), m)
+
+    def _spell(self, tokens: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> None:
+        """Store each word's groups as text; tokens: the number of ids of both sides of each word."""
+        n, group_a, group_b = len(a) + len(b), np.repeat(np.arange(len(p)), p), np.repeat(np.arange(len(q)), q)
+        ids, sign = np.zeros(n, np.int64), np.full(n, ord(","), np.uint8)
+        ids[np.arange(len(a)) + at_b[group_a]] = a
+        ids[np.arange(len(b)) + (at_a + p)[group_b]] = b
+        sign[at_a + at_b + p - 1] = ord("|")
+        sign[at_a + at_b + p + q - 1] = ord(";")
+        width = self.digit_count[ids]
+        grid = self.digits[ids]
+        grid[np.arange(n), width] = sign
+        text = grid[np.arange(grid.shape[1])[None] <= width[:, None]].tobytes()
+        ends = np.concatenate(([0], np.cumsum(width + 1)))[np.concatenate(([0], np.cumsum(tokens)))].tolist()
+        self.spelled += [text[x : y - 1] if y > x else b"" for x, y in zip(ends, ends[1:])]
 
     def align(self, texts: pa.Array, groups: bool) -> dict:
         """Columns of the texts by name; see align_tokens()."""
@@ -191,15 +217,15 @@ class Aligner:
             np.add.at(totals, doc, self.totals.get(entry)[1].reshape(-1, 4))
             once, times = np.unique(doc << 32 | entry, return_counts=True)
             size, number, m = self.links.get(once & 0xFFFFFFFF)
-            linked.append(self._summed((np.repeat(once >> 32, size) << 32) | number, m * np.repeat(times, size)))
+            linked.append(self._summed((np.repeat(once >> 32, size) << PAIR_BITS) | number, m * np.repeat(times, size)))
             if groups:
                 lists.append((doc, entry))
         totals[~fits] = 0
         key, m = self._summed(*np.concatenate(linked, axis=1))
-        mine = fits[key >> 32]
+        mine = fits[key >> PAIR_BITS]
         key, m = key[mine], m[mine]
-        counts = np.bincount(key >> 32, minlength=n)
-        pairs = np.array(self.pairs, np.int64)[key & 0xFFFFFFFF] if len(key) else key
+        counts = np.bincount(key >> PAIR_BITS, minlength=n)
+        pairs = key & ((1 << PAIR_BITS) - 1)
         out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), totals.T))
         out["groups_sha256"] = [h.hexdigest() if ok else "" for h, ok in zip(hashes, fits.tolist())]
         out |= {"pairs": (counts, pairs), "times": (counts, m)}
@@ -234,7 +260,7 @@ def _align(paths: tuple[str, str], groups: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         both = _aligners.get(paths) or _aligners.setdefault(paths, Aligner(*paths))
         kinds = {"pairs": pa.int64(), "times": pa.int64()}
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 256):
             found = both.align(batch.column("text"), groups)
             cols = {"doc_id": batch.column("doc_id")}
             for name, col in found.items():

@@ -170,14 +170,16 @@ COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 
 def test_transducer_closes_groups():
     t = alignment.Transducer([b"", b"ab", b"c", b"abcd", b"d"], [b"", b"a", b"bc", b"bcd", b"x", b"d"])
-    assert t.groups([1, 2, 4], [1, 2, 5]) == [(2, 2), (1, 1)]
-    assert t.groups([3], [1, 3]) == [(1, 2)] and t.groups([], []) == []
+    assert t.groups([1, 2, 4], [1, 2, 5]) == [2, 2, 1, 1]
+    assert t.groups([3], [1, 3]) == [1, 2] and t.groups([], []) == []
     assert t.groups([1, 2], [1, 3]) is None and t.groups([1], [4]) is None and t.groups([1], []) is None and t.groups([], [1]) is None
-    assert t.groups([1, 2, 4], [1, 2, 5]) == [(2, 2), (1, 1)]
+    assert t.groups([1, 2, 4], [1, 2, 5]) == [2, 2, 1, 1]
 
 
-@pytest.mark.parametrize("window", [1 << 21, 50])
-def test_alignment_by_offsets(both, window, monkeypatch):
+@pytest.mark.parametrize("window, links", [(1 << 21, 1024), (50, 1)])
+def test_alignment_by_offsets(both, window, links, monkeypatch):
+    both._forget()
+    monkeypatch.setattr(alignment, "MOST_LINKS", links)
     monkeypatch.setattr(lexicon.segments, "__defaults__", (window,))
     texts = scrambled(600) + scrambled(15, 2000, 2) + ODD
     found = both.align(pa.array(texts, pa.string()), True)
@@ -197,7 +199,7 @@ def test_alignment_by_offsets(both, window, monkeypatch):
 
 def test_long_group_costs_its_ids(both):
     t = alignment.Transducer([b"aa"], [b"aaa"])
-    assert t.groups([0] * 30_000, [0] * 20_000) == [(3, 2)] * 10_000
+    assert t.groups([0] * 30_000, [0] * 20_000) == [3, 2] * 10_000
     found = both.align(pa.array(["q" * 50_000]), False)
     assert found["n_links"][0] > 0
 
