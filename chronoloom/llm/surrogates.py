@@ -67,10 +67,11 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
 )
-#: A name that says secret and what is assigned to it, quoted or not, or a bearer's credential.
-_ASSIGNED = re.compile(
-    r"(?i)(?<![\w-])[\"']?(?:[\w-]*(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?)[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?P<quote>[\"'])?|bearer\s{1,3})(?P<value>(?(quote)[^\s\"']+|[^\s\"',;<>(){}]+))"
-)
+#: The end of a name that says secret, looked for only where a text holds one of _SAYS; and what is assigned to it, quoted or not.
+_SAYS = ("token", "secret", "passw", "pwd", "key", "credential", "bearer")
+_SECRET_NAME = re.compile(r"(?i)token|secret|passwo?r?d|pwd|(?:api|access|private|auth)[_-]?key|credentials?|bearer")
+_ASSIGNED = re.compile(r"[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?P<quote>[\"'])?(?P<value>(?(quote)[^\s\"']+|[^\s\"',;<>(){}]+))")
+_CREDENTIAL = re.compile(r"\s{1,3}(?P<value>[^\s\"',;<>(){}]+)")
 #: An assigned value that is no word: its length, and either a password's context or bits of entropy a character.
 _SECRET_LENGTH, _SECRET_BITS = 8, 2.5
 _HINT = re.compile(r"[@+]|\d[ .-]?\d[ .-]?\d|password=|passwd=|A[KS]IA|ghp_|gho_|sk-|xoxb-|\d{1,3}\.\d{1,3}\.")
@@ -324,8 +325,14 @@ def _is_secret(value: str) -> bool:
 
 def _with_secrets(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """found and the values assigned to names of secrets, where no other entity lies."""
+    lower = text.lower()
+    if not any(word in lower for word in _SAYS):
+        return found
     more, k = [], 0
-    for m in _ASSIGNED.finditer(text):
+    for name in _SECRET_NAME.finditer(text):
+        m = (_CREDENTIAL if name.group().lower() == "bearer" else _ASSIGNED).match(text, name.end())
+        if not m:
+            continue
         a, b = m.span("value")
         while b > a and text[b - 1] in ".,;:!?":
             b -= 1
