@@ -228,13 +228,23 @@ CHANGE, CHANGE_NONE = 0.95, 0.80
 _TRIADS = np.array([[k % 12, (k + (4 if k < 12 else 3)) % 12, (k + 7) % 12] for k in range(24)])
 
 
-def chord_emissions(chroma: np.ndarray, rms: np.ndarray, flatness: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of 24 triads and no chord for each frame, and each frame's confidence."""
+#: Frames on either side that a frame's chroma is smoothed over, with falling weights.
+SMOOTH = (1, 2, 3, 2, 1)
+
+
+def smoothed(chroma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each frame's pitch class shares with those of its neighbours, and the weight of all."""
     n = len(chroma)
     padded = np.pad(chroma, ((2, 2), (0, 0)))
-    wide = sum(w * padded[k : k + n] for k, w in enumerate((1, 2, 3, 2, 1)))
+    wide = sum(w * padded[k : k + n] for k, w in enumerate(SMOOTH))
     total = wide.sum(axis=1)
-    wide = wide / np.where(total, total, 1)[:, None]
+    return wide / np.where(total, total, 1)[:, None], total
+
+
+def chord_emissions(chroma: np.ndarray, rms: np.ndarray, flatness: np.ndarray, silence: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of 24 triads and no chord for each frame, and each frame's confidence. silence: the level below which the recording is quiet, by default from its own frames."""
+    n = len(chroma)
+    wide, total = smoothed(chroma)
     parts = wide[:, _TRIADS]  # frames, triads, notes of a triad
     coverage, support = parts.sum(axis=2), parts.min(axis=2)
     norm = np.sqrt((wide**2).sum(axis=1))
@@ -245,7 +255,8 @@ def chord_emissions(chroma: np.ndarray, rms: np.ndarray, flatness: np.ndarray) -
     second = np.maximum(np.partition(triads, -2, axis=1)[:, -2], 0)
     found = triads[rows, best] > 0
     of_best, least = np.where(found, coverage[rows, best], 0), np.where(found, support[rows, best], 0)
-    silence = max(1e-5, np.sort(rms)[int(n * 0.9)] * 0.022)
+    if silence is None:
+        silence = max(1e-5, np.sort(rms)[int(n * 0.9)] * 0.022)
     mute = (rms < silence) | (total < 1e-12) | (flatness > 0.42)
     ambiguous = (least < LEAST_NOTE) | ((high - second < 0.02) & (of_best < 0.65))
     none = np.where(mute, NO_CHORD_QUIET, np.where(ambiguous, NO_CHORD_AMBIGUOUS, NO_CHORD_CLEAR))
@@ -312,14 +323,19 @@ def _melody_steps() -> tuple[np.ndarray, np.ndarray]:
     return base, gain
 
 
-def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
-    """The best state of each frame: a pitch from LOWEST on, or SILENT."""
-    base, gain = (np.ascontiguousarray(x.T) for x in _melody_steps())  # by next state, then by the one before
+def melody_scores(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
+    """Scores of each frame's pitches and of silence."""
     pitch = np.arange(LOWEST, HIGHEST + 1)
     top = np.where(act >= 0.27, pitch, LOWEST).max(axis=1)
     voiced = (act - 0.27) * 3.8 + onset * 0.72 - 0.06 * np.maximum(0, top[:, None] - pitch) - 0.045 * np.maximum(0, 52 - pitch)
     loud = act.max(axis=1)
-    scores = np.c_[voiced, np.where(loud < 0.22, 0.34, np.where(loud < 0.31, 0.08, -0.52))]
+    return np.c_[voiced, np.where(loud < 0.22, 0.34, np.where(loud < 0.31, 0.08, -0.52))]
+
+
+def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
+    """The best state of each frame: a pitch from LOWEST on, or SILENT."""
+    base, gain = (np.ascontiguousarray(x.T) for x in _melody_steps())  # by next state, then by the one before
+    scores = melody_scores(act, onset)
     attacks = np.c_[onset, np.zeros(len(onset))]
     state = np.full(SILENT + 1, -6.0)
     state[SILENT] = 0
@@ -525,94 +541,6 @@ def dtw(a: np.ndarray, b: np.ndarray, subsequence: bool = False) -> list[tuple[i
     return path[::-1]
 
 
-def autocorrelation(x: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Normalised autocorrelation at the lags low to high."""
-    x = x - x.mean()
-    out = []
-    for lag in range(low, high + 1):
-        a, b = x[:-lag], x[lag:]
-        out.append(float((a * b).sum() / max(1e-12, np.sqrt((a * a).sum() * (b * b).sum()))))
-    return np.array(out)
-
-
-def estimate_tempo(envelope: np.ndarray, step_s: float, slowest: float = 50, fastest: float = 210) -> tuple[float, list[float]]:
-    """(bpm, beat times) of an onset envelope: the lag whose multiples correlate, refined on a grid with its phase."""
-    low, high = int(60 / fastest / step_s), int(np.ceil(60 / slowest / step_s))
-    if len(envelope) < 3 * high or envelope.max(initial=0) <= 0:
-        return 0.0, []
-    # clicks off the grid still meet after smoothing
-    r = autocorrelation(np.convolve(envelope, np.array([1, 2, 3, 2, 1]) / 9, "same"), 1, 3 * high)
-    at = lambda lag: r[lag - 1]
-    scores = {lag: at(lag) + 0.3 * at(2 * lag) + 0.15 * at(3 * lag) for lag in range(max(1, low), high + 1)}
-    lag = max(scores, key=lambda k: (scores[k], -k))
-    for k in (4, 3, 2):  # a beat's multiples correlate as well as the beat itself
-        near = [x for x in range(round(lag / k) - 1, round(lag / k) + 2) if low <= x <= high]
-        if near and max(map(at, near)) > 0.7 * at(lag):
-            lag = max(near, key=at)
-            break
-    best = (-1.0, 0.0, 0.0)
-    for period in np.linspace(lag - 0.75, lag + 0.75, 61):
-        k = np.arange(int(len(envelope) / period))
-        for phase in np.linspace(0, period, 40, endpoint=False):
-            idx = np.round(phase + k * period).astype(int)
-            v = envelope[idx[idx < len(envelope)]].mean()
-            if v > best[0] + 1e-12:
-                best = (v, period, phase)
-    _, period, phase = best
-    beats = []
-    t = phase
-    while t < len(envelope):
-        a, b = max(0, int(t) - 4), min(len(envelope), int(t) + 6)
-        peak = a + int(envelope[a:b].argmax()) if b > a else int(t)
-        beats.append((peak if envelope[peak] > 0 else t) * step_s)
-        t += period
-    return 60 / (period * step_s), beats
-
-
-def magnitudes(samples: np.ndarray, size: int, hop: int) -> np.ndarray:
-    """Hann-weighted spectrum magnitudes of centred frames, zero-padded at the ends."""
-    padded = np.r_[np.zeros(size // 2), samples, np.zeros(size)]
-    count = max(1, len(samples) // hop + 1)
-    window = np.hanning(size + 1)[:-1]
-    return np.abs(np.fft.rfft(np.stack([padded[k * hop : k * hop + size] for k in range(count)]) * window, axis=1))
-
-
-def spectrum_frames(samples: np.ndarray, rate: int) -> pd.DataFrame:
-    """frame, time, rms, flatness, chroma of a sample stream."""
-    size = 1 << int(round(np.log2(0.37 * rate)))
-    hop = size // 4
-    mag = magnitudes(samples, size, hop)
-    power = mag**2 + 1e-12
-    flat = np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1)
-    freqs = np.arange(mag.shape[1]) * rate / size
-    use = (freqs >= 55) & (freqs <= 2000)
-    out = np.zeros((len(mag), 12))
-    for k, m in enumerate(mag):
-        inner = np.flatnonzero((m[1:-1] >= m[:-2]) & (m[1:-1] > m[2:]) & use[1:-1]) + 1
-        bend = m[inner - 1] - 2 * m[inner] + m[inner + 1]
-        off = np.where(bend != 0, np.clip(0.5 * (m[inner - 1] - m[inner + 1]) / np.where(bend == 0, 1, bend), -0.5, 0.5), 0)
-        pitch = 69 + 12 * np.log2(np.maximum((inner + off) * rate / size, 1e-9) / 440)
-        np.add.at(out[k], np.round(pitch).astype(int) % 12, m[inner])
-    total = out.sum(axis=1, keepdims=True)
-    padded = np.r_[np.zeros(hop // 2), samples, np.zeros(hop)]
-    rms = np.array([np.sqrt((padded[k * hop : k * hop + hop] ** 2).mean()) for k in range(len(mag))])
-    return pd.DataFrame({"frame": range(len(mag)), "time": np.arange(len(mag)) * hop / rate, "rms": rms, "flatness": flat, "chroma": list(out / np.maximum(total, 1e-12))})
-
-
-def onset_envelope(samples: np.ndarray, rate: int) -> np.ndarray:
-    """log1p of level and of level changes every 10 ms, its rises, less 0.8 of the local mean."""
-    hop, size = rate // 100, int(rate * 0.023)
-    n = max(1, len(samples) // hop)
-    padded = np.r_[samples, np.zeros(size)]
-    level = lambda x: np.array([np.sqrt((x[k * hop : k * hop + size] ** 2).mean()) for k in range(n)])
-    env = np.log1p(100 * level(padded)) + 0.5 * np.log1p(150 * level(np.diff(padded, prepend=0)))
-    rise = np.maximum(0, np.diff(env, prepend=0))
-    k = 30
-    total = np.cumsum(np.r_[0, rise])
-    a, b = np.maximum(0, np.arange(n) - k), np.minimum(n, np.arange(n) + k + 1)
-    return np.maximum(0, rise - 0.8 * (total[b] - total[a]) / (b - a))
-
-
 def collapse_path(path: DataFrame, by: list[str]) -> DataFrame:
     """by, a, b: the median b of each a of a warping path, made monotone by its running maximum."""
     mid = path.groupBy(*by, "a").agg(F.median("b").alias("m"))

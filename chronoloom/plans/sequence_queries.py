@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronoloom import views as V
+from chronoloom.operators import decode as D
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
-from chronoloom.plans import cli, refine
+from chronoloom.operators import signal as G
+from chronoloom.plans import analysis, cli, refine
 from chronoloom.plans.window_queries import ENDED, ended
 from chronoloom.registry import query
 
@@ -144,17 +146,37 @@ def seq16(spark, d):
     return refine.refine(ended(spark, d), V.evidence(spark, d), V.acoustic(spark, d), V.estimates(spark, d))
 
 
+#: The rate at which the notes of a track are rendered.
+RENDER_RATE = 8_000
+
+
+def audio(spark, d):
+    """Each track's notes as samples, by their strengths."""
+    return G.render(V.notes(spark, d).withColumn("level", F.col("strength_pct") / 100), T, RENDER_RATE)
+
+
+def tempo(spark, d):
+    """From samples over envelopes to tempo and beats."""
+    samples = audio(spark, d)
+    return G.rhythms(G.envelope(samples, T, RENDER_RATE), G.lengths(samples, T), T, RENDER_RATE)
+
+
+@query("seq18_tempo")
+def seq18(spark, d):
+    """SEQ-18: tempo, number of beats and confidence of each rendered track."""
+    return tempo(spark, d).select("track_id", "bpm", F.size("beats").alias("beats"), "confidence")
+
+
 @query("seq19_beats")
 def seq19(spark, d):
-    """Beat times of each track, snapped to the onsets."""
+    """SEQ-19: beat times of each rendered track, snapped to its onsets."""
+    return tempo(spark, d).select("track_id", F.explode("beats").alias("beat"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        env = np.zeros(7200)
-        np.add.at(env, np.clip(pdf.start_us.to_numpy() // 10_000, 0, 7199), pdf.strength_pct.to_numpy() / 100)
-        _, beats = S.estimate_tempo(env, 0.01)
-        return pd.DataFrame({"track_id": pdf.track_id.iloc[0], "beat": beats})
 
-    return V.notes(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, beat double")
+@query("seq18_analysis")
+def analysis18(spark, d):
+    """Samples to chords, key, tempo and beats in one plan: the embeddings read as samples."""
+    return analysis.analyse(embedded(spark, d), ["recording"], analysis.ANALYSIS_RATE)
 
 
 #: Vectors of a recording: a key whose values grow with the table.
@@ -168,10 +190,11 @@ def recordings(spark, d):
 
 @query("seq01_chord_path")
 def seq01(spark, d):
-    """Chords of each recording; literal frames in tests hold the scores, borders and confidences."""
+    """Chords of each recording, decoded in blocks; literal frames in tests hold the scores, borders and confidences."""
     total = F.aggregate("chroma", F.lit(0).cast("long"), lambda s, x: s + x)
-    frames = recordings(spark, d).select("recording", (F.col("at") * 0.1).alias("time"), (total / 1000.0).alias("rms"), F.lit(0.1).alias("flatness"), F.transform("chroma", lambda x: x.cast("double")).alias("chroma"))
-    return S.decode_chords(frames, ["recording"], 0.1)
+    frames = recordings(spark, d).select("recording", F.col("at").alias("frame"), (F.col("at") * 0.1).alias("time"), (total / 1000.0).alias("rms"), F.lit(0.1).alias("flatness"), F.transform("chroma", lambda x: x.cast("double")).alias("chroma"))
+    durations = frames.groupBy("recording").agg((F.count(F.lit(1)) * 0.1).alias("duration"))
+    return D.chords(D.chord_scores(frames, ["recording"]), durations, ["recording"], 0.1).drop("nth")
 
 
 def piano_roll(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -217,31 +240,16 @@ def seq12(spark, d):
     return cli.compare(ref, cand, T)
 
 
-@query("seq18_tempo")
-def seq18(spark, d):
-    """SEQ-18 and SEQ-19 on the onset strengths of each track, 10 ms a step."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        env = np.zeros(7200)
-        np.add.at(env, np.clip(pdf.start_us.to_numpy() // 10_000, 0, 7199), pdf.strength_pct.to_numpy() / 100)
-        bpm, beats = S.estimate_tempo(env, 0.01)
-        return pd.DataFrame({"track_id": [pdf.track_id.iloc[0]], "bpm": [bpm], "beats": [len(beats)]})
-
-    return V.notes(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, bpm double, beats int")
+def embedded(spark, d):
+    """The embeddings of a recording read as samples, a piece a vector."""
+    e = V.table(spark, d, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / RECORDING).alias("recording"), (F.col("vec_id") % RECORDING * F.size("embedding")).alias("at"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
 @query("seq20_spectrum")
 def seq20(spark, d):
-    """SEQ-20, WIN-01 and AGG-04: spectrum frames of each recording, the embeddings read as samples."""
-    e = V.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / RECORDING).alias("recording"), "vec_id", "embedding")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate(pdf.sort_values("vec_id").embedding.to_list()).astype(float)
-        out = S.spectrum_frames(x, 11_025)
-        out.insert(0, "recording", pdf.recording.iloc[0])
-        return out
-
-    return e.groupBy("recording").applyInPandas(run, "recording long, frame int, time double, rms double, flatness double, chroma array<double>")
+    """SEQ-20, WIN-01 and AGG-04: spectrum frames of each recording, computed in blocks."""
+    return G.spectrum(embedded(spark, d), ["recording"], analysis.ANALYSIS_RATE)
 
 
 @query("seq21_warp")

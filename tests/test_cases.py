@@ -205,14 +205,6 @@ def test_skyline():
     assert S.skyline([(0, 0.5, 60, 90), (0.001, 0.8, 60, 80)], window=0.0) == [1]
 
 
-def test_tempo_of_clicks():
-    for bpm in (60, 90, 120, 150, 180):
-        env = np.zeros(1600)
-        env[np.round(np.arange(0, 16, 60 / bpm) * 100).astype(int)] = 1
-        got, beats = S.estimate_tempo(env, 0.01)
-        assert abs(got - bpm) <= 2 and len(beats) >= 12
-
-
 def test_chords_of_triads(spark):
     rows = []
     for k, c in enumerate([0] * 15 + [21] * 15 + [5] * 15 + [7] * 15):
