@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.held import held
 from chronoloom.operators import sequences as S
 from chronoloom.operators.aggregates import MAJOR, MINOR
 
@@ -73,7 +74,7 @@ def best_path(frames: DataFrame, by: list[str], model: Model, start: np.ndarray,
     Frames are numbered without gaps. start: the scores of the states before the first frame.
     """
     keys = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in by)
-    held = frames.withColumn("block", F.floor(F.col("frame") / block))
+    blocked = frames.withColumn("block", F.floor(F.col("frame") / block))
     name = lambda pdf, **cols: pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, **cols})
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,11 +107,12 @@ def best_path(frames: DataFrame, by: list[str], model: Model, start: np.ndarray,
         return pdf[[*by, "frame"]].assign(state=follow(back, [int(entry.state.iloc[0])])[0][0])
 
     key = [*by, "block"]
-    products = held.groupBy(*key).applyInPandas(multiply, f"{keys}, block long, product array<long>")
+    products = blocked.groupBy(*key).applyInPandas(multiply, f"{keys}, block long, product array<long>")
     entries = products.groupBy(*by).applyInPandas(carry, f"{keys}, block long, enter array<long>, last int")
-    links = held.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(ends, f"{keys}, block long, enter array<long>, last int, before array<int>")
+    entries = held(entries, "entries")
+    links = blocked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(ends, f"{keys}, block long, enter array<long>, last int, before array<int>")
     picked = links.groupBy(*by).applyInPandas(pick, f"{keys}, block long, enter array<long>, state int")
-    return held.groupBy(*key).cogroup(picked.groupBy(*key)).applyInPandas(trace, f"{keys}, frame long, state int")
+    return blocked.groupBy(*key).cogroup(picked.groupBy(*key)).applyInPandas(trace, f"{keys}, frame long, state int")
 
 
 # ---- chords --------------------------------------------------------------------------------------
@@ -171,14 +173,15 @@ def keys_of(scored: DataFrame, found: DataFrame, durations: DataFrame, by: list[
     """by, key, confidence: the key whose profile agrees best with the sure frames' chroma, null where the chords are unsure."""
     total = scored.groupBy(*by).agg(F.array(*(F.sum(F.element_at("wide", k + 1) * F.col("sure")) for k in range(12))).alias("g"))
     mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / 12
-    tried = []
+    profiles = []
     for mode, profile in enumerate((MAJOR, MINOR)):
-        middle = sum(profile) / 12
-        norm = sum((p - middle) ** 2 for p in profile) ** 0.5
+        off = np.array(profile) - np.mean(profile)
         for root in range(12):
-            score = sum(((F.element_at("g", (root + k) % 12 + 1) - F.col("mean")) * ((p - middle) / norm) for k, p in enumerate(profile)), F.lit(0.0))
-            tried.append(F.struct(score.alias("score"), F.lit(-12 * mode - root).alias("order"), F.lit(f"{S.PITCHES[root]} {('major', 'minor')[mode]}").alias("key")))
-    best = total.withColumn("mean", mean).select(*by, F.when(F.col("mean") > 0, F.array_max(F.array(*tried)).getField("key")).alias("key"))
+            weights = np.roll(off / np.sqrt((off**2).sum()), root)
+            profiles.append(F.struct(F.array(*map(F.lit, weights.tolist())).alias("w"), F.lit(-12 * mode - root).alias("order"), F.lit(f"{S.PITCHES[root]} {('major', 'minor')[mode]}").alias("key")))
+    score = lambda p: F.aggregate(F.zip_with(F.col("g"), p["w"], lambda x, w: (x - F.col("mean")) * w), F.lit(0.0), lambda a, x: a + x)
+    tried = F.transform(F.array(*profiles), lambda p: F.struct(score(p).alias("score"), p["order"].alias("order"), p["key"].alias("key")))
+    best = total.withColumn("mean", mean).select(*by, F.when(F.col("mean") > 0, F.array_max(tried).getField("key")).alias("key"))
     length = F.col("end") - F.col("start")
     sure = found.groupBy(*by).agg(F.sum(F.col("confidence") * length).alias("sum")).join(durations, by).select(*by, (F.col("sum") / F.col("duration")).alias("confidence"))
     return best.join(sure, by).select(*by, F.when(F.col("confidence") >= LEAST_KEY, F.col("key")).alias("key"), "confidence")

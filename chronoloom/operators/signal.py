@@ -39,7 +39,7 @@ def cut_blocks(pieces: DataFrame, by: list[str], width: int, left: int, right: i
     sized = lengths(pieces, by)
     last = F.ceil((stop if stop is not None else F.col("total")) / width).cast("long") - 1
     bound = sized.select(*by, "total", last.alias("last")).where("last >= 0")
-    every = bound.select(*by, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"), F.lit(0).cast("long").alias("offset"), F.array().cast("array<double>").alias("part"))
+    every = bound.select(*by, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"), F.lit(0).cast("long").alias("offset"), F.array().cast(pieces.schema["samples"].dataType).alias("part"))
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("at") - right) / width))
     until = F.least(F.col("last"), F.floor((F.col("at") + F.size("samples") - 1 + left) / width))
     met = pieces.where(F.size("samples") > 0).join(bound, by).withColumn("lo", first).withColumn("hi", until).where("lo <= hi")
@@ -47,7 +47,7 @@ def cut_blocks(pieces: DataFrame, by: list[str], width: int, left: int, right: i
     begin = F.col("block") * width - left
     skip = F.greatest(F.lit(0), begin - F.col("at")).cast("int")
     most = (begin + left + width + right - F.col("at") - skip).cast("int")
-    part = F.slice("samples", skip + 1, F.greatest(F.lit(0), F.least(most, F.size("samples") - skip))).cast("array<double>")
+    part = F.slice("samples", skip + 1, F.greatest(F.lit(0), F.least(most, F.size("samples") - skip)))
     parts = met.select(*by, "total", "block", (F.col("at") + skip - begin).cast("long").alias("offset"), part.alias("part"))
     return every.unionByName(parts.where(F.size("part") > 0))
 
@@ -168,7 +168,7 @@ def envelope_block(x: np.ndarray, block: int, total: int, rate: int, frames: int
     change[place >= total] = 0
     mean = lambda v: np.sqrt(sliding_window_view(v**2, size)[: n * hop : hop].sum(axis=1) / inside)
     level = np.log1p(100 * mean(x[1:])) + 0.5 * np.log1p(150 * mean(change))
-    return pd.DataFrame({"step": start // hop, "level": level})
+    return pd.DataFrame({"step": start // hop, "level": level, "total": total})
 
 
 def envelope_steps(rate: int) -> tuple[int, int]:
@@ -178,11 +178,11 @@ def envelope_steps(rate: int) -> tuple[int, int]:
 
 
 def envelope(pieces: DataFrame, by: list[str], rate: int, frames: int = 4096) -> DataFrame:
-    """by, step, level: the onset envelope of each recording, a value every 10 ms."""
+    """by, step, level, total: the onset envelope of each recording, a value every 10 ms, and the recording's samples."""
     hop, size = envelope_steps(rate)
     width = frames * hop
     blocks = cut_blocks(pieces, by, width, 1, size)
-    return on_blocks(blocks, by, 1 + width + size, lambda x, k, total: envelope_block(x, k, total, rate, frames), "step long, level double")
+    return on_blocks(blocks, by, 1 + width + size, lambda x, k, total: envelope_block(x, k, total, rate, frames), "step long, level double, total long")
 
 
 def novelty_of(level: np.ndarray, step: float) -> np.ndarray:
@@ -323,8 +323,8 @@ def rhythm(level: np.ndarray, step: float, duration: float) -> tuple[int, np.nda
     return half_up(60 / period), beats, float(np.clip(score / SURE, 0, 0.9))
 
 
-def rhythms(levels: DataFrame, sized: DataFrame, by: list[str], rate: int) -> DataFrame:
-    """by, bpm, beats, confidence of envelopes (by, step, level) of recordings of total samples at rate; eight bytes a step are held together."""
+def rhythms(levels: DataFrame, by: list[str], rate: int) -> DataFrame:
+    """by, bpm, beats, confidence of envelopes (by, step, level, total) at rate; a task holds a recording's steps together, 800 bytes a second."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         level = np.zeros(int(pdf.step.max()) + 1)
@@ -332,7 +332,7 @@ def rhythms(levels: DataFrame, sized: DataFrame, by: list[str], rate: int) -> Da
         bpm, beats, sure = rhythm(level, envelope_steps(rate)[0] / rate, int(pdf.total.iloc[0]) / rate)
         return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), bpm, beats.tolist(), sure)], columns=[*by, "bpm", "beats", "confidence"])
 
-    return levels.join(sized, by).groupBy(*by).applyInPandas(run, f"{_kinds(levels, by)}, bpm int, beats array<double>, confidence double")
+    return levels.groupBy(*by).applyInPandas(run, f"{_kinds(levels, by)}, bpm int, beats array<double>, confidence double")
 
 
 # ---- resampling ----------------------------------------------------------------------------------
@@ -398,7 +398,7 @@ def render(notes: DataFrame, by: list[str], rate: int, start: str = "start_us",
             a, b = max(0, -place), min(len(tone), len(x) - place)
             if b > a:
                 x[place + a : place + b] += tone[a:b]
-        return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), begin, x)], columns=[*by, "at", "samples"])
+        return pd.DataFrame([(*(pdf[c].iloc[0] for c in by), begin, x.astype(np.float32))], columns=[*by, "at", "samples"])
 
-    return met.groupBy(*by, "nth").applyInPandas(run, f"{_kinds(notes, by)}, at long, samples array<double>")
+    return met.groupBy(*by, "nth").applyInPandas(run, f"{_kinds(notes, by)}, at long, samples array<float>")
 

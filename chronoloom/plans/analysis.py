@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.held import held
 from chronoloom.operators import decode as D
 from chronoloom.operators import signal as G
 from chronoloom.sources.readers import wave_files
@@ -49,13 +50,13 @@ def analyse(pieces: DataFrame, by: list[str], rate: int) -> DataFrame:
     pieces: by, at, samples, as operators.signal takes them. Frames and chord paths are worked on in
     blocks of a recording; what one task holds of a whole recording is its envelope, 800 bytes a second.
     """
-    good = checked(pieces, by, rate)
+    good = held(checked(pieces, by, rate), "samples")
     sized = G.lengths(good, by)
     durations = sized.select(*by, (F.col("total") / rate).alias("duration"))
-    scored = D.chord_scores(G.spectrum(good, by, rate), by)
-    found = D.chords(scored, durations, by, G.frame_size(rate) // 4 / rate)
+    scored = held(D.chord_scores(held(G.spectrum(good, by, rate), "frames"), by), "scores")
+    found = held(D.chords(scored, durations, by, G.frame_size(rate) // 4 / rate), "chords")
     keys = D.keys_of(scored, found, durations, by)
-    beats = G.rhythms(G.envelope(good, by, rate), sized, by, rate).withColumnRenamed("confidence", "beat_confidence")
+    beats = G.rhythms(G.envelope(good, by, rate), by, rate).withColumnRenamed("confidence", "beat_confidence")
     lists = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "start", "end", "chord", "confidence"))), lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.chord.alias("chord"), c.confidence.alias("confidence"))).alias("chords"))
     return durations.join(beats, by).join(waveform(good, by), by).join(lists, by).join(keys, by)
 

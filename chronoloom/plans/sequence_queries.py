@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronoloom import views as V
+from chronoloom.held import held
 from chronoloom.operators import decode as D
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
@@ -151,14 +152,16 @@ RENDER_RATE = 8_000
 
 
 def audio(spark, d):
-    """Each track's notes as samples, by their strengths."""
-    return G.render(V.notes(spark, d).withColumn("level", F.col("strength_pct") / 100), T, RENDER_RATE)
+    """A performance of each track's notes as samples: three times as fast, every note at the nearest half beat of the track's own tempo, give or take 6 ms."""
+    half = 30_000_000 / (62 + F.col("track_id") * 7 % 96)
+    start = (F.round(F.col("start_us") / 3 / half) * half).cast("long") + F.col("note_id") % 13 * 1000
+    played = V.notes(spark, d).select("track_id", "midi", start.alias("start_us"), (0.3 + F.col("strength_pct") / 150).alias("level"))
+    return held(G.render(played, T, RENDER_RATE), "audio")
 
 
 def tempo(spark, d):
     """From samples over envelopes to tempo and beats."""
-    samples = audio(spark, d)
-    return G.rhythms(G.envelope(samples, T, RENDER_RATE), G.lengths(samples, T), T, RENDER_RATE)
+    return G.rhythms(G.envelope(audio(spark, d), T, RENDER_RATE), T, RENDER_RATE)
 
 
 @query("seq18_tempo")
@@ -175,8 +178,8 @@ def seq19(spark, d):
 
 @query("seq18_analysis")
 def analysis18(spark, d):
-    """Samples to chords, key, tempo and beats in one plan: the embeddings read as samples."""
-    return analysis.analyse(embedded(spark, d), ["recording"], analysis.ANALYSIS_RATE)
+    """Samples to chords, key, tempo and beats of each rendered track in one plan."""
+    return analysis.analyse(audio(spark, d), T, RENDER_RATE)
 
 
 #: Vectors of a recording: a key whose values grow with the table.

@@ -97,7 +97,7 @@ def test_envelope_of_split_recordings(spark, frames):
 
 def rhythm_rows(spark, recs, rate=RATE):
     p = pieces(spark, recs, 20_000)
-    return {r.rec: r for r in G.rhythms(G.envelope(p, BY, rate), G.lengths(p, BY), BY, rate).collect()}
+    return {r.rec: r for r in G.rhythms(G.envelope(p, BY, rate), BY, rate).collect()}
 
 
 def test_tempo_and_beats_of_clicks(spark):
