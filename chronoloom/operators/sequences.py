@@ -513,34 +513,6 @@ def align_monotone(ref: list[float], cand: list[float], tolerance: float) -> lis
     return pairs
 
 
-def dtw(a: np.ndarray, b: np.ndarray, subsequence: bool = False) -> list[tuple[int, int]]:
-    """The cheapest warping path between the columns of two feature matrices by cosine distance.
-
-    subsequence: a may start and end anywhere in b.
-    """
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=0, keepdims=True), 1e-8)
-    cost = 1 - unit(a).T @ unit(b)
-    n, m = cost.shape
-    acc = np.full((n, m), np.inf)
-    acc[0] = cost[0] if subsequence else np.cumsum(cost[0])
-    for i in range(1, n):
-        diag = np.minimum(acc[i - 1], np.r_[np.inf, acc[i - 1, :-1]])
-        run = np.inf
-        row = acc[i]
-        for j in range(m):
-            run = min(diag[j], run) + cost[i, j]
-            row[j] = run
-    i, j = n - 1, int(acc[-1].argmin()) if subsequence else m - 1
-    path = [(i, j)]
-    while i or (j and not subsequence):
-        moves = [(acc[i - 1, j - 1], i - 1, j - 1)] if i and j else []
-        moves += [(acc[i - 1, j], i - 1, j)] if i else []
-        moves += [(acc[i, j - 1], i, j - 1)] if j else []
-        _, i, j = min(moves, key=lambda x: x[0])
-        path.append((i, j))
-    return path[::-1]
-
-
 def collapse_path(path: DataFrame, by: list[str]) -> DataFrame:
     """by, a, b: the median b of each a of a warping path, made monotone by its running maximum."""
     mid = path.groupBy(*by, "a").agg(F.median("b").alias("m"))

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from chronoloom.functions.music import fold_octave
 from chronoloom.functions.text import name_score
 from chronoloom.operators import aggregates as G
+from chronoloom.operators import align as A
 from chronoloom.operators import sequences as S
 
 
 def selects(selectors: list[str], index: Column, ident: Column, name: Column) -> Column:
-    """Whether any selector names the part: its number, its id, or a part of its name, all case-folded."""
+    """Whether any selector names the part: its number, its id, or a part of its name, all case-folded; an empty one names none."""
     out = F.lit(False)
-    for s in selectors:
-        low = s.strip().lower()
+    for low in filter(None, (s.strip().lower() for s in selectors)):
         out = out | (index == int(low) if low.isdigit() else F.lit(False)) | (F.lower(ident) == low) | F.lower(name).contains(low)
     return out
 
@@ -45,14 +45,21 @@ def inspect(notes: DataFrame) -> DataFrame:
     return ranked_streams(notes, []).orderBy(F.col("score").desc(), *PVS)
 
 
-def melody_of(notes: DataFrame, selectors: list[str] | None = None) -> DataFrame:
-    """The chosen streams' upper voice; without selectors the best-ranked stream of each score (path). Drums never count."""
-    notes = notes.where(~F.coalesce("is_drum", F.lit(False)))
-    if selectors:
-        picked = notes.where(selects(selectors, F.col("part_index"), F.col("part_id"), F.col("part_name")))
-    else:
+def melody_of(notes: DataFrame, selectors: list[str] | None = None, voice: int | None = None, staff: int | None = None) -> DataFrame:
+    """The chosen streams' upper voice; without a choice the best-ranked stream of each score (path). Drums never count.
+
+    A choice that no note of any score meets is an error.
+    """
+    picked = notes.where(~F.coalesce("is_drum", F.lit(False)))
+    chosen = [(bool(selectors), selects(selectors or [], F.col("part_index"), F.col("part_id"), F.col("part_name")), f"part {selectors}"), (voice is not None, F.col("voice") == voice, f"voice {voice}"), (staff is not None, F.col("staff") == staff, f"staff {staff}")]
+    for wanted, test, name in chosen:
+        if wanted:
+            picked = picked.where(test)
+            if not picked.limit(1).count():
+                raise ValueError(f"no notes in {name}")
+    if not any(wanted for wanted, *_ in chosen):
         best = F.max_by(F.struct(*PVS), F.struct("score", *((-F.col(c)).alias(c) for c in PVS))).alias("b")
-        picked = notes.join(ranked_streams(notes, ["path"]).groupBy("path").agg(best).select("path", "b.*"), ["path", *PVS], "left_semi")
+        picked = picked.join(ranked_streams(picked, ["path"]).groupBy("path").agg(best).select("path", "b.*"), ["path", *PVS], "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
@@ -61,12 +68,37 @@ def melody_of(notes: DataFrame, selectors: list[str] | None = None) -> DataFrame
     return picked.groupBy("path").applyInPandas(run, "path string, start double, duration double, midi int, velocity int")
 
 
-def convert(notes: DataFrame, offset: float = 0.0, scale: float = 1.0, transpose: int = 0, selectors: list[str] | None = None) -> DataFrame:
-    """Application notes of a score's melody."""
-    m = melody_of(notes, selectors)
-    start, end = F.col("start") * scale + offset, (F.col("start") + F.col("duration")) * scale + offset
-    kept = m.where(end > 0)
-    return kept.select("path", F.greatest(F.lit(0.0), start).alias("start"), F.greatest(F.lit(0.04), end - F.greatest(F.lit(0.0), start)).alias("duration"), fold_octave(F.col("midi") + transpose, 24, 108).alias("midi"), F.lit(0.98).alias("confidence"), F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("velocity") / 127)).alias("strength"))
+#: Fixed values of converted notes: the application's pitches, the shortest note, the confidence of notes taken as they
+#: are, and of aligned ones without and with their pitch in the recording; bounds of the strength.
+LOWEST, HIGHEST, SHORTEST, PLAIN, ALIGNED, HEARD, LEAST_STRENGTH = 24, 108, 0.04, 0.98, 0.72, 0.27, 0.25
+
+
+def convert(notes: DataFrame, offset: float = 0.0, scale: float = 1.0, transpose: int = 0, selectors: list[str] | None = None, voice: int | None = None, staff: int | None = None, alignment: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Application notes of a score's melody, with folded for pitches that were moved into range by octaves.
+
+    alignment: operators.align's rows by path; times are then the recording's and pitches shifted as it
+    says, and a note is as sure as its pitch is strong in the recording's frames (path, frame, chroma).
+    """
+    if scale <= 0:
+        raise ValueError("the time scale must be positive")
+    m = melody_of(notes, selectors, voice, staff).withColumn("stop", F.col("start") + F.col("duration"))
+    if alignment is None:
+        m = m.withColumn("shift", F.lit(transpose)).withColumn("confidence", F.lit(PLAIN))
+        timed = lambda c: F.col(c) * scale + offset
+    else:
+        m = m.join(alignment.withColumnRenamed("pitch_shift", "shift"), "path")
+        timed = lambda c: A.mapped(F.col(c), F.col("score_times"), F.col("audio_times")) * scale + offset
+    raw = F.col("midi") + F.col("shift")
+    m = m.withColumn("begin", timed("start")).withColumn("end", timed("stop")).where("end > 0").withColumn("pitch", fold_octave(raw, LOWEST, HIGHEST)).withColumn("folded", ~raw.between(LOWEST, HIGHEST))
+    if alignment is not None:
+        last = frames.groupBy("path").agg(F.max("frame").alias("last"))
+        m = m.join(last, "path").withColumn("frame", F.greatest(F.lit(0), F.least(F.col("last"), F.bround(F.col("begin") * F.col("rate")).cast("long"))))
+        m = m.join(frames.select("path", "frame", "chroma"), ["path", "frame"])
+        heard = F.element_at("chroma", (F.col("pitch") % 12 + 1).cast("int")) / F.greatest(F.lit(1e-8), F.array_max("chroma"))
+        m = m.withColumn("confidence", ALIGNED + HEARD * F.greatest(F.lit(0.0), F.least(F.lit(1.0), heard)))
+    start = F.greatest(F.lit(0.0), F.col("begin"))
+    length, strength = F.greatest(F.lit(SHORTEST), F.col("end") - start), F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(1.0), F.col("velocity") / 127))
+    return m.select("path", F.round(start, 3).alias("start"), F.round(length, 3).alias("duration"), F.col("pitch").alias("midi"), F.round("confidence", 3).alias("confidence"), F.round(strength, 3).alias("strength"), "folded")
 
 
 def compare(ref: DataFrame, cand: DataFrame, by: list[str], tolerance: float = 0.25) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import views as V
 from chronoloom.held import held
+from chronoloom.operators import align as A
 from chronoloom.operators import decode as D
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
@@ -257,21 +258,39 @@ def seq20(spark, d):
 
 @query("seq21_warp")
 def seq21(spark, d):
-    """SEQ-21 and AGG-21: each recording's chroma sequence warped onto that of the next one."""
+    """SEQ-21 and AGG-21: each recording's chroma and its rises warped onto those of the next one."""
     r = recordings(spark, d)
     left = r.select("recording", "at", "chroma")
     right = r.select((F.col("recording") - 1).alias("to"), F.col("at").alias("b_at"), F.col("chroma").alias("c"))
 
+    def features(p: pd.DataFrame, order: str, col: str) -> np.ndarray:
+        chroma = A.unit_columns(np.stack(p.sort_values(order)[col].to_list()).T.astype(float))
+        return A.audio_features(chroma, np.maximum(0, np.diff(chroma, axis=1, prepend=0)).sum(axis=0))
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"recording": [], "a": [], "b": []}).astype("int64")
-        mat = lambda p, order, col: np.stack(p.sort_values(order)[col].to_list()).T.astype(float)
-        return pd.DataFrame([(a.recording.iloc[0], i, j) for i, j in S.dtw(mat(a, "at", "chroma"), mat(b, "b_at", "c"), subsequence=True)], columns=["recording", "a", "b"])
+        path, _ = A.warp(features(a, "at", "chroma"), features(b, "b_at", "c"), subsequence=True)
+        return pd.DataFrame({"recording": a.recording.iloc[0], "a": path[:, 0], "b": path[:, 1]})
 
     path = left.groupBy("recording").cogroup(right.groupBy("to")).applyInPandas(run, "recording long, a long, b long")
     return S.collapse_path(path, ["recording"])
 
 
+@query("seq22_align")
+def seq22(spark, d):
+    """SEQ-22, UDF-5: each track's notes, a tenth slower than played, laid onto its rendered performance by both aligners."""
+    frames = held(G.spectrum(audio(spark, d), T, RENDER_RATE), "frames")
+    second = lambda c: F.col(c) * 1.1 / 3e6
+    score = V.notes(spark, d).withColumn("end_us", F.col("start_us") + F.col("dur_us")).select("track_id", second("start_us").alias("start"), second("end_us").alias("end"), "midi", F.col("strength_pct").alias("velocity"))
+    rate = RENDER_RATE / (G.frame_size(RENDER_RATE) // 4)
+    both = None
+    for name in sorted(A.ALIGNERS):
+        one = A.align(score, frames, T, rate, name).select("track_id", F.lit(name).alias("aligner"), "pitch_shift", "cost", F.size("score_times").alias("points"), F.element_at("audio_times", 1).alias("first"), F.element_at("audio_times", -1).alias("last"))
+        both = one if both is None else both.unionByName(one)
+    return both
+
+
 @query("win17_gaussian")
 def win17(spark, d):
     """Gaussian smoothing with reflected edges, sigma 0.8."""
