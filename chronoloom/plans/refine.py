@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions.music import strong_attack
+from chronoloom.held import held
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
 from chronoloom.operators import windows as O
@@ -89,7 +90,9 @@ def anchored(notes: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def one_line(notes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Neighbours of one pitch without an attack of their own are one; of colliding onsets the better supported stays."""
+    """Neighbours of one pitch without an attack of their own are one; of colliding onsets the better supported stays.
+
+    joins, beaten: how many notes went into a kept one, and how many it or they collided with."""
     attack = evidence.where("quality_pct >= 55").select(*T, "midi", F.col("start_us").alias("a0"))
     hit = J.points_in_intervals(notes.select(*T, "midi", "note_id", "start_us"), attack, [*T, "midi"], "start_us", F.col("a0") - ATTACK_REACH, F.col("a0") + ATTACK_REACH, 1_000_000)
     notes = notes.join(hit.select(*T, "note_id").distinct().withColumn("attacked", F.lit(True)), [*T, "note_id"], "left")
@@ -98,20 +101,21 @@ def one_line(notes: DataFrame, evidence: DataFrame) -> DataFrame:
         last = None
         for name, start, end, midi, conf, strength, support, attacked in rows:
             if last and midi == last[3] and start - last[2] <= JOIN_GAP and not attacked:
-                last = (*last[:2], max(last[2], end), midi, max(last[4], conf), max(last[5], strength), max(last[6], support))
+                last = (*last[:2], max(last[2], end), midi, max(last[4], conf), max(last[5], strength), max(last[6], support), last[7] + 1)
             else:
                 if last:
                     yield last
-                last = (name, start, end, midi, conf, strength, support)
+                last = (name, start, end, midi, conf, strength, support, 0)
         if last:
             yield last
 
     def step(rows):
         last = None
         rank = lambda r: 2 * r[6] + r[4] + r[5]
-        for row in merged(rows):
+        for row in (r + (0,) for r in merged(rows)):
             if last and row[1] - last[1] < ONSET_GAP:
-                last = row if rank(row) > rank(last) else last
+                best = row if rank(row) > rank(last) else last
+                last = (*best[:7], last[7] + row[7], last[8] + 1)
             else:
                 if last:
                     yield last
@@ -120,7 +124,7 @@ def one_line(notes: DataFrame, evidence: DataFrame) -> DataFrame:
             yield last
 
     fields = [c.split()[0] for c in NOTE.split(", ")]
-    return S.fold(notes.withColumn("weak", -F.col("strength")), T, ["start_us", "weak", "note_id"], [*fields, "attacked"], step, NOTE)
+    return S.fold(notes.withColumn("weak", -F.col("strength")), T, ["start_us", "weak", "note_id"], [*fields, "attacked"], step, f"{NOTE}, joins long, beaten long")
 
 
 def attacks(points: DataFrame, acoustic: DataFrame, strict: bool) -> DataFrame:
@@ -130,8 +134,9 @@ def attacks(points: DataFrame, acoustic: DataFrame, strict: bool) -> DataFrame:
     return met.withColumn("strong", strong).select(*points.columns, "strong")
 
 
-def split_attacks(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame) -> DataFrame:
-    """Each note cut where evidence of its pitch starts anew and the audio shows an attack there."""
+def considered_cuts(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame) -> DataFrame:
+    """track_id, note_id, at, quality, strong: where evidence of a note's pitch starts anew inside it, away from starts
+    and from the last strong cut; strong where the audio shows an attack."""
     good = evidence.where(f"quality_pct >= 65 and end_us - start_us >= {ATTACK_GAP}").select(*T, "midi", "start_us", (F.col("quality_pct") / 100).alias("quality"))
     inside = notes.select(*T, "midi", "note_id", F.col("start_us").alias("n0"), F.col("end_us").alias("n1"))
     cands = J.points_in_intervals(good, inside, [*T, "midi"], "start_us", F.col("n0") + ATTACK_GAP, F.col("n1") - SHORTEST, 1_000_000).select(*T, "note_id", "start_us", "quality")
@@ -141,11 +146,16 @@ def split_attacks(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame) ->
     def step(rows):
         last = None
         for at, quality, strong in rows:
-            if strong and (last is None or at - last >= ATTACK_GAP):
-                yield at, quality
-                last = at
+            if last is None or at - last >= ATTACK_GAP:
+                yield at, quality, strong
+                last = at if strong else last
+
+    return S.fold(attacks(free, acoustic, False), [*T, "note_id"], ["start_us", "quality"], ["start_us", "quality", "strong"], step, "at long, quality double, strong boolean")
 
-    cuts = S.fold(attacks(free, acoustic, False), [*T, "note_id"], ["start_us", "quality"], ["start_us", "quality", "strong"], step, "at long, quality double")
+
+def split_attacks(notes: DataFrame, considered: DataFrame) -> DataFrame:
+    """Each note cut at its strong considered cuts."""
+    cuts = considered.where("strong").drop("strong")
     begins = notes.select(*T, "note_id", F.col("start_us").alias("at"), F.lit(None).cast("double").alias("quality")).unionByName(cuts)
     after = F.lead("at").over(W.partitionBy(*T, "note_id").orderBy("at"))
     pieces = begins.withColumn("after", after).join(notes, [*T, "note_id"])
@@ -156,8 +166,9 @@ def split_attacks(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame) ->
     return pieces.select(*T, "note_id", F.col("at").alias("start_us"), end.alias("end_us"), "midi", conf.alias("conf"), strength.alias("strength"), "support")
 
 
-def insert_connecting(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame, low: int, high: int) -> DataFrame:
-    """notes and, in their rests, evidence that is strongly attacked, fits both neighbours and reaches the next."""
+def connecting(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame, low: int, high: int) -> DataFrame:
+    """In the rests of notes, evidence that fits both neighbours, reaches the next and is strongly attacked: a row for
+    each group of it with considered, how many fit, and the note chosen or nulls."""
     good = evidence.where(f"midi between {low} and {high} and quality_pct >= 75 and end_us - start_us >= 120000")
     groups = S.anchored_groups(good, T, 65_000, "start_us", "ev_id").select(*T, "ev_id", "anchor")
     cands = attacks(good.select(*T, "ev_id", "start_us", "end_us", "midi", (F.col("quality_pct") / 100).alias("quality")), acoustic, True).join(groups, [*T, "ev_id"])
@@ -175,18 +186,21 @@ def insert_connecting(notes: DataFrame, evidence: DataFrame, acoustic: DataFrame
                 p1, pm = put[2], put[3]
             if min(abs(anchor - x) for x in near) < ATTACK_GAP or not p1 - 30_000 <= anchor <= p1 + 80_000:
                 continue
-            viable = [c for c in group if c[6] and f0 - 100_000 <= c[3] <= f0 + 75_000 and max(abs(c[4] - pm), abs(c[4] - fm)) <= 7]
+            fits = [c for c in group if f0 - 100_000 <= c[3] <= f0 + 75_000 and max(abs(c[4] - pm), abs(c[4] - fm)) <= 7]
+            viable = [c for c in fits if c[6]]
             if not viable:
+                yield (None,) * 7 + (len(fits),)
                 continue
             _, name, start, end, midi, quality, *_ = max(viable, key=lambda c: (4 * c[5] - 0.25 * (abs(c[4] - pm) + abs(c[4] - fm)), c[3] - c[2]))
             end = min(end, f0 - BREATH)
-            if end - start >= SHORTEST:
-                put = (-name - 1, start, end, midi, min(0.99, 0.55 + 0.42 * quality), quality, quality)
-                yield put
+            if end - start < SHORTEST:
+                yield (None,) * 7 + (len(fits),)
+                continue
+            put = (-name - 1, start, end, midi, min(0.99, 0.55 + 0.42 * quality), quality, quality)
+            yield put + (len(fits),)
 
     fields = ["anchor", "ev_id", "start_us", "end_us", "midi", "quality", "strong", "p0", "p1", "pm", "f0", "fm"]
-    found = S.fold(rows, T, ["anchor", "start_us", "midi", "ev_id"], fields, step, NOTE)
-    return notes.unionByName(found)
+    return S.fold(rows, T, ["anchor", "start_us", "midi", "ev_id"], fields, step, f"{NOTE}, considered long")
 
 
 def trimmed(notes: DataFrame) -> DataFrame:
@@ -199,24 +213,105 @@ def trimmed(notes: DataFrame) -> DataFrame:
     return rows.withColumn("end_us", F.greatest(end, F.col("start_us") + SHORTEST)).drop("after", "pitch", "cut")
 
 
+COLUMNS = [*T, *(c.split()[0] for c in NOTE.split(", "))]
+
+
+def in_range(primary: DataFrame, low: int, high: int) -> DataFrame:
+    return primary.where(F.col("midi").between(low, high)).select(*T, "note_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
+
+
+def stages(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None, estimates: DataFrame | None, low: int, high: int, keep=lambda df, name: df) -> dict[str, DataFrame]:
+    """The tables of the chain by name: kept, line, and with acoustic cuts and put; last the notes. keep: what is done with each before the next reads it."""
+    out = {"kept": keep(anchored(corrected(in_range(primary, low, high), evidence, estimates), evidence), "kept")}
+    out["line"] = keep(one_line(out["kept"], evidence), "line")
+    notes = out["line"].select(COLUMNS)
+    if acoustic is not None:
+        out["cuts"] = keep(considered_cuts(notes, evidence, acoustic), "cuts")
+        notes = keep(split_attacks(notes, out["cuts"]).select(COLUMNS), "split")
+        out["put"] = keep(connecting(notes, evidence, acoustic, low, high), "put")
+        notes = notes.unionByName(out["put"].where("note_id is not null").select(COLUMNS))
+    out["notes"] = trimmed(notes).withColumn("inserted", F.col("note_id") < 0)
+    return out
+
+
 def refine(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> DataFrame:
     """track_id, note_id, start_us, end_us, midi, conf, strength, support, inserted: correct, filter, anchor, merge,
     separate, split, connect, one voice. Without acoustic nothing is split or inserted, without estimates nothing corrected."""
-    notes = primary.where(F.col("midi").between(low, high)).select(*T, "note_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
-    notes = one_line(anchored(corrected(notes, evidence, estimates), evidence), evidence)
-    if acoustic is not None:
-        notes = insert_connecting(split_attacks(notes, evidence, acoustic), evidence, acoustic, low, high)
-    return trimmed(notes).withColumn("inserted", F.col("note_id") < 0)
+    return stages(primary, evidence, acoustic, estimates, low, high)["notes"]
 
 
-def counts(primary: DataFrame, evidence: DataFrame, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> DataFrame:
-    """For each track: primary notes, dropped ones, proposed and accepted corrections by kind, anchored borders."""
-    inside = primary.where(F.col("midi").between(low, high)).select(*T, "note_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
-    kept = anchored(corrected(inside, evidence, estimates), evidence)
+def refine_counted(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> tuple[DataFrame, DataFrame]:
+    """(refine()'s notes, counters of each track): both from one run, whose stages are written to the shared folder once."""
+    got = stages(primary, evidence, acoustic, estimates, low, high, held)
+    notes = held(got["notes"], "notes")
     of = lambda size, more=F.lit(True): F.count_if((F.abs("difference") == size) & more)
-    got = kept.groupBy(*T).agg(F.count("*").alias("n"), of(1).alias("semitone_candidates"), of(12).alias("octave_candidates"), of(1, F.col("corrected")).alias("semitones"), of(12, F.col("corrected")).alias("octaves"), F.count_if("anchored_start").alias("anchored_starts"), F.count_if("anchored_end").alias("anchored_ends"))
-    every = primary.groupBy(*T).agg(F.count("*").alias("primary"))
-    return every.join(got, T, "left").withColumn("dropped", F.col("primary") - F.coalesce("n", F.lit(0))).drop("n")
+    kept = got["kept"].groupBy(*T).agg(F.count(F.lit(1)).alias("clear"), of(1).alias("semitone_pitch_candidates"), of(12).alias("octave_pitch_candidates"), of(1, F.col("corrected")).alias("semitone_corrections"), of(12, F.col("corrected")).alias("octave_corrections"), F.count_if("anchored_start").alias("anchored_starts"), F.count_if("anchored_end").alias("anchored_ends"))
+    parts = [kept, got["line"].groupBy(*T).agg(F.sum("joins").alias("merged"), F.sum("beaten").alias("onset_collisions")), notes.groupBy(*T).agg(F.count(F.lit(1)).alias("kept"))]
+    if acoustic is not None:
+        parts.append(got["cuts"].groupBy(*T).agg(F.count(F.lit(1)).alias("articulation_candidates"), F.count_if("strong").alias("articulations_added")))
+        parts.append(got["put"].groupBy(*T).agg(F.sum("considered").alias("evidence_note_candidates"), F.count("note_id").alias("evidence_notes_added")))
+    out = primary.groupBy(*T).agg(F.count(F.lit(1)).alias("primary"))
+    for part in parts:
+        out = out.join(part, T, "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in out.columns else F.lit(0).cast("long")
+    pitch, fixed = n("semitone_pitch_candidates") + n("octave_pitch_candidates"), n("semitone_corrections") + n("octave_corrections")
+    made = {"dropped": n("primary") - n("clear"), "pitch_candidates": pitch, "pitch_corrections": fixed, "pitch_corrections_rejected": pitch - fixed, "articulations_rejected": n("articulation_candidates") - n("articulations_added"), "evidence_notes_rejected": n("evidence_note_candidates") - n("evidence_notes_added")}
+    return notes, out.select(*T, *((made[c] if c in made else n(c)).alias(c) for c in COUNTERS))
+
+
+COUNTERS = (
+    "primary kept dropped merged onset_collisions articulation_candidates articulations_added articulations_rejected evidence_note_candidates evidence_notes_added evidence_notes_rejected "
+    "pitch_candidates semitone_pitch_candidates octave_pitch_candidates pitch_corrections pitch_corrections_rejected semitone_corrections octave_corrections anchored_starts anchored_ends"
+).split()
+
+#: Fixed values of an instrumental opening: its pitches, the least quality and length of a note, and the reaches within
+#: which onsets are one chord and equal pitches one note.
+INTRO_LOW, INTRO_HIGH, INTRO_QUALITY, INTRO_SHORTEST, CHORD_REACH, INTRO_JOIN = 65, 84, 45, 90_000, 65_000, 60_000
+
+
+def intro_line(evidence: DataFrame, intro_end: int) -> DataFrame:
+    """COLUMNS: the upper line of the evidence that starts before intro_end, as notes: of a chord the highest, then surest, then longest."""
+    loud = evidence.where(F.col("midi").between(INTRO_LOW, INTRO_HIGH) & (F.col("start_us") < intro_end) & (F.col("quality_pct") >= INTRO_QUALITY) & (F.col("end_us") - F.col("start_us") >= INTRO_SHORTEST))
+
+    def chords(rows):
+        group = []
+        for row in rows:
+            if group and row[1] - group[0][1] > CHORD_REACH:
+                yield max(group, key=lambda r: (r[3], r[4], r[2] - r[1]))
+                group = []
+            group.append(row)
+        if group:
+            yield max(group, key=lambda r: (r[3], r[4], r[2] - r[1]))
+
+    def step(rows):
+        last = None
+        for name, start, end, midi, quality in chords(rows):
+            end, sure = min(intro_end, end), quality / 100
+            if last and midi == last[3] and start <= last[2] + INTRO_JOIN:
+                last = (*last[:2], max(last[2], end), midi, max(last[4], sure), max(last[5], sure), None)
+            else:
+                if last:
+                    yield last
+                last = (name, start, end, midi, sure, sure, None)
+        if last:
+            yield last
+
+    return cut_short(S.fold(loud, T, ["start_us", "ev_id"], ["ev_id", "start_us", "end_us", "midi", "quality_pct"], step, NOTE))
+
+
+def cut_short(notes: DataFrame) -> DataFrame:
+    """notes that end before the next one starts, as far as they stay long enough."""
+    after = F.lead("start_us").over(W.partitionBy(*T).orderBy("start_us", F.col("strength").desc(), "note_id"))
+    rows = notes.withColumn("after", after)
+    end = F.when(F.col("after").isNull(), F.col("end_us")).otherwise(F.greatest(F.col("start_us") + SHORTEST, F.least(F.col("end_us"), F.col("after") - BREATH)))
+    return rows.withColumn("end_us", end).drop("after")
+
+
+def with_intro(notes: DataFrame, evidence: DataFrame, intro_end: int) -> DataFrame:
+    """Refined notes from intro_end on, the upper line of the evidence before it; from_intro marks the latter."""
+    line = intro_line(evidence, intro_end).withColumn("from_intro", F.lit(True))
+    voice = notes.where(F.col("start_us") >= intro_end).select(*COLUMNS, F.lit(False).alias("from_intro"))
+    return cut_short(line.unionByName(voice))
 
 
 def connectors(notes: DataFrame, evidence: DataFrame, rest: int = 100_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import views as V
 from chronoloom.held import held
+from chronoloom.operators import acoustics as C
 from chronoloom.operators import align as A
 from chronoloom.operators import decode as D
 from chronoloom.operators import joins as J
@@ -152,12 +153,16 @@ def seq16(spark, d):
 RENDER_RATE = 8_000
 
 
-def audio(spark, d):
-    """A performance of each track's notes as samples: three times as fast, every note at the nearest half beat of the track's own tempo, give or take 6 ms."""
+def played(spark, d):
+    """The start of each note of a track as it is played: three times as fast, at the nearest half beat of the track's own tempo, give or take 6 ms."""
     half = 30_000_000 / (62 + F.col("track_id") * 7 % 96)
-    start = (F.round(F.col("start_us") / 3 / half) * half).cast("long") + F.col("note_id") % 13 * 1000
-    played = V.notes(spark, d).select("track_id", "midi", start.alias("start_us"), (0.3 + F.col("strength_pct") / 150).alias("level"))
-    return held(G.render(played, T, RENDER_RATE), "audio")
+    return (F.round(F.col("start_us") / 3 / half) * half).cast("long") + F.col("note_id") % 13 * 1000
+
+
+def audio(spark, d):
+    """A performance of each track's notes as samples."""
+    rows = V.notes(spark, d).select("track_id", "midi", played(spark, d).alias("start_us"), (0.3 + F.col("strength_pct") / 150).alias("level"))
+    return held(G.render(rows, T, RENDER_RATE), "audio")
 
 
 def tempo(spark, d):
@@ -165,6 +170,45 @@ def tempo(spark, d):
     return G.rhythms(G.envelope(audio(spark, d), T, RENDER_RATE), T, RENDER_RATE)
 
 
+def performed(spark, d):
+    """(notes, evidence, acoustic, estimates) of each track's performance, the last two measured in its samples."""
+    at = played(spark, d)
+    length = F.greatest(F.lit(60_000), F.floor(F.col("dur_us") / 3))
+    notes = V.notes(spark, d).withColumn("start_us", at).withColumn("end_us", (F.col("start_us") + length).cast("long"))
+    off = F.when(F.col("note_id") % 10 == 0, 12).when(F.col("note_id") % 10 == 1, 1).otherwise(0)
+    evidence = notes.select("track_id", F.col("note_id").alias("ev_id"), "start_us", "end_us", "midi", ((F.col("note_id") * 17) % 101).alias("quality_pct"))
+    heard = notes.withColumn("midi", F.col("midi") + off)
+    sound = audio(spark, d)
+    acoustic = held(C.articulations(held(C.onset_frames(sound, T, RENDER_RATE), "onsets"), evidence.withColumnRenamed("start_us", "at_us"), T, RENDER_RATE), "acoustic")
+    estimates = held(C.estimates(held(C.pitch_frames(sound, T, RENDER_RATE), "pitches"), heard, T, RENDER_RATE), "estimates")
+    return heard, evidence, acoustic, estimates
+
+
+@query("src21_articulations")
+def src21(spark, d):
+    """SRC-21: attack and level measures at the onsets of each rendered track, from its samples."""
+    return performed(spark, d)[2]
+
+
+@query("inf06_pitch_estimates")
+def inf06(spark, d):
+    """INF-6: the pitch inside each note of a rendered track and its spread, from its samples."""
+    return performed(spark, d)[3]
+
+
+@query("seq16_from_audio")
+def seq16_audio(spark, d):
+    """SEQ-16 fed by what the samples say, with the first ten seconds taken from the evidence's upper line."""
+    notes, evidence, acoustic, estimates = performed(spark, d)
+    return refine.with_intro(refine.refine(notes, evidence, acoustic, estimates), evidence, 10_000_000).drop("support")
+
+
+@query("agg15_refine_counters")
+def agg15_refine(spark, d):
+    """AGG-15: the refinement's twenty counters of each track."""
+    return refine.refine_counted(ended(spark, d), V.evidence(spark, d), V.acoustic(spark, d), V.estimates(spark, d))[1]
+
+
 @query("seq18_tempo")
 def seq18(spark, d):
     """SEQ-18: tempo, number of beats and confidence of each rendered track."""

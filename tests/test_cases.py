@@ -472,14 +472,19 @@ def test_mp4_tags():
     assert R.parse_tags(file[:-20]) == {} and R.parse_tags(box(b"ftyp", b"M4A ")) == {}
 
 
-def refined(spark, notes, evidence, attacks=(), estimates=()):
-    """(start, end, midi) of the refined notes, in seconds as given."""
+def refine_tables(spark, notes, evidence, attacks=(), estimates=()):
+    """The refinement's input from rows in seconds."""
     us = lambda x: round(x * 1_000_000)
     p = spark.createDataFrame([(1, k, us(a), us(b), m, *(rest or (90, 80))) for k, (a, b, m, *rest) in enumerate(notes)], "track_id long, note_id long, start_us long, end_us long, midi long, conf_pct long, strength_pct long")
     e = spark.createDataFrame([(1, k, us(a), us(b), m, *(rest or (90,))) for k, (a, b, m, *rest) in enumerate(evidence)], "track_id long, ev_id long, start_us long, end_us long, midi long, quality_pct long")
     ac = spark.createDataFrame([(1, us(at), peak, peak, ratio, ratio, rise, reset) for at, peak, ratio, rise, reset in attacks], "track_id long, at_us long, broad_peak double, harmonic_peak double, broad_ratio double, harmonic_ratio double, rise_db double, reset_db double") if attacks else None
     es = spark.createDataFrame([(1, us(at), m, mad) for at, m, mad in estimates], "track_id long, at_us long, median_midi double, mad_midi double") if estimates else None
-    rows = refine.refine(p, e, ac, es).orderBy("start_us").collect()
+    return p, e, ac, es
+
+
+def refined(spark, **given):
+    """(start, end, midi) of the refined notes, in seconds as given."""
+    rows = refine.refine(*refine_tables(spark, **given)).orderBy("start_us").collect()
     return [(r.start_us / 1e6, r.end_us / 1e6, r.midi) for r in rows]
 
 
@@ -504,6 +509,48 @@ def test_refinement(spark, name):
     assert refined(spark, **given) == want
 
 
+#: Of each refinement the counters that are not 0.
+COUNTED = {
+    "borders of the evidence": dict(primary=1, kept=1, anchored_starts=1, anchored_ends=1),
+    "weak noise": dict(primary=2, kept=1, dropped=1),
+    "repetition": dict(primary=4, kept=3, merged=1, anchored_starts=3, anchored_ends=3),
+    "split": dict(primary=1, kept=2, articulation_candidates=1, articulations_added=1, anchored_starts=1, anchored_ends=1),
+    "no reset": dict(primary=1, kept=1, articulation_candidates=1, articulations_rejected=1, anchored_starts=1, anchored_ends=1),
+    "three attacks": dict(primary=1, kept=4, articulation_candidates=3, articulations_added=3, anchored_starts=1, anchored_ends=1),
+    "connecting note": dict(primary=2, kept=3, evidence_note_candidates=1, evidence_notes_added=1, anchored_starts=2, anchored_ends=2),
+    "harmonic at an onset": dict(primary=2, kept=2, anchored_starts=2, anchored_ends=2),
+    "confirmed semitone": dict(primary=2, kept=2, pitch_candidates=2, semitone_pitch_candidates=1, octave_pitch_candidates=1, pitch_corrections=1, pitch_corrections_rejected=1, semitone_corrections=1, anchored_starts=1, anchored_ends=1),
+    "confirmed octave": dict(primary=1, kept=1, pitch_candidates=1, octave_pitch_candidates=1, pitch_corrections=1, octave_corrections=1, anchored_starts=1, anchored_ends=1),
+}
+
+
+@pytest.mark.parametrize("name", sorted(COUNTED))
+def test_refinement_counters(spark, name):
+    given, want = REFINED[name]
+    notes, counts = refine.refine_counted(*refine_tables(spark, **given))
+    assert [(r.start_us / 1e6, r.end_us / 1e6, r.midi) for r in notes.orderBy("start_us").collect()] == want
+    got = counts.drop("track_id").first().asDict()
+    assert list(got) == refine.COUNTERS and {k: v for k, v in got.items() if v} == COUNTED[name]
+
+
+def test_onset_collisions_are_counted(spark):
+    given = dict(notes=[(1.0, 1.4, 60), (1.03, 1.5, 62), (1.05, 1.5, 65), (2.0, 2.3, 60)], evidence=[])
+    _, counts = refine.refine_counted(*refine_tables(spark, **given))
+    r = counts.first()
+    assert (r.primary, r.kept, r.onset_collisions, r.merged) == (4, 2, 2, 0)
+
+
+def test_intro(spark):
+    """The upper line of chords before the voice comes in; equal pitches join, notes end before the next."""
+    evidence = [(0.0, 0.5, 67, 80), (0.02, 0.6, 72, 60), (0.05, 0.4, 72, 90), (0.45, 1.2, 72, 50), (1.3, 1.38, 80, 90), (1.5, 2.4, 64, 90), (1.6, 2.6, 70, 44), (1.8, 2.5, 76, 70), (2.1, 2.6, 74, 90)]
+    notes = [(1.0, 1.5, 60), (2.0, 2.4, 62), (2.2, 2.6, 64)]
+    p, e, _, _ = refine_tables(spark, notes, evidence)
+    line = [(r.start_us / 1e6, r.end_us / 1e6, r.midi, r.conf) for r in refine.intro_line(e, 2_000_000).orderBy("start_us").collect()]
+    assert line == [(0.05, 1.2, 72, 0.9), (1.8, 2.0, 76, 0.7)]
+    both = refine.with_intro(refine.refine(p, e), e, 2_000_000).orderBy("start_us").collect()
+    assert [(r.start_us / 1e6, r.end_us / 1e6, r.midi, r.from_intro) for r in both] == [(0.05, 1.2, 72, True), (1.8, 1.988, 76, True), (2.0, 2.188, 62, False), (2.2, 2.6, 64, False)]
+
+
 def test_scoring_rules():
     state, ms = scoring.fresh(), 1000
     cue = lambda due, ident, lane=0, chord=None: scoring.step(state, "cue", due - scoring.AHEAD_US, ident, lane, chord)
