@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.sources.scores import Bar, parse_kern, parse_mei, played
+
 MOST_BYTES = 100 << 20
 NOTE = "struct<start:double,duration:double,midi:double,confidence:double,strength:double>"
 SCORE_NOTE = "path string, start double, duration double, midi int, velocity int, part_index int, part_id string, part_name string, voice int, staff int, is_drum boolean"
@@ -186,46 +188,31 @@ def unzipped(data: bytes) -> bytes:
 
 
 def play_order(measures: list) -> list[int]:
-    """Places of measures as they sound: repeats taken, endings by their numbers; leaps such as D.C. are not.
-
-    A section ends at its last ending or its closing bar. One whose only ending is the first is played twice.
-    """
-    opens, closes, ends, now = set(), {}, [], frozenset()
-    for k, m in enumerate(measures):
-        stop = False
-        for bar in m.findall("barline"):
-            ending, repeat = bar.find("ending"), bar.find("repeat")
+    """Places of measures as they sound: repeats, endings by their numbers, leaps such as D.C. al Fine."""
+    bars, now = [], frozenset()
+    for m in measures:
+        bar, stop = Bar(), False
+        for line in m.findall("barline"):
+            ending, repeat = line.find("ending"), line.find("repeat")
             if ending is not None:
                 if ending.get("type") == "start":
                     now = frozenset(int(n) for n in re.findall(r"\d+", ending.get("number") or ""))
                 else:
                     stop = True
             if repeat is not None and repeat.get("direction") == "forward":
-                opens.add(k)
+                bar.opens = True
             elif repeat is not None:
-                closes[k] = int(repeat.get("times") or 2)
-        ends.append(now)
+                bar.closes = int(repeat.get("times") or 2)
+        for sound in m.iter("sound"):
+            bar.segno |= sound.get("segno") is not None
+            bar.coda |= sound.get("coda") is not None
+            bar.fine |= sound.get("fine") is not None
+            bar.to_coda |= sound.get("tocoda") is not None
+            bar.jump = "capo" if sound.get("dacapo") else "segno" if sound.get("dalsegno") else bar.jump
+        bar.ends = now
+        bars.append(bar)
         now = frozenset() if stop else now
-    group: dict[int, int] = {}
-    for k, e in enumerate(ends):
-        if e:
-            group[k] = group[k - 1] if k - 1 in group and min(e) >= min(ends[k - 1]) else k
-    turns = {g: max(2, *(n for k in group if group[k] == g for n in ends[k])) for g in set(group.values())}
-    order, k, first, turn = [], 0, 0, 1
-    while k < len(measures):
-        if k in opens and k != first:
-            first, turn = k, 1
-        plays = not ends[k] or turn in ends[k]
-        if plays:
-            order.append(k)
-            if k in closes and turn < turns.get(group.get(k), closes[k]):
-                turn, k = turn + 1, first
-                continue
-        left = k in group and group.get(k + 1) != group[k]
-        if left or plays and k in closes:
-            first, turn = k + 1, 1
-        k += 1
-    return order
+    return played(bars)
 
 
 def parse_musicxml(data: bytes, default_bpm: float = 120.0, unfold: bool = True) -> list[tuple]:
@@ -303,8 +290,20 @@ def _xml_rows(path: str, data: bytes, default_bpm: float = 120.0, unfold: bool =
         yield path, s, du, m, v, p, pid, name, voice, staff, False
 
 
+def _notated(parse: Callable):
+    """Rows of a parser of the same tuples as parse_musicxml()."""
+
+    def rows(path: str, data: bytes, default_bpm: float = 120.0, unfold: bool = True):
+        for s, du, m, v, p, pid, name, voice, staff in parse(data, default_bpm, unfold):
+            yield path, s, du, m, v, p, pid, name, voice, staff, False
+
+    return rows
+
+
+_kern_rows, _mei_rows = _notated(parse_kern), _notated(parse_mei)
+
 #: Parsers by extension; register_score_format adds more.
-SCORE_FORMATS: dict[str, Callable] = {".mid": _midi_rows, ".midi": _midi_rows, ".musicxml": _xml_rows, ".xml": _xml_rows, ".mxl": _xml_rows}
+SCORE_FORMATS: dict[str, Callable] = {".krn": _kern_rows, ".kern": _kern_rows, ".mei": _mei_rows, ".mid": _midi_rows, ".midi": _midi_rows, ".musicxml": _xml_rows, ".xml": _xml_rows, ".mxl": _xml_rows}
 
 
 def register_score_format(extension: str, rows: Callable) -> None:
@@ -317,7 +316,7 @@ def score_files(spark: SparkSession, path: str, default_bpm: float = 120.0, unfo
 
     Notated scores take default_bpm before their first tempo, and play their repeats unless unfold is unset.
     """
-    formats = {k: partial(v, default_bpm=default_bpm, unfold=unfold) if v is _xml_rows else v for k, v in SCORE_FORMATS.items()}
+    formats = {k: partial(v, default_bpm=default_bpm, unfold=unfold) if v in (_xml_rows, _kern_rows, _mei_rows) else v for k, v in SCORE_FORMATS.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCORE_NOTE.split(", ")]
