@@ -150,6 +150,28 @@ def lanes(df: DataFrame, by: list[str], start: str = "start_us", tie: str = "not
     return fold(df, by, [start, tie], [tie, midi], step, f"{tie} long, string int, fret int")
 
 
+def bounded_cache(df: DataFrame, by: list[str], order: list[str], key: str, most: int) -> DataFrame:
+    """by, order, key, hit, evicted: requests of a key against a first-in-first-out cache of `most` keys for each group.
+
+    A key that is not held is put in, and where the cache is full the one put in first goes; a hit renews nothing.
+    """
+    names = {c: df.schema[c].dataType.simpleString() for c in (*order, key)}
+
+    def step(rows):
+        held: dict = {}
+        for row in rows:
+            asked, evicted = row[-1], None
+            hit = asked in held
+            if not hit:
+                if len(held) >= most:
+                    evicted = next(iter(held))
+                    del held[evicted]
+                held[asked] = None
+            yield *row, hit, evicted
+
+    return fold(df, by, order, [*order, key], step, ", ".join(f"{c} {t}" for c, t in names.items()) + f", hit boolean, evicted {names[key]}")
+
+
 def merge_same_pitch(df: DataFrame, by: list[str], gap: int, start: str = "start_us", stop: str = "end_us", tie: str = "note_id", value: str = "conf_pct", attack: str = "attack") -> DataFrame:
     """Events of a group (a pitch) join the merged one before if the rest is at most `gap` and they have no attack of their own."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import views as V
 from chronoloom.operators import joins as J
+from chronoloom.operators import sequences as Q
 from chronoloom.registry import query
 from chronoloom.streaming import scoring as S
 
@@ -60,3 +61,22 @@ SELECT track_id, cell, gesture_id FROM (SELECT track_id, at_us // 500000 AS cell
 def str10(spark, d):
     g = V.gestures(spark, d).withColumn("cell", F.expr("at_us div 500000"))
     return g.groupBy("track_id", "cell").agg(F.min_by("gesture_id", F.struct("string_idx", "gesture_id")).alias("gesture_id"))
+
+
+@query("str04_clock_scoring")
+def str04_clock(spark, d):
+    """STR-04 inside the scoring: cues and gestures in the order of their ids, whose jitter moves the clock back now and then; tests hold the stream against this replay."""
+    both = S.timeline(V.cues(spark, d), V.gestures(spark, d))
+    order = F.col("id") * 2 + (F.col("kind") == "hit").cast("long")
+    return S.replay_clock(both.withColumn("seq", order))
+
+
+@query("srt05_bounded_cache", V.sql(V.NOTES, "r AS (SELECT track_id, note_id, midi, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS rn FROM notes)", recursive=True) + """
+, c AS (SELECT track_id, rn, note_id, midi, false AS hit, NULL::BIGINT AS evicted, [midi] AS held FROM r WHERE rn = 1
+  UNION ALL SELECT r.track_id, r.rn, r.note_id, r.midi, list_contains(c.held, r.midi), CASE WHEN NOT list_contains(c.held, r.midi) AND len(c.held) >= 12 THEN c.held[1] END,
+    CASE WHEN list_contains(c.held, r.midi) THEN c.held WHEN len(c.held) >= 12 THEN list_append(c.held[2:], r.midi) ELSE list_append(c.held, r.midi) END
+  FROM c JOIN r ON r.track_id = c.track_id AND r.rn = c.rn + 1)
+SELECT track_id, note_id, midi, hit, evicted FROM c""")
+def srt05(spark, d):
+    """Each track's notes ask for the voice of their pitch; twelve voices are held, first in first out."""
+    return Q.bounded_cache(V.notes(spark, d), ["track_id"], ["start_us", "note_id"], "midi", 12).select("track_id", "note_id", "midi", "hit", "evicted")

@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -139,6 +139,99 @@ def score_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return timed.groupBy("track_id", "take").applyInPandasWithState(run, OUT, "state string", "append", "EventTimeTimeout")
 
 
+# ---- takes that the stream opens itself ----------------------------------------------------------
+
+CLOCKED = "track_id long, seq long, kind string, at_us long, id long, lane long, chord string"
+
+
+def clock_step(state: dict, kind: str, at: int, ident: int, lane: int, chord: str | None) -> list[tuple]:
+    """step() for a track whose clock may move back: by more than REWIND_US it opens a new take, which knows nothing of the one before.
+
+    state: take, clock (the last event's time) and play, the take's own state; each result begins with its take.
+    """
+    if state["clock"] is not None and at < state["clock"] - REWIND_US:
+        state.update(take=state["take"] + 1, play=fresh())
+    state["clock"] = at
+    return [(state["take"], *row) for row in step(state["play"], kind, at, ident, lane, chord)]
+
+
+def fresh_clock() -> dict:
+    return {"take": 0, "clock": None, "play": fresh()}
+
+
+def replay_clock(events: DataFrame) -> DataFrame:
+    """The scores of CLOCKED events in the order of seq, takes found on the way; one pass over sorted partitions."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        state = fresh_clock()
+        for row in rows:
+            yield from clock_step(state, *row)
+
+    return fold(events, ["track_id"], ["seq"], FIELDS, run, OUT.split(", ", 1)[1])
+
+
+def score_clock_stream(events: DataFrame) -> DataFrame:
+    """replay_clock() of a stream of CLOCKED events whose micro-batches follow each other in seq; a cue is missed when a later event of its take shows it."""
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = json.loads(state.get[0]) if state.exists else fresh_clock()
+        batch = pd.concat(list(pdfs)).sort_values("seq")
+        chords = [c if isinstance(c, str) else None for c in batch.chord]
+        rows = [(*key, *row) for event in zip(batch.kind, map(int, batch.at_us), map(int, batch.id), map(int, batch.lane), chords) for row in clock_step(now, *event)]
+        state.update((json.dumps(now),))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield out.astype({"cue_id": "Int64", "gesture_id": "Int64"})
+
+    return events.groupBy("track_id").applyInPandasWithState(run, OUT, "state string", "append", "NoTimeout")
+
+
+# ---- writes that can be repeated -----------------------------------------------------------------
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in path, in any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+
+
+def current_revision(spark: SparkSession, path: str) -> int:
+    """The last revision begun at path, -1 before the first."""
+    return max((int(n.removeprefix("revision-")) for n in _folders(spark, f"{path}/revisions") if n.startswith("revision-")), default=-1)
+
+
+def begin_revision(spark: SparkSession, path: str) -> int:
+    """A new revision of the results at path: from now on writers of earlier ones write nothing more, and readers see the new one only.
+
+    Two that begin at once get different numbers or one of them an error: the marker is created once.
+    """
+    number = current_revision(spark, path) + 1
+    spark.range(1).write.mode("error").parquet(f"{path}/revisions/revision-{number}")
+    return number
+
+
+def write_once(batch: DataFrame, batch_id: int, path: str, revision: int) -> bool:
+    """Write a micro-batch under its revision and number, replacing what an earlier try left; False for a revision that is no longer the last."""
+    if current_revision(batch.sparkSession, path) != revision:
+        return False
+    batch.write.mode("overwrite").parquet(f"{path}/data/revision-{revision}/batch-{batch_id}")
+    return True
+
+
+def run_gated(stream: DataFrame, path: str, checkpoint: str, revision: int) -> None:
+    """Process what is there in micro-batches by write_once(): a batch that runs again writes nothing twice."""
+    write = lambda batch, batch_id: write_once(batch, batch_id, path, revision) and None
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the last revision."""
+    home = f"{path}/data/revision-{current_revision(spark, path)}"
+    parts = [f"{home}/{n}" for n in _folders(spark, home)]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
 def distinct_events(events: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """The first event of each key within the watermark's delay."""
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
