@@ -83,6 +83,24 @@ def strict_number(c: Column, low, high, label: str) -> Column:
     return F.when(ok, x).otherwise(F.raise_error(F.lit(f"{label}: not a number from {low} to {high}")).cast("double"))
 
 
+#: How far a score may be transposed, in semitones.
+MOST_TRANSPOSE = 24
+
+
+def transposition(c: Column) -> Column:
+    """struct(valid, shift) of a text: "auto" has no shift, else a whole number from -24 to 24; anything else is not valid."""
+    x = c.try_cast("double")
+    whole = x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= MOST_TRANSPOSE) & (x == F.floor(x))
+    auto = F.coalesce(c == "auto", F.lit(False))
+    return F.struct((auto | F.coalesce(whole, F.lit(False))).alias("valid"), F.when(~auto & whole, x.cast("int")).alias("shift"))
+
+
+def strict_transposition(c: Column) -> Column:
+    """The shift of a text, null for "auto"; an invalid one raises."""
+    t = transposition(c)
+    return F.when(t.valid, t.shift).otherwise(F.raise_error(F.lit("transpose must be auto or a whole number from -24 to 24")).cast("int"))
+
+
 def strong_attack(broad_peak: Column, harmonic_peak: Column, broad_ratio: Column, harmonic_ratio: Column, rise_db: Column, reset_db: Column, strict: bool = False) -> Column:
     """Whether onset metrics show an attack: a peak in one band with a rise or a reset of the level, or, unless
     strict, a clear peak in both bands. Missing metrics show none."""

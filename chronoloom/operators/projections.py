@@ -58,3 +58,31 @@ def merge_versions(base: DataFrame, current: DataFrame, automatic: DataFrame, ke
     met = named(current, "c").join(named(base, "b"), key, "left").join(named(automatic, "a"), key, "left")
     pick = lambda c: F.when(~F.col(f"c_{c}").eqNullSafe(F.col(f"b_{c}")) | F.col(f"a_{c}").isNull(), F.col(f"c_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
     return met.select(key, *map(pick, columns))
+
+
+def stale(source: Column, version: Column, usable: Column, current: float, least: int = 8) -> Column:
+    """Whether a local row has to be made anew: never one with a source or of a newer version; else one of another version, or of too few notes."""
+    newer = F.coalesce(finite(version) & (version > current), F.lit(False))
+    return source.isNull() & ~newer & (~version.eqNullSafe(F.lit(current)) | (usable < least))
+
+
+def merge_catalog(songs: DataFrame, catalog: DataFrame, key: str, marker: str) -> DataFrame:
+    """songs with the catalog's melody, and its tempo unless the saved rhythm was edited; rows that the catalog lacks stay.
+
+    songs: key, bpm, beats, original_bpm, original_beats, melody, algorithm; catalog: key, melody, bpm (null: none). The
+    original's tempo always follows; marker is added to algorithm once.
+    """
+    entry = catalog.select(key, F.col("melody").alias("c_melody"), F.col("bpm").alias("c_bpm"), F.lit(True).alias("c_found"))
+    met = songs.join(entry, key, "left")
+    edited = ~F.col("bpm").eqNullSafe(F.col("original_bpm")) | ~F.col("beats").eqNullSafe(F.col("original_beats"))
+    told = F.col("c_bpm").isNotNull()
+    marked = F.when(F.contains("algorithm", F.lit(marker)), F.col("algorithm")).otherwise(F.concat("algorithm", F.lit(f" / {marker}")))
+    new = {"bpm": F.when(told & ~edited, F.col("c_bpm")).otherwise(F.col("bpm")), "original_bpm": F.coalesce("c_bpm", "original_bpm"), "melody": F.when(F.col("c_found"), F.col("c_melody")).otherwise(F.col("melody")), "algorithm": F.when(F.col("c_found"), marked).otherwise(F.col("algorithm"))}
+    return met.select(*(new.get(c, F.col(c)).alias(c) for c in songs.columns))
+
+
+def trusted(source: Column, claimed: Column, content: Column) -> Column:
+    """Whether a row may be shown: it has no source, or the digest claimed for it, trimmed and in any case, is its content's."""
+    digest = F.lower(F.trim(claimed))
+    proven = digest.rlike("^[a-f0-9]{64}$") & (digest == F.sha2(content.cast("binary"), 256))
+    return source.isNull() | F.coalesce(proven, F.lit(False))

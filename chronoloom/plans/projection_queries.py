@@ -170,9 +170,13 @@ def prj24(spark, d):
 
 
 @query("prj25_stale", V.sql(V.NOTES) + """
-SELECT track_id, (track_id % 4 < 3 OR count(*) FILTER (conf_pct >= 10) < 8) AND track_id % 4 < 4 AS stale FROM notes GROUP BY 1""")
+, s AS (SELECT track_id, CASE WHEN track_id % 4 = 3 THEN 'shop' END AS source, CASE WHEN track_id % 7 <> 0 THEN (track_id % 5)::DOUBLE END AS version, count(*) FILTER (conf_pct >= 85) AS usable FROM notes GROUP BY 1)
+SELECT track_id, source IS NULL AND coalesce(version, 0) <= 3 AND (version IS DISTINCT FROM 3 OR usable < 8) AS stale FROM s""")
 def prj25(spark, d):
-    return V.notes(spark, d).groupBy("track_id").agg(F.count_if(F.col("conf_pct") >= 10).alias("usable")).select("track_id", (((F.col("track_id") % 4 < 3) | (F.col("usable") < 8)) & (F.col("track_id") % 4 < 4)).alias("stale"))
+    """Versions below, at and above the current one, and none; rows with a source."""
+    n = V.notes(spark, d).groupBy("track_id").agg(F.count_if(F.col("conf_pct") >= 85).alias("usable"))
+    key = F.col("track_id")
+    return n.select("track_id", P.stale(F.when(key % 4 == 3, F.lit("shop")), F.when(key % 7 != 0, (key % 5).cast("double")), F.col("usable"), 3.0).alias("stale"))
 
 
 @query("prj26_three_way_merge", """
@@ -287,18 +291,26 @@ def prj02(spark, d):
 
 
 @query("prj27_catalog_merge", """
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE c_acctbal + 5 END AS bpm FROM customer""")
+SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN c_acctbal + (c_custkey % 3 = 0)::INT ELSE c_acctbal + 5 END AS bpm,
+  CASE WHEN c_custkey % 4 = 0 OR c_custkey % 7 = 0 THEN c_acctbal ELSE c_acctbal + 5 END AS original_bpm,
+  CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE c_name END AS melody,
+  CASE WHEN c_custkey % 4 = 0 OR c_custkey % 2 = 1 THEN CASE WHEN c_custkey % 2 = 1 THEN 'dsp / catalog' ELSE 'dsp' END ELSE 'dsp / catalog' END AS algorithm FROM customer""")
 def prj27(spark, d):
-    """The catalog's melody and tempo come in, but a tempo that was edited by hand stays."""
-    c = V.table(spark, d, "customer").withColumn("edited", F.col("c_custkey") % 3 == 0)
-    catalog = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 5).alias("new"))
-    return c.join(catalog, c.c_custkey == catalog.id).select("c_custkey", F.when(F.col("edited"), F.col("c_acctbal")).otherwise(F.col("new")).alias("bpm"))
+    """Tempos edited by hand (every third), beats edited (every fifth), rows that the catalog lacks (every fourth), entries without a tempo (every seventh)."""
+    c, key = V.table(spark, d, "customer"), F.col("c_custkey")
+    beats = F.array(F.lit(0.5), F.lit(1.0))
+    songs = c.select(key.alias("id"), (F.col("c_acctbal") + F.when(key % 3 == 0, 1).otherwise(0)).alias("bpm"), F.when(key % 5 == 0, F.array(F.lit(0.6))).otherwise(beats).alias("beats"), F.col("c_acctbal").alias("original_bpm"), beats.alias("original_beats"), F.lit("old").alias("melody"), F.when(key % 2 == 1, "dsp / catalog").otherwise("dsp").alias("algorithm"))
+    catalog = c.where(key % 4 != 0).select(key.alias("id"), F.col("c_name").alias("melody"), F.when(key % 7 != 0, F.col("c_acctbal") + 5).alias("bpm"))
+    return P.merge_catalog(songs, catalog, "id", "catalog").select("id", "bpm", "original_bpm", "melody", "algorithm")
 
 
-@query("prj28_trusted", """SELECT page_id FROM pages WHERE page_id % 4 = 0 OR sha256(coalesce(url, '')) < '8'""")
+@query("prj28_trusted", """
+SELECT page_id FROM pages WHERE page_id % 4 = 0 OR (page_id % 4 = 1 AND url IS NOT NULL)""")
 def prj28(spark, d):
-    """Local rows, and catalog rows whose digest was verified."""
-    return V.table(spark, d, "pages").where((F.col("page_id") % 4 == 0) | (F.sha2(F.coalesce("url", F.lit("")), 256) < "8")).select("page_id")
+    """Local rows, and catalog rows whose claimed digest is their content's: some claims are in capitals, some are another row's, some are no digests."""
+    key, real = F.col("page_id"), F.sha2(F.col("url").cast("binary"), 256)
+    claimed = F.when(key % 4 == 1, F.concat(F.lit(" "), F.upper(real))).when(key % 4 == 2, F.sha2(F.concat("url", F.lit("x")).cast("binary"), 256)).otherwise(F.substring(real, 1, 40))
+    return V.table(spark, d, "pages").where(P.trusted(F.when(key % 4 != 0, F.lit("shop")), claimed, F.col("url"))).select("page_id")
 
 
 @query("srt02_best_lane", V.sql(V.NOTES) + """

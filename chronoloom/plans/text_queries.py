@@ -143,9 +143,18 @@ def mth12(spark, d):
     return V.table(spark, d, "events").select("event_id", F.round(M.frame_time(F.col("event_id")), 6).alias("seconds"))
 
 
-@query("mth14_strict_numbers", "SELECT event_id, value AS x FROM events")
+_TEXTS = ["auto", "?", "25", "x", "1.5", "-24", "7.0", None]
+
+
+@query("mth14_strict_numbers", """
+WITH t AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'auto' WHEN 1 THEN (event_id % 49 - 24)::VARCHAR WHEN 2 THEN '25' WHEN 3 THEN 'x' WHEN 4 THEN '1.5' WHEN 5 THEN '-24' WHEN 6 THEN '7.0' END AS t FROM events),
+n AS (SELECT *, try_cast(t AS DOUBLE) AS x FROM t)
+SELECT event_id, coalesce(t = 'auto' OR (abs(x) <= 24 AND x = floor(x)), false) AS valid, CASE WHEN abs(x) <= 24 AND x = floor(x) THEN x::INT END AS shift FROM n""")
 def mth14(spark, d):
-    return V.table(spark, d, "events").select("event_id", M.strict_number(F.col("value").cast("string"), -1e12, 1e12, "value").alias("x"))
+    """Transpositions as texts: automatic, whole and within bounds, or refused."""
+    pick = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("event_id") % 8 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 8 == 1, (F.col("event_id") % 49 - 24).cast("string")).otherwise(pick)
+    return V.table(spark, d, "events").select("event_id", M.transposition(text).alias("t")).select("event_id", "t.valid", "t.shift")
 
 
 @query("str11b_loop_clock", V.sql(V.NOTES) + "SELECT note_id, CASE WHEN start_us < 9000000 THEN start_us ELSE 5000000 + (start_us - 5000000) % 4000000 END AS t FROM notes")

@@ -618,3 +618,21 @@ def test_stream_dedup_and_windows(spark, tmp_path):
 def test_modules_can_be_imported_first(module):
     """A task imports only the module whose function it runs."""
     subprocess.run([sys.executable, "-c", f"import chronoloom.plans.{module}"], check=True, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))})
+
+
+def test_transpositions(spark):
+    texts = ["auto", "0", "-24", "24", "7.0", "25", "-25", "1.5", "x", "nan", "", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", M.transposition(F.col("t")).alias("v")).orderBy("k").collect()
+    assert [(r.v.valid, r.v.shift) for r in got] == [(True, None), (True, 0), (True, -24), (True, 24), (True, 7), *[(False, None)] * 7]
+    with pytest.raises(Exception, match="transpose must be"):
+        spark.createDataFrame([("25",)], "t string").select(M.strict_transposition(F.col("t"))).collect()
+
+
+def test_stale_and_trusted(spark):
+    rows = [(None, None, 9), (None, 2.0, 9), (None, 3.0, 9), (None, 3.0, 7), (None, 4.0, 0), ("shop", None, 0), (None, float("nan"), 9)]
+    got = spark.createDataFrame(rows, "source string, version double, usable int").select(P.stale(F.col("source"), F.col("version"), F.col("usable"), 3.0).alias("s")).collect()
+    assert [r.s for r in got] == [True, True, False, True, False, False, True]
+    digest = "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
+    rows = [(None, None), ("shop", digest), ("shop", f" {digest.upper()} "), ("shop", digest[:40]), ("shop", "0" * 64), ("shop", None)]
+    got = spark.createDataFrame(rows, "source string, claimed string").select(P.trusted(F.col("source"), F.col("claimed"), F.lit("hello")).alias("t")).collect()
+    assert [r.t for r in got] == [True, True, True, False, False, False]
