@@ -91,3 +91,25 @@ def interpolate(points: DataFrame, knots: DataFrame, by: list[str], at: str, x:
     inside = F.col("y0") + (t - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
     mapped = F.when(F.col("x0").isNull(), F.col("fy") + (t - F.col("fx"))).when(F.col("x1").isNull(), F.col("y0") + (t - F.col("x0"))).otherwise(inside)
     return placed.withColumn("mapped", mapped.cast("double")).drop("x0", "y0", "x1", "y1", "fx", "fy")
+
+
+def catalog_lookup(songs: DataFrame, catalog: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """key, value of each song: what the catalog has for its title and artist, null where it has nothing or is ambiguous.
+
+    songs: key, title_key, artist_key (null: unknown); catalog: id, title_key, artist_key, rank, value (null: none). Of
+    the rows that agree the first by rank with a value counts. A song without an artist takes a title that one artist
+    alone has. known: title_key, artist_key, id of recordings that go by other titles; for these the id decides.
+    The catalog is reduced to a row for each title and artist first, so no song meets more than one row.
+    """
+    best = lambda df, by: df.groupBy(*by).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("rank"))).alias("value"))
+    titled = best(catalog, ["title_key", "artist_key"])
+    alone = titled.groupBy("title_key").agg(F.count(F.lit(1)).alias("artists"), F.first("value").alias("value")).where("artists = 1").drop("artists")
+    given, nameless = songs.where("artist_key is not null"), songs.where("artist_key is null")
+    out = nameless.join(alone, "title_key", "left").select(key, "value")
+    if known is not None:
+        ids = known.groupBy("title_key", "artist_key").agg(F.min("id").alias("id"))
+        met = given.join(ids, ["title_key", "artist_key"], "left")
+        by_id = best(catalog, ["id", "artist_key"])
+        out = out.unionByName(met.where("id is not null").join(by_id, ["id", "artist_key"], "left").select(key, "value"))
+        given = met.where("id is null").drop("id")
+    return out.unionByName(given.join(titled, ["title_key", "artist_key"], "left").select(key, "value"))

@@ -6,6 +6,8 @@ on how rows arrive. Times are integer microseconds unless a column says otherwis
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,3 +144,20 @@ def prefix_onsets(rows: DataFrame, length: str, by: list[str], *order: str) -> D
 
 def running_max(rows: DataFrame, value: str, by: list[str], *order: str) -> DataFrame:
     return rows.withColumn("top", F.max(value).over(ordered(by, *order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def gaussian(df: DataFrame, by: list[str], order: list[str], value: str, sigma: float, out: str, reach: int = 4) -> DataFrame:
+    """df with out: value smoothed along each group by a Gaussian of `reach` rows on either side; groups are reflected at their ends, short ones held.
+
+    Each row gathers its neighbours once, and the weights of the kernel go over that list.
+    """
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    w = W.partitionBy(*by)
+    rows = df.withColumn("g_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("g_n", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("g_near", F.collect_list(F.col(value).cast("double")).over(w.orderBy(*order).rowsBetween(-reach, reach)))
+    low, total = F.greatest(F.lit(0), F.col("g_at") - reach), F.lit(0.0)
+    for k, weight in zip(range(-reach, reach + 1), weights):
+        j = F.col("g_at") + k
+        turned = F.when(F.col("g_n") < reach, F.greatest(F.lit(0), F.least(F.col("g_n") - 1, j))).when(j < 0, -j - 1).when(j >= F.col("g_n"), 2 * F.col("g_n") - 1 - j).otherwise(j)
+        total = total + F.element_at("g_near", (turned - low + 1).cast("int")) * (weight / sum(weights))
+    return rows.withColumn(out, total).drop("g_at", "g_n", "g_near")

@@ -286,3 +286,22 @@ def jn26(spark, d):
     w = W.partitionBy("track_id").orderBy("start_us", "side", "id")
     nxt = F.lead("start_us").over(w)
     return e.unionByName(n).withColumn("end_us", F.greatest(F.col("start_us") + 60_000, F.coalesce(F.least(F.col("end_us"), nxt - 12_000), F.col("end_us"))))
+
+
+@query("src16_catalog_lookup", """
+WITH c AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS t, lower(p_brand) AS a, CASE WHEN p_partkey % 3 <> 0 THEN 'art/' || p_partkey END AS value FROM part),
+s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'alias ' || p_partkey % 50 ELSE lower(split_part(p_name, ' ', 2)) END AS t, CASE WHEN p_partkey % 3 > 0 THEN lower(p_brand) END AS a FROM part),
+k AS (SELECT 'alias ' || p_partkey % 50 AS t, lower(p_brand) AS a, min(p_partkey) AS id FROM part WHERE p_partkey % 11 = 0 GROUP BY 1, 2),
+b AS (SELECT t, a, arg_min(value, id) FILTER (value IS NOT NULL) AS value FROM c GROUP BY 1, 2),
+o AS (SELECT t, any_value(value) AS value FROM b GROUP BY 1 HAVING count(*) = 1)
+SELECT s.id, CASE WHEN s.a IS NULL THEN o.value WHEN k.id IS NOT NULL THEN c.value ELSE b.value END AS value
+FROM s LEFT JOIN o ON s.t = o.t LEFT JOIN b ON s.t = b.t AND s.a = b.a LEFT JOIN k ON s.t = k.t AND s.a = k.a LEFT JOIN c ON c.id = k.id AND c.a = s.a""")
+def src16(spark, d):
+    """Songs by the second word of a part's name against a catalog by the first; some without an artist, some under another title."""
+    p, k = V.table(spark, d, "part"), F.col("p_partkey")
+    word = lambda n: F.lower(F.split_part("p_name", F.lit(" "), F.lit(n)))
+    other, maker = F.concat(F.lit("alias "), (k % 50).cast("string")), F.lower("p_brand")
+    catalog = p.select(k.alias("id"), word(1).alias("title_key"), maker.alias("artist_key"), k.alias("rank"), F.when(k % 3 != 0, F.concat(F.lit("art/"), k.cast("string"))).alias("value"))
+    songs = p.select(k.alias("song"), F.when(k % 11 == 0, other).otherwise(word(2)).alias("title_key"), F.when(k % 3 > 0, maker).alias("artist_key"))
+    known = p.where(k % 11 == 0).select(other.alias("title_key"), maker.alias("artist_key"), k.alias("id"))
+    return J.catalog_lookup(songs, catalog, "song", known).select(F.col("song").alias("id"), "value")

@@ -14,6 +14,7 @@ from chronoloom.operators import decode as D
 from chronoloom.operators import joins as J
 from chronoloom.operators import sequences as S
 from chronoloom.operators import signal as G
+from chronoloom.operators import windows as O
 from chronoloom.plans import analysis, cli, refine
 from chronoloom.plans.window_queries import ENDED, ended
 from chronoloom.registry import query
@@ -335,15 +336,11 @@ def seq22(spark, d):
     return both
 
 
-@query("win17_gaussian")
+@query("win17_gaussian", V.sql(V.NOTES) + """
+, r AS (SELECT track_id, note_id, conf_pct, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) - 1 AS pos, count(*) OVER (PARTITION BY track_id) AS n FROM notes),
+k AS (SELECT k, exp(-0.5::DOUBLE * (k / 0.8::DOUBLE) ** 2) AS w FROM (SELECT unnest(range(-4, 5)) AS k)),
+j AS (SELECT r.*, k.w, CASE WHEN n < 4 THEN greatest(0, least(n - 1, pos + k)) WHEN pos + k < 0 THEN -pos - k - 1 WHEN pos + k >= n THEN 2 * n - 1 - pos - k ELSE pos + k END AS other FROM r, k)
+SELECT j.track_id, j.note_id, round(sum(j.w * o.conf_pct) / sum(j.w), 6) AS smooth FROM j JOIN r o ON o.track_id = j.track_id AND o.pos = j.other GROUP BY 1, 2""")
 def win17(spark, d):
     """Gaussian smoothing with reflected edges, sigma 0.8."""
-    k = np.exp(-0.5 * (np.arange(-4, 5) / 0.8) ** 2)
-    k /= k.sum()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "note_id"])
-        x = np.pad(pdf.conf_pct.to_numpy(float), 4, mode="symmetric") if len(pdf) >= 4 else np.pad(pdf.conf_pct.to_numpy(float), 4, mode="edge")
-        return pdf[["track_id", "note_id"]].assign(smooth=np.convolve(x, k, "valid"))
-
-    return V.notes(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, note_id long, smooth double")
+    return O.gaussian(V.notes(spark, d), T, ["start_us", "note_id"], "conf_pct", 0.8, "smooth").select("track_id", "note_id", F.round("smooth", 6).alias("smooth"))

@@ -81,11 +81,40 @@ def serialised_notes(rows: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines by Spark's committer: readers see all of it or nothing. NaN and infinities are refused."""
+    _finite_only(df).write.mode("overwrite").json(path)
+
+
+def _finite_only(df: DataFrame) -> DataFrame:
+    """df, with an error for a number that JSON cannot say."""
     for f in df.schema:
         if f.dataType.typeName() in ("double", "float"):
             bad = F.isnan(f.name) | (F.abs(f.name) == float("inf"))
             df = df.withColumn(f.name, F.when(bad, F.raise_error(F.lit(f"{f.name} is not finite"))).otherwise(F.col(f.name)))
-    df.write.mode("overwrite").json(path)
+    return df
+
+
+def write_document(df: DataFrame, path: str, *order: str) -> None:
+    """df as one indented JSON array in one file of the folder path, rows by order; NaN and infinities are refused.
+
+    One task writes it row by row, for reports and exports that people read.
+    """
+    if not df.limit(1).count():
+        df.sparkSession.createDataFrame([("[]",)], "value string").write.mode("overwrite").text(path)
+        return
+    rows = _finite_only(df).repartition(1).sortWithinPartitions(*order) if order else _finite_only(df).repartition(1)
+    texts = rows.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value"))
+
+    def join(batches):
+        import pandas as pd
+
+        before = "["
+        for b in batches:
+            for text in b.value:
+                yield pd.DataFrame({"value": [before + "\n" + "\n".join("  " + line for line in text.splitlines())]})
+                before = ","
+        yield pd.DataFrame({"value": ["]"]})
+
+    texts.mapInPandas(join, "value string").write.mode("overwrite").text(path)
 
 
 def no_alias(*paths: str) -> None:

@@ -636,3 +636,35 @@ def test_stale_and_trusted(spark):
     rows = [(None, None), ("shop", digest), ("shop", f" {digest.upper()} "), ("shop", digest[:40]), ("shop", "0" * 64), ("shop", None)]
     got = spark.createDataFrame(rows, "source string, claimed string").select(P.trusted(F.col("source"), F.col("claimed"), F.lit("hello")).alias("t")).collect()
     assert [r.t for r in got] == [True, True, True, False, False, False]
+
+
+def test_one_document(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(2, "b", 0.5), (1, 'a "quoted"\nline', None)], "k int, s string, v double")
+    K.write_document(df, str(tmp_path / "d"), "k")
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "d"), wholetext=True).collect())
+    assert json.loads(text) == [{"k": 1, "s": 'a "quoted"\nline'}, {"k": 2, "s": "b", "v": 0.5}] and '\n    "k" : 1' in text
+    K.write_document(df.limit(0), str(tmp_path / "e"))
+    assert spark.read.text(str(tmp_path / "e")).first().value == "[]"
+    with pytest.raises(Exception, match="not finite"):
+        K.write_document(spark.createDataFrame([(float("nan"),)], "v double"), str(tmp_path / "f"))
+
+
+def test_catalog_lookup(spark):
+    catalog = spark.createDataFrame([(1, "song", "x", 1, None), (2, "song", "x", 2, "art2"), (3, "song", "y", 1, "art3"), (4, "only", "z", 1, "art4"), (5, "real", "x", 1, "art5"), (6, "bare", "x", 1, None)], "id int, title_key string, artist_key string, rank int, value string")
+    songs = spark.createDataFrame([("a", "song", "x"), ("b", "song", None), ("c", "only", None), ("d", "alias", "x"), ("e", "none", "x"), ("f", "song", "q"), ("g", "bare", "x"), ("h", "alias", "y")], "k string, title_key string, artist_key string")
+    known = spark.createDataFrame([("alias", "x", 5)], "title_key string, artist_key string, id int")
+    got = {r.k: r.value for r in J.catalog_lookup(songs, catalog, "k", known).collect()}
+    assert got == {"a": "art2", "b": None, "c": "art4", "d": "art5", "e": None, "f": None, "g": None, "h": None}
+
+
+def test_gaussian_of_short_groups(spark):
+    from chronoloom.operators import windows as O
+
+    rows = [(1, 0, 3.0), (2, 0, 1.0), (2, 1, 5.0), *[(3, k, float(k == 0)) for k in range(6)]]
+    got = {(r.g, r.k): r.s for r in O.gaussian(spark.createDataFrame(rows, "g int, k int, v double"), ["g"], ["k"], "v", 0.8, "s").collect()}
+    w = np.exp(-0.5 * (np.arange(-4, 5) / 0.8) ** 2)
+    w /= w.sum()
+    assert got[1, 0] == pytest.approx(3.0) and got[2, 0] == pytest.approx(w[:5].sum() + 5 * w[5:].sum())
+    assert [got[3, k] for k in range(4)] == pytest.approx([w[4] + w[3], w[3] + w[2], w[2] + w[1], w[1] + w[0]])
