@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def held(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: computed once, and safe from lost executors.
+def home(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names no folder, a local master gets one of its own; a cluster gets an error.
+    Where the session names none, a local master gets a folder of its own; a cluster gets an error.
     """
-    spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        home = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, and safe from lost executors."""
+    path = f"{home(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -219,7 +219,7 @@ def sequence(chords, seconds, rate=RATE):
         n = round(seconds * rate)
         i = np.arange(n)
         rise = np.minimum(1, np.minimum(i, n - i) / (rate * 0.025))
-        out.append(sum(tone(m, seconds) for m in notes) * rise)
+        out.append(sum(tone(m, seconds, rate) for m in notes) * rise)
     return np.concatenate(out)
 
 
@@ -244,6 +244,22 @@ def test_analysis_of_samples(spark):
         analysis.analyse(pieces(spark, {1: np.zeros(9000)}), BY, 100)
 
 
+def test_analysis_of_files(spark, tmp_path):
+    """Two WAV files of one piece at different rates give its chords; both are resampled where they have to be."""
+    from chronoloom.plans import analysis
+    from chronoloom.sources import sinks
+
+    for rate in (11_025, 44_100):
+        x = sequence([(48, 52, 55), (45, 48, 52)], 3, rate)
+        wave = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(sinks.pcm16(F.col("x"), rate).alias("w")).first().w
+        (tmp_path / f"{rate}.wav").write_bytes(bytes(wave))
+    got = {r.path[-9:-4]: r for r in analysis.analyse_files(spark, str(tmp_path)).collect()}
+    for r in got.values():
+        at = lambda t: next(c.chord for c in r.chords if c.start <= t < c.end)  # noqa: E731, B023
+        assert abs(r.duration - 6) < 0.01 and (at(1.5), at(4.5)) == ("C", "Am")
+    assert len(got) == 2
+
+
 # ---- resampling ----------------------------------------------------------------------------------
 
 
