@@ -11,9 +11,9 @@ from chronoloom.operators import decode as D
 from chronoloom.operators import signal as G
 from chronoloom.sources.readers import wave_files
 
-#: The rate that analysis works at, the bounds of a rate and of a recording in seconds, bins of a
+#: The rates that analysis and refinement work at, the bounds of a rate and of a recording in seconds, bins of a
 #: waveform and the shares of level and peak in one.
-ANALYSIS_RATE, LOWEST_RATE, HIGHEST_RATE, SHORTEST_S, LONGEST_S = 11_025, 8_000, 96_000, 0.25, 600
+ANALYSIS_RATE, REFINE_RATE, LOWEST_RATE, HIGHEST_RATE, SHORTEST_S, LONGEST_S = 11_025, 22_050, 8_000, 96_000, 0.25, 600
 BINS, LEVEL_SHARE, PEAK_SHARE = 640, 0.7, 0.3
 
 
@@ -61,14 +61,16 @@ def analyse(pieces: DataFrame, by: list[str], rate: int) -> DataFrame:
     return durations.join(beats, by).join(waveform(good, by), by).join(lists, by).join(keys, by)
 
 
-def analyse_files(spark: SparkSession, path: str) -> DataFrame:
-    """analyse() of the WAV files under path, at the analysis rate whatever theirs is."""
+def pieces_of(spark: SparkSession, path: str, to: int) -> DataFrame:
+    """path, at, samples of the WAV files under path at the rate `to`, whatever theirs is."""
     files = wave_files(spark, path, None, 0.0, LONGEST_S)
-    out = None
+    out = spark.createDataFrame([], "path string, at long, samples array<double>")
     for (rate,) in sorted(map(tuple, files.select("sample_rate").distinct().collect())):  # a few rates
         mine = files.where(F.col("sample_rate") == rate).select("path", F.lit(0).cast("long").alias("at"), F.col("samples").cast("array<double>").alias("samples"))
-        part = G.resample(mine, ["path"], rate, ANALYSIS_RATE)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "path string, at long, samples array<double>")
-    return analyse(out, ["path"], ANALYSIS_RATE)
+        out = out.unionByName(G.resample(mine, ["path"], rate, to))
+    return out
+
+
+def analyse_files(spark: SparkSession, path: str) -> DataFrame:
+    """analyse() of the WAV files under path, at the analysis rate."""
+    return analyse(pieces_of(spark, path, ANALYSIS_RATE), ["path"], ANALYSIS_RATE)

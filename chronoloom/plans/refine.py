@@ -259,6 +259,17 @@ def refine_counted(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame
     return notes, out.select(*T, *((made[c] if c in made else n(c)).alias(c) for c in COUNTERS))
 
 
+#: Notes shorter than this are counted apart in a report.
+SHORT_US = 150_000
+
+
+def diagnostics(notes: DataFrame, counters: DataFrame) -> DataFrame:
+    """The counters of each track and what its notes are like: their number, sounding seconds, median length, short ones, first and last second, lowest and highest pitch."""
+    length, second = F.col("end_us") - F.col("start_us"), lambda c: F.bround(c / 1e6, 3)
+    shape = notes.groupBy(*T).agg(F.count(F.lit(1)).alias("output_notes"), second(F.sum(length)).alias("sounding_seconds"), second(F.median(length)).alias("median_duration"), F.count_if(length < SHORT_US).alias("shorter_than_150ms"), second(F.min("start_us")).alias("first_start"), second(F.max_by("end_us", F.struct("start_us", "note_id"))).alias("last_end"), F.min("midi").alias("midi_min"), F.max("midi").alias("midi_max"))
+    return counters.join(shape, T, "left")
+
+
 COUNTERS = (
     "primary kept dropped merged onset_collisions articulation_candidates articulations_added articulations_rejected evidence_note_candidates evidence_notes_added evidence_notes_rejected "
     "pitch_candidates semitone_pitch_candidates octave_pitch_candidates pitch_corrections pitch_corrections_rejected semitone_corrections octave_corrections anchored_starts anchored_ends"
