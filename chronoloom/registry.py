@@ -34,4 +34,4 @@ def oracles() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries; not when this module is imported, since tasks import them one by one."""
-    from chronoloom.plans import aggregate_queries, file_queries, join_queries, projection_queries, sequence_queries, sink_queries, stream_queries, text_queries, window_queries  # noqa: F401
+    from chronoloom.plans import aggregate_queries, file_queries, join_queries, projection_queries, refine_queries, sequence_queries, sink_queries, stream_queries, text_queries, window_queries  # noqa: F401
