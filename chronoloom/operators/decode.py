@@ -199,3 +199,36 @@ def melody_model(pdf: pd.DataFrame) -> tuple[np.ndarray, Callable[[int], np.ndar
     act, onset = (np.stack(pdf[c].map(np.asarray).to_list()).astype(float) for c in ("act", "onset"))
     attacks = np.c_[onset, np.zeros(len(onset))]
     return units(S.melody_scores(act, onset)), lambda t: _STEPS + units(_GAIN * attacks[t][None]) if attacks[t].any() else _STEPS
+
+
+def sparse_melody_model(pdf: pd.DataFrame) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """sounds: of each frame the pitches that sound as (pitch from LOWEST on, act, onset); each pitch once."""
+    act, onset = np.zeros((len(pdf), S.HIGHEST - S.LOWEST + 1)), np.zeros((len(pdf), S.HIGHEST - S.LOWEST + 1))
+    for t, sounds in enumerate(pdf.sounds):
+        for x in sounds:
+            act[t, x["pitch"]], onset[t, x["pitch"]] = x["act"], x["onset"]
+    attacks = np.c_[onset, np.zeros(len(onset))]
+    return units(S.melody_scores(act, onset)), lambda t: _STEPS + units(_GAIN * attacks[t][None]) if attacks[t].any() else _STEPS
+
+
+def melody_frames(notes: DataFrame, by: list[str]) -> DataFrame:
+    """by, frame, sounds: a row for each of the melody model's frames up to the last note's end, for sparse_melody_model().
+
+    notes: by, start_us, end_us, midi, conf (0 to 1), strength; of notes of one pitch in one frame the surest counts, and at its first frame its strength.
+    """
+    at = lambda c: F.floor(F.col(c) * S.FRAME_RATE / (1_000_000 * S.FRAME_HOP))
+    rows = notes.select(*by, at("start_us").alias("first"), at("end_us").alias("until"), (F.col("midi") - S.LOWEST).cast("int").alias("pitch"), "conf", "strength")
+    inside = rows.where(F.col("pitch").between(0, S.HIGHEST - S.LOWEST)).withColumn("frame", F.explode(F.sequence("first", "until")))
+    heard = inside.groupBy(*by, "frame", "pitch").agg(F.max("conf").alias("act"), F.max(F.when(F.col("frame") == F.col("first"), F.col("strength")).otherwise(0.0)).alias("onset"))
+    sounds = heard.groupBy(*by, "frame").agg(F.collect_list(F.struct("pitch", "act", "onset")).alias("sounds"))
+    every = rows.groupBy(*by).agg(F.max("until").alias("last")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
+    none = F.array().cast(sounds.schema["sounds"].dataType)
+    return every.join(sounds, [*by, "frame"], "left").select(*by, "frame", F.coalesce("sounds", none).alias("sounds"))
+
+
+def runs(path: DataFrame, by: list[str]) -> DataFrame:
+    """by, first, until, state: stretches of equal states of a path."""
+    w = W.partitionBy(*by).orderBy("frame")
+    new = F.coalesce((F.col("state") != F.lag("state").over(w)).cast("int"), F.lit(0))
+    numbered = path.withColumn("run", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "run").agg(F.min("frame").alias("first"), (F.max("frame") + 1).alias("until"), F.first("state").alias("state")).drop("run")

@@ -270,6 +270,15 @@ def seq02(spark, d):
     return ended(spark, d).groupBy("track_id").applyInPandas(run, "track_id long, start double, duration double, midi int, confidence double, strength double")
 
 
+@query("seq02_melody_states")
+def seq02_states(spark, d):
+    """SEQ-02: stretches of the best pitch of each track's frames before clean-up, decoded in blocks."""
+    notes = ended(spark, d).select("track_id", "start_us", "end_us", "midi", (F.col("conf_pct") / 100).alias("conf"), (F.col("strength_pct") / 100).alias("strength"))
+    frames = held(D.melody_frames(notes, T), "frames")
+    found = D.runs(D.best_path(frames, T, D.sparse_melody_model, D.MELODY_START), T)
+    return found.where(F.col("state") < S.SILENT).select("track_id", "first", "until", (F.col("state") + S.LOWEST).alias("midi"))
+
+
 @query("seq09_skyline")
 def seq09(spark, d):
     n = ended(spark, d)

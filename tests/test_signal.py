@@ -290,3 +290,18 @@ def test_resampling_drops_what_would_fold(spark):
 def test_nothing_in_nothing_out(spark):
     none = pieces(spark, {}).limit(0)
     assert G.spectrum(none, BY, RATE).count() == 0 and G.envelope(none, BY, RATE).count() == 0 and G.resample(none, BY, RATE, 8000).count() == 0
+
+
+def test_melody_states_of_tracks_equal_the_one_task_path(spark, sf_dir):
+    from chronoloom.plans import sequence_queries as Q
+    from chronoloom.plans.window_queries import ended
+    from chronoloom.registry import queries
+
+    want = []
+    for track, pdf in ended(spark, sf_dir).toPandas().groupby("track_id"):
+        act, onset = (x[:, S.LOWEST - 21 : S.HIGHEST - 20] for x in Q.piano_roll(pdf))
+        path = S.melody_path(act, onset)
+        cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
+        want += [(track, a, b, path[a] + S.LOWEST) for a, b in zip(cut, cut[1:]) if path[a] < S.SILENT]
+    got = [tuple(r) for r in queries()["seq02_melody_states"](spark, sf_dir).select("track_id", "first", "until", "midi").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 100
