@@ -56,3 +56,26 @@ def seq16_kept(spark, d):
     evidence = V.evidence(spark, d)
     rows = refine.anchored(refine.corrected(refine.in_range(ended(spark, d), 48, 84), evidence, V.estimates(spark, d)), evidence)
     return rows.select("track_id", "note_id", "midi", "start_us", "end_us", *(F.round(c, 6).alias(c) for c in ("conf", "strength", "support")))
+
+
+_METRIC = lambda step, span: f"((ev_id * {step}) % 101 / 100 * {span}::DOUBLE)"
+#: Attacks at the starts of the evidence: of measurements at one time the one with the lowest first peak counts.
+_ATTACKS = f"""measured AS (SELECT track_id, start_us AS t0, {_METRIC(13, 1.2)} AS bp, {_METRIC(29, 1.0)} AS hp, {_METRIC(31, 5.0)} AS br, {_METRIC(43, 4.0)} AS hr, {_METRIC(53, 6.0)} AS rise, {_METRIC(61, 9.0)} AS reset FROM evidence),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, t0 ORDER BY bp) AS rn FROM measured) WHERE rn = 1),
+attack AS (SELECT track_id, t0, ((bp >= 0.45::DOUBLE AND br >= 2.1::DOUBLE) OR (hp >= 0.38::DOUBLE AND hr >= 2.05::DOUBLE))
+  AND (rise >= 2.0::DOUBLE OR reset >= 3.9::DOUBLE OR (bp >= 0.65::DOUBLE AND hp >= 0.45::DOUBLE AND br >= 3.4::DOUBLE AND hr >= 2.5::DOUBLE)) AS strong FROM first)"""
+
+
+@query("seq13_considered_cuts", V.sql(V.NOTES, ENDED, V.EVIDENCE, _ATTACKS, """p AS (SELECT track_id, note_id, start_us AS n0, start_us + 40 * dur_us AS n1, midi FROM ended WHERE midi BETWEEN 48 AND 84),
+cand AS (SELECT p.track_id, p.note_id, e.start_us AS t0, e.quality_pct / 100 AS quality FROM evidence e JOIN p ON p.track_id = e.track_id AND p.midi = e.midi AND e.start_us BETWEEN p.n0 + 90000 AND p.n1 - 60000
+  WHERE e.quality_pct >= 65 AND e.end_us - e.start_us >= 90000),
+free AS (SELECT c.*, a.strong, row_number() OVER (PARTITION BY c.track_id, c.note_id ORDER BY c.t0, c.quality) AS rn FROM cand c JOIN attack a ON a.track_id = c.track_id AND a.t0 = c.t0
+  WHERE NOT EXISTS (SELECT 1 FROM p s WHERE s.track_id = c.track_id AND abs(s.n0 - c.t0) < 90000))""", recursive=True) + """
+, walk AS (SELECT track_id, note_id, rn, t0, quality, strong, true AS considered, CASE WHEN strong THEN t0 END AS last FROM free WHERE rn = 1
+  UNION ALL SELECT f.track_id, f.note_id, f.rn, f.t0, f.quality, f.strong, w.last IS NULL OR f.t0 - w.last >= 90000, CASE WHEN (w.last IS NULL OR f.t0 - w.last >= 90000) AND f.strong THEN f.t0 ELSE w.last END
+  FROM walk w JOIN free f ON f.track_id = w.track_id AND f.note_id = w.note_id AND f.rn = w.rn + 1)
+SELECT track_id, note_id, t0 AS "at", quality, strong FROM walk WHERE considered""")
+def seq13_considered(spark, d):
+    """SEQ-13: where notes, held forty times as long, are struck anew, by evidence of their pitch and attacks in the audio, with all gates."""
+    notes = ended(spark, d).withColumn("end_us", F.col("start_us") + 40 * F.col("dur_us"))
+    return refine.considered_cuts(refine.in_range(notes, 48, 84), V.evidence(spark, d), V.acoustic(spark, d))
