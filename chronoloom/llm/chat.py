@@ -81,6 +81,8 @@ for (_r, _s, _t), (_c, _mid, _merged) in STEPS.items():
         _INSERT[_ROLE_CODES[_r], _s, _t] = ROLES.index(_mid[0])
 _NOTHING = np.where(np.eye(STATES, dtype=bool), 0, INFINITE)
 ACTIONS = ("keep", "relabel", "merge", "insert")
+#: Characters by which texts are ordered where turns tie; they are sampled for the borders of parts.
+TIE_CHARS = 256
 #: Salts that let a range of equal turns be split.
 SALTS = 1024
 
@@ -310,14 +312,15 @@ def repair_roles(turns: DataFrame) -> DataFrame:
     turns: conv_id, turn, role, text. Result: conv_id, block, nth and part (which order the rows of a
     conversation), turn (of the input row it stands for or precedes), role (repaired), text, action,
     merged (it continues the turn before), cost (of the whole conversation), rendered. Turns are
-    ordered by turn, nulls first, ties by role and by a hash of the text; rows that repeat are turns of their own. A
+    ordered by turn, nulls first, ties by role and text, of texts that begin with the same TIE_CHARS characters by
+    a hash, so that the order does not follow files; rows that repeat are turns of their own. A
     null conv_id is a conversation of its own; null texts are empty; a null or unknown role costs
     less to relabel. Rendered texts of any length cannot begin a turn: see escaped(). Other columns
     are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = turns.select("conv_id", "turn", "role", "text")
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.substring("text", 1, TIE_CHARS).asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(*order, salt).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     cut = stash(placed.mapInArrow(_cut, TURN_SCHEMA), "turns")
     later = cut.where("state < 0")
