@@ -17,7 +17,10 @@ cannot occur, and a shard has at most 65535 - base rules.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -40,17 +43,27 @@ REMEMBER = 1_500_000
 #: Documents whose pieces are encoded before the tasks start, and the longest of them in bytes.
 WARM_DOCS, WARM_BYTES = 2000, 8000
 
-#: No pair of symbols: the last 16-bit number is never a symbol.
-NO_PAIR = np.array([0xFFFFFFFF], np.uint32)
-
 FILE_SCHEMA = "part int, first long, rules binary, lengths binary, symbols binary, ends binary, doc_ids array<long>, counts array<long>, base int"
 
 #: White space outside ASCII and the start of a special token: such texts are encoded in one piece.
 _RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-_SPACE, _ALNUM, _LEAD = (np.zeros(256, bool) for _ in range(3))
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_LEAD[[0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] = True
+#: Kinds of bytes, to be looked up by bytes.translate(). A first byte of TWO and a SECOND one are a letter of Latin-1 or Latin Extended-A.
+SPACE, ALNUM, LETTER, MARK, TWO, SECOND, LEAD = (1 << k for k in range(7))
+_kind = np.zeros(256, np.uint8)
+_kind[[9, 10, 11, 12, 13, 32]] |= SPACE
+_kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] |= ALNUM
+_kind[[*range(65, 91), *range(97, 123)]] |= LETTER
+_kind[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] |= MARK
+_kind[[0xC3, 0xC4, 0xC5]] |= TWO
+_kind[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] |= SECOND
+_kind[[0xC2, 0xE1, 0xE2, 0xE3, ord("<")]] |= LEAD
+_KIND = _kind.tobytes()
+#: The character that byte-level vocabularies write for each byte.
+_own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = np.zeros(256, np.uint32)
+_CHARS[_own] = _own
+_CHARS[[x for x in range(256) if x not in _own]] = 256 + np.arange(256 - len(_own))
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 class Table:
@@ -94,6 +107,18 @@ class Table:
             keys, entries, at = keys[rest], entries[rest], (at[rest] + 1) & mask
 
 
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(raw.tobytes().translate(_KIND), np.uint8)
+
+
+def _parted(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mark: int) -> np.ndarray:
+    """raw[s : s + n] for each start and size, with the byte mark between two."""
+    ends = np.cumsum(sizes + 1)
+    text = raw[np.minimum(np.repeat(starts - ends + sizes + 1, sizes + 1) + np.arange(ends[-1]), len(raw) - 1)]
+    text[ends - 1] = mark
+    return text[:-1]
+
+
 def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """raw[s : s + n] for each start and size, one after another."""
     at = np.cumsum(sizes) - sizes
@@ -104,11 +129,12 @@ class Encoder:
     """Ids of texts, the same as of encoding each text whole, from pieces encoded once.
 
     The pre-tokenizer always splits before white space that follows something else, on both sides
-    of a single line end, and between an ASCII letter or digit and a "." or ",". Merges never cross
-    its splits, so texts are cut there, in their bytes. A piece of up to seven bytes is its own key;
-    a longer one is looked up by a hash and then compared byte by byte with the piece found. New
-    pieces are encoded by the tokenizer together, a line each; the line end's id shows where each
-    begins. At REMEMBER pieces all are forgotten.
+    of a single line end, and between a letter or digit and an ASCII mark. Merges never cross its
+    splits, so texts are cut there, in their bytes. A piece of up to seven bytes is its own key; a
+    longer one is looked up by a hash and then compared byte by byte with the piece found. New pieces
+    that are one word of plain letters, with or without a space before, are given to the tokenizer as
+    split already; the bytes of the ids show where each begins. Others are encoded together, a line
+    each; the line end's id shows where each begins. At REMEMBER pieces all are forgotten.
     """
 
     def __init__(self, path: str, base: tuple | None = None):
@@ -121,6 +147,15 @@ class Encoder:
         if self.base >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        form = json.loads(self.tokenizer.to_str())
+        self.words = None
+        if form["normalizer"] is None and form["pre_tokenizer"] == _BYTE_LEVEL:
+            self.words = Tokenizer.from_file(path)
+            self.words.pre_tokenizer = None
+            #: Of each id: how many bytes it stands for.
+            self.spell = np.zeros(self.base, np.int64)
+            for piece, k in self.words.get_vocab().items():
+                self.spell[k] = len(piece)
         self._forget()
 
     def _forget(self) -> None:
@@ -148,17 +183,33 @@ class Encoder:
         keys[big] = run_hashes(view, starts[big], sizes[big])
         return keys
 
-    def _learn(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """Encode the pieces raw[a:b] and give their entries; plain ones can stand on a line of their own."""
+    def _learn(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Encode the pieces raw[a:b] and give their entries; whole marks where pieces with rare characters start."""
+        n = b - a
+        text, at = _gather(raw, a, n), np.cumsum(n) - n
+        kind = _kinds(text)
+        space, wordy = kind & SPACE > 0, kind & (LETTER | TWO | SECOND) > 0
+        lead = (text[at] == 32) & (n > 1)
+        wordy[at] |= lead
+        odd = space[at] & ~lead
+        space[at] = False
+        word = np.logical_and.reduceat(wordy, at) & (self.words is not None)
+        # these can stand on a line of their own
+        plain = ~(odd | np.logical_or.reduceat(space, at) | whole[a] | word)
         order, flats, sizes = [], [], []
-        lines, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
-        for at in range(0, len(lines), 2048):
-            part = lines[at : at + 2048]
-            n = b[part] - a[part] + 1
-            ends = np.cumsum(n)
-            text = raw[np.minimum(np.repeat(a[part] - ends + n, n) + np.arange(ends[-1]), len(raw) - 1)]
-            text[ends - 1] = 10
-            ids = np.array(self.tokenizer.encode_batch_fast([text[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint16)
+        words, lines, rest = np.flatnonzero(word), np.flatnonzero(plain), [np.flatnonzero(~word & ~plain)]
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
+            ids, ends = self._words(raw, a[part], n[part])
+            if ids is None:
+                rest.append(part)
+            else:
+                order.append(part)
+                flats.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+        for k in range(0, len(lines), 2048):
+            part = lines[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([_parted(raw, a[part], n[part], 10).tobytes().decode()], add_special_tokens=False)[0].ids, np.uint16)
             cuts = np.flatnonzero(ids == self.line)
             if len(cuts) == len(part) - 1:
                 order.append(part)
@@ -173,9 +224,22 @@ class Encoder:
             sizes.append(np.array([len(flats[-1])]))
         order = np.concatenate([*order, rest])
         out = np.empty(len(a), np.int32)
-        out[order] = self._store(np.concatenate(sizes), np.concatenate(flats), (b - a)[order], _gather(raw, a[order], (b - a)[order]))
+        out[order] = self._store(np.concatenate(sizes), np.concatenate(flats), n[order], _gather(raw, a[order], n[order]))
         return out
 
+    def _words(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """The ids of words and where each word's end, or None if the ids do not spell all their bytes."""
+        text = _parted(raw, starts, sizes, 10)
+        chars = _CHARS[text]
+        chars[text == 10] = 32
+        words = chars.tobytes().decode("utf-32-le").split(" ")
+        ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+        upto, ends = np.cumsum(self.spell[ids]), np.cumsum(sizes)
+        at = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+            return ids, at + 1
+        return None, None
+
     def _store(self, sizes: np.ndarray, flat: np.ndarray, widths: np.ndarray, raw: np.ndarray) -> np.ndarray:
         n = len(sizes)
         while self.used + len(flat) > len(self.pool):
@@ -207,19 +271,19 @@ class Encoder:
             done += 8
         return np.flatnonzero(odd)
 
-    def _entries(self, table: Table, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain, exact: bool) -> np.ndarray:
+    def _entries(self, table: Table, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, exact: bool) -> np.ndarray:
         """The entries of the pieces raw[starts:ends] by their keys, learned where they are new."""
         entry = table.find(keys)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             new, first = np.unique(keys[miss], return_index=True)
             first = miss[first]
-            table.put(new, self._learn(raw, starts[first], ends[first], plain(starts[first], ends[first])))
+            table.put(new, self._learn(raw, starts[first], ends[first], whole))
             entry[miss] = table.find(keys[miss])
         if not exact:
             odd = self._differ(entry, raw, starts, ends - starts)
             if len(odd):  # another piece has the same hash: these are encoded each time they occur
-                entry[odd] = self._learn(raw, starts[odd], ends[odd], plain(starts[odd], ends[odd]))
+                entry[odd] = self._learn(raw, starts[odd], ends[odd], whole)
         return entry
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,16 +293,19 @@ class Encoder:
             self._forget()
         first = np.zeros(len(raw), bool)
         first[off[:-1][off[:-1] < len(raw)]] = True
-        space = _SPACE[raw]
+        kind = _kinds(raw)
+        space = (kind & SPACE).view(bool)
         before = np.concatenate(([False], space[:-1])) & ~first
         cut = space & ~before
         line = cut & (raw == 10)
         after = np.flatnonzero(line[:-1] & ~space[1:]) + 1
-        alnum = np.concatenate(([False], _ALNUM[raw[:-1]]))
-        cut |= alnum & ((raw == 46) | (raw == 44))
+        if len(raw) > 1:
+            last = kind & ALNUM > 0
+            last[1:] |= (kind[1:] & SECOND > 0) & (kind[:-1] & TWO > 0)
+            cut[1:] |= (kind[1:] & MARK > 0) & last[:-1]
         cut[after] = True
         cut |= first
-        lead = np.flatnonzero(_LEAD[raw])
+        lead = np.flatnonzero(kind & LEAD)
         whole = np.zeros(len(raw) + 1, bool)
         for k in np.unique(np.searchsorted(off, lead, "right") - 1).tolist():
             if _RARE.search(raw[off[k] : off[k + 1]].tobytes().decode()):
@@ -248,14 +315,9 @@ class Encoder:
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
         sizes = ends - starts
         keys = self._keys(eights(raw), starts, sizes)
-        spaces = np.cumsum(space, dtype=np.int32)
-
-        def plain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (spaces[b - 1] - spaces[a] == 0) & (~space[a] | (raw[a] == 32) & (b - a > 1)) & ~whole[a]
-
         entry = np.empty(len(keys), np.int32)
         for table, mine, exact in ((self.short, np.flatnonzero(sizes < 8), True), (self.long, np.flatnonzero(sizes >= 8), False)):
-            entry[mine] = self._entries(table, keys[mine], raw, starts[mine], ends[mine], plain, exact)
+            entry[mine] = self._entries(table, keys[mine], raw, starts[mine], ends[mine], whole, exact)
         # entry 0 ends each text
         upto = np.searchsorted(starts, off[1:])
         entry = np.insert(entry, upto, 0)
@@ -266,53 +328,85 @@ class Encoder:
         return ids, np.diff(done, prepend=0)
 
 
+def _frequent(seq: np.ndarray, live: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a round, most frequent first, and of each place: the number of its pair among them
+    from 1 on, 0xFFFF for other frequent pairs, else 0. Pairs are counted at the live places."""
+    rank = np.zeros(len(seq), np.uint16)
+    at = np.flatnonzero(live)
+    order = seq[at].astype(np.uint64)
+    order <<= np.uint64(16)
+    order |= seq[1:][at]
+    order <<= np.uint64(32)
+    order |= at.view(np.uint64)
+    del at
+    order.sort()
+    places = order.astype(np.uint32)
+    order >>= np.uint64(32)
+    keys = order.astype(np.uint32)
+    del order
+    same = keys[LEAST - 1 :] == keys[: 1 - LEAST]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False]))))
+    first = edge[::2]  # of each frequent pair
+    if not len(first):
+        return keys[:0], rank
+    count = edge[1::2] - first + LEAST - 1
+    top = np.argsort(-count, kind="stable")[:most]
+    # a round stops where pairs are so rare that the first ones' replacement may have changed them
+    top = top[count[top] * 32 >= count[top[0]]]
+    name = np.full(len(first), 0xFFFF, np.uint16)
+    name[top] = np.arange(1, len(top) + 1)
+    run = np.zeros(len(keys) + 1, np.int8)
+    run[first] += 1
+    run[first + count] -= 1
+    rank[places[np.cumsum(run[:-1], dtype=np.int8).view(bool)]] = np.repeat(name, count)
+    return keys[first[top]], rank
+
+
+def _apart(at: np.ndarray) -> np.ndarray:
+    """Of places that follow one another every second one from the left."""
+    start = np.flatnonzero(np.concatenate(([True], at[1:] - at[:-1] > 1)))
+    if len(start) == len(at):
+        return at
+    odd = at & 1 > 0
+    return at[odd == np.repeat(odd[start], np.diff(start, append=len(at)))]
+
+
 def repair(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, symbols, ends) of uint16 ids; last marks the final id of each document."""
-    seq, last = ids.astype(np.uint32), last.copy()
-    rules, lengths = [], []
+    """(rules, lengths, symbols, ends) of uint16 ids; last marks the final id of each document.
+
+    The number of times that a pair occurs never grows once its two symbols are there. So a round sorts
+    only the places of pairs that were frequent in the round before or are new; the counts are exact.
+    """
+    seq, ends = ids.astype(np.uint32), np.flatnonzero(last)
+    live = ~last
     room = (1 << 16) - 1 - base
-    while len(seq) > 1 and room > 0:  # each round replaces its most frequent pair at least
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        free = ~last[:-1]
-        order = np.sort(keys[free])
-        if not len(order):
-            break
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        count = np.diff(np.append(edge, len(order)))
-        often = np.flatnonzero(count >= LEAST)
-        if not len(often):
+    rules, lengths = np.empty((room, 2), np.uint16), np.ones(base + room, np.int64)
+    n = base  # symbols so far
+    while n < base + room:  # each round replaces its most frequent pair at least
+        pairs, rank = _frequent(seq, live, min(PAIRS, base + room - n))
+        if not len(pairs):
             break
-        top = often[np.argsort(-count[often], kind="stable")[: min(PAIRS, room)]]
-        # the most frequent first: a round stops where pairs are so rare that the first ones' replacement may have changed them
-        top = top[count[top] * 32 >= count[top[0]]]
-        pairs = order[edge[top]]
-        slots = np.zeros(1 << 16, np.uint16)  # 0: no pair
-        where = lambda k: (k * np.uint32(2654435761)) >> np.uint32(16)
-        slots[where(pairs)[::-1]] = np.arange(len(pairs), 0, -1)
-        rule = slots[where(keys)]
-        at = np.flatnonzero((np.concatenate((NO_PAIR, pairs))[rule] == keys) & free)
-        # of overlapping occurrences every second one from the left
-        start = np.concatenate(([True], np.diff(at) > 1))
-        if not start.all():
-            nth = np.arange(len(at))
-            at = at[(nth - np.maximum.accumulate(np.where(start, nth, 0))) % 2 == 0]
-        rule = rule[at]
-        present = np.bincount(rule, minlength=len(pairs) + 1) > 0
-        used = np.flatnonzero(present) - 1
-        named = (np.cumsum(present) - 1)[rule]
-        fresh = base + len(rules) + np.arange(len(used))
-        size = lambda s: np.where(s < base, 1, np.array([1, *lengths], np.int64)[np.maximum(s.astype(np.int64) - base + 1, 0)])
-        left, right = pairs[used] >> np.uint32(16), pairs[used] & np.uint32(0xFFFF)
-        new = size(left) + size(right)
-        rules += list(zip(left.tolist(), right.tolist()))
-        lengths += new.tolist()
-        room -= len(used)
-        seq[at] = fresh[named]
-        last[at] = last[at + 1]
+        live = rank > 0
+        at = _apart(np.flatnonzero(live & (rank <= len(pairs))))
+        rank = rank[at]
+        used = np.bincount(rank, minlength=len(pairs) + 1) > 0
+        pairs = pairs[used[1:]]
+        left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
+        new = slice(n, n + len(pairs))
+        rules[n - base : new.stop - base, 0], rules[n - base : new.stop - base, 1] = left, right
+        lengths[new] = lengths[left] + lengths[right]
+        seq[at] = (n - 1 + np.cumsum(used))[rank]
+        n = new.stop
+        live[at] = live[at - (at > 0)] = True
+        # where the last symbol went into a pair, the pair's is the last
+        gone = at + 1
+        ends -= np.searchsorted(gone, ends, "right")
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    return np.array(rules, np.uint16).reshape(-1, 2), np.array(lengths, np.uint32), seq.astype(np.uint16), (np.flatnonzero(last) + 1).astype(np.uint32)
+        keep[gone] = False
+        seq, live = seq[keep], live[keep]
+        live[ends] = False
+        del at, gone, keep, rank
+    return rules[: n - base].copy(), lengths[base:n].astype(np.uint32), seq.astype(np.uint16), (ends + 1).astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -354,6 +448,15 @@ def ids_between(row: dict, doc: int, start: int, stop: int) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
+def _encoder(path: str, pieces, job: str) -> Encoder:
+    """The worker's encoder for one job. A shipped closure gets copies of the globals that it names, but functions
+    of this module by reference: so tasks find what earlier tasks of the job learned. Each job starts anew."""
+    if job not in _encoders:
+        _encoders.clear()
+        _encoders[job] = Encoder(path, pieces.value)
+    return _encoders[job]
+
+
 def common_pieces(docs: DataFrame, path: str) -> tuple:
     """Pieces of some documents, encoded once for all tasks to start from: a bounded table that saves work only."""
     some = [r.text for r in docs.where(F.octet_length("text") <= WARM_BYTES).select("text").head(WARM_DOCS)]
@@ -363,12 +466,10 @@ def common_pieces(docs: DataFrame, path: str) -> tuple:
     return coder.known()
 
 
-def _write(path: str, pieces):
+def _write(path: str, pieces, job: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, pieces.value))
+        coder = _encoder(path, pieces, job)
         part, first = TaskContext.get().partitionId(), 0
         flats: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -418,7 +519,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     pieces = docs.sparkSession.sparkContext.broadcast(common_pieces(rows, path))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return stash(rows.mapInArrow(_write(path, pieces), FILE_SCHEMA), "tokens")
+    return stash(rows.mapInArrow(_write(path, pieces, uuid.uuid4().hex), FILE_SCHEMA), "tokens")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import ipaddress
 import itertools
+import pickle
 import random
 import re
 import time
+import types
 import zlib
 
 import duckdb
@@ -144,6 +146,66 @@ def test_encoder_on_odd_texts():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == reference_ids(texts)
 
 
+def test_a_word_is_encoded_once_whatever_mark_follows():
+    words, marks = [" unfathomably", " Größenwahnlichkeité", " čárkování"], "!\"#$%&'()*-/:;?@[]^_`{|}~"
+    texts = ["".join(w + m * 3 for w in words for m in marks)]
+    coder = tokens.Encoder(tokenizer_path())
+    ids, _ = coder.encode(pa.array(texts))
+    assert [ids.tolist()] == reference_ids(texts)
+    assert coder.n - 1 == len(words) + len(marks)
+
+
+def test_tasks_of_a_worker_share_what_they_learned(monkeypatch):
+    from pyspark import TaskContext, cloudpickle
+
+    monkeypatch.setattr(tokens, "_encoders", {})
+    monkeypatch.setattr(TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["unfathomably", "misunderstandings"]})
+    rows = []
+    coders = []
+    for job in "a", "a", "b":  # shipped anew for each task
+        run = pickle.loads(cloudpickle.dumps(tokens._write(tokenizer_path(), types.SimpleNamespace(value=None), job)))
+        rows += [row for out in run(iter([batch])) for row in out.to_pylist()]
+        coders += tokens._encoders.values()
+    assert len(coders) == 3 and coders[0] is coders[1] is not coders[2] and coders[2].n == 3
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_encoder_on_letters_and_marks_of_many_scripts():
+    rng = random.Random(7)
+    parts = ["word", "é", "SS", "×", "÷", "ŉ", "ſ", "ż", "Ж", "ж", "ʼ", "’", "'s", "'ll", "'", "''", "_", "#", "-", "9", "٣", "½", "²", "ª", "中", "e\u0301", "İ", "¿", " ", " ", " ", "  ", "\n", "\x00", "\x1c", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(6000)]
+    ids, counts = tokens.Encoder(tokenizer_path()).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == reference_ids(texts)
+
+
+def test_words_whose_ids_do_not_spell_them_go_by_lines(monkeypatch):
+    texts = ["internationally acknowledged misunderstandings", "Größenwahn"]
+    coder = tokens.Encoder(tokenizer_path())
+    monkeypatch.setattr(coder, "spell", coder.spell + 1)
+    ids, counts = coder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == reference_ids(texts)
+
+
+def test_later_rounds_of_the_grammar_sort_only_what_can_be_frequent(monkeypatch):
+    rng = np.random.default_rng(11)
+    ids = np.minimum(rng.zipf(1.3, 60000), 40000).astype(np.uint16) + 3
+    last = np.zeros(len(ids), bool)
+    last[199::200] = True
+    rounds, sorted_places = tokens._frequent, []
+
+    def counted(seq, live, most):
+        sorted_places.append(int(live.sum()))
+        return rounds(seq, live, most)
+
+    monkeypatch.setattr(tokens, "_frequent", counted)
+    rules, lengths, symbols, ends = tokens.repair(ids, last, 50257)
+    assert len(sorted_places) > 2 and sum(sorted_places) < 2 * len(ids)
+    assert tokens.expand(symbols, rules, lengths, 50257).tolist() == ids.tolist()
+
+
 def test_grammar_goes_on_until_no_pair_is_frequent():
     rng = np.random.default_rng(5)
     line = rng.integers(3, 900, 300).astype(np.uint16)
