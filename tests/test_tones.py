@@ -43,7 +43,7 @@ def stored(spark) -> int:
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names)
 
 
-@pytest.mark.parametrize("name", ["seq18_tempo"])
+@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats"])
 def test_queries_of_rendered_tracks_store_no_samples(spark, sf_dir, name):
     """The samples of fifteen tracks are over 15 MB."""
     before = stored(spark)
