@@ -2,7 +2,8 @@
 
 A warping's cells depend on the two anti-diagonals before theirs, so a diagonal is one array step.
 Only every so many diagonals are kept; the way back computes those between two kept ones again, so
-memory grows with the sides of the matrix and not with its area. A corridor limits each row to a range
+memory grows with the sides of the matrix and not with its area. Matrices of few cells are kept whole, which
+saves computing anything twice. A corridor limits each row to a range
 of columns; coarse to fine, it lies around the path of the averaged features.
 """
 
@@ -22,6 +23,8 @@ EQUAL_WEIGHTS, FINE_WEIGHTS = (1.0, 1.0, 1.0), (2.0, 1.5, 1.5)
 #: Frames averaged at each scale of coarse to fine, and how far a corridor reaches around a path, in frames of its scale.
 SCALES, REACH = (25, 5, 1), 10
 SHIFTS = range(-6, 6)
+#: Cells of a matrix that is kept whole.
+WHOLE = 1 << 20
 TIMES = "score_times array<double>, audio_times array<double>, pitch_shift int, cost double, rate double"
 
 
@@ -137,6 +140,8 @@ def warp(a: np.ndarray, b: np.ndarray, subsequence: bool = False, low: np.ndarra
     low = np.zeros(n, int) if low is None else low
     high = np.full(n, m - 1) if high is None else high
     work = _Diagonals(a, b, low, high, subsequence, weights)
+    if n * m <= WHOLE:
+        return _warp_whole(work, m)
     every = max(1, int(np.sqrt(n + m)))
     none = np.full(n + 1, np.inf)
     one, two, kept = none, none, []
@@ -169,6 +174,47 @@ def warp(a: np.ndarray, b: np.ndarray, subsequence: bool = False, low: np.ndarra
         i, j = i - (move != SECOND), j - (move != FIRST)
 
 
+def _warp_whole(work: _Diagonals, m: int) -> tuple[np.ndarray, float]:
+    """warp() with all costs and distances kept: the same sums and ties, moves only where the path goes."""
+    n, weights, open_start = len(work.low), work.weights, work.subsequence
+    far = np.empty((n, m))
+    rows = max(1, (1 << 16) // m)
+    for i in range(0, n, rows):
+        gap = (work.a[i : i + rows, None] - work.b[None]).reshape(-1, work.a.shape[1])
+        far[i : i + rows] = np.sqrt(np.einsum("ij,ij->i", gap, gap)).reshape(-1, m)
+    flat = far.ravel()
+    # row d + 2 is diagonal d, padded by one in front
+    costs = np.full((work.last + 3, n + 1), np.inf)
+    every = np.arange(work.last + 1)
+    firsts, stops = np.searchsorted(work.leave, every, "left").tolist(), np.searchsorted(work.enter, every, "right").tolist()
+    for d, (first, stop) in enumerate(zip(firsts, stops)):
+        if stop <= first:
+            continue
+        # cell i of the diagonal is at i * m + d - i
+        at = d + first * (m - 1)
+        c = flat[at : at + (stop - first - 1) * (m - 1) + 1 : max(1, m - 1)]
+        two, one, now = costs[d], costs[d + 1], costs[d + 2, first + 1 : stop + 1]
+        np.minimum(two[first:stop] + weights[BOTH] * c, one[first + 1 : stop + 1] + weights[SECOND] * c, out=now)
+        np.minimum(now, one[first:stop] + weights[FIRST] * c, out=now)
+        if first == 0 and (open_start or d == 0):
+            now[0] = c[0]
+    ends = np.full(m, np.inf)
+    last = costs[n + 1 :, n][:m]
+    ends[: len(last)] = last
+    j = int(ends.argmin()) if open_start else m - 1
+    cost, i, path = float(ends[j]), n - 1, []
+    if not np.isfinite(cost):
+        raise ValueError("the corridor has no path")
+    while True:
+        path.append((i, j))
+        if i == 0 and (open_start or j == 0):
+            return np.array(path[::-1]), cost
+        c, d = far[i, j], i + j
+        ways = costs[d, i] + weights[BOTH] * c, costs[d + 1, i + 1] + weights[SECOND] * c, costs[d + 1, i] + weights[FIRST] * c
+        move = ways.index(min(ways))
+        i, j = i - (move != SECOND), j - (move != FIRST)
+
+
 def corridor(path: np.ndarray, n: int, m: int, factor: float, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """The columns around a coarser path that each of n rows may meet: its cells, `factor` times as fine, and `reach` more on every side."""
     low, high = np.full(n, m), np.full(n, -1)
@@ -259,13 +305,19 @@ def align(notes: DataFrame, frames: DataFrame, by: list[str], rate: float, align
     frames a second. aligner: a name of ALIGNERS or a function of two feature matrices. transpose: the
     shift of the score, or None to estimate it. A score or a recording alone gives no row.
     """
+    return align_each(notes, frames, by, rate, [aligner], transpose).drop("aligner")
+
+
+def align_each(notes: DataFrame, frames: DataFrame, by: list[str], rate: float, aligners: list, transpose: int | None = None) -> DataFrame:
+    """align() by several aligners, which read a score and a recording once: by, aligner, score_times, audio_times, pitch_shift, cost, rate."""
     if not np.isfinite(rate) or rate <= 0:
         raise ValueError("the feature rate must be positive")
-    if isinstance(aligner, str) and aligner not in ALIGNERS:
-        raise ValueError(f"no aligner {aligner}")
-    find = ALIGNERS[aligner] if isinstance(aligner, str) else aligner
+    for aligner in aligners:
+        if isinstance(aligner, str) and aligner not in ALIGNERS:
+            raise ValueError(f"no aligner {aligner}")
+    find = [(a, ALIGNERS[a]) if isinstance(a, str) else (getattr(a, "__name__", str(k)), a) for k, a in enumerate(aligners)]
     kinds = ", ".join(f"{c} {notes.schema[c].dataType.simpleString()}" for c in by)
-    names = [*by, *(c.split()[0] for c in TIMES.split(", "))]
+    names = [*by, "aligner", *(c.split()[0] for c in TIMES.split(", "))]
 
     def run(score: pd.DataFrame, audio: pd.DataFrame) -> pd.DataFrame:
         if score.empty or audio.empty:
@@ -276,8 +328,12 @@ def align(notes: DataFrame, frames: DataFrame, by: list[str], rate: float, align
         b = audio_features(chroma, rise)
         a = score_features(*(score[c].to_numpy(float) for c in ("start", "end", "midi", "velocity")), rate)
         shift = pitch_shift(a, b) if transpose is None else transpose
-        path, cost = find(shifted(a, shift), b)
-        score_times, audio_times = time_map(path, rate)
-        return pd.DataFrame([(*(score[c].iloc[0] for c in by), score_times, audio_times, shift, cost, rate)], columns=names)
-
-    return notes.groupBy(*by).cogroup(frames.groupBy(*by)).applyInPandas(run, f"{kinds}, {TIMES}")
+        rows = []
+        for name, f in find:
+            path, cost = f(shifted(a, shift), b)
+            score_times, audio_times = time_map(path, rate)
+            rows.append((*(score[c].iloc[0] for c in by), name, score_times, audio_times, shift, cost, rate))
+        return pd.DataFrame(rows, columns=names)
+
+    heard = frames.select(*by, "frame", "rms", "chroma")
+    return notes.select(*by, "start", "end", "midi", "velocity").groupBy(*by).cogroup(heard.groupBy(*by)).applyInPandas(run, f"{kinds}, aligner string, {TIMES}")

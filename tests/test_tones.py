@@ -43,9 +43,23 @@ def stored(spark) -> int:
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names)
 
 
-@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats"])
+@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align"])
 def test_queries_of_rendered_tracks_store_no_samples(spark, sf_dir, name):
     """The samples of fifteen tracks are over 15 MB."""
     before = stored(spark)
     assert queries()[name](spark, sf_dir).count() > 10
     assert stored(spark) - before < 1_000_000
+
+
+def test_warping_kept_whole_equals_that_by_kept_diagonals(monkeypatch):
+    from chronoloom.operators import align as A
+
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (1, 7), (6, 1), (40, 55), (90, 70)):
+        a, b = (A.unit_columns(np.round(rng.random((25, k)) * 2)) for k in (n, m))
+        for run in (lambda: A.warp(a, b), lambda: A.warp(a, b, subsequence=True), lambda: A.warp_fine(a, b)):
+            monkeypatch.setattr(A, "WHOLE", 1 << 20)
+            whole = run()
+            monkeypatch.setattr(A, "WHOLE", 0)
+            parts = run()
+            assert np.array_equal(whole[0], parts[0]) and whole[1] == parts[1]
