@@ -9,7 +9,7 @@ and ties go to the lowest state before.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -226,6 +226,40 @@ def melody_frames(notes: DataFrame, by: list[str]) -> DataFrame:
     return every.join(sounds, [*by, "frame"], "left").select(*by, "frame", F.coalesce("sounds", none).alias("sounds"))
 
 
+def melody_runs(notes: DataFrame, by: list[str]) -> DataFrame:
+    """by, first, until, state: stretches of equal pitch of the best path over melody_frames() of notes, in whole numbers.
+
+    A best path passes through silence wherever nothing sounds (sequences.phrase_paths), so tasks decode phrases, and no frame is a row.
+    """
+    at = lambda c: F.floor(F.col(c) * S.FRAME_RATE / (1_000_000 * S.FRAME_HOP))
+    rows = notes.select(*by, at("start_us").alias("a"), at("end_us").alias("b"), (F.col("midi") - S.LOWEST).cast("int").alias("pitch"), F.col("conf").cast("double").alias("conf"), F.col("strength").cast("double").alias("strength"))
+    last = F.max("b").over(W.partitionBy(*by))
+    inside = rows.withColumn("end", last).where(F.col("pitch").between(0, S.HIGHEST - S.LOWEST) & (F.col("a") <= F.col("b")))
+    w = W.partitionBy(*by).orderBy("a")
+    new = F.coalesce((F.col("a") > F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)) + 1).cast("int"), F.lit(0))
+    told = inside.withColumn("new", new).withColumn("phrase", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    tasks = 4 * notes.sparkSession.sparkContext.defaultParallelism
+    lists = told.repartition(tasks, *by, "phrase").groupBy(*by, "phrase").agg(F.min("a").alias("begin"), (F.max("b") == F.max("end")).alias("final"), F.collect_list(F.struct("a", "b", "pitch", "conf", "strength")).alias("n"))
+    names = ["a", "b", "pitch", "conf", "strength"]
+    phrases = lists.select(*by, "begin", "final", *(F.col(f"n.{c}").alias(c) for c in names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            size = pdf.a.map(len).to_numpy()
+            a, b, pitch, conf, strength = (np.concatenate(pdf[c].to_list()) for c in names)
+            begin = np.repeat(pdf.begin.to_numpy(), size)
+            paths = S.phrase_paths(np.repeat(np.arange(len(pdf)), size), a - begin, b - begin, pitch, conf, strength, pdf.final.to_numpy(bool), units)
+            found = [(i, f, u, s) for i, path in enumerate(paths) for s, f, u in S._runs_of(path) if s < S.SILENT]
+            row, first, until, state = (np.array(c, int) for c in zip(*found)) if found else [np.zeros(0, int)] * 4
+            shift = pdf.begin.to_numpy()[row]
+            yield pd.DataFrame({**{c: pdf[c].to_numpy()[row] for c in by}, "first": first + shift, "until": until + shift, "state": state})
+
+    keys = ", ".join(f"{c} {notes.schema[c].dataType.simpleString()}" for c in by)
+    return phrases.mapInPandas(run, f"{keys}, first long, until long, state int")
+
+
 def runs(path: DataFrame, by: list[str]) -> DataFrame:
     """by, first, until, state: stretches of equal states of a path."""
     w = W.partitionBy(*by).orderBy("frame")

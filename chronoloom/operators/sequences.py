@@ -378,6 +378,91 @@ def melody_path(act: np.ndarray, onset: np.ndarray) -> np.ndarray:
     return path
 
 
+#: Cells of the phrases that are decoded side by side.
+PHRASE_CELLS = 1 << 20
+
+
+def phrase_paths(phrase: np.ndarray, first: np.ndarray, until: np.ndarray, pitch: np.ndarray, sure: np.ndarray, strong: np.ndarray, final: np.ndarray, whole: Callable[[np.ndarray], np.ndarray] | None = None) -> list[np.ndarray]:
+    """melody_path() of many phrases side by side: notes of phrase 0, 1, ... with their first and last frame in it, pitch from LOWEST on, activity, and onset at the first frame.
+
+    A pitch that does not sound in a frame scores at least half below silence and has no onset there, which is more
+    than silence costs in steps: so a best path only meets silence and what sounds, and passes through
+    silence wherever nothing does. A phrase lies between two such rests; final tells that a track ends with it.
+    whole: what makes whole numbers of scores, or None for scores that are kept near 0.
+    """
+    n, count = len(final), np.zeros(len(final), int)
+    length = np.zeros(n, int)
+    np.maximum.at(length, phrase, until + 1)
+    known, column = np.unique(phrase * (SILENT + 1) + pitch, return_inverse=True)
+    owner = known // (SILENT + 1)
+    np.add.at(count, owner, 1)
+    offset = np.cumsum(count) - count
+    place = np.arange(len(known)) - offset[owner]  # a pitch's state in its phrase
+    k, out = place[column], [None] * n
+    notes = np.argsort(phrase, kind="stable")
+    edge = np.searchsorted(phrase[notes], np.arange(n + 1))
+    kind = np.where(count <= 6, count, -(-count // 6) * 6)
+    order, a = np.lexsort((length, kind)), 0
+    base, gain = _melody_steps()
+    never = -np.inf if whole is None else -(1 << 60)
+    while a < n:
+        states = int(kind[order[a]]) + 1
+        b, most = a, 0
+        while b < n and kind[order[b]] == states - 1 and (b == a or (b - a + 1) * int(length[order[b]]) * states <= PHRASE_CELLS):
+            b += 1
+        mine = order[a:b]
+        size, frames, a = len(mine), int(length[mine[-1]]), b
+        row = np.empty(n, int)
+        row[mine] = np.arange(size)
+        own = np.concatenate([notes[edge[p] : edge[p + 1]] for p in mine])
+        names = np.full((size, states), SILENT)
+        cols = np.concatenate([np.arange(offset[p], offset[p] + count[p]) for p in mine])
+        names[row[owner[cols]], place[cols]] = known[cols] % (SILENT + 1)
+        act, onset = np.zeros((frames, size, states - 1)), np.zeros((frames, size, states))
+        spans = until[own] - first[own] + 1
+        at = np.repeat(first[own] - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))
+        np.maximum.at(act, (at, np.repeat(row[phrase[own]], spans), np.repeat(k[own], spans)), np.repeat(sure[own], spans))
+        np.maximum.at(onset, (first[own], row[phrase[own]], k[own]), strong[own])
+        height = names[:, :-1] + LOWEST
+        top = np.where(act >= 0.27, height, LOWEST).max(axis=2, initial=LOWEST)
+        voiced = (act - 0.27) * 3.8 + onset[:, :, :-1] * 0.72 - 0.06 * np.maximum(0, top[:, :, None] - height) - 0.045 * np.maximum(0, 52 - height)
+        loud = act.max(axis=2, initial=0)
+        scores = np.concatenate([voiced, np.where(loud < 0.22, 0.34, np.where(loud < 0.31, 0.08, -0.52))[:, :, None]], axis=2)
+        step, more = (x[names[:, :, None], names[:, None, :]] for x in (base, gain))
+        if whole is not None:
+            scores, step = whole(scores), whole(step)
+        scores[:, np.pad(names[:, :-1] == SILENT, ((0, 0), (0, 1)))] = never  # states beyond a phrase's own
+        state = np.full((size, states), never)
+        state[:, -1] = 0
+        back, attacked = np.empty((frames, size, states), np.int16), onset.any(axis=2)
+        begin = np.searchsorted(length[mine], np.arange(frames), "right")  # shorter phrases are over
+        for t in range(frames):
+            lo = int(begin[t])
+            every = step[lo:] + state[lo:, :, None]
+            hit = np.flatnonzero(attacked[t, lo:])
+            if len(hit):
+                risen = more[lo:][hit] * onset[t, lo:][hit][:, None, :]
+                every[hit] += risen if whole is None else whole(risen)
+            back[t, lo:] = every.argmax(axis=1)
+            now = every.max(axis=1) + scores[t, lo:]
+            state[lo:] = now - now.max(axis=1, keepdims=True) if whole is None else np.maximum(now, never)
+        end = np.where(final[mine], state.argmax(axis=1), (state + step[:, :, -1]).argmax(axis=1))
+        path = np.empty((frames, size), np.int16)
+        for t in range(frames - 1, -1, -1):
+            lo = int(begin[t])
+            path[t, lo:] = names[np.arange(lo, size), end[lo:]]
+            end[lo:] = back[t, np.arange(lo, size), end[lo:]]
+        for i, p in enumerate(mine):
+            out[p] = path[: length[p], i]
+    return out
+
+
+def phrases_of(first: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """The phrase of each note, by first frame: a new one after a frame in which no note sounds."""
+    over = np.maximum.accumulate(until)
+    return np.cumsum(np.r_[0, first[1:] > over[:-1] + 1])
+
+
 def _runs_of(path: np.ndarray) -> list[list[int]]:
     """[state, first frame, end] of each run of equal states."""
     cut = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
@@ -389,8 +474,10 @@ class _Roll:
 
     def __init__(self, act: np.ndarray, onset: np.ndarray):
         self.act, self.onset = act, onset
-        before, after = np.pad(onset, ((1, 0), (0, 0)))[:-1], np.pad(onset, ((0, 1), (0, 0)))[1:]
-        self.peak = (onset >= before) & (onset > after)
+
+    def peak(self, t: int, state: int) -> bool:
+        x = self.onset[t, state]
+        return x >= (self.onset[t - 1, state] if t else 0) and x > (self.onset[t + 1, state] if t + 1 < len(self.onset) else 0)
 
     def short_attack(self, state: int, a: int, b: int, neighbours: set[int]) -> bool:
         """Whether a run too short for a note is one: strongly attacked, active, and no neighbour sounds on under it."""
@@ -408,7 +495,7 @@ class _Roll:
                 new = state
                 if state == SILENT:
                     if b - a <= 2 and left == right != SILENT:
-                        again = b < len(path) and self.peak[b, left] and self.onset[b, left] >= WEAK_ATTACK and self.act[b, left] >= ACTIVE
+                        again = b < len(path) and self.peak(b, left) and self.onset[b, left] >= WEAK_ATTACK and self.act[b, left] >= ACTIVE
                         new = state if again else left
                 elif b - a < FLICKER_FRAMES:
                     around = {s for s, there in ((left, k > 0), (right, k + 1 < len(runs))) if there}
@@ -426,10 +513,10 @@ class _Roll:
     def attacks(self, state: int, a: int, b: int) -> list[int]:
         """The frames at which a run is attacked: its first, and later ones that are strong or follow a valley."""
         marks = [a]
-        for t in range(a + ATTACK_FRAMES, b - 1):
+        for t in (a + ATTACK_FRAMES + np.flatnonzero(self.onset[a + ATTACK_FRAMES : b - 1, state] >= WEAK_ATTACK)).tolist():
             x = self.onset[t, state]
             valley = (self.act[max(0, t - 3) : t, state] < ACTIVE).any()
-            if self.peak[t, state] and (x >= STRONG_ATTACK or (x >= WEAK_ATTACK and valley)) and t - marks[-1] >= ATTACK_FRAMES:
+            if self.peak(t, state) and (x >= STRONG_ATTACK or (x >= WEAK_ATTACK and valley)) and t - marks[-1] >= ATTACK_FRAMES:
                 marks.append(t)
         return marks
 
@@ -441,7 +528,38 @@ def decode_melody(activity: np.ndarray, onset: np.ndarray, first_midi: int = 21)
     keep = slice(LOWEST - first_midi, HIGHEST - first_midi + 1)
     clean = lambda x: np.clip(np.nan_to_num(x[:, keep], nan=0, posinf=0, neginf=0), 0, 1)
     roll = _Roll(clean(activity), clean(onset))
-    runs, out = _runs_of(roll.smooth(melody_path(roll.act, roll.onset))), []
+    return _cleaned(roll, melody_path(roll.act, roll.onset))
+
+
+def decode_notes(tracks: list[tuple[np.ndarray, ...]]) -> Iterator[list[tuple[float, float, int, float, float]]]:
+    """decode_melody() of the piano roll of each track's notes: first and last frame, pitch from LOWEST on, activity, onset at the first frame, and the track's frames; a value for an array.
+
+    Pitches out of range are left out before; activity and onset lie between 0 and 1.
+    """
+    tracks = [tuple(x[np.argsort(t[0], kind="stable")] for x in t[:5]) + (t[5],) for t in tracks]
+    split = [phrases_of(t[0], t[1]) if len(t[0]) else np.zeros(0, int) for t in tracks]
+    before = np.cumsum([0, *(s[-1] + 1 if len(s) else 0 for s in split)])
+    begin = [np.r_[t[0][:1], t[0][1:][np.diff(s) > 0]] for t, s in zip(tracks, split)]
+    final = [np.maximum.reduceat(t[1], np.r_[0, np.flatnonzero(np.diff(s)) + 1]) == t[5] - 1 if len(s) else np.zeros(0, bool) for t, s in zip(tracks, split)]
+    all_of = lambda parts: np.concatenate([*parts, np.zeros(0, int)])
+    shift = [t[b] - g[s] for b in (0, 1) for t, s, g in zip(tracks, split, begin)]
+    phrase = all_of(s + k for s, k in zip(split, before)).astype(int)
+    paths = phrase_paths(phrase, all_of(shift[: len(tracks)]).astype(int), all_of(shift[len(tracks) :]).astype(int), *(all_of(t[c] for t in tracks) for c in (2, 3, 4)), np.concatenate([*final, np.zeros(0, bool)])) if len(phrase) else []
+    for i, (first, until, pitch, sure, strong, frames) in enumerate(tracks):
+        path = np.full(frames, SILENT, np.int16)
+        for at, p in zip(begin[i].tolist(), paths[before[i] : before[i + 1]]):
+            path[at : at + len(p)] = p
+        # a pitch's frames lie side by side
+        act, onset = np.zeros((SILENT, frames)), np.zeros((SILENT, frames))
+        for a, b, s, x in zip(first.tolist(), until.tolist(), pitch.tolist(), sure.tolist()):
+            np.maximum(act[s, a : b + 1], x, out=act[s, a : b + 1])
+        np.maximum.at(onset, (pitch, first), strong)
+        yield _cleaned(_Roll(act.T, onset.T), path)
+
+
+def _cleaned(roll: _Roll, path: np.ndarray) -> list[tuple[float, float, int, float, float]]:
+    """The notes of a decoded path after clean-up."""
+    runs, out = _runs_of(roll.smooth(path)), []
     for k, (state, a, b) in enumerate(runs):
         if state == SILENT:
             continue

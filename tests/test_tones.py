@@ -44,8 +44,8 @@ def stored(spark) -> int:
 
 
 @pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align", "src21_articulations", "inf06_pitch_estimates"])
-def test_queries_of_rendered_tracks_store_no_samples(spark, sf_dir, name):
-    """The samples of fifteen tracks are over 15 MB."""
+def test_queries_store_no_samples_or_frames(spark, sf_dir, name):
+    """The samples of fifteen tracks are over 15 MB, the melody frames and products of their blocks over 3 MB."""
     before = stored(spark)
     assert queries()[name](spark, sf_dir).count() > 10
     assert stored(spark) - before < 1_000_000
@@ -97,3 +97,36 @@ def test_moving_medians(axis):
     x = np.random.default_rng(2).random((40, 30))
     padded = np.pad(x, [(8, 8) if k == axis else (0, 0) for k in (0, 1)])
     assert np.array_equal(C._median(x, axis), np.median(np.lib.stride_tricks.sliding_window_view(padded, 17, axis=axis), axis=-1))
+
+
+def test_melodies_decoded_side_by_side_equal_those_of_whole_matrices(monkeypatch):
+    from chronoloom.operators import decode as D
+    from chronoloom.operators import sequences as S
+
+    rng, tracks = np.random.default_rng(11), []
+    for n in (1, 2, 5, 40, 90, 200, 0):
+        first = rng.integers(0, 1500, n)
+        tracks.append((first, first + rng.integers(0, 60, n), rng.integers(0, S.SILENT, n), rng.integers(0, 101, n) / 100, rng.integers(0, 101, n) / 100, 1600))
+    tracks += [(first := np.array([0, 3]), first + 9, np.array([5, 7]), np.array([0.9, 0.95]), np.array([0.0, 0.3]), 13), (np.array([0, 40]), np.array([38, 80]), np.array([30, 30]), np.array([0.8, 0.9]), np.array([0.7, 0.2]), 120)]
+    monkeypatch.setattr(S, "PHRASE_CELLS", 3000)
+    count = 0
+    for t, got in zip(tracks, S.decode_notes(tracks)):
+        first, until, pitch, sure, strong, frames = t
+        act, onset = np.zeros((frames, S.SILENT)), np.zeros((frames, S.SILENT))
+        for a, b, s, x, y in zip(first, until, pitch, sure, strong):
+            act[a : b + 1, s] = np.maximum(act[a : b + 1, s], x)
+            onset[a, s] = max(onset[a, s], y)
+        assert got == S.decode_melody(act, onset, S.LOWEST)
+        count += len(got)
+        if len(first):
+            o = np.argsort(first, kind="stable")
+            phrase = S.phrases_of(first[o], until[o])
+            begin = first[o][np.r_[0, np.flatnonzero(np.diff(phrase)) + 1]]
+            ends = [until[o][phrase == p].max() == frames - 1 for p in range(len(begin))]
+            paths = S.phrase_paths(phrase, first[o] - begin[phrase], until[o] - begin[phrase], pitch[o], sure[o], strong[o], np.array(ends), D.units)
+            path = np.full(frames, S.SILENT)
+            for at, p in zip(begin, paths):
+                path[at : at + len(p)] = p
+            attacks = np.c_[onset, np.zeros(frames)]
+            assert np.array_equal(path, D.path_of(D.MELODY_START, D.units(S.melody_scores(act, onset)), lambda k: D._STEPS + D.units(D._GAIN * attacks[k][None])))
+    assert count > 100
