@@ -234,10 +234,10 @@ def stages(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None,
     return out
 
 
-def refine(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> DataFrame:
+def refine(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84, keep=lambda df, name: df) -> DataFrame:
     """track_id, note_id, start_us, end_us, midi, conf, strength, support, inserted: correct, filter, anchor, merge,
-    separate, split, connect, one voice. Without acoustic nothing is split or inserted, without estimates nothing corrected."""
-    return stages(primary, evidence, acoustic, estimates, low, high)["notes"]
+    separate, split, connect, one voice. Without acoustic nothing is split or inserted, without estimates nothing corrected. keep: as in stages()."""
+    return stages(primary, evidence, acoustic, estimates, low, high, keep)["notes"]
 
 
 def refine_counted(primary: DataFrame, evidence: DataFrame, acoustic: DataFrame | None = None, estimates: DataFrame | None = None, low: int = 48, high: int = 84) -> tuple[DataFrame, DataFrame]:

@@ -43,7 +43,7 @@ def stored(spark) -> int:
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names)
 
 
-@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align", "src21_articulations", "inf06_pitch_estimates", "seq02_melody_states"])
+@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align", "src21_articulations", "inf06_pitch_estimates", "seq02_melody_states", "seq16_from_audio"])
 def test_queries_store_no_samples_or_frames(spark, sf_dir, name):
     """The samples of fifteen tracks are over 15 MB, the melody frames and products of their blocks over 3 MB."""
     before = stored(spark)
