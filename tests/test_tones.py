@@ -43,7 +43,7 @@ def stored(spark) -> int:
     return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names)
 
 
-@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align", "src21_articulations", "inf06_pitch_estimates", "seq02_melody_states", "seq16_from_audio"])
+@pytest.mark.parametrize("name", ["seq18_tempo", "seq19_beats", "seq22_align", "src21_articulations", "inf06_pitch_estimates", "seq02_melody_states", "seq16_from_audio", "seq18_analysis"])
 def test_queries_store_no_samples_or_frames(spark, sf_dir, name):
     """The samples of fifteen tracks are over 15 MB, the melody frames and products of their blocks over 3 MB."""
     before = stored(spark)
@@ -130,3 +130,17 @@ def test_melodies_decoded_side_by_side_equal_those_of_whole_matrices(monkeypatch
             attacks = np.c_[onset, np.zeros(frames)]
             assert np.array_equal(path, D.path_of(D.MELODY_START, D.units(S.melody_scores(act, onset)), lambda k: D._STEPS + D.units(D._GAIN * attacks[k][None])))
     assert count > 100
+
+
+def test_analysis_of_tones_equals_that_of_samples(spark):
+    from chronoloom.plans import analysis
+
+    rows = lambda source: {r.rec: r.asDict(recursive=True) for r in analysis.analyse(source, BY, RATE).collect()}
+    # notes without a level, so that every piece is rendered
+    played = notes(spark).unionByName(spark.createDataFrame([(rec, at * 1_000_000, 60, 0.0) for rec in (1, 2, 3) for at in range(0, 40, 6)], "rec long, start_us long, midi int, level double"))
+    got, want = rows(G.Tones(played, RATE)), rows(G.render(played, BY, RATE))
+    assert got.keys() == want.keys() == {1, 2, 3}
+    for k in got:
+        assert got[k].pop("waveform") == pytest.approx(want[k].pop("waveform"), abs=1e-9) and got[k] == want[k]
+    with pytest.raises(Exception, match="a sample is no number"):
+        analysis.analyse(G.Tones(notes(spark).withColumn("level", F.lit(float("nan"))), RATE), BY, RATE).collect()
